@@ -7,15 +7,6 @@ import importlib
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
 MODULES = (
     "fingerprints",
-    "simhash",
-    "transport_stream",
-    "html_consensus",
-    "language_id",
-    "license_scan",
-    "quality",
-    "mixing",
-    "bpe",
-    "substrings",
 )
 
 
@@ -24,10 +15,7 @@ def _modules():
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    found = {k: f for m in _modules() for k, f in m.QUERIES.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
