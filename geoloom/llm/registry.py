@@ -7,6 +7,7 @@ import importlib
 #: Modules that define QUERIES and, where SQL can express them, ORACLES.
 MODULES = (
     "fingerprints",
+    "simhash",
 )
 
 
