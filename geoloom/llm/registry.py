@@ -8,6 +8,8 @@ import importlib
 MODULES = (
     "fingerprints",
     "simhash",
+    "transport_stream",
+    "mixing",
 )
 
 
