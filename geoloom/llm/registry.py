@@ -10,6 +10,7 @@ MODULES = (
     "simhash",
     "transport_stream",
     "mixing",
+    "bpe",
 )
 
 
