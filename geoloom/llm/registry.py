@@ -11,6 +11,7 @@ MODULES = (
     "transport_stream",
     "mixing",
     "bpe",
+    "substrings",
 )
 
 
