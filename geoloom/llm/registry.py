@@ -12,6 +12,7 @@ MODULES = (
     "mixing",
     "bpe",
     "substrings",
+    "language_id",
 )
 
 
