@@ -2,8 +2,8 @@
 
 Overlapping chunks cover the whole document; the network's filters are
 max-pooled over each chunk and give the chunk's score. A document's probability
-combines its chunks' scores (their mean by length, their least and greatest) in
-a logistic model. Network and logistic model are trained in numpy on a bounded
+combines its chunks' scores (their mean by length, their least and greatest)
+and its length in a logistic model. Network and logistic model are trained in numpy on a bounded
 sample: the ``SAMPLE`` labelled documents of each class with the least hashed
 doc_id, and ``CHUNKS`` chunks of each at hashed places for the network.
 
@@ -30,9 +30,9 @@ from .common import table
 from .language_id import as_windows, sample_windows, unit_hash
 
 #: Bounds of the training sample: documents a class, chunks a document.
-SAMPLE, CHUNKS = 1500, 6
+SAMPLE, CHUNKS = 3000, 6
 LENGTH, STRIDE = 256, 224
-FEATURES = "mean double, least double, greatest double"
+FEATURES = ("mean", "least", "greatest", "short", "short_mean", "log_length")
 
 
 @dataclass
@@ -44,7 +44,7 @@ class QualityModel:
     prior: float = 0.5
 
     def features(self, raw: list[bytes]) -> np.ndarray:
-        """Length-weighted mean, least and greatest chunk score of each text."""
+        """Length-weighted mean, least and greatest chunk score of each text, and how short it is."""
         total, size = np.zeros(len(raw)), np.zeros(len(raw))
         least, greatest = np.full(len(raw), np.inf), np.full(len(raw), -np.inf)
         for chunks, owner in text_groups(raw, LENGTH, STRIDE):
@@ -55,7 +55,10 @@ class QualityModel:
             np.add.at(size, owner, filled)
             np.minimum.at(least, owner, score)
             np.maximum.at(greatest, owner, score)
-        return np.column_stack([total / np.maximum(size, 1), least, greatest])
+        mean = total / np.maximum(size, 1)
+        n = np.array([len(t) for t in raw])
+        short = 1 / (1 + n / 60)  # one chunk of few bytes tells little
+        return np.column_stack([mean, least, greatest, short, short * mean, np.log1p(n) / 10])
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[1:] + self.weights[0], -40, 40)))
@@ -89,20 +92,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     found = sample_windows(chosen, "label", per_class, CHUNKS, LENGTH, STRIDE, seed=11)
     classes = found["label"].to_numpy(int)
     if len(set(classes)) < 2:
-        return QualityModel(None, np.zeros(4), float(classes.mean()) if len(classes) else 0.5)
+        return QualityModel(None, np.zeros(len(FEATURES) + 1), float(classes.mean()) if len(classes) else 0.5)
     share = 1 / np.bincount(classes, minlength=2)
     net = ByteCNN(2, LENGTH, seed=1).fit(as_windows(found["window"], LENGTH), classes, share[classes] * len(classes) / 2, epochs=max(4, min(40, 60_000 // len(found))), seed=1)
-    model = QualityModel(net, np.zeros(4))
+    model = QualityModel(net, np.zeros(len(FEATURES) + 1))
 
     def features(batches):
         for batch in batches:
-            out = pd.DataFrame(model.features(raw_texts(batch["text"])), columns=["mean", "least", "greatest"])
+            out = pd.DataFrame(model.features(raw_texts(batch["text"])), columns=list(FEATURES))
             out["label"] = batch["label"].to_numpy()
             yield out
 
-    rows = chosen.select("text", "label").mapInPandas(features, f"{FEATURES}, label int").toPandas()
+    rows = chosen.select("text", "label").mapInPandas(features, ", ".join(f"{f} double" for f in FEATURES) + ", label int").toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
-    model.weights = _logistic(rows[["mean", "least", "greatest"]].to_numpy(), rows["label"].to_numpy(float))
+    model.weights = _logistic(rows[list(FEATURES)].to_numpy(), rows["label"].to_numpy(float))
+    # the sample's share of class 1 is not that of all labels
+    all_rows = known.agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).first()
+    odds = [g / max(1, n - g) for g, n in ((all_rows["good"], all_rows["n"]), (rows["label"].sum(), len(rows)))]
+    model.weights[0] += np.log(odds[0] / odds[1])
     return model
 
 

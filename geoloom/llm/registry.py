@@ -13,6 +13,7 @@ MODULES = (
     "bpe",
     "substrings",
     "language_id",
+    "quality",
 )
 
 
