@@ -14,6 +14,7 @@ MODULES = (
     "substrings",
     "language_id",
     "quality",
+    "license_scan",
 )
 
 
