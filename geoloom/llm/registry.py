@@ -15,6 +15,7 @@ MODULES = (
     "language_id",
     "quality",
     "license_scan",
+    "html_consensus",
 )
 
 
