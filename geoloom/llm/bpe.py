@@ -249,14 +249,15 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.texts[i] for i in ids])
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids and of the decoded text."""
+    def joined(self, text: str | None) -> tuple[int, str, str]:
+        """Number of tokens, the ids and the decoded text, each joined by blanks."""
         parts = [p for p in self.parts(text or "") if p[0]]
-        return (
-            sum([p[0] for p in parts]),
-            hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest(),
-            hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest(),
-        )
+        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+
+
+def digest(joined: tuple[int, str, str]) -> tuple[int, str, str]:
+    """Number of tokens, SHA-256 of the ids and of the decoded text."""
+    return joined[0], hashlib.sha256(joined[1].encode()).hexdigest(), hashlib.sha256(joined[2].encode()).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -296,15 +297,31 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for batch in batches:
-            rows = [v.digest(t) for t in batch["text"]]
+            rows = [digest(v.joined(t)) for t in batch["text"]]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy() if batch["doc_id"].notna().all() else batch["doc_id"])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
             yield out
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInPandas(run, DIGEST)
 
 
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id``, ``ids`` and the digests of every row, in one pass."""
+
+    def run(batches):
+        v = vocabulary(path)
+        for batch in batches:
+            joined = [v.joined(t) for t in batch["text"]]
+            out = pd.DataFrame(map(digest, joined), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
+            out["ids"] = [np.array(ids.split(), np.int32) for _, ids, _ in joined]
+            yield out
+
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInPandas(run, DIGEST + ", ids array<int>")
+
+
 def default_path() -> str:
     """The installed public vocabulary that the queries use."""
     import public_tokenizers

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table
+from .common import SPACE, WORD, staged, table
 
 #: Rows that one task rounds at a time.
 BUCKET = 1024
@@ -104,9 +104,9 @@ def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
 
 def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0, bucket: int = BUCKET) -> DataFrame:
     """``at`` and ``share``: how many times the mix takes each row of ``sizes(at, doc_id, source, size)``; not whole for one row a source at most."""
-    wanted = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    wanted = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    wanted = wanted.select("at", "doc_id", "source", "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
+    wanted = wanted.select("at", "doc_id", sizes["source"], "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
     whole = F.floor(F.col("rate") + 1e-9)
     wanted = staged(wanted.withColumn("whole", whole.cast("double")).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0))), "wanted")
     open_ = wanted.where("p > 0")
@@ -128,15 +128,39 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0, bucket: int = BU
     return wanted.join(decided.select("at", F.col("p").alias("rounded")), "at", "left").select("at", (F.col("whole") + F.coalesce("rounded", F.lit(0.0))).alias("share"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``share`` and ``taken`` of every row."""
-    sizes = docs.select(F.monotonically_increasing_id().alias("at"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``share`` and ``taken`` of every row, and the columns to keep."""
+    sizes = docs.select(F.monotonically_increasing_id().alias("at"), "doc_id", "source", n_words(F.col("text")).alias("size"), *keep)
     sizes = staged(sizes, "sizes")
     targets = staged(source_targets(sizes, weights, most), "targets")
     share = copies(sizes, targets, seed)
     out = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).join(share, "at")
     taken = F.least(F.round(F.col("size") * F.col("share")), F.col("size") * most).cast("bigint")
-    return out.select("doc_id", "source", "size", "source_size", "target", "share", taken.alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "share", taken.alias("taken"), *keep)
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
+    """The rows of the mix: ``docs`` as often as the mix takes them, all columns kept.
+
+    A cut copy holds the first words of its text, joined by blanks. Equal rows
+    are drawn separately and given out together.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    drawn = mix(keyed, weights, most, seed, keep=("_key",))
+    shares = drawn.where("taken > 0").groupBy("_key").agg(
+        F.sum(F.floor("share")).cast("int").alias("_whole"),
+        F.sum(F.round((F.col("share") - F.floor("share")) * F.col("size"))).cast("int").alias("_words"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    shares = staged(shares, "shares")
+    rows = keyed.join(shares, "_key")
+    again = keyed.groupBy("_key").count().where("count > 1").select("_key")
+    rows = rows.join(again.withColumn("_again", F.lit(True)), "_key", "left")
+    rows = rows.where("_again is null").unionByName(rows.where("_again").dropDuplicates(["_key"]))
+    words = F.array_join(F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), F.lit(1), F.col("_words")), " ")
+    copy = F.concat(F.array_repeat(F.lit(True), F.col("_whole")), F.array_repeat(F.lit(False), (F.col("_words") > 0).cast("int")))
+    rows = rows.withColumn("_full", F.explode(copy))
+    return rows.withColumn("text", F.when(F.col("_full"), F.col("text")).otherwise(words)).select(docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

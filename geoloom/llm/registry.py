@@ -24,8 +24,14 @@ def _modules():
 
 
 def queries() -> dict:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    found = {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: s for m in _modules() for k, s in getattr(m, "ORACLES", {}).items()}
+    import corpus_pipeline
+
+    found = {k: s for m in _modules() for k, s in getattr(m, "ORACLES", {}).items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

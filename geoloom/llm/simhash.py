@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, keys: int = 0) ->
                 h = shingle_hashes(text, width)
                 fps.append(majority(h, words).view(np.int64))
                 least.append([int((remix(h, 100 + k).min() if len(h) else np.uint64(0)).astype(np.int64)) for k in range(keys)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps, "keys": least})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps, "keys": least})
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInPandas(run, "doc_id bigint, fp array<bigint>, keys array<bigint>")
