@@ -151,7 +151,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             if rows:
                 yield pd.DataFrame(dict(zip(("m", "c", "key", "start", "n"), map(np.concatenate, zip(*rows)))))
 
-    walk = docs.mapInPandas(cut, "m bigint, c bigint, key bigint, start int, n int")
+    walk = staged(docs.mapInPandas(cut, "m bigint, c bigint, key bigint, start int, n int"), "walk")
     shared = staged(walk.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m"), "anchors")
     _release(spark)
     places = staged(walk.join(shared, "m"), "paths")
