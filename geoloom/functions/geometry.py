@@ -12,8 +12,10 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COORDS = "array<array<array<array<double>>>>"
+COORDS_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 #: Levels of array around a position in each type's coordinates.
 DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
 TYPE_CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6}
@@ -193,13 +195,13 @@ def _from_wkb(data: bytes | None):
     return geometry()[1]
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_wkb(coords: pd.Series, kind: pd.Series) -> pd.Series:
     """Well-known bytes of depth-4 coordinates."""
     return pd.Series([_wkb_bytes(c, k) for c, k in zip(coords, kind)])
 
 
-@F.pandas_udf(COORDS)
+@F.pandas_udf(COORDS_TYPE)
 def from_wkb(data: pd.Series) -> pd.Series:
     """Depth-4 coordinates of well-known bytes."""
     return pd.Series([_from_wkb(d) for d in data])
