@@ -14,7 +14,7 @@ MOST_BYTES = 2 * 1024**3
 def partition_count(size: Column, most: int = MOST_BYTES) -> Column:
     """1 up to the limit, else the power of two at or above the number of limits."""
     parts = F.ceil(size / most).cast("bigint")
-    return F.when(size <= most, F.lit(1).cast("bigint")).otherwise(F.shiftleft(F.lit(1).cast("bigint"), F.length(F.bin(parts - 1))))
+    return F.when(size <= most, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(parts - 1))).cast("bigint"))
 
 
 def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", exact: bool = False) -> DataFrame:

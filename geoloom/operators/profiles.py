@@ -31,7 +31,7 @@ def pick_ids(profiles: DataFrame, threshold: float = 0.95) -> DataFrame:
     """The best identifier of each dataset: unique columns first, then nearly unique ones, else the best of the rest."""
     scored = profiles.withColumn("score", id_score(F.col("column"))).where("score is not null and total > 0")
     ratio = F.col("distinct_values") / F.col("total")
-    tier = F.when("is_unique", 1).when(ratio >= threshold, 2).otherwise(3)
+    tier = F.when(F.col("is_unique"), 1).when(ratio >= threshold, 2).otherwise(3)
     scored = scored.withColumn("ratio", ratio).withColumn("tier", tier)
     order = Window.partitionBy("dataset").orderBy(
         "tier",
