@@ -106,16 +106,20 @@ def repair_pair(lon: Column, lat: Column, region=REGION) -> Column:
     def fixed(x: Column, y: Column, rule: str) -> Column:
         return F.struct(x.alias("lon"), y.alias("lat"), F.lit(rule).alias("rule"))
 
-    dx, dy = fix_decimal(lon, w, e), fix_decimal(lat, s, n)
-    sx, sy = fix_decimal(lat, w, e), fix_decimal(lon, s, n)
+    shifts = F.struct(
+        fix_decimal(lon, w, e).alias("dx"), fix_decimal(lat, s, n).alias("dy"), fix_decimal(lat, w, e).alias("sx"), fix_decimal(lon, s, n).alias("sy")
+    )
     broken = F.struct(lon.alias("lon"), lat.alias("lat"), F.lit(None).cast("string").alias("rule"))
+
+    def shifted(c: Column) -> Column:
+        plain = F.when(c["dx"].isNotNull() & c["dy"].isNotNull(), fixed(c["dx"], c["dy"], "decimal"))
+        return plain.when(c["sx"].isNotNull() & c["sy"].isNotNull(), fixed(c["sx"], c["sy"], "swapped+decimal")).otherwise(broken)
+
     return (
         F.when(_within(lon, lat, region), fixed(lon, lat, "kept"))
         .when(lon == lat, broken)
         .when(_within(lat, lon, region), fixed(lat, lon, "swapped"))
-        .when(dx.isNotNull() & dy.isNotNull(), fixed(dx, dy, "decimal"))
-        .when(sx.isNotNull() & sy.isNotNull(), fixed(sx, sy, "swapped+decimal"))
-        .otherwise(broken)
+        .otherwise(F.get(F.transform(F.array(shifts), shifted), 0))
     )
 
 
@@ -125,14 +129,14 @@ def repair_coords(df: DataFrame, region=REGION, coords: str = "coords") -> DataF
     def position(p: Column) -> Column:
         return F.struct(repair_pair(F.get(p, 0), F.get(p, 1), region).alias("fix"), F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0))).alias("rest"))
 
-    def nested(c: Column, f, depth: int = 3) -> Column:
+    def nested(c: Column, f, depth: int = 2) -> Column:
         return F.transform(c, f) if depth == 0 else F.transform(c, lambda x: nested(x, f, depth - 1))
 
-    fixed = df.withColumn("_fixed", nested(F.col(coords), position, 2 + 0))
+    fixed = df.withColumn("_fixed", nested(F.col(coords), position))
     flat = F.flatten(F.flatten("_fixed"))
     ok = F.forall(flat, lambda p: p["fix"]["rule"].isNotNull())
     rules = F.array_sort(F.array_distinct(F.filter(F.transform(flat, lambda p: p["fix"]["rule"]), lambda r: r != "kept")))
-    back = nested(F.col("_fixed"), lambda p: F.concat(F.array(p["fix"]["lon"], p["fix"]["lat"]), p["rest"]), 2)
+    back = nested(F.col("_fixed"), lambda p: F.concat(F.array(p["fix"]["lon"], p["fix"]["lat"]), p["rest"]))
     return fixed.where(ok).withColumn("rules", rules).withColumn(coords, back).drop("_fixed")
 
 
