@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>"
@@ -237,7 +237,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     def text(html: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([extract(h, p) for h, p in zip(html, path)])
 
-    return keyed.join(host_paths(pages), "host", "left").select("page_id", "url", text("html", "path").alias("text"))
+    # as a table its size is known: while it is small the pages aren't shuffled
+    paths = staged(host_paths(pages), "host-paths")
+    return keyed.join(paths, "host", "left").select("page_id", "url", text("html", "path").alias("text"))
 
 
 def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
