@@ -78,7 +78,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], B
 
 
 def predict(docs: DataFrame, names: list[str], net: ByteCNN | None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to ``docs``; only the column ``text`` is looked at."""
+    """Add ``lang_pred`` and ``score`` to ``docs`` (or replace them); only the column ``text`` is looked at."""
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def classify(texts: pd.Series) -> pd.DataFrame:
@@ -97,11 +97,13 @@ def predict(docs: DataFrame, names: list[str], net: ByteCNN | None) -> DataFrame
         return pd.DataFrame({"lang_pred": [names[k] for k in best], "score": p[np.arange(len(p)), best]})
 
     nothing = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     if net is None:
-        return docs.withColumn("_found", nothing).select(*docs.columns, "_found.*")
+        return rows.select("row.*", nothing["lang_pred"].alias("lang_pred"), nothing["score"].alias("score"))
     spoken = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = docs.withColumn("_found", classify("text"))
-    return found.withColumn("_found", F.when(spoken, F.col("_found")).otherwise(nothing)).select(*docs.columns, "_found.*")
+    found = rows.withColumn("found", classify("text")).withColumn("found", F.when(spoken, F.col("found")).otherwise(nothing))
+    return found.select("row.*", "found.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,22 +145,21 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
     A cut copy holds the first words of its text, joined by blanks. Equal rows
     are drawn separately and given out together.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    drawn = mix(keyed, weights, most, seed, keep=("_key",))
-    shares = drawn.where("taken > 0").groupBy("_key").agg(
-        F.sum(F.floor("share")).cast("int").alias("_whole"),
-        F.sum(F.round((F.col("share") - F.floor("share")) * F.col("size"))).cast("int").alias("_words"),
-        F.count(F.lit(1)).alias("_n"),
+    keyed = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    drawn = mix(keyed, weights, most, seed, keep=("key",))
+    shares = drawn.where("taken > 0").groupBy("key").agg(
+        F.sum(F.floor("share")).cast("int").alias("whole"),
+        F.sum(F.round((F.col("share") - F.floor("share")) * F.col("size"))).cast("int").alias("words"),
     )
     shares = staged(shares, "shares")
-    rows = keyed.join(shares, "_key")
-    again = keyed.groupBy("_key").count().where("count > 1").select("_key")
-    rows = rows.join(again.withColumn("_again", F.lit(True)), "_key", "left")
-    rows = rows.where("_again is null").unionByName(rows.where("_again").dropDuplicates(["_key"]))
-    words = F.array_join(F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), F.lit(1), F.col("_words")), " ")
-    copy = F.concat(F.array_repeat(F.lit(True), F.col("_whole")), F.array_repeat(F.lit(False), (F.col("_words") > 0).cast("int")))
-    rows = rows.withColumn("_full", F.explode(copy))
-    return rows.withColumn("text", F.when(F.col("_full"), F.col("text")).otherwise(words)).select(docs.columns)
+    rows = keyed.select("key", "row").join(shares, "key")
+    again = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("again"))
+    rows = rows.join(again, "key", "left")
+    rows = rows.where("again is null").unionByName(rows.where("again").dropDuplicates(["key"]))
+    words = F.array_join(F.slice(F.filter(F.split("row.text", SPACE), lambda w: w != ""), F.lit(1), F.col("words")), " ")
+    copy = F.concat(F.array_repeat(F.lit(True), F.col("whole")), F.array_repeat(F.lit(False), (F.col("words") > 0).cast("int")))
+    rows = rows.withColumn("full", F.explode(copy))
+    return rows.select(*[F.when(F.col("full"), F.col("row.text")).otherwise(words).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

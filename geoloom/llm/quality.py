@@ -127,7 +127,8 @@ def with_score(docs: DataFrame, model: QualityModel, name: str = "score") -> Dat
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows that score 0.5 or more."""
-    return with_score(docs, model, "_score").where("_score >= 0.5").select(docs.columns)
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return with_score(rows, model).where("score >= 0.5").select("row.*")
 
 
 def training_rows(df: DataFrame) -> DataFrame:

@@ -292,12 +292,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """
     radius = wide_radius(similarity, 64 * WIDE_WORDS)
     groups = staged(near_groups(docs, width, radius, WIDE_WORDS, WIDE_KEYS), "near")
-    stay = groups.where("doc_id = component_id or component_id is null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    stay = stay.withColumnRenamed("doc_id", "_stay")
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]))
-    once = kept.where("_n = 1").select(docs.columns)
-    again = kept.where("_n > 1").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    stay = groups.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("stay")).agg(F.count(F.lit(1)).alias("times"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay")))
+    once = kept.where("times = 1")
+    again = kept.where("times > 1").dropDuplicates(["id"])
+    return once.select("row.*").unionByName(again.select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

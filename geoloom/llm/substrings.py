@@ -203,10 +203,10 @@ def kept_words(words: list[bytes], spans, window: int) -> list[bytes]:
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``docs`` with the row's ``spans`` (null: none)."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(keyed.select(F.col("_key").alias("key"), "text"), window, anchor)
-    return keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    """``row`` (all columns of ``docs``), ``text`` and ``spans`` (null: none) of every row."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    spans = repeated_spans(keyed.select("key", "text"), window, anchor)
+    return keyed.select("key", "row").join(spans, "key", "left").select("row", F.col("row.text").alias("text"), "spans")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -221,11 +221,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     marked = with_spans(docs, window, anchor)
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest("text", "spans"))
-    return marked.withColumn("text", text).select(docs.columns)
+    return marked.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    marked = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = marked.select(F.col("row.doc_id").alias("doc_id"), "text", "spans")
 
     def run(batches):
         for batch in batches:
