@@ -136,11 +136,23 @@ SPECIAL = (
 )
 
 
+#: What stands before a version in names.
+VERSION = "(?: version)?"
+
+
 def rules() -> list[tuple[str, int, str, frozenset[str]]]:
     """All rules in order: label, priority, pattern, and the words of which a text must hold one."""
     out = [(label, 100, phrase, frozenset(phrase.split()[-2:-1] if label == "mit" else phrase.split()[:1])) for phrase, label in BASE]
     out += [(label, priority, pattern, frozenset(words.split())) for label, priority, pattern, words in SPECIAL]
     for priority, frame, near in FRAMES:
         for label, name, words in NAMES:
-            out.append((label, priority, frame.format(f"(?:{name})"), frozenset(words.split())))
+            out.append((label, priority, frame.format(f"(?:{_versioned(name)})"), frozenset(words.split())))
+    for label, name, words in NAMES:
+        if VERSION in name:  # the version may end the name: "under the X Public License 2.0"
+            out.append((label, 55, f"under (?:the )?(?:terms of (?:the )?)?(?:{_versioned(name)})", frozenset(words.split())))
     return out
+
+
+def _versioned(name: str) -> str:
+    """A name whose version may also follow the word license."""
+    return name.replace(VERSION, f"(?: licen[cs]e)?{VERSION}")
