@@ -16,8 +16,11 @@ def prune_partitions(features: DataFrame, extents: DataFrame, rings: list | None
     """
     if rings is None:
         return features
-    box = F.array(F.array(F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])))
-    left = extents.where(G.intersects(box, F.lit("Polygon"), G.polygon_edges(rings))).select(key)
+    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+    near = (F.col("minx") <= max(xs)) & (F.col("maxx") >= min(xs)) & (F.col("miny") <= max(ys)) & (F.col("maxy") >= min(ys))
+    corners = [F.array(F.col(x), F.col(y)) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))]
+    box = F.array(F.array(F.array(*corners)))
+    left = extents.where(near).where(G.intersects(box, F.lit("Polygon"), G.polygon_edges(rings))).select(key)
     return features.join(left, key, "left_semi")
 
 
