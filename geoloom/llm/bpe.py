@@ -36,7 +36,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from .common import table
 
 #: Words that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 END = "</w>"
 #: Bits of a token id within a packed pair, and the rank of a pair that has no merge.
 BITS = 20
@@ -306,15 +306,22 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return plain.mapInPandas(run, DIGEST)
 
 
+def small(batches, rows: int = 256):
+    """The batches in parts of few rows: ids and decoded texts of a part are held together."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and the digests of every row, in one pass."""
 
     def run(batches):
         v = vocabulary(path)
-        for batch in batches:
+        for batch in small(batches):
             joined = [v.joined(t) for t in batch["text"]]
             out = pd.DataFrame(map(digest, joined), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
             out["ids"] = [np.array(ids.split(), np.int32) for _, ids, _ in joined]
             yield out
 

@@ -42,7 +42,7 @@ WINDOW = 35
 #: Words of an anchor.
 ANCHOR = 6
 #: Windows of a document that are cut into paths at a time, and words that a task remembers.
-STRETCH, REMEMBERED = 1 << 19, 1 << 19
+STRETCH, REMEMBERED = 1 << 19, 1 << 17
 BASE = 0x9E3779B97F4A7C15 | 1
 FULL = (1 << 64) - 1
 
@@ -150,6 +150,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     rows.append((m.view(np.int64), c.view(np.int64), np.full(len(m), key), start.astype(np.int32), size.astype(np.int32)))
             if rows:
                 yield pd.DataFrame(dict(zip(("m", "c", "key", "start", "n"), map(np.concatenate, zip(*rows)))))
+        _words.clear()
 
     walk = staged(docs.mapInPandas(cut, "m bigint, c bigint, key bigint, start int, n int"), "walk")
     shared = staged(walk.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m"), "anchors")
@@ -175,6 +176,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     rows.append((np.full(n, p["m"]), w.view(np.int64), np.full(n, p["c"]), np.arange(n, dtype=np.int32), np.full(n, p["times"], np.int32)))
             if rows:
                 yield pd.DataFrame(dict(zip(("m", "h", "c", "off", "times"), map(np.concatenate, zip(*rows)))))
+        _words.clear()
 
     edge = docs.join(asked, "key").select("text", "paths").mapInPandas(edges, "m bigint, h bigint, c bigint, off int, times int")
     often = edge.groupBy("m", "h").agg(F.sum("times").alias("total")).where("total > 1").select("m", "h")
