@@ -160,7 +160,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     joined = places.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n")).alias("at"))
     joined = staged(joined.select("m", "c", "times", "at.*"), "joined")
     _release(spark)
-    branching = joined.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("m")
+    # as a table, so that a join with a frequent anchor can be split
+    branching = staged(joined.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("m"), "branching")
     asked = joined.join(branching, "m").select("key", F.struct("m", "c", "start", "n", F.least("times", F.lit(2)).cast("int").alias("times")).alias("path"))
     asked = staged(asked.groupBy("key").agg(F.collect_list("path").alias("paths")), "asked")
     _release(spark)
