@@ -282,7 +282,7 @@ def wide_radius(similarity: float, bits: int) -> int:
 
 
 #: Words of the fingerprint and least hashes, for links at a resemblance.
-WIDE_WORDS, WIDE_KEYS = 4, 6
+WIDE_WORDS, WIDE_KEYS = 8, 6
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
