@@ -276,9 +276,9 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, words: int = 1
 
 
 def wide_radius(similarity: float, bits: int) -> int:
-    """Differing bits that texts of this shingle resemblance have on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(bits * float(np.arccos(cosine)) / np.pi)
+    """Differing bits that texts of this shingle resemblance have on average, and one standard deviation more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return round(bits * p + (bits * p * (1 - p)) ** 0.5)
 
 
 #: Words of the fingerprint and least hashes, for links at a resemblance.
