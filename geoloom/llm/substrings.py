@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import discard, staged, table
 
 WINDOW = 35
 #: Words of an anchor.
@@ -156,6 +156,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     shared = staged(walk.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m"), "anchors")
     _release(spark)
     places = staged(walk.join(shared, "m"), "paths")
+    discard(walk)
+    discard(shared)
     _release(spark)
     joined = places.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n")).alias("at"))
     joined = staged(joined.select("m", "c", "times", "at.*"), "joined")
