@@ -144,10 +144,11 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: str, rows_a_buck
     here = F.coalesce(_bucket(F.col(key), bounds), F.lit(0))
     start = F.col(key).isNull() if few["nulls"] else F.col(key) == F.lit(few["least"])
     last = F.lit(len(bounds))
+    first = F.array(*[F.lit(b).cast("bigint") for b in bounds or [0]])  # the least key of each bucket but the first
     copies = F.array_compact(
         F.array(
             F.struct(here.alias("b"), F.lit(0).alias("late")),
-            F.when(here > 0, F.when(F.col(key).isin(bounds) if len(bounds) < 50 else F.array_contains(F.array(*[F.lit(b).cast("bigint") for b in bounds]), F.col(key)), F.struct((here - 1).alias("b"), F.lit(1).alias("late")))),
+            F.when((here > 0) & (F.get(first, here - 1) == F.col(key)), F.struct((here - 1).alias("b"), F.lit(1).alias("late"))),
             F.when(start, F.struct(last.alias("b"), F.lit(2).alias("late"))),
         )
     )
