@@ -179,8 +179,11 @@ def src01_geojsonl_scan(spark, sf_dir):
     return readers.parse_lines(_event_lines(spark, sf_dir)).groupBy("is_bad").agg(F.count(F.lit(1)).alias("n"))
 
 
-_INFERRED = """SELECT * FROM (VALUES ('type', 'str'), ('whole', 'int'), ('number', 'float'), ('mixed', 'str'), ('maybe', 'bool'), ('nothing', 'str')) AS t(key, type)
-WHERE (SELECT count(*) FROM events WHERE event_id % 13 <> 0) > 1000"""
+_INFERRED = """WITH e AS (SELECT * FROM events WHERE event_id % 13 <> 0)
+SELECT 'type' AS key, 'str' AS type FROM e HAVING count(*) > 0 UNION ALL SELECT 'whole', 'int' FROM e HAVING count(*) > 0 UNION ALL SELECT 'nothing', 'str' FROM e HAVING count(*) > 0
+UNION ALL SELECT 'number', CASE WHEN bool_or(event_id % 3 <> 0) THEN 'float' ELSE 'int' END FROM e
+UNION ALL SELECT 'mixed', CASE WHEN bool_or(event_id % 2 <> 0) THEN 'str' ELSE 'int' END FROM e
+UNION ALL SELECT 'maybe', CASE WHEN bool_or(event_id % 5 <> 0) THEN 'bool' ELSE 'str' END FROM e"""
 
 
 @register(_INFERRED)
