@@ -55,11 +55,12 @@ class Scanner:
                 found.append((first, bisect_right(starts, m.end() - 1) - first, label, priority))
         # the widest first; one that lies within an earlier one of no lower priority goes
         found = sorted(set(found), key=lambda f: (f[0], -f[1], -f[3], f[2]))
-        kept: list[tuple[int, int, str, int]] = []
+        kept, near = [], []  # near: those kept that reach beyond the present one's begin
         for f in found:
-            inside = any(g[0] + g[1] >= f[0] + f[1] and g[3] >= f[3] and g[:2] != f[:2] for g in kept[-64:] if g[0] <= f[0])
-            if not inside:
+            near = [g for g in near if g[0] + g[1] > f[0]]
+            if not any(g[0] + g[1] >= f[0] + f[1] and g[3] >= f[3] and g[:2] != f[:2] for g in near):
                 kept.append(f)
+                near.append(f)
         return kept
 
     def places(self, words: list[str]) -> list[tuple[int, str]]:
