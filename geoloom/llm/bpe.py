@@ -36,7 +36,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from .common import table
 
 #: Words that a task remembers.
-REMEMBERED = 60_000
+REMEMBERED = 120_000
 END = "</w>"
 #: Bits of a token id within a packed pair, and the rank of a pair that has no merge.
 BITS = 20
