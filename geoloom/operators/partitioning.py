@@ -36,8 +36,11 @@ def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", exact: bool = Fa
     return out.select(*df.columns, "kd_leaf")
 
 
-def write_partitioned(df: DataFrame, path: str, level: int = 15) -> None:
-    """One folder per leaf, sorted within, so that leaves and row groups can be skipped."""
+def write_partitioned(df: DataFrame, path: str, level: int = 3) -> None:
+    """One folder per leaf, sorted within, so that leaves and row groups can be skipped.
+
+    High levels cost much for each page; 15 is meant for files to publish.
+    """
     options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level}
     df.repartition("kd_leaf").sortWithinPartitions("kd_leaf", "bbox.xmin", "bbox.ymin").write.options(**options).partitionBy("kd_leaf").mode("overwrite").parquet(path)
 
