@@ -33,6 +33,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,11 +169,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     asked = staged(asked.groupBy("key").agg(F.collect_list("path").alias("paths")), "asked")
     _release(spark)
 
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return pd.Series([squeeze((t or "").encode("utf-8", "surrogatepass")) for t in texts])
+
     def edges(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
             for text, asked_ in zip(batch["text"], batch["paths"]):
-                h = word_hashes(split_words(text))
+                h = word_hashes(unpack(text).split())
                 for p in asked_:
                     w = rolling(h[p["start"] : p["start"] + p["n"] + window - 1], window, base=BASE + 2)
                     n = len(w)
@@ -181,7 +188,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 yield pd.DataFrame(dict(zip(("m", "h", "c", "off", "times"), map(np.concatenate, zip(*rows)))))
         _words.clear()
 
-    edge = docs.join(asked, "key").select("text", "paths").mapInPandas(edges, "m bigint, h bigint, c bigint, off int, times int")
+    # the texts travel once more here: packed they take less than half of the room
+    edge = docs.select("key", packed("text").alias("text")).join(asked, "key").select("text", "paths").mapInPandas(edges, "m bigint, h bigint, c bigint, off int, times int")
     often = edge.groupBy("m", "h").agg(F.sum("times").alias("total")).where("total > 1").select("m", "h")
     partly = edge.where("times = 1").join(often, ["m", "h"]).groupBy("m", "c").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     wholly = joined.where("times > 1").select("m", "c", F.expr("shiftleft(1L, n) - 1").alias("mask"))
