@@ -14,6 +14,10 @@ hashes. A piece or shingle that very many fingerprints share is split into
 parts, and each pair of parts is a block of its own. A block returns a spanning
 forest of its links, and :func:`connected_components` joins the forests.
 
+For a resemblance the fingerprints only find candidates. The shingle sets of
+the texts that the candidates connect then meet in blocks of their own, where a
+candidate is a link if the two sets' Jaccard similarity is high enough.
+
 Defined results for odd input: null and empty texts have fingerprint zero and
 are alike; texts of fewer words than a shingle have one shingle, the whole
 sequence; equal fingerprints are always linked. Each row is returned, repeated
@@ -35,6 +39,8 @@ from .components import connected_components
 
 #: Rows of one part of a split block: at least, and at most.
 PART, MOST_PART = 512, 16384
+#: Bytes of shingle hashes of one part.
+PART_BYTES = 16 << 20
 #: Query words by plane words that are compared at a time.
 CELLS = 1 << 15
 #: Odd multipliers of the hash families.
@@ -92,6 +98,26 @@ def fingerprints(docs: DataFrame, width: int, words: int = 1, keys: int = 0) ->
     return plain.mapInPandas(run, "doc_id bigint, fp array<bigint>, keys array<bigint>")
 
 
+def set_fingerprints(docs: DataFrame, width: int, words: int, keys: int) -> DataFrame:
+    """``key`` and ``doc_id`` of each row of ``docs(key, doc_id, text)``; ``node``, ``fp`` and ``keys`` of its set of shingles.
+
+    Rows with one set of shingles have one node.
+    """
+
+    def run(batches):
+        for batch in batches:
+            nodes, fps, least = [], [], []
+            for text in batch["text"]:
+                h = np.unique(shingle_hashes(text, width))
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 13))
+                fps.append(majority(h, words).view(np.int64))
+                least.append([int((remix(h, 100 + k).min() if len(h) else np.uint64(0)).astype(np.int64)) for k in range(keys)])
+            node = np.array(nodes, np.uint64).view(np.int64)
+            yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"].astype("Int64"), "node": node, "fp": fps, "keys": least})
+
+    return docs.select("key", "doc_id", "text").mapInPandas(run, "key bigint, doc_id bigint, node bigint, fp array<bigint>, keys array<bigint>")
+
+
 def planes(fps: np.ndarray) -> np.ndarray:
     """Bit planes of ``fps`` (rows by words): planes by 64-row words."""
     m = len(fps)
@@ -194,6 +220,42 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def resemblance(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of a sorted set and each of the others; none is empty."""
+    size = np.array([len(x) for x in others])
+    every = np.concatenate(others)
+    found = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    both = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+    return both / (len(one) + size - both)
+
+
+def exact_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """Like :func:`forest`, but a link also needs sets of this similarity.
+
+    Pairs that other links connect already are not compared.
+    """
+    label = np.arange(len(fps))
+    for i, j in links(fps, radius):
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
+        for a, to in zip(i[np.concatenate([[0], cuts])], np.split(j, cuts)):
+            to = to[label[to] != label[a]]
+            for at in range(0, len(to), 256):
+                part = to[at : at + 256]
+                part = part[label[part] != label[a]]
+                if not len(part) or not len(sets[a]):
+                    continue
+                part = part[[len(sets[b]) > 0 for b in part]]
+                if not len(part):
+                    continue
+                alike = part[resemblance(sets[a], [sets[b] for b in part]) >= similarity]
+                if len(alike):
+                    joined = np.unique(np.append(label[alike], label[a]))
+                    label[np.isin(label, joined)] = joined[0]
+    return label
+
+
 def _blocks(batches, size: int):
     """Runs of whole groups of ``size`` rows or more from batches that are sorted by ``g``."""
     held: list[pd.DataFrame] = []
@@ -215,18 +277,22 @@ def _blocks(batches, size: int):
         yield pd.concat(held, ignore_index=True)
 
 
-def block_links(rows: DataFrame, radius: int, block: int = PART) -> DataFrame:
+def block_links(rows: DataFrame, radius: int, block: int = PART, similarity: float | None = None) -> DataFrame:
     """Edges ``(a, b)`` between nodes of ``rows(node, fp, key)`` that share a key and are within ``radius``.
 
+    With a ``similarity`` the nodes' sorted shingle hashes, the column ``shingles``, must have it too.
     Only a spanning forest of each block's links is returned.
     """
-    sizes = rows.groupBy("key").count().where("count > 1")
+    exact = similarity is not None
+    weight = F.ceil(F.sum(F.octet_length("shingles")) / PART_BYTES) if exact else F.lit(1)
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), weight.cast("int").alias("least_parts")).where("count > 1")
     part = F.greatest(F.lit(PART), F.least(F.lit(MOST_PART), (F.col("count") / 32).cast("int")))
     parts = F.when(F.col("count") <= 2 * PART, F.lit(1)).otherwise(F.ceil(F.col("count") / part).cast("int"))
     mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
-    dealt = rows.join(sizes, "key").withColumn("parts", parts).withColumn("mine", mine)
+    dealt = rows.join(sizes, "key").withColumn("parts", F.greatest(parts, "least_parts")).withColumn("mine", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node", "fp")
+    sets = ["shingles"] if exact else []
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node", "fp", *sets)
 
     def run(batches):
         for rows in _blocks(batches, block):
@@ -234,7 +300,10 @@ def block_links(rows: DataFrame, radius: int, block: int = PART) -> DataFrame:
             fps = np.array(rows["fp"].tolist(), np.int64).view(np.uint64)
             _, at = np.unique(node, return_index=True)  # a node may be there under several keys
             node, fps = node[at], fps[at]
-            label = forest(fps, radius)
+            if exact:
+                label = exact_forest(fps, [np.frombuffer(x, np.uint64) for x in rows["shingles"].iloc[at]], radius, similarity)
+            else:
+                label = forest(fps, radius)
             to = np.flatnonzero(label != np.arange(len(label)))
             if len(to):
                 yield pd.DataFrame({"a": node[to], "b": node[label[to]]})
@@ -266,7 +335,11 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, words: int = 1
         rows = fps.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     else:
         rows = fps.select("node", "fp").distinct().withColumn("key", F.explode(piece_keys(radius)))
-    component = connected_components(block_links(rows, radius))
+    return _named(fps, connected_components(block_links(rows, radius)))
+
+
+def _named(fps: DataFrame, component: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` of the rows ``fps(doc_id, node, fp)``."""
     each = fps.groupBy("node").agg(F.min("doc_id").alias("least"))
     each = each.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     each = staged(each, "groups")
@@ -276,22 +349,48 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, words: int = 1
 
 
 def wide_radius(similarity: float, bits: int) -> int:
-    """Differing bits that texts of this shingle resemblance have on average, and one standard deviation more."""
+    """Differing bits that texts of this shingle resemblance have on average, and seven standard deviations more.
+
+    Four would do for long texts; of a few shingles more bits differ (4 shingles and one more: 0.1875 of them).
+    """
     p = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
-    return round(bits * p + (bits * p * (1 - p)) ** 0.5)
+    return round(bits * p + 7 * (bits * p * (1 - p)) ** 0.5)
 
 
-#: Words of the fingerprint and least hashes, for links at a resemblance.
+#: Words of the fingerprint and least hashes, for candidates at a resemblance.
 WIDE_WORDS, WIDE_KEYS = 8, 6
 
 
+def resembling_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(key, doc_id, node, ..)`` of ``docs(key, doc_id, text)``, and the ``component`` of each node that has links.
+
+    Links are between texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    """
+    radius = wide_radius(similarity, 64 * WIDE_WORDS)
+    fps = staged(set_fingerprints(docs, width, WIDE_WORDS, WIDE_KEYS), "sets")
+    rows = fps.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    # the forests of candidates say which texts may be linked at all, through others too
+    maybe = connected_components(block_links(rows, radius)).select("node", F.col("component").alias("cluster"))
+    one = fps.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"))
+    asked = staged(one.join(maybe, "node"), "asked")
+    texts = docs.select("key", "text").join(asked, "key").dropDuplicates(["key"])
+
+    @F.pandas_udf("binary")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width)).tobytes() for t in texts])
+
+    sets = staged(texts.select("node", "fp", F.col("cluster").alias("key"), shingles("text").alias("shingles")), "shingles")
+    return fps, connected_components(block_links(sets, radius, similarity=similarity))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near duplicates: that with the least doc_id, all columns kept.
 
     Rows with a null doc_id stay only if no other row is like them; of rows that repeat a doc_id one stays.
     """
-    radius = wide_radius(similarity, 64 * WIDE_WORDS)
-    groups = staged(near_groups(docs, width, radius, WIDE_WORDS, WIDE_KEYS), "near")
+    doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id, text)
+    groups = staged(_named(*resembling_groups(keyed, width, similarity)), "near")
     stay = groups.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("stay")).agg(F.count(F.lit(1)).alias("times"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay")))

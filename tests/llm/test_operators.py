@@ -175,6 +175,43 @@ def test_drop_near_duplicates(docs, empty, spark):
     assert rows_of(simhash.drop_near_duplicates(empty)) == []
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_have_exact_resemblance(spark):
+    """Pairs just over and just under 0.8 in sizes from a few shingles to some hundred, and repeated sentences."""
+    rng = random.Random(15)
+    pairs = [("r0 r1 r2 r3 r4 r5 r6 r7", "r0 r1 r2 r3 r4 r5 r6 r7 r8")]
+    for n in range(60):
+        over = words(rng, 100 + 4 * n).split()
+        m = len(over) - 4  # shingles; a new end takes m' of them and adds as many
+        cut = m // 9  # (m - cut) / (m + cut) = 0.8 at m / 9
+        for k in (cut, cut + 2):
+            name = [f"p{n}k{k}x{i}" for i in range(len(over))]
+            pairs.append((" ".join(name), " ".join(name[: len(name) - k] + [f"y{x}" for x in name[len(name) - k :]])))
+    once = words(rng, 90)
+    pairs.append((once + " " + words(rng, 30), once + " " + words(rng, 200)))
+    rows = [(2 * i + side, t) for i, pair in enumerate(pairs) for side, t in enumerate(pair)]
+    got = {r["doc_id"] for r in rows_of(simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))}
+    assert got >= {2 * i for i in range(len(pairs))}
+    like = [jaccard(*p) for p in pairs]
+    assert [2 * i + 1 in got for i in range(len(pairs))] == [x < 0.8 for x in like]
+    assert sum(0.8 <= x < 0.83 for x in like) > 40 and sum(0.75 < x < 0.8 for x in like) > 40
+
+
+def test_exact_forest_is_that_of_the_exact_links(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, 52, replace=False), rng.integers(0, 2**63, k % 4).astype(np.uint64))) for k in range(150)]
+    fps = np.stack([simhash.majority(s, 8) for s in sets])
+    like = [[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets]
+    for least in (0.7, 0.8, 0.83, 0.86):
+        got = simhash.exact_forest(fps, sets, 512, least)
+        assert got.tolist() == components(150, [(i, j) for i in range(150) for j in range(i) if like[i][j] >= least])
+
+
 @pytest.mark.parametrize("n", [1, 169, 170, 171, 192, 3072, 3073, 3072 * 9 + 5])
 def test_transport_stream_round_trip(n):
     payload = random.Random(n).randbytes(n)
