@@ -335,11 +335,7 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, words: int = 1
         rows = fps.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     else:
         rows = fps.select("node", "fp").distinct().withColumn("key", F.explode(piece_keys(radius)))
-    return _named(fps, connected_components(block_links(rows, radius)))
-
-
-def _named(fps: DataFrame, component: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of the rows ``fps(doc_id, node, fp)``."""
+    component = connected_components(block_links(rows, radius))
     each = fps.groupBy("node").agg(F.min("doc_id").alias("least"))
     each = each.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     each = staged(each, "groups")
@@ -384,18 +380,23 @@ def resembling_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each group of near duplicates: that with the least doc_id, all columns kept.
+    """One row of each group of near duplicates: that with the least doc_id, nulls last, all columns kept.
 
-    Rows with a null doc_id stay only if no other row is like them; of rows that repeat a doc_id one stays.
+    Only texts make rows alike: rows that share a doc_id, or have none, stay if their texts differ.
+    Of rows of one group with the same least doc_id that with the least hash of id and text stays.
     """
     doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
-    keyed = docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id, text)
-    groups = staged(_named(*resembling_groups(keyed, width, similarity)), "near")
-    stay = groups.where("doc_id = component_id or component_id is null").groupBy(F.col("doc_id").alias("stay")).agg(F.count(F.lit(1)).alias("times"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay")))
+    key = F.xxhash64(doc_id, text).alias("key")
+    fps, component = resembling_groups(docs.select(key, doc_id, text), width, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    each = fps.groupBy("node").agg(first)
+    each = each.join(component, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    # rows of one key are equal in id and text
+    times = fps.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    stay = staged(each.select("first.key").join(times, "key"), "stay")
+    kept = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(stay, "key")
     once = kept.where("times = 1")
-    again = kept.where("times > 1").dropDuplicates(["id"])
+    again = kept.where("times > 1").dropDuplicates(["key"])
     return once.select("row.*").unionByName(again.select("row.*"))
 
 

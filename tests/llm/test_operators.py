@@ -201,6 +201,18 @@ def test_near_duplicates_have_exact_resemblance(spark):
     assert sum(0.8 <= x < 0.83 for x in like) > 40 and sum(0.75 < x < 0.8 for x in like) > 40
 
 
+def test_near_duplicates_go_by_text_not_by_doc_id(spark):
+    rng = random.Random(16)
+    a, b, c, d, e, f = (words(rng, 60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a + " more"), (7, c), (7, d), (8, d + " more"), (7, e), (3, e + " more"), (None, f), (9, f), (9, f), (None, None), (11, "")]
+    got = rows_of(simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    ids = collections.Counter(r["doc_id"] for r in got)
+    assert ids == {None: 2, 7: 2, 3: 1, 9: 1, 11: 1}
+    texts = [r["text"] for r in got]
+    assert sorted(t.removesuffix(" more") for t in texts) == sorted([a, b, c, d, e, f, ""])
+    assert {r["text"] for r in got if r["doc_id"] == 7} == {c, d} and len({r["text"] for r in got if r["doc_id"] is None}) == 2
+
+
 def test_exact_forest_is_that_of_the_exact_links(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60).astype(np.uint64)
