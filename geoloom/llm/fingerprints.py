@@ -4,8 +4,8 @@ Every text becomes the hashes of its five-word shingles; the sketch keeps each
 hash below a fixed fraction of the hash range. Sketches of any two documents
 are subsets of their shingle sets under the same rule, so their union is the
 sketch of the union (mergeable), and containment and resemblance can be
-estimated between documents of very unequal length. A text with few shingles
-keeps all of them (fraction 1); two sketches are compared under the smaller of
+estimated between documents of very unequal length. A text with few distinct
+shingles keeps all of them (fraction 1); two sketches are compared under the smaller of
 their two fractions.
 
 All work is done by DataFrame functions.
@@ -28,7 +28,7 @@ from .common import SPACE, let, table
 SHINGLE = 5
 #: The fraction is one in two to this power.
 SCALE_BITS = 3
-#: Texts with at most so many shingles keep all of them.
+#: Texts with at most so many distinct shingles keep all of them.
 KEEP_ALL = 128
 
 
@@ -55,14 +55,14 @@ def sketch(text: Column, scale_bits: int = SCALE_BITS, keep_all: int = KEEP_ALL)
     """``struct(scale, hashes)``: log2 of the inverse fraction, and the sorted distinct hashes kept."""
     below = -(2**63) + 2 ** (64 - scale_bits) if scale_bits else 2**63 - 1
     return let(
-        shingle_hashes(text),
+        F.array_distinct(shingle_hashes(text)),
         lambda h: F.when(
             F.size(h) <= keep_all,
-            F.struct(F.lit(0).alias("scale"), F.array_sort(F.array_distinct(h)).alias("hashes")),
+            F.struct(F.lit(0).alias("scale"), F.array_sort(h).alias("hashes")),
         ).otherwise(
             F.struct(
                 F.lit(scale_bits).alias("scale"),
-                F.array_sort(F.array_distinct(F.filter(h, lambda x: x < F.lit(below)))).alias("hashes"),
+                F.array_sort(F.filter(h, lambda x: x < F.lit(below))).alias("hashes"),
             )
         ),
     )
@@ -93,7 +93,8 @@ def likeness(a: Column, b: Column, scale_bits: int = SCALE_BITS) -> tuple[Column
             F.size(p["y"]).alias("y"),
         ),
     )
-    same = (a["scale"] == b["scale"]) & (a["hashes"] == b["hashes"])
+    # two empty sketches are equal texts only where all hashes were kept
+    same = (a["scale"] == b["scale"]) & (a["hashes"] == b["hashes"]) & ((a["scale"] == 0) | (F.size(a["hashes"]) > 0))
 
     def share(n: Column, of: Column) -> Column:
         return F.when(of == 0, F.lit(0.0)).otherwise(n.cast("double") / of.cast("double"))

@@ -81,6 +81,20 @@ def test_fingerprint_likeness_is_near_the_true_one(spark):
     assert abs(got["near"] - true) < 0.08 and abs(got["held"] - within) < 0.1
 
 
+def test_long_texts_of_few_shingles_keep_them_all(spark):
+    rng = random.Random(17)
+    texts = [f"w{i} " * 300 for i in range(4)] + [(words(rng, 9) + " ") * 40 for _ in range(4)] + [""]
+    df = spark.createDataFrame([(i, j, texts[i], texts[j]) for i in range(9) for j in range(9)], "i int, j int, a string, b string")
+    near, within = fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))
+    size = F.size(fingerprints.sketch(F.col("a"))["hashes"])
+    for r in rows_of(df.select("i", "j", near.alias("near"), within.alias("within"), size.alias("size"))):
+        assert r["near"] == r["within"] == float(r["i"] == r["j"])
+        w = texts[r["i"]].split()
+        assert r["size"] == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    nothing = F.struct(F.lit(3).alias("scale"), F.array().cast("array<bigint>").alias("hashes"))
+    assert tuple(df.limit(1).select(*fingerprints.likeness(nothing, nothing)).first()) == (0.0, 0.0)
+
+
 def test_next_row_over_many_buckets(spark):
     ids = [7 * i % 1009 for i in range(1000)] + [5, 5]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string").repartition(5)
