@@ -5,12 +5,13 @@ they hold: text outside of menus, headers, footers, side bars, notices,
 adverts, forms and comments. A container's path is the chain of its tags and
 classes, with digits generalised. Spark adds up the scores by host and path;
 the best path of a host is the one its pages' text is taken from. A page that
-has no such container uses its own best one.
+has no such container, or less than half of its good text in it, uses its own
+best one.
 
 Defined results for odd input: null and empty html give an empty text; markup
 that is not well formed is read leniently (unclosed elements end with their
 parent); a url without a host belongs to the host ''. Of equal scores the
-longer path wins, then the first by code point. Repeated rows are kept and
+deeper path wins, then the longer, then the last by code point. Repeated rows are kept and
 vote again, columns other than page_id, url and html are ignored, an empty
 table gives an empty result.
 """
@@ -175,15 +176,18 @@ def votes(html: str | None) -> list[tuple[str, float]]:
     if not size[-1]:
         return []
     shares: dict[str, float] = {}
-    depths: dict[str, int] = {}
     for e in elements:
         if not e.dropped and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "ul", "ol", "td", "tr"):
             share = (size[e.end] - size[e.begin]) / size[-1]
             if share > 0:
                 shares[e.path] = shares.get(e.path, 0) + share
-                depths[e.path] = e.path.count(">")
-    # containers of one path count together; a deeper one is preferred to what surrounds it
-    return [(p, min(s, 1.0) * (0.9 + 0.02 * min(depths[p], 10))) for p, s in shares.items() if s >= LEAST_SHARE]
+    # containers of one path count together
+    return [(p, min(s, 1.0)) for p, s in shares.items() if s >= LEAST_SHARE]
+
+
+def rank(path: str, score: float) -> tuple:
+    """Order of paths: a deeper one is preferred to what surrounds it only where their scores are equal."""
+    return score, path.count(">"), len(path), path
 
 
 def text_within(pieces, spans) -> str:
@@ -195,16 +199,24 @@ def extract(html: str | None, path: str | None) -> str:
     """Text of the containers with the path, or of the page's own best container."""
     pieces, elements = parse(html)
     chosen = [e for e in elements if e.path == path and not e.dropped] if path is not None else []
-    if not chosen or not any(not p[1] and p[0].strip() for e in chosen for p in pieces[e.begin : e.end]):
-        own = max(votes(html), key=lambda v: (v[1], len(v[0]), v[0]), default=None)
+    spans = outermost(chosen)
+    size = good_sizes(pieces)
+    # the host's path may be another template's
+    little = sum(size[b] - size[a] for a, b in spans) < LEAST_SHARE * size[-1]
+    if little or not any(not p[1] and p[0].strip() for a, b in spans for p in pieces[a:b]):
+        own = max(votes(html), key=lambda v: rank(*v), default=None)
         if own is None:
             return text_within(pieces, [(0, len(pieces))])
-        chosen = [e for e in elements if e.path == own[0] and not e.dropped]
+        spans = outermost([e for e in elements if e.path == own[0] and not e.dropped])
+    return text_within(pieces, spans)
+
+
+def outermost(chosen: list[Element]) -> list[tuple[int, int]]:
     spans: list[tuple[int, int]] = []
     for a, b in sorted((e.begin, e.end) for e in chosen):
         if not spans or a >= spans[-1][1]:
             spans.append((a, b))
-    return text_within(pieces, spans)
+    return spans
 
 
 def host(url: Column) -> Column:
@@ -225,7 +237,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
     scored = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, path string, score double")
     # sums of floats depend on their order: whole millionths don't
     sums = scored.withColumn("score", F.round(F.col("score") * 1e6).cast("bigint")).groupBy("host", "path").agg(F.sum("score").alias("score"))
-    best = F.max(F.struct("score", F.length("path").alias("length"), "path"))
+    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit(">"), F.lit("")))
+    best = F.max(F.struct("score", depth.alias("depth"), F.length("path").alias("length"), "path"))
     return sums.groupBy("host").agg(best.alias("best")).select("host", "best.path")
 
 
