@@ -288,45 +288,32 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.withColumn("decoded", text("ids"))
 
 
-DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+DIGEST = "n_tokens: bigint, ids_sha256: string, decoded_sha256: string"
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text, for every row."""
+    """``doc_id``, number of tokens and digests of ids and decoded text, for every row."""
 
-    def run(batches):
+    @F.pandas_udf(f"struct<{DIGEST}>")
+    def found(texts: pd.Series) -> pd.DataFrame:
         v = vocabulary(path)
-        for batch in batches:
-            rows = [digest(v.joined(t)) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield out
+        return pd.DataFrame([digest(v.joined(t)) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInPandas(run, DIGEST)
-
-
-def small(batches, rows: int = 256):
-    """The batches in parts of few rows: ids and decoded texts of a part are held together."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.iloc[at : at + rows]
+    return docs.select("doc_id", found(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, ``ids`` and the digests of every row, in one pass."""
+    """``doc_id``, the digests and ``ids`` of every row, in one pass."""
 
-    def run(batches):
-        v = vocabulary(path)
-        for batch in small(batches):
-            joined = [v.joined(t) for t in batch["text"]]
-            out = pd.DataFrame(map(digest, joined), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            out["ids"] = [np.array(ids.split(), np.int32) for _, ids, _ in joined]
-            yield out
-
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInPandas(run, DIGEST + ", ids array<int>")
+    @F.pandas_udf(f"struct<{DIGEST}, ids: array<int>>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        v, rows = vocabulary(path), []
+        for text in texts:
+            joined = v.joined(text)
+            rows.append((*digest(joined), np.array(joined[1].split(), np.int32)))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+
+    return docs.select("doc_id", found(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
 
 
 def default_path() -> str:

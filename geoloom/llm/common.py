@@ -57,3 +57,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def small(batches, rows: int = 256):
+    """The batches in parts of few rows, where what a part becomes is large."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]

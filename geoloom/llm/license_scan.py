@@ -28,6 +28,11 @@ WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 
 
+def words_of(text: str | None) -> list[str]:
+    text = text or ""
+    return WORDS.findall(text.lower() if text.isascii() else text.translate(UPPER))
+
+
 class Scanner:
     """Compiled rules and their keyword prefilter."""
 
@@ -79,7 +84,7 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple:
         """Digest of a text: words, base places, their first and last word, base labels, all labels, score."""
-        words = WORDS.findall((text or "").translate(UPPER) if not (text or "").isascii() else (text or "").lower())
+        words = words_of(text)
         present = self.keywords.intersection(words)
         if not present:
             return len(words), 0, None, None, "", "", 0.0
@@ -99,38 +104,29 @@ def scanner() -> Scanner:
 def detections(docs: DataFrame) -> DataFrame:
     """One row for each detection: doc_id, label, priority, first word, words."""
 
-    def run(batches):
-        s = scanner()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                words = WORDS.findall((text or "").translate(UPPER))
-                if present := s.keywords.intersection(words):
-                    rows += [(doc_id, label, priority, first, n) for first, n, label, priority in s.detections(words, present)]
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "priority", "first_word", "n_words"])
-
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInPandas(run, "doc_id bigint, label string, priority int, first_word bigint, n_words bigint")
-
+    @F.pandas_udf("array<struct<label: string, priority: int, first_word: bigint, n_words: bigint>>")
+    def found(texts: pd.Series) -> pd.Series:
+        s, out = scanner(), []
+        for text in texts:
+            words = words_of(text)
+            present = s.keywords.intersection(words)
+            rows = s.detections(words, present) if present else []
+            out.append([{"label": label, "priority": priority, "first_word": first, "n_words": n} for first, n, label, priority in rows])
+        return pd.Series(out)
 
-NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-DIGEST = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
+    return docs.select("doc_id", F.explode(found(F.col("text").cast("string"))).alias("found")).select("doc_id", "found.*")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """The digest of every row's text."""
+    """``doc_id`` and the digest of every row's text."""
 
-    def run(batches):
+    @F.pandas_udf("struct<n_words: bigint, n_base: bigint, first_word: bigint, last_word: bigint, base_labels: string, labels: string, score: double>")
+    def digest(texts: pd.Series) -> pd.DataFrame:
         s = scanner()
-        for batch in batches:
-            out = pd.DataFrame([s.scan(t) for t in batch["text"]], columns=NAMES)
-            for name in ("first_word", "last_word"):
-                out[name] = out[name].astype("Int64")
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield out
-
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInPandas(run, DIGEST)
+        out = pd.DataFrame([s.scan(t) for t in texts], columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+        return out.astype({"first_word": "Int64", "last_word": "Int64"})
+
+    return docs.select("doc_id", digest(F.col("text").cast("string")).alias("digest")).select("doc_id", "digest.*")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

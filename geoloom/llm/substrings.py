@@ -1,23 +1,29 @@
 """Substring dedup on a compacted De Bruijn graph of word windows.
 
 The graph's edges are the windows of ``window`` (35) consecutive words. Each
-document is a walk; a walk is cut into paths at the window's anchor, the k-mer
-with the least hash in it, so that equal windows lie on paths with equal
-anchors whatever surrounds them, and about fourteen edges make one path.
+document is a walk; a walk is cut into short paths at the window's anchor, the
+k-mer with the least hash in it, so that equal windows lie on paths with equal
+anchors whatever surrounds them, and about fourteen edges make one row.
 
 1. Anchors that occur on one path only can't hold a repeated edge; a count and
    a join drop their paths.
-2. Paths with equal words are joined into one. A path that occurs at least
-   twice is repeated as a whole.
-3. An anchor with several different paths is a branching place: only there are
+2. Paths with equal words are counted together. One that occurs at least twice
+   is repeated as a whole.
+3. Repeated paths are compacted: a join links a path to the one that follows it
+   wherever it occurs, if that one occurs as often; linked paths become one
+   nonbranching path, and only its first part is looked for among all
+   coordinates, so that a passage is one row for each place where it stands.
+4. An anchor with several different paths is a branching place: only there are
    single edges compared. One source coordinate of each such path is joined to
-   the documents, which verifies the words and gives the edges' hashes; an edge
+   the documents, and the words found there are hashed edge by edge; an edge
    that lies on two paths, or on a repeated one, is repeated.
-4. The repeated edges go back to all coordinates of their paths, as bit masks,
-   and from there to the documents, whose covered words are removed.
+5. The spans go to the documents. The words at all coordinates of a compacted
+   path are digested and must agree; should they ever not, everything is done
+   again with other hashes. The covered words are removed.
 
-Paths and edges are compared by 64-bit hashes under an equal 64-bit anchor
-hash. Windows are judged on the input, not on what is left.
+Paths are proposed by two 64-bit hashes and verified by a 128-bit digest of
+their words; single edges are equal if a 64-bit hash of their words is, under an
+equal 64-bit anchor hash. Windows are judged on the input, not on what is left.
 
 Defined results for odd input: a null text has no words; a text with fewer
 words than a window keeps all of them; a window that repeats within one
@@ -34,10 +40,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, staged, table
+from .common import discard, small, staged, table
 
 WINDOW = 35
 #: Words of an anchor.
@@ -51,22 +57,22 @@ FULL = (1 << 64) - 1
 class _Words(dict):
     """64-bit hashes of words."""
 
+    def __init__(self, seed: int):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        x = self[word] = xxhash.xxh64_intdigest(word, 11)
+        x = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return x
 
 
-_words = _Words()
-
-
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], known: _Words) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,47 +132,88 @@ def paths(h: np.ndarray, window: int, anchor: int):
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def following(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The name of the path after each path of a document; 0 after the last."""
+    return np.append((m ^ c)[1:], np.uint64(0))
+
+
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so once the driver has dropped their plans."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``key`` and ``spans`` of the rows ``docs(key, text)`` that have repeated windows.
-
-    A span is a first window and a bit mask of the repeated windows from there on.
-    """
-    if not 0 <= window - anchor < 63:
-        raise ValueError("a path's windows must fit into a bit mask")
-    spark = docs.sparkSession
+def cut_paths(docs: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
+    """The paths of ``docs(key, sub, text)``: anchor and content hash, the next path's name, first window and number of windows."""
 
-    def cut(batches):
+    def run(batches):
+        known = _Words(seed)
         for batch in batches:
             rows = []
-            for key, text in zip(batch["key"].to_numpy(), batch["text"]):
+            for key, sub, text in zip(batch["key"].to_numpy(), batch["sub"].to_numpy(), batch["text"]):
                 words = split_words(text)
                 if len(words) >= window:
-                    m, c, start, size = paths(word_hashes(words), window, anchor)
-                    rows.append((m.view(np.int64), c.view(np.int64), np.full(len(m), key), start.astype(np.int32), size.astype(np.int32)))
+                    m, c, start, size = paths(word_hashes(words, known), window, anchor)
+                    after = following(m, c).view(np.int64)
+                    rows.append((m.view(np.int64), c.view(np.int64), after, np.full(len(m), key), np.full(len(m), sub), start.astype(np.int32), size.astype(np.int32)))
             if rows:
-                yield pd.DataFrame(dict(zip(("m", "c", "key", "start", "n"), map(np.concatenate, zip(*rows)))))
-        _words.clear()
+                yield pd.DataFrame(dict(zip(("m", "c", "after", "key", "sub", "start", "n"), map(np.concatenate, zip(*rows)))))
+
+    return docs.mapInPandas(run, "m bigint, c bigint, after bigint, key bigint, sub int, start int, n int")
 
-    walk = staged(docs.mapInPandas(cut, "m bigint, c bigint, key bigint, start int, n int"), "walk")
+
+def compacted(repeated: DataFrame) -> DataFrame:
+    """``m``, ``c`` of the first part and ``total`` windows of each nonbranching run of ``repeated(m, c, times, after, key, sub, start, n)``.
+
+    A path is linked to its successor if that follows at all of its places and
+    occurs as often. The places of linked paths lie side by side, so their first
+    ones, the source coordinates given, do too and put the run in order.
+    """
+    at = ["name", "times", "key", "sub", "start"]
+    ends = repeated.select(F.col("after").alias("name"), "times", "key", "sub", (F.col("start") + F.col("n")).alias("start")).where("name is not null")
+    named = repeated.withColumn("name", F.col("m").bitwiseXOR(F.col("c")))
+    linked = named.join(ends.withColumn("linked", F.lit(1)), at, "left")
+    walk = Window.partitionBy("key", "sub").orderBy("start")
+    runs = linked.withColumn("run", F.sum(F.when(F.col("linked").isNull(), 1).otherwise(0)).over(walk))
+    return runs.groupBy("key", "sub", "run").agg(F.min_by(F.struct("m", "c"), "start").alias("first"), F.sum("n").cast("int").alias("total")).select("first.*", "total")
+
+
+def edge_hashes(words: list[bytes], start: int, n: int, window: int) -> np.ndarray:
+    """Hashes of the words of ``n`` windows from ``start`` on."""
+    part = words[start : start + n + window - 1]
+    text = memoryview(b" ".join(part))
+    ends = np.cumsum([len(w) + 1 for w in part]).tolist()
+    begins = [0, *ends]
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(text[begins[k] : ends[k + window - 1] - 1]) for k in range(n)), np.uint64, n)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, seed: int = 11) -> DataFrame:
+    """``key``, ``sub`` and ``spans`` of the rows ``docs(key, sub, text)`` that have repeated windows.
+
+    A span is a first window and either ``n`` windows of the run ``name`` or a
+    bit mask of windows.
+    """
+    if not 0 <= window - anchor < 63:
+        raise ValueError("a path's windows must fit into a bit mask")
+    spark = docs.sparkSession
+    walk = staged(cut_paths(docs, window, anchor, seed), "walk")
     shared = staged(walk.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m"), "anchors")
     _release(spark)
     places = staged(walk.join(shared, "m"), "paths")
     discard(walk)
     discard(shared)
     _release(spark)
-    joined = places.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "start", "n")).alias("at"))
-    joined = staged(joined.select("m", "c", "times", "at.*"), "joined")
+    after = F.when(F.min("after") == F.max("after"), F.min("after")).alias("after")
+    joined = places.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), after, F.min(F.struct("key", "sub", "start", "n")).alias("at"))
+    joined = staged(joined.select("m", "c", "times", "after", "at.*"), "joined")
     _release(spark)
-    # as a table, so that a join with a frequent anchor can be split
+    # tables, so that a join with a frequent anchor or path can be split
+    runs = staged(compacted(joined.where("times > 1")), "runs")
     branching = staged(joined.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("m"), "branching")
-    asked = joined.join(branching, "m").select("key", F.struct("m", "c", "start", "n", F.least("times", F.lit(2)).cast("int").alias("times")).alias("path"))
-    asked = staged(asked.groupBy("key").agg(F.collect_list("path").alias("paths")), "asked")
+    path = F.struct("m", "start", "n", F.least("times", F.lit(2)).cast("int").alias("times")).alias("path")
+    asked = staged(joined.join(branching, "m").select("key", "sub", path).groupBy("key", "sub").agg(F.collect_list("path").alias("paths")), "asked")
+    discard(joined)
     _release(spark)
 
     @F.pandas_udf("binary")
@@ -176,26 +223,31 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     def edges(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in small(batches):
             rows = []
-            for text, asked_ in zip(batch["text"], batch["paths"]):
-                h = word_hashes(unpack(text).split())
+            for key, sub, text, asked_ in zip(batch["key"].to_numpy(), batch["sub"].to_numpy(), batch["text"], batch["paths"]):
+                words = unpack(text).split()
                 for p in asked_:
-                    w = rolling(h[p["start"] : p["start"] + p["n"] + window - 1], window, base=BASE + 2)
-                    n = len(w)
-                    rows.append((np.full(n, p["m"]), w.view(np.int64), np.full(n, p["c"]), np.arange(n, dtype=np.int32), np.full(n, p["times"], np.int32)))
+                    h = edge_hashes(words, p["start"], p["n"], window)
+                    k = len(h)
+                    rows.append((np.full(k, p["m"]), h.view(np.int64), np.full(k, key), np.full(k, sub), np.full(k, p["start"], np.int32), np.arange(k, dtype=np.int32), np.full(k, p["times"], np.int32)))
             if rows:
-                yield pd.DataFrame(dict(zip(("m", "h", "c", "off", "times"), map(np.concatenate, zip(*rows)))))
-        _words.clear()
+                yield pd.DataFrame(dict(zip(("m", "h", "key", "sub", "start", "off", "times"), map(np.concatenate, zip(*rows)))))
 
     # the texts travel once more here: packed they take less than half of the room
-    edge = docs.select("key", packed("text").alias("text")).join(asked, "key").select("text", "paths").mapInPandas(edges, "m bigint, h bigint, c bigint, off int, times int")
-    often = edge.groupBy("m", "h").agg(F.sum("times").alias("total")).where("total > 1").select("m", "h")
-    partly = edge.where("times = 1").join(often, ["m", "h"]).groupBy("m", "c").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
-    wholly = joined.where("times > 1").select("m", "c", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    marked = staged(wholly.unionByName(partly), "marked")
+    found = docs.select("key", "sub", packed("text").alias("text")).join(asked, ["key", "sub"])
+    edge = staged(found.select("key", "sub", "text", "paths").mapInPandas(edges, "m bigint, h bigint, key bigint, sub int, start int, off int, times int"), "edges")
+    _release(spark)
+    often = staged(edge.groupBy("m", "h").agg(F.sum("times").alias("total")).where("total > 1").select("m", "h"), "often")
+    partly = edge.where("times = 1").join(often, ["m", "h"]).groupBy("key", "sub", "start").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
+    partly = partly.select("key", "sub", F.struct("start", F.lit(0).alias("n"), "mask", F.lit(0).cast("bigint").alias("name")).alias("span"))
+    name = F.col("m").bitwiseXOR(F.col("c")).alias("name")
+    wholly = places.join(runs, ["m", "c"]).select("key", "sub", F.struct("start", F.col("total").alias("n"), F.lit(0).cast("bigint").alias("mask"), name).alias("span"))
+    spans = staged(wholly.unionByName(partly).groupBy("key", "sub").agg(F.collect_set("span").alias("spans")), "spans")
+    discard(edge)
+    discard(often)
+    discard(places)
     _release(spark)
-    spans = places.join(marked, ["m", "c"]).groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     return spans
 
 
@@ -205,7 +257,10 @@ def kept_words(words: list[bytes], spans, window: int) -> list[bytes]:
         return words
     change = np.zeros(len(words) + 1, np.int64)
     for s in spans:
-        mask, at = s["mask"], s["start"]
+        at, n, mask = s["start"], s["n"], s["mask"]
+        if n:
+            change[at] += 1
+            change[at + n - 1 + window] -= 1
         while mask:
             low = (mask & -mask).bit_length() - 1
             change[at + low] += 1
@@ -215,11 +270,39 @@ def kept_words(words: list[bytes], spans, window: int) -> list[bytes]:
     return [w for w, c in zip(words, covered.tolist()) if not c]
 
 
+def words_at(docs: DataFrame, window: int) -> DataFrame:
+    """Add ``found`` to ``docs(text, spans)``: ``name`` and the digest of the words of each span of a run."""
+
+    @F.pandas_udf("array<struct<name: bigint, digest: binary>>")
+    def digests(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, spans_ in zip(texts, spans):
+            runs = [(s["name"], s["start"], s["start"] + s["n"] + window - 1) for s in ([] if spans_ is None else spans_) if s["n"]]
+            words = split_words(text) if runs else []
+            out.append([{"name": name, "digest": xxhash.xxh3_128_digest(b" ".join(words[a:b]))} for name, a, b in runs])
+        return pd.Series(out)
+
+    return docs.withColumn("found", digests("text", "spans"))
+
+
+def differing(marked: DataFrame) -> DataFrame:
+    """Runs of ``marked(found)`` whose places hold different words."""
+    each = marked.select(F.explode("found").alias("f")).groupBy("f.name").agg(F.min("f.digest").alias("least"), F.max("f.digest").alias("most"))
+    return each.where("least != most").select("name")
+
+
 def with_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``row`` (all columns of ``docs``), ``text`` and ``spans`` (null: none) of every row."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    spans = repeated_spans(keyed.select("key", "text"), window, anchor)
-    return keyed.select("key", "row").join(spans, "key", "left").select("row", F.col("row.text").alias("text"), "spans")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # 96 bits name a row's id and text
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("sub"), "text", row)
+    for seed in range(11, 100):
+        spans = repeated_spans(keyed.select("key", "sub", "text"), window, anchor, seed)
+        marked = keyed.select("key", "sub", "row").join(spans, ["key", "sub"], "left").select("row", F.col("row.text").alias("text"), "spans")
+        marked = staged(words_at(marked, window).drop("text"), "marked")
+        if differing(marked).isEmpty():
+            return marked.select("row", F.col("row.text").alias("text"), "spans")
+    raise RuntimeError("no seed tells all paths apart")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -239,20 +322,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    docs = marked.select(F.col("row.doc_id").alias("doc_id"), "text", "spans")
 
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch["text"], batch["spans"]):
-                words = split_words(text)
-                kept = kept_words(words, spans, WINDOW)
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64"))
-            yield out
+    @F.pandas_udf("struct<n_words: bigint, n_removed: bigint, kept_sha256: string>")
+    def digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, spans_ in zip(texts, spans):
+            words = split_words(text)
+            kept = kept_words(words, spans_, WINDOW)
+            rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return docs.mapInPandas(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return marked.select(F.col("row.doc_id").alias("doc_id"), digest("text", "spans").alias("d")).select("doc_id", "d.*")
 
 
 QUERIES = {"op10_substrings": op10_substrings}
+
+ORACLES = {
+    "op10_substrings": r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+        FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)
+    ), repeated AS (
+        SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+    ), gone AS (
+        SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS i FROM windows WHERE h IN (SELECT h FROM repeated)
+    ), kept AS (
+        SELECT p.r, string_agg(p.word, ' ' ORDER BY p.i) AS text, count(*) AS n
+        FROM (SELECT r, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d) p
+        ANTI JOIN gone g ON p.r = g.r AND p.i = g.i GROUP BY p.r
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept k ON d.r = k.r""",
+}

@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -198,45 +198,57 @@ def describe(found: dict) -> str:
     }.items())
 
 
-def transport_streams(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """``key`` and ``stream``: the binary column ``payload`` (null: none) as transport streams."""
+def stream_of(payload: Column) -> Column:
+    """A binary column as transport streams; null counts as empty."""
 
-    def run(batches):
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key], "stream": [mux(x or b"") for x in batch[payload]]})
+    @F.pandas_udf("binary")
+    def streams(payloads: pd.Series) -> pd.Series:
+        return pd.Series([mux(x or b"") for x in payloads])
 
-    return df.select(key, payload).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, stream binary")
+    return streams(payload)
 
 
-def access_units(df: DataFrame, key: str, stream: str = "stream") -> DataFrame:
-    """One row for each access unit of the binary column ``stream``, in order."""
+def units_of(stream: Column) -> Column:
+    """The access units of a column of transport streams, in order."""
 
-    def run(batches):
-        for batch in batches:
-            rows = [(k, n, *u) for k, s in zip(batch[key], batch[stream]) for n, u in enumerate(demux(s)["units"])]
-            yield pd.DataFrame(rows, columns=[key, "unit", "pid", "pts", "random_access", "data"])
+    @F.pandas_udf("array<struct<unit: int, pid: int, pts: bigint, random_access: boolean, data: binary>>")
+    def units(streams: pd.Series) -> pd.Series:
+        names = ("unit", "pid", "pts", "random_access", "data")
+        return pd.Series([[dict(zip(names, (n, *u))) for n, u in enumerate(demux(s)["units"])] for s in streams])
 
-    return df.select(key, stream).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, unit int, pid int, pts bigint, random_access boolean, data binary")
+    return units(stream)
 
 
-DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+def transport_streams(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key`` and ``stream``: the binary column ``payload`` (null: empty) as transport streams."""
+    return df.select(F.col(key), stream_of(F.col(payload)).alias("stream"))
+
+
+def access_units(df: DataFrame, key: str, stream: str = "stream") -> DataFrame:
+    """One row for each access unit of the binary column ``stream``."""
+    return df.select(F.col(key), F.explode(units_of(F.col(stream))).alias("found")).select(F.col(key), "found.*")
+
+
+DIGEST = "payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, media_bytes: bigint, media_sha256: string, feature: string"
 
 
 def op3_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as transport streams: stored, read back and described."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, raw in zip(batch["doc_id"], batch["raw"]):
-                stream = mux(raw.ljust(max(1, -(-len(raw) // PAD_TO)) * PAD_TO, b" "))
-                found = demux(stream)
-                back = b"".join(u[3] for u in found["units"])
-                rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(found)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")])
-
-    return docs.mapInPandas(run, DIGEST)
+    size = F.octet_length("raw")
+    padded = F.rpad("raw", F.greatest(F.lit(1), F.ceil(size / PAD_TO)).cast("int") * PAD_TO, F.lit(b" "))
+    streams = docs.select("doc_id", size.cast("bigint").alias("n_bytes"), stream_of(padded).alias("stream"))
+
+    @F.pandas_udf(f"struct<{DIGEST}>")
+    def digest(stored: pd.Series) -> pd.DataFrame:
+        rows = []
+        for stream in stored:
+            found = demux(stream)
+            back = b"".join(u[3] for u in found["units"])
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), describe(found)))
+        return pd.DataFrame(rows, columns=[c.split(":")[0] for c in DIGEST.split(", ")])
+
+    return streams.select("doc_id", "n_bytes", digest("stream").alias("digest")).select("doc_id", "n_bytes", "digest.*")
 
 
 QUERIES = {"op3_transport_stream": op3_transport_stream}
