@@ -7,8 +7,10 @@ bitwise carry-save counters, plane by plane, and a word is abandoned as soon as
 each of its 64 counters has passed the radius.
 
 Which fingerprints meet in a block: with 64 bits and a small radius the
-fingerprint is cut into radius + 1 pieces, and fingerprints that agree in a
-piece meet, so that no link is lost (pigeonhole). For a wide radius, as a
+fingerprint is cut into radius + a pieces, and fingerprints that agree in a of
+them meet, so that no link is lost (pigeonhole); a is 1 for some ten million
+fingerprints and grows with the logarithm of their number, so that blocks don't
+grow with the data. For a wide radius, as a
 resemblance of 0.8 needs, texts meet that share one of several least shingle
 hashes. A piece or shingle that very many fingerprints share is split into
 parts, and each pair of parts is a block of its own. A block returns a spanning
@@ -28,6 +30,8 @@ and text are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -82,20 +86,19 @@ def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int, words: int = 1, keys: int = 0) -> DataFrame:
-    """``doc_id``, ``fp`` (array of 64-bit words) and ``keys`` (least hashes of several mixes)."""
+def least_hashes(h: np.ndarray, keys: int) -> list[int]:
+    """The least of each of ``keys`` mixes of the hashes; 0 where there are none."""
+    return [int((remix(h, 100 + k).min() if len(h) else np.uint64(0)).astype(np.int64)) for k in range(keys)]
 
-    def run(batches):
-        for batch in batches:
-            fps, least = [], []
-            for text in batch["text"]:
-                h = shingle_hashes(text, width)
-                fps.append(majority(h, words).view(np.int64))
-                least.append([int((remix(h, 100 + k).min() if len(h) else np.uint64(0)).astype(np.int64)) for k in range(keys)])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps, "keys": least})
 
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInPandas(run, "doc_id bigint, fp array<bigint>, keys array<bigint>")
+def fingerprints(docs: DataFrame, width: int, words: int = 1) -> DataFrame:
+    """``doc_id`` and ``fp`` (array of 64-bit words) of every row."""
+
+    @F.pandas_udf("array<bigint>")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([majority(shingle_hashes(t, width), words).view(np.int64) for t in texts])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), fp(F.col("text").cast("string")).alias("fp"))
 
 
 def set_fingerprints(docs: DataFrame, width: int, words: int, keys: int) -> DataFrame:
@@ -104,18 +107,16 @@ def set_fingerprints(docs: DataFrame, width: int, words: int, keys: int) -> Data
     Rows with one set of shingles have one node.
     """
 
-    def run(batches):
-        for batch in batches:
-            nodes, fps, least = [], [], []
-            for text in batch["text"]:
-                h = np.unique(shingle_hashes(text, width))
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 13))
-                fps.append(majority(h, words).view(np.int64))
-                least.append([int((remix(h, 100 + k).min() if len(h) else np.uint64(0)).astype(np.int64)) for k in range(keys)])
-            node = np.array(nodes, np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"].astype("Int64"), "node": node, "fp": fps, "keys": least})
+    @F.pandas_udf("struct<node: bigint, fp: array<bigint>, keys: array<bigint>>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            h = np.unique(shingle_hashes(text, width))
+            node = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 13)).astype(np.int64))
+            rows.append((node, majority(h, words).view(np.int64), least_hashes(h, keys)))
+        return pd.DataFrame(rows, columns=["node", "fp", "keys"])
 
-    return docs.select("key", "doc_id", "text").mapInPandas(run, "key bigint, doc_id bigint, node bigint, fp array<bigint>, keys array<bigint>")
+    return docs.select("key", "doc_id", found("text").alias("found")).select("key", "doc_id", "found.*")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -206,10 +207,20 @@ def links(fps: np.ndarray, radius: int):
                 yield i[ok], j[ok]
 
 
-def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each row the least row that it is connected to by links within the block."""
-    label = np.arange(len(fps))
+def grouped_links(fps: np.ndarray, radius: int, group: np.ndarray | None):
+    """The links between rows of one group; all rows are one where no groups are given."""
     for i, j in links(fps, radius):
+        if group is not None:
+            same = group[i] == group[j]
+            i, j = i[same], j[same]
+        if len(i):
+            yield i, j
+
+
+def forest(fps: np.ndarray, radius: int, group: np.ndarray | None = None) -> np.ndarray:
+    """For each row the least row that it is connected to by links within its group."""
+    label = np.arange(len(fps))
+    for i, j in grouped_links(fps, radius, group):
         while True:
             a, b = label[i], label[j]
             if (a == b).all():
@@ -229,13 +240,13 @@ def resemblance(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return both / (len(one) + size - both)
 
 
-def exact_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+def exact_forest(fps: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, group: np.ndarray | None = None) -> np.ndarray:
     """Like :func:`forest`, but a link also needs sets of this similarity.
 
     Pairs that other links connect already are not compared.
     """
     label = np.arange(len(fps))
-    for i, j in links(fps, radius):
+    for i, j in grouped_links(fps, radius, group):
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         cuts = np.flatnonzero(i[1:] != i[:-1]) + 1
@@ -296,14 +307,14 @@ def block_links(rows: DataFrame, radius: int, block: int = PART, similarity: flo
 
     def run(batches):
         for rows in _blocks(batches, block):
-            node = rows["node"].to_numpy()
+            node, group = rows["node"].to_numpy(), rows["g"].to_numpy()
             fps = np.array(rows["fp"].tolist(), np.int64).view(np.uint64)
-            _, at = np.unique(node, return_index=True)  # a node may be there under several keys
-            node, fps = node[at], fps[at]
+            # several small groups are compared at a time, but only rows of one group are linked
+            group = None if group[0] == group[-1] else group
             if exact:
-                label = exact_forest(fps, [np.frombuffer(x, np.uint64) for x in rows["shingles"].iloc[at]], radius, similarity)
+                label = exact_forest(fps, [np.frombuffer(x, np.uint64) for x in rows["shingles"]], radius, similarity, group)
             else:
-                label = forest(fps, radius)
+                label = forest(fps, radius, group)
             to = np.flatnonzero(label != np.arange(len(label)))
             if len(to):
                 yield pd.DataFrame({"a": node[to], "b": node[label[to]]})
@@ -311,36 +322,42 @@ def block_links(rows: DataFrame, radius: int, block: int = PART, similarity: flo
     return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(run, "a bigint, b bigint")
 
 
-def piece_keys(radius: int):
-    """Key column of each of the radius + 1 pieces of a 64-bit fingerprint ``fp[0]``."""
-    cuts = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
+def piece_keys(radius: int, agree: int = 1):
+    """Keys of a 64-bit fingerprint ``fp[0]``: each choice of ``agree`` of its ``radius + agree`` pieces.
+
+    Fingerprints within the radius differ in at most ``radius`` pieces, so they
+    have at least one key in common.
+    """
+    n = radius + agree
+    cuts = [round(64 * k / n) for k in range(n + 1)]
     x = F.get("fp", 0)
-    return F.array(*[
-        F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).bitwiseOR(F.lit(k << 58)) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
-    ])
+    pieces = [F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
+    return F.array(*[F.xxhash64(F.lit(k), *[pieces[p] for p in chosen]) for k, chosen in enumerate(combinations(range(n), agree))])
 
 
-def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, words: int = 1, keys: int = 0) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (least doc_id of the group) of each row.
+def pieces_to_agree(rows: int, radius: int, block: int = MOST_PART) -> int:
+    """How many pieces make a key, so that random fingerprints share one with ``block`` others or fewer.
 
-    ``keys`` = 0: blocks by pieces of the 64-bit fingerprint, complete for the
-    radius. Else blocks by so many least shingle hashes.
+    Any number finds the same links: more pieces give smaller blocks and more keys a row.
     """
-    if not keys and words != 1:
-        raise ValueError("pieces are cut from one 64-bit word")
-    fps = staged(fingerprints(docs, width, words, keys), "simhash")
-    node = F.get("fp", 0) if words == 1 else F.xxhash64("fp")
-    fps = fps.withColumn("node", node)
-    if keys:
-        rows = fps.select("node", "fp", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    else:
-        rows = fps.select("node", "fp").distinct().withColumn("key", F.explode(piece_keys(radius)))
+    agree = 1
+    while agree < radius and rows >> 64 * agree // (radius + agree) > block:
+        agree += 1
+    return agree
+
+
+def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, agree: int | None = None) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` (least doc_id of the group) of each row; complete for the radius."""
+    fps = staged(fingerprints(docs, width), "simhash").withColumn("node", F.get("fp", 0))
+    distinct = staged(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
+    agree = agree or pieces_to_agree(distinct.count(), radius)
+    rows = distinct.select("node", "fp", F.explode(piece_keys(radius, agree)).alias("key"))
     component = connected_components(block_links(rows, radius))
-    each = fps.groupBy("node").agg(F.min("doc_id").alias("least"))
-    each = each.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    each = distinct.join(component, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     each = staged(each, "groups")
-    least = each.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = each.join(least, "component").select("node", "component_id")
+    # a table, so that the join with a large group can be split
+    least = staged(each.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = staged(each.join(least, "component").select("node", "component_id"), "named")
     return fps.join(named, "node").select("doc_id", "fp", "component_id")
 
 
