@@ -74,6 +74,13 @@ def upsert_routes(cat: DataFrame, entries: DataFrame) -> DataFrame:
     return cat.join(entries.select("route"), "route", "left_anti").unionByName(entries, allowMissingColumns=True)
 
 
+def with_promoteid(entries: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Entries with a ``promoteid``: the explicit one, else the field that the analysis of their route picked, else none."""
+    picked = analysis.groupBy("route").agg(F.max(F.nullif("field", F.lit(""))).alias("_field"))
+    explicit = F.nullif("promoteid", F.lit(""))
+    return entries.join(picked, "route", "left").withColumn("promoteid", F.coalesce(explicit, "_field")).drop("_field")
+
+
 def add_assets(listing: DataFrame, new: DataFrame) -> DataFrame:
     return listing.union(new).distinct().orderBy("asset")
 

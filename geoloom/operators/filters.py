@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.scalars import fix_decimal
+from ..functions.scalars import shifted_point, significant_digits
 
 
 def parse_bounds(bounds) -> tuple[float, float, float, float]:
@@ -106,9 +104,12 @@ def repair_pair(lon: Column, lat: Column, region=REGION) -> Column:
     def fixed(x: Column, y: Column, rule: str) -> Column:
         return F.struct(x.alias("lon"), y.alias("lat"), F.lit(rule).alias("rule"))
 
-    shifts = F.struct(
-        fix_decimal(lon, w, e).alias("dx"), fix_decimal(lat, s, n).alias("dy"), fix_decimal(lat, w, e).alias("sx"), fix_decimal(lon, s, n).alias("sy")
-    )
+    digits = F.struct(significant_digits(lon).alias("lon"), significant_digits(lat).alias("lat"))
+
+    def shifts(d: Column) -> Column:
+        parts = {"dx": (lon, d["lon"], w, e), "dy": (lat, d["lat"], s, n), "sx": (lat, d["lat"], w, e), "sy": (lon, d["lon"], s, n)}
+        return F.struct(*[shifted_point(*p).alias(k) for k, p in parts.items()])
+
     broken = F.struct(lon.alias("lon"), lat.alias("lat"), F.lit(None).cast("string").alias("rule"))
 
     def shifted(c: Column) -> Column:
@@ -119,12 +120,12 @@ def repair_pair(lon: Column, lat: Column, region=REGION) -> Column:
         F.when(_within(lon, lat, region), fixed(lon, lat, "kept"))
         .when(lon == lat, broken)
         .when(_within(lat, lon, region), fixed(lat, lon, "swapped"))
-        .otherwise(F.get(F.transform(F.array(shifts), shifted), 0))
+        .otherwise(F.get(F.transform(F.transform(F.array(digits), shifts), shifted), 0))
     )
 
 
 def repair_coords(df: DataFrame, region=REGION, coords: str = "coords") -> DataFrame:
-    """Repair every position; features with a position beyond repair are dropped, ``rules`` lists the repairs made."""
+    """Repair every position; features without positions or with one beyond repair are dropped, ``rules`` lists the repairs made."""
 
     def position(p: Column) -> Column:
         return F.struct(repair_pair(F.get(p, 0), F.get(p, 1), region).alias("fix"), F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0))).alias("rest"))
@@ -132,12 +133,17 @@ def repair_coords(df: DataFrame, region=REGION, coords: str = "coords") -> DataF
     def nested(c: Column, f, depth: int = 2) -> Column:
         return F.transform(c, f) if depth == 0 else F.transform(c, lambda x: nested(x, f, depth - 1))
 
-    fixed = df.withColumn("_fixed", nested(F.col(coords), position))
-    flat = F.flatten(F.flatten("_fixed"))
-    ok = F.forall(flat, lambda p: p["fix"]["rule"].isNotNull())
-    rules = F.array_sort(F.array_distinct(F.filter(F.transform(flat, lambda p: p["fix"]["rule"]), lambda r: r != "kept")))
-    back = nested(F.col("_fixed"), lambda p: F.concat(F.array(p["fix"]["lon"], p["fix"]["lat"]), p["rest"]))
-    return fixed.where(ok).withColumn("rules", rules).withColumn(coords, back).drop("_fixed")
+    def repaired(c: Column) -> Column:
+        flat = F.flatten(F.flatten(c))
+        rules = F.array_sort(F.array_distinct(F.filter(F.transform(flat, lambda p: p["fix"]["rule"]), lambda r: r != "kept")))
+        back = nested(c, lambda p: F.concat(F.array(p["fix"]["lon"], p["fix"]["lat"]), p["rest"]))
+        return F.when(F.forall(flat, lambda p: p["fix"]["rule"].isNotNull()), F.struct(back.alias("coords"), rules.alias("rules")))
+
+    # most features need no repair; what does is worked out once, in the generator, and dropped there if it can't be done
+    kept = F.array(F.struct(F.col(coords).alias("coords"), F.array().cast("array<string>").alias("rules")))
+    fixed = F.when(F.col(coords).isNotNull() & all_in_region(F.col(coords), region), kept).otherwise(F.array_compact(F.transform(F.array(nested(F.col(coords), position)), repaired)))
+    out = df.withColumn("_fixed", F.explode(fixed))
+    return out.withColumn("rules", F.col("_fixed.rules")).withColumn(coords, F.col("_fixed.coords")).drop("_fixed")
 
 
 def rename_props(df: DataFrame, renames: dict[str, str], column: str | None = None) -> DataFrame:
@@ -169,12 +175,41 @@ def geometry_name_renames(df: DataFrame, line: str = "line") -> DataFrame:
     return df.sparkSession.createDataFrame(new, "key string, new_key string")
 
 
+def _quoted(text: Column) -> Column:
+    """A text as JSON."""
+    inner = F.to_json(F.array(text))
+    return F.substring(inner, F.lit(2), F.length(inner) - 2)
+
+
+def _members(json: Column) -> Column:
+    """``struct(key, value)`` of a JSON object's members, in order, the values as JSON text; null for other text."""
+    kinds = F.from_json(json, "map<string, variant>")
+
+    def text(e: Column) -> Column:
+        is_text = F.schema_of_variant(F.element_at(kinds, e["key"])) == "STRING"
+        return F.struct(e["key"].alias("key"), F.when(e["value"].isNull(), "null").when(is_text, _quoted(e["value"])).otherwise(e["value"]).alias("value"))
+
+    return F.transform(F.map_entries(F.from_json(json, "map<string, string>")), text)
+
+
+def _object(members: Column) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+
+
 def rename_geom_props(df: DataFrame, line: str = "line") -> DataFrame:
-    """Feature lines with such properties renamed in their text."""
-    out = F.col(line)
-    for r in geometry_name_renames(df, line).collect():
-        out = F.regexp_replace(out, f'"{re.escape(r["key"])}"(\\s*):', f'"{r["new_key"]}"$1:')
-    return df.withColumn(line, out)
+    """Feature lines with such properties renamed; nothing but the names of properties changes, lines that aren't JSON stay."""
+    renames = {r["key"]: r["new_key"] for r in geometry_name_renames(df, line).collect()}  # one row a property name
+    if not renames:
+        return df
+    names = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
+    properties = F.transform(
+        _members(F.get_json_object(line, "$.properties")), lambda e: F.struct(F.coalesce(F.element_at(names, e["key"]), e["key"]).alias("key"), e["value"].alias("value"))
+    )
+    members = F.transform(
+        _members(F.col(line)), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "properties", F.coalesce(_object(properties), e["value"])).otherwise(e["value"]).alias("value"))
+    )
+    touched = F.exists(F.json_object_keys(F.get_json_object(line, "$.properties")), lambda k: F.element_at(names, k).isNotNull())
+    return df.withColumn(line, F.when(touched, _object(members)).otherwise(F.col(line)))
 
 
 def geometry_class(df: DataFrame, cls: str, kind: str = "geom_type") -> DataFrame:

@@ -37,54 +37,94 @@ def first_match(df: DataFrame, keys: list[str], pos: str) -> DataFrame:
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def tile_to_slice(tiles: DataFrame, slices: DataFrame, symmetric: bool = False, cell: int = 3) -> DataFrame:
+def _finest(slices: DataFrame, widest: int = 32) -> int:
+    """How often the world may be halved into cells so that slices cover ``widest`` cells each on average, and tiles few."""
+    least = F.least(F.min("min_zoom"), F.lit(16)) + 3
+    cells = []
+    for k in range(17):
+        side = 3_600_000_000 / (1 << k)
+        cells.append(F.avg(((F.col("max_lon_e7") - F.col("min_lon_e7")) / side + 2) * ((F.col("max_lat_e7") - F.col("min_lat_e7")) / side + 2)).alias(f"c{k}"))
+    r = slices.agg(least.alias("least"), *cells).first()  # one row
+    return max([k for k in range(17) if r[f"c{k}"] is not None and k <= r["least"] and r[f"c{k}"] <= widest], default=0)
+
+
+def tile_to_slice(tiles: DataFrame, slices: DataFrame, symmetric: bool = False, cell: int | None = None) -> DataFrame:
     """The first slice, in manifest order, that serves each tile ``(z, x, y)``.
 
     Latitudes must overlap; longitudes of the tile must lie within the slice's
-    (``symmetric``: overlap). Slices meet tiles of their zooms only, in columns of
-    ``2**cell`` to the world at most, so the join has an equality key.
+    (``symmetric``: overlap). Slices meet tiles of their zooms in square cells,
+    ``2**cell`` to the world's width, which are chosen by the slices' extents.
     """
     b = tile_bbox_e7(F.col("z"), F.col("x"), F.col("y"))
     tiles = tiles.select("z", "x", "y").distinct().withColumn("_b", b)
-    width = 3_600_000_000 // (1 << cell)
+    side = 3_600_000_000 // (1 << (_finest(slices) if cell is None else cell))
 
-    def column(v: Column) -> Column:
-        return F.floor((v + 1_800_000_000) / width).cast("int")
+    def at(v: Column) -> Column:
+        return F.floor((v + 1_800_000_000) / side).cast("int")
 
-    # a tile that a slice contains begins within it; else it may begin before
-    first = column(F.col("_b.w"))
-    tiles = tiles.withColumn("_c", F.explode(F.sequence(first, F.greatest(first, column(F.col("_b.e"))))) if symmetric else first)
-    s = slices.withColumn("z", F.explode(F.sequence("min_zoom", "max_zoom"))).withColumn("_c", F.explode(F.sequence(column(F.col("min_lon_e7")), column(F.col("max_lon_e7")))))
+    # a tile that a slice contains begins within its longitudes; else it may begin before
+    columns = F.sequence(at(F.col("_b.w")), F.greatest(at(F.col("_b.w")), at(F.col("_b.e")))) if symmetric else F.array(at(F.col("_b.w")))
+    rows = F.sequence(at(F.col("_b.s")), at(F.col("_b.n")))
+    tiles = tiles.withColumn("_i", F.explode(columns)).withColumn("_j", F.explode(rows))
+    s = slices.withColumn("z", F.explode(F.sequence("min_zoom", "max_zoom")))
+    s = s.withColumn("_i", F.explode(F.sequence(at(F.col("min_lon_e7")), at(F.col("max_lon_e7"))))).withColumn("_j", F.explode(F.sequence(at(F.col("min_lat_e7")), at(F.col("max_lat_e7")))))
     lat = (F.col("_b.s") <= F.col("max_lat_e7")) & (F.col("_b.n") >= F.col("min_lat_e7"))
     if symmetric:
         lon = (F.col("_b.w") <= F.col("max_lon_e7")) & (F.col("_b.e") >= F.col("min_lon_e7"))
     else:
         lon = (F.col("_b.e") <= F.col("max_lon_e7")) & (F.col("_b.w") >= F.col("min_lon_e7"))
-    met = tiles.join(s, ["z", "_c"]).where(lat & lon)
-    best = F.min(F.struct("slice_pos", "slice")).alias("best")  # combines before the shuffle
+    met = tiles.join(s, ["z", "_i", "_j"]).where(lat & lon)
+    best = F.min(F.struct("slice_pos", "slice")).alias("best")  # combines before the shuffle; a pair may meet in several cells
     return met.groupBy("z", "x", "y").agg(best).select("z", "x", "y", "best.slice")
 
 
-def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner", cell: float = 2.0) -> DataFrame:
-    """Features and the polygons that they meet; ``left_semi`` gives the features alone.
+#: Finest level of the grid of :func:`spatial_join`; a cell of level l is the world's width halved l times.
+FINEST = 20
+
+
+def _level(b: Column) -> Column:
+    """The finest level whose cells are no smaller than the box, so that the box covers four of them at most."""
+    size = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
+    return F.when(size <= 360.0 / (1 << FINEST), FINEST).otherwise(F.greatest(F.lit(0), F.floor(F.log2(F.lit(360.0) / size)).cast("int")))
+
+
+def _cell(v: Column, level: Column) -> Column:
+    return F.floor(v * F.pow(F.lit(2.0), level) / 360.0).cast("bigint")
 
-    Both sides are dealt to the grid cells that their boxes cover and meet by
-    cell. A pair is kept in the one cell that holds the lower left corner of the
-    boxes' overlap, so pairs need no deduplication.
-    """
 
-    def covered(b: Column) -> Column:
-        c = lambda v: F.floor(v / cell).cast("int")
-        xs, ys = F.sequence(c(b["xmin"]), c(b["xmax"])), F.sequence(c(b["ymin"]), c(b["ymax"]))
-        return F.explode(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y"))))))
+def _cells(b: Column, levels: Column) -> Column:
+    """Cells ``struct(level, x, y)`` of the levels that the box covers."""
 
-    f = features.withColumn("_cell", covered(F.col("bbox")))
-    p = polygons.select(F.col("polygon_id"), F.col("bbox").alias("_pb"), F.col("edges").alias("_edges")).withColumn("_cell", covered(F.col("_pb")))
+    def of(level: Column) -> Column:
+        xs, ys = F.sequence(_cell(b["xmin"], level), _cell(b["xmax"], level)), F.sequence(_cell(b["ymin"], level), _cell(b["ymax"], level))
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y")))))
+
+    return F.flatten(F.transform(levels, of))
+
+
+def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner") -> DataFrame:
+    """Features and the polygons that they meet; ``left_semi`` gives the features alone.
+
+    Boxes of any size are dealt to a hierarchy of grids: each has the level
+    whose cells are as large as itself, and a pair meets at the coarser of its two
+    levels, so no box covers more than four cells of a level. Features go to the
+    levels that polygons have, polygons to their own and all coarser ones. A pair
+    is kept in the one cell that holds the lower left corner of the boxes'
+    overlap, so pairs need no deduplication.
+    """
     fb, pb = F.col("bbox"), F.col("_pb")
+    p = polygons.where("bbox.xmin is not null").select("polygon_id", F.col("bbox").alias("_pb"), F.col("edges").alias("_edges")).withColumn("_pl", _level(pb))
+    levels = sorted(r["_pl"] for r in p.select("_pl").distinct().collect())  # some twenty numbers
+    own = F.col("_fl")
+    here = F.array_distinct(F.concat(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k <= own), F.array(own)))
+    f = features.where("bbox.xmin is not null").withColumn("_fl", _level(fb).cast("int")).withColumn("_cell", F.explode(_cells(fb, here)))
+    p = p.withColumn("_cell", F.explode(_cells(pb, F.sequence(F.lit(0), F.col("_pl").cast("int")))))
     overlap = (fb["xmin"] <= pb["xmax"]) & (fb["xmax"] >= pb["xmin"]) & (fb["ymin"] <= pb["ymax"]) & (fb["ymax"] >= pb["ymin"])
-    corner = (F.floor(F.greatest(fb["xmin"], pb["xmin"]) / cell).cast("int") == F.col("_cell.x")) & (F.floor(F.greatest(fb["ymin"], pb["ymin"]) / cell).cast("int") == F.col("_cell.y"))
-    near = overlap & corner
-    pairs = f.join(p, "_cell").where(near).where(F.when(near, G.intersects(F.col("coords"), F.col("geom_type"), F.col("_edges"))).otherwise(False))
-    if how == "left_semi":
-        return pairs.select(features.columns).dropDuplicates(["id"])
+    level = F.col("_cell.level")
+    corner = (_cell(F.greatest(fb["xmin"], pb["xmin"]), level) == F.col("_cell.x")) & (_cell(F.greatest(fb["ymin"], pb["ymin"]), level) == F.col("_cell.y"))
+    near = overlap & corner & (level == F.least("_fl", "_pl"))
+    met = F.when(near, G.intersects(F.col("coords"), F.col("geom_type"), F.col("_edges"))).otherwise(False)
+    pairs = f.join(p, "_cell").where(near).where(met)
+    if how == "left_semi":  # only ids travel to be made distinct
+        return features.join(pairs.select("id").distinct(), "id", "left_semi")
     return pairs.select(*features.columns, "polygon_id")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import staged
+
 #: Largest size of a partition in bytes.
 MOST_BYTES = 2 * 1024**3
 
@@ -17,23 +19,45 @@ def partition_count(size: Column, most: int = MOST_BYTES) -> Column:
     return F.when(size <= most, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(parts - 1))).cast("bigint"))
 
 
-def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", exact: bool = False) -> DataFrame:
+def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", accuracy: int = 100_000) -> DataFrame:
     """Add ``kd_leaf``: halve at the median of alternate axes until there are so many leaves.
 
-    Each round needs the medians of its nodes only, a row a node, which are
-    broadcast: there are fewer than ``leaves`` of them.
+    A round aggregates the boxes' centres by node. The medians, fewer than
+    ``leaves`` numbers in all, come to the driver and become an array in the
+    next round's expression, so the plan grows by one expression a round and
+    reads ``df`` once. A median is off by one ``accuracy``-th of the rows at most.
     """
     depth = int(math.log2(leaves))
     if 1 << depth != leaves:
         raise ValueError("leaves must be a power of two")
     b = F.col(box)
-    out = df.withColumn("_x", (b["xmin"] + b["xmax"]) / 2).withColumn("_y", (b["ymin"] + b["ymax"]) / 2).withColumn("kd_leaf", F.lit(0))
+    x, y = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
+    leaf = F.lit(0)
     for k in range(depth):
-        axis = "_x" if k % 2 == 0 else "_y"
-        median = F.percentile(axis, F.lit(0.5)) if exact else F.percentile_approx(axis, 0.5, 100_000)
-        cut = out.groupBy("kd_leaf").agg(median.alias("_cut"))
-        out = out.join(F.broadcast(cut), "kd_leaf").withColumn("kd_leaf", F.col("kd_leaf") * 2 + (F.col(axis) > F.col("_cut")).cast("int")).drop("_cut")
-    return out.select(*df.columns, "kd_leaf")
+        axis = x if k % 2 == 0 else y
+        cuts = {r["leaf"]: r["cut"] for r in df.groupBy(leaf.alias("leaf")).agg(F.percentile_approx(axis, 0.5, accuracy).alias("cut")).collect()}
+        known = ",".join("" if (c := cuts.get(i)) is None else repr(c) for i in range(1 << k))
+        # one constant array, not a literal a node; an empty node has no cut and its left half takes all
+        cut = F.get(F.transform(F.split(F.lit(known), ","), lambda t: F.nullif(t, F.lit("")).cast("double")), leaf)
+        leaf = leaf * 2 + F.coalesce((axis > cut).cast("int"), F.lit(0))
+    return df.withColumn("kd_leaf", leaf)
+
+
+def oversized(spark: SparkSession, path: str, most: int, key: str = "kd_leaf") -> DataFrame:
+    """Partitions of a written table, by the folders of ``key``, whose files are larger than the limit together."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    sizes = files.groupBy(F.regexp_extract("path", f"/{key}=([^/]+)/", 1).alias("part")).agg(F.sum("length").alias("bytes"))
+    return sizes.where(F.col("bytes") > most)
+
+
+def write_bounded(df: DataFrame, path: str, leaves: int = 1, most: int = MOST_BYTES, doublings: int = 12, level: int = 3) -> int:
+    """Write kd partitions, and again with twice as many while one is larger than the limit; returns how many leaves it took."""
+    for _ in range(doublings + 1):
+        write_partitioned(kd_partition(df, leaves), path, level)
+        if oversized(df.sparkSession, path, most).isEmpty():
+            return leaves
+        leaves *= 2
+    raise ValueError(f"a partition of {path} stays larger than {most} bytes: its boxes have one centre")
 
 
 def write_partitioned(df: DataFrame, path: str, level: int = 3) -> None:
@@ -74,17 +98,15 @@ def thin_tiles(tiles: DataFrame, n: int, key: str = "id") -> DataFrame:
     return tiles.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
 
 
-def running_total(df: DataFrame, order: list[str], value: str, ranges: int = 16) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], value: str) -> DataFrame:
     """Add ``before``: the sum of ``value`` over all earlier rows, without a global window.
 
-    Rows are dealt by key ranges; each range sums its own rows, and the ranges'
-    totals, one row a range, are summed and joined back.
+    Spark deals the rows to its shuffle partitions by ranges of the order; each
+    range sums its own rows, and the ranges' totals, one row a range, are summed
+    and joined back.
     """
-    first = order[0]
-    cuts = df.agg(F.percentile_approx(first, [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else None
-    part = F.size(F.filter(bounds, lambda c: c < F.col(first))) if cuts else F.lit(0)
-    parted = df.withColumn("_part", part)
+    # written, so that the ranges are the same in both uses
+    parted = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = parted.groupBy("_part").agg(F.sum(value).alias("_sum"))
     offset = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -54,6 +54,13 @@ def run_summary(results: DataFrame) -> DataFrame:
     return results.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def process_summary(cat: DataFrame) -> DataFrame:
+    """Number of catalog rows by outcome: raster rows and rows of other handlers are skipped, the rest has an ``error`` or is processed."""
+    skipped = F.coalesce(F.col("type") == "raster", F.lit(False)) | ~F.coalesce(F.col("handlertype").isin("pmtiles", "mosaic"), F.lit(False))
+    outcome = F.when(skipped, "skipped").when(F.col("error").isNotNull(), "error").otherwise("processed")
+    return cat.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def bounds_of(df: DataFrame, by: list[str] | None = None, box: str = "bbox") -> DataFrame:
     """Least box around all boxes of a group."""
     b = F.col(box)

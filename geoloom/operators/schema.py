@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def value_class(raw: Column, kind: Column) -> Column:
-    """Type class of a property: from its variant kind, and for numbers from the raw text."""
+def value_class(kind: Column, raw: Column) -> Column:
+    """Type class of a property from its variant kind; the raw text tells whole numbers beyond 64 bits from decimals."""
     return (
         F.when(kind.isNull() | (kind == "VOID"), "NoneType")
         .when(kind == "BOOLEAN", "bool")
         .when(kind == "STRING", "str")
         .when(kind.startswith("ARRAY"), "list")
         .when(kind.startswith("OBJECT"), "dict")
-        .when(raw.rlike("^-?[0-9]+$"), "int")
+        .when(kind == "BIGINT", "int")
+        .when(kind.rlike(r"^DECIMAL\((?:19|[23]\d),0\)$") & raw.rlike("^-?[0-9]+$"), "int")
         .otherwise("float")
     )
 
@@ -31,15 +32,15 @@ def infer_properties(df: DataFrame, line: str = "line", order: str | None = None
     """``key``, ``type`` and first appearance of the properties of feature lines.
 
     ``order`` is a column with the lines' order; without it that of an
-    unshuffled scan is taken.
+    unshuffled scan is taken. Lines that aren't JSON are skipped.
     """
     number = F.col(order) if order else F.monotonically_increasing_id()
-    props = F.get_json_object(line, "$.properties")
-    rows = df.select(number.alias("_n"), props.alias("_p")).where("_p is not null")
-    raw = F.from_json("_p", "map<string, string>")
-    kinds = F.from_json("_p", "map<string, variant>")
-    each = rows.select("_n", raw.alias("raw"), kinds.alias("kinds"), F.posexplode(F.json_object_keys("_p")).alias("_k", "key"))
-    each = each.select("_n", "_k", "key", value_class(F.element_at("raw", F.col("key")), F.schema_of_variant(F.element_at("kinds", F.col("key")))).alias("class"))
+    # a line is parsed once; its text is kept for the rare numbers that the variant can't tell apart
+    properties = F.map_entries(F.from_json(line, "struct<properties: map<string, variant>>")["properties"])
+    each = df.select(number.alias("_n"), F.col(line).alias("_line"), F.posexplode(properties).alias("_k", "_e"))
+    each = each.select("_n", "_k", "_line", F.col("_e.key").alias("key"), F.schema_of_variant("_e.value").alias("_kind"))
+    raw = F.element_at(F.from_json(F.get_json_object("_line", "$.properties"), "map<string, string>"), F.col("key"))
+    each = each.select("_n", "_k", "key", value_class(F.col("_kind"), raw).alias("class"))
     found = each.groupBy("key").agg(F.array_sort(F.collect_set("class")).alias("classes"), F.min(F.struct("_n", "_k")).alias("first"))
     return found.select("key", merge_classes(F.col("classes")).alias("type"), "classes", "first")
 

@@ -127,23 +127,18 @@ def src08_stac_items(spark, sf_dir):
     return _stac(spark, sf_dir).select("item_pos", "collection", "id", "stac_version", F.get(corner, 0).alias("ring_x"), F.get(corner, 1).alias("ring_y"))
 
 
-@register("""SELECT n_nationkey AS pos, n_name AS id, coalesce(CASE WHEN n_nationkey % 2 = 0 THEN 'T ' || n_name END, n_name) AS title FROM nation WHERE n_nationkey % 3 <> 0""")
+@register("""SELECT CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS pos, s_name AS id, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'T ' || s_name END, s_name) AS title, 'd' || CAST(s_suppkey AS VARCHAR) || '.parquet' AS geoparquet
+FROM supplier QUALIFY s_suppkey % 3 <> 0""")
 def src11_collections(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
+    """A catalog for each nation: its suppliers as links."""
+    key = F.col("s_suppkey")
     link = F.struct(
-        F.when(F.col("n_nationkey") % 3 == 0, "self").otherwise("child").alias("rel"), F.concat(F.lit("./"), "n_name", F.lit("/")).alias("href"),
-        F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("T "), "n_name")).alias("title"), F.lit("x.parquet").alias("geoparquet"),
+        F.when(key % 3 == 0, "self").otherwise("child").alias("rel"), F.concat(F.lit("./"), "s_name", F.lit("/")).alias("href"),
+        F.when(key % 2 == 0, F.concat(F.lit("T "), "s_name")).alias("title"), F.concat(F.lit("d"), key.cast("string"), F.lit(".parquet")).alias("geoparquet"),
     )
-    links = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", link.alias("link")))), lambda s: s["link"])
-    text = n.agg(F.to_json(F.struct(links.alias("links"))).alias("value"))
-    return readers.collection_rows(text).select("pos", "id", "title")
-
-
-@register(f"SELECT collection, id, '/collections/' || collection || '/items/' || id AS self, w AS west, 5 AS corners FROM {ITEMS}")
-def f25_stac_documents(spark, sf_dir):
-    get = lambda p: F.get_json_object("document", p)
-    d = stac.stac_documents(_stac(spark, sf_dir))
-    return d.select("collection", "id", get("$.links[0].href").alias("self"), get("$.bbox[0]").cast("double").alias("west"), F.json_array_length(get("$.geometry.coordinates[0]")).alias("corners"))
+    links = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", link.alias("link")))), lambda s: s["link"])
+    text = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(links.alias("links"))).alias("value"))
+    return readers.collection_rows(text).select("pos", "id", "title", "geoparquet")
 
 
 @register(f"SELECT collection, id, w FROM {ITEMS} WHERE collection = 'c1' AND id = (SELECT max(id) FROM {ITEMS} WHERE collection = 'c1')")
@@ -211,6 +206,15 @@ def j09_upsert_routes(spark, sf_dir):
     return A.upsert_routes(cat, entries).select("name", "route")
 
 
+@register("SELECT '/' || CAST(p_partkey AS VARCHAR) AS route, CASE WHEN p_partkey % 4 = 0 THEN 'cli' WHEN p_partkey % 3 = 0 THEN 'f' || CAST(p_partkey AS VARCHAR) END AS promoteid FROM part")
+def j09_entry_promoteid(spark, sf_dir):
+    """Explicit identifiers, picked ones, and neither."""
+    part = table(spark, sf_dir, "part")
+    entries = part.selectExpr("concat('/', p_partkey) AS route", "CASE WHEN p_partkey % 4 = 0 THEN 'cli' WHEN p_partkey % 2 = 0 THEN '' END AS promoteid")
+    analysis = part.selectExpr("concat('/', p_partkey) AS route", "CASE WHEN p_partkey % 3 = 0 THEN concat('f', p_partkey) ELSE '' END AS field")
+    return A.with_promoteid(entries, analysis)
+
+
 @register(f"SELECT DISTINCT asset FROM {ASSETS} WHERE asset LIKE '%.parquet' OR asset LIKE '%.pmtiles'")
 def u01_add_assets(spark, sf_dir):
     a = assets(spark, sf_dir).select("asset")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import filters, profiles, schema
 from ..sources import readers
-from .inputs import DIRTY, IN_TRIANGLE, POINTS, POLYGONS, TRIANGLE, dirty, points, polygons, table
+from .inputs import DIRTY, IN_TRIANGLE, POINTS, POLYGONS, TRIANGLE, dirty, parcels, points, polygons, table
 from .registry import Registry
 
 REGISTRY = register = Registry()
@@ -38,18 +38,18 @@ def f03_bbox_column(spark, sf_dir):
 
 
 def _layer(spark, sf_dir):
-    """Nations as a filter layer."""
-    rows = polygons(spark, sf_dir)
+    """Parts as a filter layer."""
+    rows = parcels(spark, sf_dir)
     props = F.create_map(F.lit("filter_id"), F.col("name"), F.lit("value"), (F.col("polygon_id") * 100).cast("string"))
     return rows.select(F.col("polygon_id").alias("pos"), props.alias("properties"), "name", "x0", "y0")
 
 
-@register("SELECT n_name AS name, CAST(n_nationkey AS INT) AS pos FROM nation WHERE n_nationkey = 7")
+@register("SELECT p_name AS name, p_partkey AS pos FROM part WHERE p_partkey = 7")
 def f04_pick_by_index(spark, sf_dir):
     return filters.pick_by_index(_layer(spark, sf_dir), 7).select("name", "pos")
 
 
-@register("SELECT n_name AS name, CAST(n_nationkey AS INT) AS pos FROM nation WHERE n_nationkey * 100 = 900")
+@register("SELECT p_name AS name, p_partkey AS pos FROM part WHERE p_partkey * 100 = 900")
 def f05_pick_by_kv(spark, sf_dir):
     return filters.pick_by_kv(_layer(spark, sf_dir), ["value=900"]).select("name", "pos")
 
@@ -124,24 +124,28 @@ def f11_normalize_props(spark, sf_dir):
     return rows.select("event_id", "properties.*")
 
 
-@register(f"SELECT id, line_number, CAST(id AS VARCHAR) AS kept, CAST(line_number AS VARCHAR) AS first_geom, 'x' AS second_geom FROM {DIRTY}")
+@register(f"""SELECT id, line_number, CAST(id AS VARCHAR) AS kept, CAST(line_number AS VARCHAR) AS first_geom, 'x "geometry": y' AS second_geom, 'inner' AS third_geom,
+ CASE WHEN id % 11 = 0 THEN NULL WHEN id % 11 <= 2 THEN 'Polygon' WHEN id % 11 = 3 THEN 'GeometryCollection' WHEN id % 11 = 4 THEN 'LineString' ELSE 'Point' END AS own_geometry FROM {DIRTY}""")
 def f12_rename_geom_props(spark, sf_dir):
-    rows = filters.rename_geom_props(_lines(spark, sf_dir))
+    more = r'"myGeom":"x \"geometry\": y","geometry":{"geom":"inner"}'
+    lines = _lines(spark, sf_dir).withColumn("line", F.replace("line", F.lit('"myGeom":"x"'), F.lit(more)))
+    rows = filters.rename_geom_props(lines)
     g = lambda k: F.get_json_object("line", f"$.properties.{k}")
-    return rows.select("id", "line_number", g("id").alias("kept"), g("geom_renamed_1").alias("first_geom"), g("geom_renamed_2").alias("second_geom"))
+    names = {"id": "kept", "geom_renamed_1": "first_geom", "geom_renamed_2": "second_geom", "geom_renamed_3.geom": "third_geom"}
+    return rows.select("id", "line_number", *[g(k).alias(n) for k, n in names.items()], F.get_json_object("line", "$.geometry.type").alias("own_geometry"))
 
 
-@register("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 1 THEN 4 ELSE 5 END AS corners, 'POLYGON' AS kind FROM nation")
+@register("SELECT p_partkey AS part, p_name AS name, CASE WHEN p_partkey % 2 = 1 THEN 4 ELSE 5 END AS corners, 'POLYGON' AS kind FROM part")
 def f13_with_wkt(spark, sf_dir):
     from ..sources.sinks import with_wkt
 
-    rows = with_wkt(polygons(spark, sf_dir))
-    return rows.select("name", F.size(F.split("wkt", ", ")).alias("corners"), F.substring_index("wkt", " ", 1).alias("kind"))
+    rows = with_wkt(parcels(spark, sf_dir))
+    return rows.select(F.col("polygon_id").alias("part"), "name", F.size(F.split("wkt", ", ")).alias("corners"), F.substring_index("wkt", " ", 1).alias("kind"))
 
 
-@register("SELECT CASE WHEN n_nationkey % 2 = 1 THEN 'triangle' ELSE 'square' END AS shape, count(*) AS n FROM nation GROUP BY 1")
+@register("SELECT CASE WHEN p_partkey % 2 = 1 THEN 'triangle' ELSE 'square' END AS shape, count(*) AS n FROM part GROUP BY 1")
 def f22_geometry_class(spark, sf_dir):
-    rows = filters.geometry_class(polygons(spark, sf_dir), "polygon")
+    rows = filters.geometry_class(parcels(spark, sf_dir), "polygon")
     return rows.groupBy(F.when(F.col("triangle"), "triangle").otherwise("square").alias("shape")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,8 +192,7 @@ UNION ALL SELECT 'maybe', CASE WHEN bool_or(event_id % 5 <> 0) THEN 'bool' ELSE
 
 @register(_INFERRED)
 def a01_infer_properties(spark, sf_dir):
-    lines = readers.parse_lines(_event_lines(spark, sf_dir)).where("not is_bad")
-    return schema.infer_properties(lines, order="event_id").select("key", "type")
+    return schema.infer_properties(_event_lines(spark, sf_dir), order="event_id").select("key", "type")
 
 
 @register("SELECT string_agg(DISTINCT CASE WHEN event_id % 4 = 0 THEN 'MultiPoint' ELSE 'Point' END, ',' ORDER BY CASE WHEN event_id % 4 = 0 THEN 'MultiPoint' ELSE 'Point' END) AS geometry_types FROM events WHERE event_id % 13 <> 0")
@@ -241,8 +244,8 @@ def a04_column_profile(spark, sf_dir):
     return _profiled(spark, sf_dir)
 
 
-_SCORE = """CASE WHEN regexp_matches(n, 'shape|length|area|perimeter|centroid|geom') THEN NULL WHEN n = 'id' THEN 100 WHEN n IN ('uid', 'uuid') THEN 95 WHEN n LIKE '%id' THEN 80
-WHEN n LIKE 'id%' THEN 75 WHEN n LIKE '%id%' THEN 60 WHEN n LIKE '%code%' THEN 50 WHEN n LIKE '%key%' THEN 45 WHEN n LIKE '%name%' THEN 20 WHEN regexp_matches(n, 'inpoly|simpgn|simptol') THEN -5 ELSE 0 END"""
+_SCORE = """CASE WHEN regexp_matches(n, 'shape|length|area|perimeter|centroid|st_area|st_length|starea|stlength') THEN NULL WHEN n = 'id' THEN 100 WHEN n IN ('uid', 'uuid') THEN 95 WHEN n LIKE '%id' THEN 80
+WHEN n LIKE 'id%' THEN 75 WHEN n LIKE '%id%' THEN 60 WHEN n LIKE '%code%' THEN 50 WHEN n LIKE '%key%' THEN 45 WHEN n LIKE '%name%' THEN 20 WHEN regexp_matches(n, 'objectid|fid|inpoly|simpgn|simptol') THEN -5 ELSE 0 END"""
 PICKED = f"""SELECT dataset, best, tier, picked FROM (SELECT dataset, "column" AS best, tier, CASE WHEN tier < 3 THEN "column" END AS picked,
  row_number() OVER (PARTITION BY dataset ORDER BY tier, CASE tier WHEN 1 THEN CAST(-score AS DOUBLE) ELSE -ratio END, CASE tier WHEN 1 THEN length("column") WHEN 2 THEN -score ELSE null_count END, CASE tier WHEN 3 THEN -score ELSE 0 END, ordinal) AS r
  FROM (SELECT *, distinct_values / total AS ratio, CAST(CASE WHEN is_unique THEN 1 WHEN distinct_values / total >= 0.95 THEN 2 ELSE 3 END AS INT) AS tier
@@ -260,6 +263,14 @@ def a09_run_summary(spark, sf_dir):
     return profiles.run_summary(picks)
 
 
+@register("SELECT CASE WHEN p_partkey % 5 = 0 OR p_partkey % 11 = 0 THEN 'skipped' WHEN p_size % 4 = 0 THEN 'error' ELSE 'processed' END AS outcome, count(*) AS n FROM part GROUP BY 1")
+def a09_process_summary(spark, sf_dir):
+    from .inputs import catalog
+
+    failed = table(spark, sf_dir, "part").where("p_size % 4 = 0").select(F.col("p_partkey").alias("pos"), F.lit("unreadable").alias("error"))
+    return profiles.process_summary(catalog(spark, sf_dir).join(failed, "pos", "left"))
+
+
 @register(f"SELECT \"column\", distinct_values FROM ({PROFILE}) WHERE dataset = 'orders' ORDER BY distinct_values DESC, ordinal")
 def o05_order_profile(spark, sf_dir):
     return profiles.order_profile(profiles.profile_columns(table(spark, sf_dir, "orders"), "orders")).select("column", "distinct_values")
@@ -274,7 +285,7 @@ def j04_counts_by_polygon(spark, sf_dir):
     return pairs.join(names, "polygon_id").groupBy("polygon_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT n_nationkey AS polygon_id, CAST(1 AS BIGINT) AS polygons, true AS same FROM nation")
+@register("SELECT p_partkey AS polygon_id, CAST(1 AS BIGINT) AS polygons, true AS same FROM part")
 def wkb_round_trip(spark, sf_dir):
-    rows = polygons(spark, sf_dir).withColumn("wkb", G.to_wkb("coords", "geom_type")).withColumn("back", G.from_wkb("wkb"))
+    rows = parcels(spark, sf_dir).withColumn("wkb", G.to_wkb("coords", "geom_type")).withColumn("back", G.from_wkb("wkb"))
     return rows.select("polygon_id", F.size("back").cast("bigint").alias("polygons"), (F.col("back") == F.col("coords")).alias("same"))

@@ -9,9 +9,8 @@ from ..operators import partitioning, profiles
 from ..sources import readers, sinks
 from ..sources.scratch import scratch
 from ..streaming import features as stream
-from .catalog_queries import _stac
-from .feature_queries import _event_lines
-from .inputs import ASSETS, IN_TRIANGLE, ITEMS, POINTS, POLYGONS, SLICES, TRIANGLE, assets, points, polygons, slices, table
+from .feature_queries import PROFILE, _event_lines, _profiled
+from .inputs import ASSETS, IN_TRIANGLE, ITEMS, POINTS, SLICES, TRIANGLE, assets, items, parcels, points, slices, table
 from .registry import Registry
 
 REGISTRY = register = Registry()
@@ -55,9 +54,14 @@ def src03_read_many(spark, sf_dir):
     return readers.read_features(spark, [paths[0], paths[2]]).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("""SELECT * FROM (VALUES (0, 'id', 'bigint'), (1, 'status', 'string'), (2, 'geometry', 'binary'), (3, 'bbox', 'struct<xmin:double,ymin:double,xmax:double,ymax:double>')) AS t(position, "column", type) WHERE (SELECT count(*) FROM orders) > 0""")
+@register("""SELECT 0 AS position, 'segment' AS "column", 'string' AS type UNION ALL SELECT CAST(row_number() OVER (ORDER BY k) AS INT), CAST(k AS VARCHAR), 'struct<customers:bigint,balance:double>' FROM (SELECT DISTINCT c_nationkey AS k FROM customer)""")
 def src04_schema_table(spark, sf_dir):
-    return readers.schema_table(readers.read_features(spark, _written(spark, sf_dir)[0]))
+    """A file with a nested column for each nation that has customers."""
+    path = scratch(spark, "schema")
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "segment")
+    pair = F.struct(F.count(F.lit(1)).alias("customers"), F.sum("c_acctbal").alias("balance"))
+    c.groupBy("segment").pivot("c_nationkey").agg(pair).write.parquet(path)
+    return readers.schema_table(readers.read_features(spark, path))
 
 
 @register("SELECT CAST(s_suppkey AS VARCHAR) AS part, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS minx, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal + 1 END AS maxx FROM supplier")
@@ -89,15 +93,17 @@ def src09_read_assets(spark, sf_dir):
     return readers.asset_rows(found).select(F.concat(F.lit("org/"), "repo").alias("repo"), "tag", "asset")
 
 
-@register("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS pos, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0")
+@register("SELECT CAST(row_number() OVER (PARTITION BY p_partkey // 64 ORDER BY p_partkey) - 1 AS INT) AS pos, p_partkey AS part FROM part WHERE p_partkey % 4 <> 0")
 def src10_read_filter_layer(spark, sf_dir):
-    p = polygons(spark, sf_dir)
+    """A layer for every 64 parts."""
+    p = parcels(spark, sf_dir)
     geometry = F.when(F.col("polygon_id") % 4 == 0, F.lit('{"type":"Point","coordinates":[1,2]}')).otherwise(sinks.geometry_json())
-    feature = F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":{"name":"'), "name", F.lit('"}}'))
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":{"part":'), F.col("polygon_id").cast("string"), F.lit("}}"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("polygon_id", feature.alias("f")))), lambda s: s["f"])
     path = scratch(spark, "layer")
-    p.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(ordered, ","), F.lit("]}")).alias("value")).coalesce(1).write.text(path)
-    return readers.read_filter_layer(spark, path).select("pos", F.col("properties")["name"].alias("name"))
+    layers = p.groupBy(F.floor(F.col("polygon_id") / 64).alias("layer")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(ordered, ","), F.lit("]}")).alias("value"))
+    layers.select("value").write.text(path)
+    return readers.filter_layer_rows(spark.read.text(path)).select("pos", F.col("properties")["part"].cast("bigint").alias("part"))
 
 
 @register(f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, count(DISTINCT status) AS files FROM {POINTS}")
@@ -137,19 +143,16 @@ def snk05_write_meta(spark, sf_dir):
     p = points(spark, sf_dir)
     path = scratch(spark, "meta")
     sinks.write_meta(readers.schema_table(p), p, profiles.partition_extents(p, "status").withColumnRenamed("status", "part"), path)
-    text = spark.read.text(path)
-    types = text.select(F.array_join(F.from_json(F.get_json_object("value", "$.geometry_types"), "array<string>"), ",").alias("types"), "value")
-    return readers.extents_rows(text).join(types.select("types"), F.lit(True)).select("part", "minx", "maxy", "types")
+    text = spark.read.text(path).withColumn("types", F.array_join(F.from_json(F.get_json_object("value", "$.geometry_types"), "array<string>"), ","))
+    return readers.extents_rows(text, keep=("types",)).select("part", "minx", "maxy", "types")
 
 
-@register("""SELECT 'repo' || CAST(n_regionkey AS VARCHAR) AS repo, count(*) AS fields FROM (SELECT unnest(['r_regionkey', 'r_name']) AS f, r_regionkey AS n_regionkey FROM region) GROUP BY 1""")
+@register(f"SELECT 'repo-' || dataset AS repo, count(*) AS fields, CAST(sum(distinct_values) AS BIGINT) AS distinct_values FROM ({PROFILE}) GROUP BY 1")
 def snk06_write_profiles(spark, sf_dir):
     path = scratch(spark, "profiles")
-    regions = table(spark, sf_dir, "region")
-    one = profiles.profile_columns(regions, "region")
-    rows = one.join(regions.select(F.concat(F.lit("repo"), F.col("r_regionkey").cast("string")).alias("repo")), F.lit(True)).withColumn("tag", F.lit("v1"))
+    rows = _profiled(spark, sf_dir).withColumn("repo", F.concat(F.lit("repo-"), "dataset")).withColumn("tag", F.lit("v1"))
     sinks.write_profiles(rows, path)
-    return spark.read.json(path).groupBy("repo").agg(F.count("column").alias("fields"))
+    return spark.read.json(path).groupBy("repo").agg(F.count("column").alias("fields"), F.sum("distinct_values").alias("distinct_values"))
 
 
 @register(f"SELECT id, status FROM {POINTS} WHERE {IN_TRIANGLE}")
@@ -165,45 +168,103 @@ def st01_stream_filter(spark, sf_dir):
 def st02_stream_counters(spark, sf_dir):
     landed, out, check = (scratch(spark, x) for x in ("landed", "filtered", "progress"))
     _event_lines(spark, sf_dir).select("line").write.text(landed)
-    query = stream.stream_filter(spark, landed, out, TRIANGLE, {"whole": "int"}, check)
+    counters = stream.Counters()
+    query = stream.stream_filter(spark, landed, out, TRIANGLE, {"whole": "int"}, check, counters=counters)
     query.awaitTermination()
-    seen = stream.stream_counters(query)
+    seen = counters.of(query)
+    spark.streams.removeListener(counters)
     return spark.createDataFrame([(seen["unparsed"], seen["count"])], "unparsed bigint, n bigint")
 
 
-@register("SELECT 'd' || CAST(n_nationkey AS VARCHAR) AS dataset, CAST(1 AS BIGINT) AS times FROM nation")
+@register("SELECT 'd' || CAST(p_partkey AS VARCHAR) AS dataset, CAST(1 AS BIGINT) AS times FROM part")
 def st03_process_new(spark, sf_dir):
     landing, done, out = (scratch(spark, x) for x in ("landing", "done", "processed"))
-    n = table(spark, sf_dir, "nation")
-    write = lambda df: df.select(F.concat(F.lit("d"), F.col("n_nationkey").cast("string")).alias("dataset")).write.mode("append").json(landing)
+    p = table(spark, sf_dir, "part")
+    write = lambda df: df.select(F.concat(F.lit("d"), F.col("p_partkey").cast("string")).alias("dataset")).write.mode("append").json(landing)
     check = scratch(spark, "progress")
     keep = lambda df: df.write.mode("append").parquet(out)
-    write(n.where("n_nationkey < 15"))
-    stream.process_new(spark, landing, done, keep, check).awaitTermination()
-    write(n.where("n_nationkey >= 10"))  # some land again
-    stream.process_new(spark, landing, done, keep, check).awaitTermination()
+    first, rest = p.where("p_size % 3 < 2"), p.where("p_size % 3 > 0")
+    write(first.unionAll(first))  # each lands twice in a batch
+    stream.process_new(spark, landing, done, keep, check, "dataset string").awaitTermination()
+    write(rest)  # some land again
+    stream.process_new(spark, landing, done, keep, check, "dataset string").awaitTermination()
     return spark.read.parquet(out).groupBy("dataset").agg(F.count(F.lit(1)).alias("times"))
 
 
-@register(f"SELECT collection, count(*) AS n, min(w) AS west FROM {ITEMS} GROUP BY collection")
-def src08_read_stac_items(spark, sf_dir):
-    """Items written as an item table and read back."""
+def _item_tables(spark, sf_dir):
+    """Items written as item tables, a file for each collection, with the columns that such tables have, and read back."""
     path = scratch(spark, "items")
-    i = _stac(spark, sf_dir)
-    b = F.col("bbox")
-    box = F.struct(*[F.get(b, k).alias(n) for k, n in enumerate(("xmin", "ymin", "xmax", "ymax"))])
-    raw = i.select(F.col("item_pos").alias("pos"), "id", F.col("stac_version").alias("version"), box.alias("bbox"), "collection")
+    box = F.struct(F.col("w").alias("xmin"), F.col("s").alias("ymin"), F.col("e").alias("xmax"), F.col("n").alias("ymax"))
+    none = lambda kind: F.lit(None).cast(kind)
+    thumbnail = F.create_map(F.lit("data"), F.struct(F.concat(F.lit("https://h/"), F.col("item_pos").cast("string"), F.lit(".tif")).alias("href")))
+    odd = F.col("item_pos") % 2 == 1
+    raw = items(spark, sf_dir).repartition("collection").sortWithinPartitions("item_pos").select(
+        F.when(~F.col("id").startswith("item-"), F.col("id")).alias("id"), F.when(odd, thumbnail).alias("assets"), box.alias("bbox"), none("binary").alias("geometry"),
+        none("array<string>").alias("links"), F.when(odd, F.array(F.lit("https://x/projection"))).otherwise(F.array().cast("array<string>")).alias("stac_extensions"),
+        F.when(F.col("version") != "1.0.0", F.col("version")).alias("stac_version"), F.lit("Feature").alias("type"), F.timestamp_seconds(F.col("item_pos")).alias("datetime"),
+        F.when(odd, F.lit(4326)).cast("bigint").alias("proj:epsg"), F.when(odd, F.array(F.lit(256), F.lit(512))).cast("array<bigint>").alias("proj:shape"),
+        F.when(odd, F.array(F.lit(0.5), F.lit(0.25))).alias("proj:transform"), "collection",
+    )
     raw.write.partitionBy("collection").parquet(path)
     each = [readers.read_stac_items(spark, f"{path}/collection={c}", c) for c in ("c0", "c1")]
-    return each[0].unionByName(each[1]).groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.min(F.get("bbox", 0)).alias("west"))
+    return each[0].unionByName(each[1])
+
+
+_NUMBERED = f"(SELECT *, CASE WHEN id LIKE 'item-%' THEN concat('item-', CAST(row_number() OVER (PARTITION BY collection ORDER BY item_pos) - 1 AS VARCHAR)) ELSE id END AS name FROM {ITEMS})"
+
+
+@register(f"SELECT collection, name AS id, version AS stac_version, w AS west FROM {_NUMBERED}")
+def src08_read_stac_items(spark, sf_dir):
+    return _item_tables(spark, sf_dir).select("collection", "id", "stac_version", F.get("bbox", 0).alias("west"))
+
+
+@register(f"""SELECT collection, name AS id, '/stac/collections/' || collection || '/items/' || name AS self, w AS west, 5 AS corners, strftime(make_timestamp(item_pos * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS datetime,
+ CASE WHEN item_pos % 2 = 1 THEN 4326 END AS epsg, CASE WHEN item_pos % 2 = 1 THEN 512 END AS rows, CASE WHEN item_pos % 2 = 1 THEN 0.25::DOUBLE END AS step,
+ CASE WHEN item_pos % 2 = 1 THEN 'https://h/' || CAST(item_pos AS VARCHAR) || '.tif' END AS href, CASE WHEN item_pos % 2 = 1 THEN '["https://x/projection"]' END AS extensions, CASE WHEN item_pos % 2 = 0 THEN '{{}}' END AS no_assets FROM {_NUMBERED}""")
+def f25_stac_documents(spark, sf_dir):
+    from ..operators import stac
+
+    d = stac.stac_documents(_item_tables(spark, sf_dir))
+    get = lambda p: F.get_json_object("document", p)
+    return d.select(
+        "collection", "id", get("$.links[0].href").alias("self"), get("$.bbox[0]").cast("double").alias("west"), F.json_array_length(get("$.geometry.coordinates[0]")).alias("corners"),
+        get("$.properties.datetime").alias("datetime"), get("$.properties['proj:epsg']").cast("int").alias("epsg"), get("$.properties['proj:shape'][1]").cast("int").alias("rows"),
+        get("$.properties['proj:transform'][1]").cast("double").alias("step"), get("$.assets.data.href").alias("href"), get("$.stac_extensions").alias("extensions"),
+        F.when(get("$.assets.data").isNull(), get("$.assets")).alias("no_assets"),
+    )
+
+
+def _collections(spark, sf_dir):
+    """The collections of the item tables, and one without items."""
+    known = items(spark, sf_dir).groupBy(F.col("collection").alias("id")).agg(F.min("collection_pos").alias("pos"))
+    return known.union(known.agg(F.lit("none"), F.lit(2))).withColumn("title", F.concat(F.lit("Orders "), "id"))
+
+
+@register(f"""SELECT collection AS id, 'Orders ' || collection AS title, min(w) AS west, max(n) AS north, '/stac/collections/' || collection || '/items' AS items FROM {ITEMS} GROUP BY collection
+UNION ALL SELECT 'none', 'Orders none', -180.0, 90.0, '/stac/collections/none/items'""")
+def f25_collection_documents(spark, sf_dir):
+    from ..operators import stac
+
+    d = stac.collection_documents(_collections(spark, sf_dir), _item_tables(spark, sf_dir))
+    get = lambda p: F.get_json_object("document", p)
+    return d.select("id", get("$.title").alias("title"), get("$.extent.spatial.bbox[0][0]").cast("double").alias("west"), get("$.extent.spatial.bbox[0][3]").cast("double").alias("north"), get("$.links[2].href").alias("items"))
+
+
+@register(f"SELECT '/stac/collections/' || collection AS href, min(collection_pos) + 5 AS place FROM {ITEMS} GROUP BY collection UNION ALL SELECT '/stac/collections/none', 7")
+def f25_catalog_document(spark, sf_dir):
+    from ..operators import stac
+
+    d = stac.catalog_document(_collections(spark, sf_dir))
+    links = d.select(F.posexplode(F.from_json(F.get_json_object("document", "$.links"), "array<struct<rel: string, href: string>>")).alias("place", "link"))
+    return links.where("link.rel = 'child'").select("link.href", "place")
 
 
-@register(f"SELECT polygon_id, name FROM {POLYGONS}")
+@register("SELECT p_partkey AS polygon_id, p_name AS name FROM part")
 def snk04_polygons_geojson(spark, sf_dir):
     path = scratch(spark, "polygons")
-    p = polygons(spark, sf_dir).withColumn("geometry", sinks.geometry_json()).select("polygon_id", "name", "geometry")
-    sinks.write_geojson(p, path, shards=1)
-    return readers.read_filter_layer(spark, path).select(F.col("properties")["polygon_id"].cast("int").alias("polygon_id"), F.col("properties")["name"].alias("name"))
+    p = parcels(spark, sf_dir).withColumn("geometry", sinks.geometry_json()).select("polygon_id", "name", "geometry")
+    sinks.write_geojson(p, path, shards=4)
+    return readers.read_filter_layer(spark, path).select(F.col("properties")["polygon_id"].cast("bigint").alias("polygon_id"), F.col("properties")["name"].alias("name"))
 
 
 @register(f"SELECT CAST(count(*) AS BIGINT) AS n FROM {POINTS}")

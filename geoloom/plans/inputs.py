@@ -123,15 +123,33 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as squares, or triangles where the key is odd."""
-    df = table(spark, sf_dir, "nation").selectExpr(*POLYGON_COLUMNS)
+    return _with_corners(table(spark, sf_dir, "nation").selectExpr(*POLYGON_COLUMNS), 5)
+
+
+def _with_corners(df: DataFrame, side: float) -> DataFrame:
     x0, y0 = F.col("x0"), F.col("y0")
     p = lambda x, y: F.array(x, y)
-    square = F.array(p(x0, y0), p(x0 + 5, y0), p(x0 + 5, y0 + 5), p(x0, y0 + 5), p(x0, y0))
-    triangle = F.array(p(x0, y0), p(x0 + 5, y0), p(x0, y0 + 5), p(x0, y0))
+    square = F.array(p(x0, y0), p(x0 + side, y0), p(x0 + side, y0 + side), p(x0, y0 + side), p(x0, y0))
+    triangle = F.array(p(x0, y0), p(x0 + side, y0), p(x0, y0 + side), p(x0, y0))
     df = df.withColumn("coords", F.array(F.array(F.when(F.col("triangle"), triangle).otherwise(square)))).withColumn("geom_type", F.lit("Polygon"))
     return df.withColumn("bbox", G.bbox(F.col("coords"))).withColumn("edges", G.edges(F.col("coords")))
 
 
+#: Parts as small squares, or triangles where the key is odd.
+PARCEL_COLUMNS = (
+    "p_partkey AS polygon_id",
+    "p_name AS name",
+    "p_partkey % 2 = 1 AS triangle",
+    "CAST(67 AS DOUBLE) + CAST(p_partkey * 7919 % 30000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS x0",
+    "CAST(5 AS DOUBLE) + CAST(p_partkey * 104729 % 32000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS y0",
+)
+
+
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as squares or triangles of a quarter of a degree."""
+    return _with_corners(table(spark, sf_dir, "part").selectExpr(*PARCEL_COLUMNS), 0.25)
+
+
 #: Whether a point is in such a polygon, by half planes.
 IN_POLYGON = "lon >= x0 AND lat >= y0 AND CASE WHEN triangle THEN (lon - x0) + (lat - y0) <= 5 ELSE lon <= x0 + 5 AND lat <= y0 + 5 END"
 

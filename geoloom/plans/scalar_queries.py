@@ -50,11 +50,12 @@ def g04_bbox_ring(spark, sf_dir):
     return rows.select("slice_pos", F.size("ring").alias("corners"), F.get("label", 0).alias("label_x"), F.get("label", 1).alias("label_y"), F.get(F.get("ring", 2), 0).alias("third_x"))
 
 
-@register("SELECT concat(CAST(s_suppkey % 7 AS VARCHAR), '.', CAST(s_suppkey AS VARCHAR)) AS label, s_acctbal AS minx FROM supplier")
+@register("SELECT CASE WHEN s_suppkey % 7 = 6 THEN concat('rg_', CAST(s_suppkey AS VARCHAR)) ELSE concat(CAST(s_suppkey % 7 AS VARCHAR), '.', CAST(s_suppkey AS VARCHAR)) END AS label, s_acctbal AS minx FROM supplier")
 def g05_flatten_extents(spark, sf_dir):
-    groups = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 7).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("rg_"), F.col("s_suppkey").cast("string")), F.col("s_acctbal")))).alias("groups"))
-    each = groups.select(F.concat(F.lit("data."), F.col("f").cast("string"), F.lit(".parquet")).alias("file"), F.explode("groups").alias("group", "minx"))
-    return each.select(F.concat_ws(".", S.part_label(F.col("file")), S.part_label(F.col("group"))).alias("label"), "minx")
+    box = F.struct(F.col("s_acctbal").alias("minx"))
+    groups = table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 7).alias("f")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("rg_"), F.col("s_suppkey").cast("string")), box))).alias("groups"))
+    name = F.when(F.col("f") == 6, F.lit("whole.parquet")).otherwise(F.concat(F.lit("data."), F.col("f").cast("string"), F.lit(".parquet")))
+    return S.flatten_extents(groups.select(F.create_map(name, F.col("groups")).alias("extents"))).select("label", "box.minx")
 
 
 @register("SELECT p_partkey AS part, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_partkey AS VARCHAR) END AS label FROM part")
@@ -85,13 +86,13 @@ def g10_release_page(spark, sf_dir):
     return catalog(spark, sf_dir).select("pos", S.release_page(F.col("url")).alias("page"))
 
 
-NAMES = ("id", "uuid", "objectid", "id_no", "width", "areacode", "pincode", "key1", "name", "simptol", "foo")
-SCORES = (100, 95, 80, 75, 60, None, 50, 45, 20, -5, 0)
+NAMES = ("id", "uuid", "objectid", "id_no", "width", "areacode", "pincode", "key1", "name", "simptol", "foo", "geom_id", "STArea")
+SCORES = (100, 95, 80, 75, 60, None, 50, 45, 20, -5, 0, 80, None)
 
 
-@register("SELECT p_partkey AS part, CASE CAST(p_partkey % 11 AS INT) " + " ".join(f"WHEN {i} THEN CAST({'NULL' if s is None else s} AS INT)" for i, s in enumerate(SCORES)) + " END AS score FROM part")
+@register("SELECT p_partkey AS part, CASE CAST(p_partkey % 13 AS INT) " + " ".join(f"WHEN {i} THEN CAST({'NULL' if s is None else s} AS INT)" for i, s in enumerate(SCORES)) + " END AS score FROM part")
 def g11_id_score(spark, sf_dir):
-    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % 11).cast("int"))
+    name = F.get(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % 13).cast("int"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), S.id_score(name).alias("score"))
 
 
@@ -110,13 +111,25 @@ def g13_linkify(spark, sf_dir):
     return catalog(spark, sf_dir).select("pos", S.linkify(F.col("url")).alias("html"))
 
 
-@register("""SELECT doc_id, concat('- d', CAST(doc_id AS VARCHAR), '.pmtiles ([view](/d', CAST(doc_id AS VARCHAR), '/view))', chr(10), 'License: https://creativecommons.org/by', chr(10),
- '[d', CAST(doc_id AS VARCHAR), '.geojsonl.7z.001](https://h/d', CAST(doc_id AS VARCHAR), '.geojsonl.7z.001)', chr(10), 'x') AS new_body, true AS changed FROM documents""")
+_NOTES = """CASE WHEN doc_id % 5 = 4 THEN 'plain line' ELSE concat(
+ 'Tiles: https://maps.example.org/d', d, '/{{z}}/{{x}}/{{y}}.pbf', {view}, chr(10), 'see [{text}](https://h/LICENSE) or {url}', chr(10), {data}, chr(10), {alone}, chr(10), 'x.7z.txt') END"""
+_OLD = _NOTES.format(view="''", text="old terms", url="https://h/OLD", data="'Data  file d' || d || '.7z:'", alone="'d' || d || CASE WHEN doc_id % 2 = 0 THEN '.7z' ELSE '.zip:' END")
+_NEW = _NOTES.format(
+    view="' - [view](https://maps.example.org/d' || d || '/view)'", text="new terms", url="https://h/LICENSE", data="'Data file [d' || d || '.7z](https://h/f/d' || d || '.7z)'",
+    alone="'### [d' || d || CASE WHEN doc_id % 2 = 0 THEN '.7z' ELSE '.zip' END || '](https://h/f/d' || d || CASE WHEN doc_id % 2 = 0 THEN '.7z)' ELSE '.zip)' END",
+)
+
+
+@register(f"SELECT doc_id, {_NEW} AS new_body, doc_id % 5 <> 4 AS changed FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS d FROM documents)")
 def g14_rewrite_notes(spark, sf_dir):
-    body = F.expr(r"concat('- d', doc_id, '.pmtiles\nlicence :  http://creativecommons.org/by\nd', doc_id, '.geojsonl.7z.001\nx')")
-    rules = [notes.add_view_links, notes.fix_license, lambda line: notes.add_data_links(line, "https://h/")]
-    rows = notes.rewrite_notes(table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), rules)
-    return rows.select("doc_id", "new_body", "changed")
+    body = table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(doc_id AS STRING) AS d").selectExpr("doc_id", f"{_OLD} AS body")
+    rules = [
+        lambda line: notes.add_view_links(line, "https://maps.example.org/"),
+        lambda line: notes.fix_license_link(line, "https://h/OLD", "https://h/LICENSE"),
+        lambda line: notes.fix_license_text(line, "old terms", "new terms", "https://h/LICENSE"),
+        lambda line: notes.add_data_links(line, "https://h/f"),
+    ]
+    return notes.rewrite_notes(body, rules).select("doc_id", "new_body", "changed")
 
 
 @register("SELECT p_partkey AS part, CASE WHEN p_partkey % 50 = 0 THEN '0.00 KB' ELSE concat(CAST(CAST(p_size AS DOUBLE) AS VARCHAR), ' ', CASE p_partkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'KB' WHEN 2 THEN 'MB' ELSE 'GB' END) END AS size, regexp_replace(p_name, '[^a-zA-Z0-9_-]', '_', 'g') AS safe, strftime(make_timestamp(p_partkey * 100000 * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM part")

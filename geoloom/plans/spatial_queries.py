@@ -15,11 +15,11 @@ REGISTRY = register = Registry()
 
 
 def _kd_sql(depth: int) -> str:
-    """Nodes by exact medians of alternate axes."""
+    """Nodes by medians of alternate axes, exact for fewer rows than the operator's accuracy."""
     sql = f"SELECT *, 0 AS leaf FROM {POINTS}"
     for k in range(depth):
         axis = "lon" if k % 2 == 0 else "lat"
-        sql = f"SELECT * REPLACE (leaf * 2 + CASE WHEN {axis} > quantile_cont({axis}, 0.5) OVER (PARTITION BY leaf) THEN 1 ELSE 0 END AS leaf) FROM ({sql})"
+        sql = f"SELECT * REPLACE (leaf * 2 + CASE WHEN {axis} > quantile_disc({axis}, 0.5) OVER (PARTITION BY leaf) THEN 1 ELSE 0 END AS leaf) FROM ({sql})"
     return sql
 
 
@@ -28,7 +28,7 @@ KD = _kd_sql(4)
 
 @register(f"SELECT id, CAST(leaf AS INT) AS kd_leaf FROM ({KD})")
 def p01_kd_partition(spark, sf_dir):
-    return partitioning.kd_partition(points(spark, sf_dir), 16, exact=True).select("id", "kd_leaf")
+    return partitioning.kd_partition(points(spark, sf_dir), 16).select("id", "kd_leaf")
 
 
 @register("SELECT o_orderkey AS id, CAST(CASE WHEN s <= 2147483648 THEN 1 ELSE pow(2, ceil(log2(ceil(s / 2147483648.0)))) END AS BIGINT) AS parts FROM (SELECT o_orderkey, o_orderkey * 1000003 AS s FROM orders)")
@@ -36,17 +36,31 @@ def p02_partition_count(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), partitioning.partition_count(F.col("o_orderkey") * 1000003).alias("parts"))
 
 
+@register(f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, true AS doubled, CAST(0 AS BIGINT) AS oversized FROM {POINTS}")
+def p02_write_bounded(spark, sf_dir):
+    """A limit that the whole table passes by far, so that the partitions are doubled at least once."""
+    path = scratch(spark, "bounded")
+    most = 20_000
+    leaves = partitioning.write_bounded(points(spark, sf_dir).select("id", "bbox"), path, 1, most)
+    stored = readers.read_features(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return stored.select("n", "ids", F.lit(leaves > 1).alias("doubled"), F.lit(partitioning.oversized(spark, path, most).count()).cast("bigint").alias("oversized"))
+
+
 @register(f"SELECT CAST(leaf AS INT) AS kd_leaf, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM ({KD}) GROUP BY leaf")
 def a06_partition_extents(spark, sf_dir):
-    return profiles.partition_extents(partitioning.kd_partition(points(spark, sf_dir), 16, exact=True))
+    return profiles.partition_extents(partitioning.kd_partition(points(spark, sf_dir), 16))
 
 
-@register("""SELECT "column", type FROM (VALUES ('id', 'bigint'), ('a', 'string'), ('b', 'double')) AS t("column", type) WHERE (SELECT count(*) FROM orders) > 0""")
+@register("""WITH first AS (SELECT DISTINCT o_orderpriority AS c FROM orders WHERE o_orderkey % 2 = 0), second AS (SELECT DISTINCT o_orderpriority AS c FROM orders UNION SELECT DISTINCT o_orderstatus FROM orders)
+SELECT 'day' AS "column", 'int' AS type UNION ALL SELECT c, 'bigint' FROM first UNION ALL SELECT c, 'double' FROM second WHERE c NOT IN (SELECT c FROM first)""")
 def a07_schema_union(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    files = [o.selectExpr("o_orderkey AS id", "o_orderstatus AS a"), o.selectExpr("o_orderkey AS id", "o_custkey AS a", "o_totalprice AS b")]
-    rows = [readers.schema_table(d).withColumn("file_pos", F.lit(i)) for i, d in enumerate(files)]
-    return profiles.schema_union(rows[0].unionByName(rows[1])).select("column", "type")
+    """Two files whose columns are values of the table: counts by priority, then prices by priority and status."""
+    o = table(spark, sf_dir, "orders").withColumn("day", F.dayofmonth("o_orderdate"))
+    paths = [scratch(spark, "schema-a"), scratch(spark, "schema-b")]
+    o.where("o_orderkey % 2 = 0").groupBy("day").pivot("o_orderpriority").count().write.parquet(paths[0])
+    both = o.select("day", "o_totalprice", F.explode(F.array("o_orderpriority", "o_orderstatus")).alias("value"))
+    both.groupBy("day").pivot("value").agg(F.sum("o_totalprice")).write.parquet(paths[1])
+    return profiles.schema_union(readers.read_schemas(spark, paths)).select("column", "type")
 
 
 @register("SELECT s_nationkey AS nation, CASE WHEN bool_or(s_suppkey % 2 = 0) AND bool_or(s_suppkey % 2 = 1) THEN 'MultiPolygon,Point,Polygon' WHEN bool_or(s_suppkey % 2 = 0) THEN 'MultiPolygon,Polygon' ELSE 'Point' END AS types FROM supplier GROUP BY s_nationkey")
@@ -150,7 +164,7 @@ def prepare_and_extract(spark, sf_dir):
     from ..operators.filters import shape_filter
 
     path = scratch(spark, "published")
-    parted = partitioning.kd_partition(points(spark, sf_dir), 16, exact=True)
+    parted = partitioning.kd_partition(points(spark, sf_dir), 16)
     sinks.write_geoparquet(parted.select("id", "kd_leaf", "geom_type", "coords", "bbox"), path, sort=["kd_leaf", "bbox.xmin"])
     stored = readers.read_features(spark, path)
     return shape_filter(stored, TRIANGLE).groupBy("kd_leaf").agg(F.count(F.lit(1)).alias("n"))

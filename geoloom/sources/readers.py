@@ -53,9 +53,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return catalog_rows(spark.read.text(path, wholetext=True))
 
 
-def extents_rows(text: DataFrame, column: str = "value") -> DataFrame:
-    """``part`` and its box of sidecar JSON; extents are objects or lists, and a box with a number that isn't finite is null."""
-    found = text.select(F.explode(F.from_json(F.get_json_object(column, "$.extents"), "map<string, string>", {"allowNonNumericNumbers": "true"})).alias("part", "box"))
+def extents_rows(text: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``part`` and its box of sidecar JSON, and the columns to keep; extents are objects or lists, and a box with a number that isn't finite is null."""
+    found = text.select(*keep, F.explode(F.from_json(F.get_json_object(column, "$.extents"), "map<string, string>", {"allowNonNumericNumbers": "true"})).alias("part", "box"))
     names = ("minx", "miny", "maxx", "maxy")
     as_object = [F.get_json_object("box", f"$.{n}").try_cast("double") for n in names]
     as_list = [F.get_json_object("box", f"$[{i}]").try_cast("double") for i in range(4)]
@@ -63,7 +63,7 @@ def extents_rows(text: DataFrame, column: str = "value") -> DataFrame:
     finite = F.lit(True)
     for v in values:
         finite = finite & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    return found.select("part", *[F.when(finite, v).alias(n) for n, v in zip(names, values)])
+    return found.select(*keep, "part", *[F.when(finite, v).alias(n) for n, v in zip(names, values)])
 
 
 def read_extents(spark: SparkSession, path: str) -> DataFrame:
@@ -90,25 +90,39 @@ def slices_by_zoom(slices: DataFrame) -> DataFrame:
     return slices.withColumn("z", F.explode(F.sequence("min_zoom", "max_zoom")))
 
 
+def read_schemas(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file_pos``, ``position``, ``column`` and ``type`` of the columns of Parquet files, from their footers."""
+    rows = [(n, i, f.name, f.dataType.simpleString()) for n, path in enumerate(paths) for i, f in enumerate(spark.read.parquet(path).schema.fields)]
+    return spark.createDataFrame(rows, "file_pos int, position int, column string, type string")
+
+
+#: Columns of an item table, by position.
+ITEM_COLUMNS = ("id", "assets", "bbox", "geometry", "links", "stac_extensions", "version", "type", "datetime", "proj_epsg", "proj_shape", "proj_transform")
+
+
 def stac_items(table: DataFrame, collection: str, pos: str = "pos") -> DataFrame:
-    """Items from the twelve columns of an item table; the geometry is the box as a ring."""
+    """Items from the columns of an item table; the geometry is the box as a ring. An empty id or version counts as missing."""
     b = F.col("bbox")
     corner = lambda x, y: F.array(b[x], b[y])
     ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"), corner("xmin", "ymin"))
     return table.select(
         F.col(pos).alias("item_pos"),
         F.lit(collection).alias("collection"),
-        F.coalesce("id", F.concat(F.lit("item-"), F.col(pos).cast("string"))).alias("id"),
-        F.coalesce("version", F.lit("1.0.0")).alias("stac_version"),
+        F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("item-"), F.col(pos).cast("string"))).alias("id"),
+        F.coalesce(F.nullif("version", F.lit("")), F.lit("1.0.0")).alias("stac_version"),
         F.array(b["xmin"], b["ymin"], b["xmax"], b["ymax"]).alias("bbox"),
         F.array(ring).alias("ring"),
-        *[c for c in ("datetime", "assets", "proj_epsg", "proj_shape", "proj_transform") if c in table.columns],
+        *[c for c in ("datetime", "assets", "stac_extensions", "proj_epsg", "proj_shape", "proj_transform") if c in table.columns],
     )
 
 
 def read_stac_items(spark: SparkSession, path: str, collection: str) -> DataFrame:
-    """Items of a Parquet file; a file's rows are numbered in file order."""
-    return stac_items(spark.read.parquet(path), collection)
+    """Items of a Parquet file, whose columns are known by their position; rows are numbered in file order."""
+    raw = spark.read.parquet(path)
+    if len(raw.columns) < len(ITEM_COLUMNS):
+        raise ValueError(f"an item table has the columns {', '.join(ITEM_COLUMNS)}, in this order: {path}")
+    named = [F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, ITEM_COLUMNS)]
+    return stac_items(raw.select(F.col("_metadata.row_index").alias("pos"), *named), collection)
 
 
 def asset_rows(lines: DataFrame) -> DataFrame:

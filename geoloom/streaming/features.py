@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from threading import Event
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import geometry as G
 from ..operators.filters import normalize_props, shape_filter
@@ -22,8 +25,42 @@ def filter_lines(lines: DataFrame, rings: list, schema: dict[str, str]) -> DataF
     return normalize_props(shape_filter(rows, rings), schema)
 
 
-def stream_filter(spark: SparkSession, in_dir: str, out_dir: str, rings: list, schema: dict[str, str], checkpoint: str, files: int = 1000):
-    """Start a query that filters files as they land; ends when all present ones are done. Counters are observed."""
+class Counters(StreamingQueryListener):
+    """Rows, unparsed rows and bytes of every batch of a query, summed as the batches end."""
+
+    def __init__(self):
+        self.total: dict[str, dict[str, int]] = {}
+        self.ended: dict[str, Event] = {}
+
+    def _of(self, run: str) -> dict[str, int]:
+        return self.total.setdefault(run, {"count": 0, "unparsed": 0, "bytes": 0})
+
+    def onQueryStarted(self, event):
+        self.ended.setdefault(str(event.runId), Event())
+
+    def onQueryProgress(self, event):
+        seen = event.progress.observedMetrics.get("features")
+        if seen is not None:
+            total = self._of(str(event.progress.runId))
+            for k in total:
+                total[k] += int(seen[k] or 0)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.setdefault(str(event.runId), Event()).set()
+
+    def of(self, query, seconds: float = 60) -> dict[str, int]:
+        """What a query that has ended saw; waits until its last batch has been reported."""
+        self.ended.setdefault(str(query.runId), Event()).wait(seconds)
+        return dict(self._of(str(query.runId)))
+
+
+def stream_filter(spark: SparkSession, in_dir: str, out_dir: str, rings: list, schema: dict[str, str], checkpoint: str, files: int = 1000, counters: Counters | None = None):
+    """Start a query that filters files as they land; ends when all present ones are done. ``counters`` adds up what it observes."""
+    if counters is not None:
+        spark.streams.addListener(counters)
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(in_dir).withColumnRenamed("value", "line")
     bad = F.try_parse_json("line").isNull()
     lines = lines.observe("features", F.count(F.lit(1)).alias("count"), F.count_if(bad).alias("unparsed"), F.sum(F.octet_length("line")).alias("bytes"))
@@ -31,20 +68,11 @@ def stream_filter(spark: SparkSession, in_dir: str, out_dir: str, rings: list, s
     return out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def stream_counters(query) -> dict[str, int]:
-    """Rows, unparsed rows and bytes that a query has seen."""
-    total = {"count": 0, "unparsed": 0, "bytes": 0}
-    for progress in query.recentProgress:
-        seen = (progress.observedMetrics if hasattr(progress, "observedMetrics") else progress["observedMetrics"]).get("features")
-        if seen is not None:
-            for k in total:
-                total[k] += int(seen[k] or 0)
-    return total
-
+def process_new(spark: SparkSession, landing: str, done: str, fn, checkpoint: str, schema: str, key: str = "dataset"):
+    """Process datasets as they land, each once: the checkpoint keeps track of files, ``done`` of datasets.
 
-def process_new(spark: SparkSession, landing: str, done: str, fn, checkpoint: str, key: str = "dataset"):
-    """Process datasets as they land, each once: the checkpoint keeps track of files, ``done`` of datasets."""
-    schema = spark.read.json(landing).schema
+    ``schema`` is that of the landing files. A dataset that lands again, in the same batch or later, is left out.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         try:
@@ -53,8 +81,8 @@ def process_new(spark: SparkSession, landing: str, done: str, fn, checkpoint: st
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             finished = spark.createDataFrame([], f"{key} string")
-        new = df.join(finished, key, "left_anti")
+        new = df.join(finished, key, "left_anti").dropDuplicates([key])
         fn(new)
-        new.select(key).distinct().write.mode("append").json(done)
+        new.select(key).write.mode("append").json(done)
 
     return spark.readStream.schema(schema).json(landing).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

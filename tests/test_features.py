@@ -124,6 +124,116 @@ def test_repair(spark, lon, lat, want):
         assert rows[0]["coords"][0][0][0] == [*want[:2], 7.0] and rows[0]["rules"] == [r for r in want[2:] if r != "kept"]
 
 
+def test_geom_renames_leave_the_geometry_alone(spark):
+    texts = [
+        json.dumps({"type": "Feature", "id": "a\"b", "bbox": [1.5, 2], "geometry": {"type": "Point", "coordinates": [1.5, 2]}, "properties": {"geometry": {"geom": 1}, "n": 1.0, "s": 'x "geometry": y', "Geom_area": None, "t": True}}),
+        feature("Point", [1, 2], name="geom"), feature("Point", [1, 2], Geom_area=5), "{broken", "",
+    ]
+    rows = [r["line"] for r in filters.rename_geom_props(lines(spark, *texts)).orderBy("n").collect()]
+    first, want = json.loads(rows[0]), json.loads(texts[0])
+    assert first["properties"] == {"geom_renamed_1": {"geom": 1}, "n": 1.0, "s": 'x "geometry": y', "geom_renamed_2": None, "t": True}
+    assert {k: v for k, v in first.items() if k != "properties"} == {k: v for k, v in want.items() if k != "properties"}
+    assert list(first["properties"]) == ["geom_renamed_1", "n", "s", "geom_renamed_2", "t"]
+    assert rows[1] == texts[1] and json.loads(rows[2])["properties"] == {"geom_renamed_2": 5} and rows[3:] == texts[3:]
+
+
+def test_release_notes(spark):
+    from geoloom.operators import notes
+
+    def one(rule, text):
+        return spark.createDataFrame([(text,)], "t string").select(rule(F.col("t"))).first()[0]
+
+    view = lambda line: notes.add_view_links(line, "https://m.example.org/")
+    assert one(view, "Tiles: https://m.example.org/a/b/{z}/{x}/{y}.pbf now") == "Tiles: https://m.example.org/a/b/{z}/{x}/{y}.pbf - [view](https://m.example.org/a/b/view) now"
+    assert one(view, "https://m.example.org/a/{z}/{x}/{y}.pbf") == "https://m.example.org/a/{z}/{x}/{y}.pbf"
+    data = lambda line: notes.add_data_links(line, "https://h")
+    cases = {"foo.7z": "### [foo.7z](https://h/foo.7z)", " Data  file foo.7z: ": "Data file [foo.7z](https://h/foo.7z)", "foo.zip:": "### [foo.zip](https://h/foo.zip)", "foo.zip": "foo.zip", "  x ": "x"}
+    assert {t: one(data, t) for t in cases} == cases
+    assert one(lambda c: notes.fix_license_text(c, "old", "new", "u"), "[old](u) old") == "[new](u) old"
+
+
+def test_numbers_beyond_64_bits(spark):
+    texts = ['{"properties":{"a":12345678901234567890,"b":1.0,"c":12345678901234567890.0,"d":1e3,"e":-0}}', "{broken", '{"properties":null}']
+    assert {r["key"]: r["type"] for r in schema.infer_properties(lines(spark, *texts), order="n").collect()} == {"a": "int", "b": "float", "c": "float", "d": "float", "e": "int"}
+
+
+def test_item_tables_by_position(spark, tmp_path):
+    path = str(tmp_path / "items")
+    kind = "a string, b map<string,string>, c struct<xmin:double,ymin:double,xmax:double,ymax:double>, d binary, e string, f array<string>, g string, h string, i string, j bigint, k array<bigint>, l array<double>"
+    rows = [("x", None, (1.0, 2.0, 3.0, 4.0), None, None, None, "", "Feature", "2020", 1, [2], [0.5]), (None, {"q": "r"}, None, None, None, ["s"], "1.1.0", "Feature", None, None, None, None), ("", None, None, None, None, None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(path)
+    got = readers.read_stac_items(spark, path, "c").orderBy("item_pos").collect()
+    assert [(r["item_pos"], r["id"], r["stac_version"]) for r in got] == [(0, "x", "1.0.0"), (1, "item-1", "1.1.0"), (2, "item-2", "1.0.0")]
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        readers.read_stac_items(spark, str(tmp_path / "other"), "c")
+
+
+def test_partitions_are_doubled_until_small(spark, tmp_path):
+    p = inputs.points(spark, "/root/testdata/sf0.001").select("id", "bbox")
+    path = str(tmp_path / "p")
+    leaves = partitioning.write_bounded(p, path, 1, 12_000)
+    assert leaves > 1 and partitioning.oversized(spark, path, 12_000).isEmpty() and readers.read_features(spark, path).count() == p.count()
+    with pytest.raises(ValueError):
+        partitioning.write_bounded(p.withColumn("bbox", F.struct(*[F.lit(1.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])), path, 1, 2000, doublings=2)
+
+
+def test_kd_plan_grows_by_an_expression_a_round(spark):
+    p = inputs.points(spark, "/root/testdata/sf0.001")
+    plan = partitioning.kd_partition(p, 64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and len(plan) < 60_000
+
+
+def test_spatial_join_of_boxes_of_all_sizes(spark):
+    import random
+
+    rng = random.Random(5)
+
+    def boxes(n):
+        out = []
+        for i in range(n):
+            side = rng.choice((0, 0.001, 0.3, 2, 20, 150))
+            x, y = rng.uniform(-180, 180 - side), rng.uniform(-90, 90 - min(side, 170))
+            out.append((i, round(x, 3), round(y, 3), round(x + side, 3), round(y + min(side, 170), 3)))
+        return out
+
+    def table(rows):
+        df = spark.createDataFrame(rows, "id int, w double, s double, e double, n double")
+        p = lambda x, y: F.array(F.col(x), F.col(y))
+        df = df.withColumn("coords", F.array(F.array(F.array(p("w", "s"), p("e", "s"), p("e", "n"), p("w", "n"), p("w", "s"))))).withColumn("geom_type", F.lit("Polygon"))
+        return df.withColumn("bbox", G.bbox(F.col("coords"))).withColumn("edges", G.edges(F.col("coords")))
+
+    a, b = boxes(120), boxes(60)
+    got = sorted((r["id"], r["polygon_id"]) for r in joins.spatial_join(table(a), table(b).withColumnRenamed("id", "polygon_id")).collect())
+    want = sorted((i, j) for i, w, s, e, n in a for j, x, y, z, t in b if w <= z and e >= x and s <= t and n >= y)
+    assert got == want
+    semi = joins.spatial_join(table(a), table(b).withColumnRenamed("id", "polygon_id"), how="left_semi")
+    assert sorted(r["id"] for r in semi.collect()) == sorted({i for i, _ in want})
+
+
+@pytest.mark.parametrize("symmetric", [False, True])
+def test_tiles_and_slices_of_any_size(spark, symmetric):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(80):
+        w, s = rng.randrange(-170, 170), rng.randrange(-80, 80)
+        side = rng.choice((1, 5, 40))
+        rows.append((i, f"s{i}", w * 10**7, s * 10**7, (w + side) * 10**7, (s + side) * 10**7, rng.randint(2, 4), rng.randint(4, 6)))
+    slices_ = spark.createDataFrame(rows, "slice_pos int, slice string, min_lon_e7 bigint, min_lat_e7 bigint, max_lon_e7 bigint, max_lat_e7 bigint, min_zoom int, max_zoom int")
+    tiles_ = spark.createDataFrame([(z, rng.randrange(1 << z), rng.randrange(1 << z)) for z in (2, 3, 4, 5, 6) for _ in range(60)], "z int, x bigint, y bigint")
+    boxed = tiles_.distinct().withColumn("b", S.tile_bbox_e7(F.col("z"), F.col("x"), F.col("y"))).select("z", "x", "y", "b.*").collect()
+    want = {}
+    for t in boxed:
+        for i, name, w, s, e, n, low, high in rows:
+            lon = t["w"] <= e and t["e"] >= w if symmetric else t["e"] <= e and t["w"] >= w
+            if low <= t["z"] <= high and t["s"] <= n and t["n"] >= s and lon:
+                want.setdefault((t["z"], t["x"], t["y"]), name)
+    got = {(r["z"], r["x"], r["y"]): r["slice"] for r in joins.tile_to_slice(tiles_, slices_, symmetric).collect()}
+    assert got == want
+
+
 def test_empty_geometries(spark):
     texts = [feature("Point", [1, 2]), feature("Polygon", []), feature("Polygon", [[]]), '{"geometry":null}', '{"geometry":{"type":"GeometryCollection","geometries":[]}}', ""]
     assert [r["n"] for r in filters.drop_empty_geometry(lines(spark, *texts)).collect()] == [0]
@@ -200,17 +310,37 @@ def test_stream_equals_batch(spark, tmp_path):
     (landed / "a.geojsonl").write_text(feature("Point", [77.5, 12.5], name="in", k=1) + "\n{bad\n" + feature("Point", [80, 15], name="out"))
     (landed / "b.geojsonl").write_text(feature("LineString", [[76, 12.5], [79, 12.5]], name="line"))
     out = str(tmp_path / "out")
-    query = stream.stream_filter(spark, str(landed), out, SQUARE, {"name": "str", "k": "int"}, str(tmp_path / "check"))
+    counters = stream.Counters()
+    query = stream.stream_filter(spark, str(landed), out, SQUARE, {"name": "str", "k": "int"}, str(tmp_path / "check"), counters=counters)
     query.awaitTermination()
     batch = stream.filter_lines(spark.read.text(str(landed)).withColumnRenamed("value", "line"), SQUARE, {"name": "str", "k": "int"}).select("properties.*")
     got = sorted(tuple(r) for r in spark.read.parquet(out).select("name", "k").collect())
     assert got == sorted(tuple(r) for r in batch.collect()) == [("in", 1), ("line", None)]
-    assert stream.stream_counters(query)["unparsed"] == 1 and stream.stream_counters(query)["count"] == 4
+    seen = counters.of(query)
+    spark.streams.removeListener(counters)
+    assert seen["unparsed"] == 1 and seen["count"] == 4
+
+
+def test_counters_of_more_batches_than_spark_remembers(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    for i in range(9):
+        (landed / f"{i}.geojsonl").write_text(feature("Point", [77.5, 12.5], k=i) + "\n{bad\n")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 2)
+    counters = stream.Counters()
+    try:
+        query = stream.stream_filter(spark, str(landed), str(tmp_path / "out"), SQUARE, {"k": "int"}, str(tmp_path / "check"), files=1, counters=counters)
+        query.awaitTermination()
+        seen = counters.of(query)
+        assert len(query.recentProgress) < 9 and (seen["count"], seen["unparsed"]) == (18, 9)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        spark.streams.removeListener(counters)
 
 
 def test_running_total_without_a_global_window(spark):
     df = spark.range(1, 500).withColumn("v", F.col("id") % 7)
-    got = {r["id"]: r["before"] for r in partitioning.running_total(df, ["id"], "v", ranges=5).collect()}
+    got = {r["id"]: r["before"] for r in partitioning.running_total(df, ["id"], "v").collect()}
     total, want = 0, {}
     for i in range(1, 500):
         want[i] = total
