@@ -1,12 +1,13 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-Every text becomes the hashes of its five-word shingles; the sketch keeps each
-hash below a fixed fraction of the hash range. Sketches of any two documents
-are subsets of their shingle sets under the same rule, so their union is the
-sketch of the union (mergeable), and containment and resemblance can be
-estimated between documents of very unequal length. A text with few distinct
-shingles keeps all of them (fraction 1); two sketches are compared under the smaller of
-their two fractions.
+Every text becomes the hashes of its five-word shingles. The sketch keeps each
+hash below a fixed fraction of the hash range, and, so that short texts have
+one too, the ``LEAST`` least hashes in any case. The rule is the same for all
+texts and needs nothing but the hashes: the sketch of a union is the same rule
+applied to the union of sketches (:func:`merged`), and a sketch tells up to
+which hash it is complete (:func:`reach`). Containment and resemblance of two
+documents of very unequal length are estimated from the hashes up to the
+smaller of their reaches.
 
 All work is done by DataFrame functions.
 
@@ -14,8 +15,9 @@ Defined results for odd input: a null text counts as empty; an empty text has
 an empty sketch; a text of fewer than five words has one shingle, the whole
 word sequence; equal texts have equal sketches and likeness 1; two sketches
 that share no comparable hash have likeness 0. Repeated rows are kept, rows
-with a null doc_id come first in the order, ties are ordered by text. Columns
-other than doc_id and text are ignored. An empty table gives an empty result.
+with a null doc_id come first in the order, ties are ordered by a hash of the
+text. Columns other than doc_id and text are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, table
+from .common import SPACE, let, staged, table
 
 SHINGLE = 5
 #: The fraction is one in two to this power.
 SCALE_BITS = 3
-#: Texts with at most so many distinct shingles keep all of them.
-KEEP_ALL = 128
+#: So many least hashes are kept in any case.
+LEAST = 128
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
@@ -51,111 +53,75 @@ def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
     return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(let(F.split(trimmed, SPACE), of))
 
 
-def sketch(text: Column, scale_bits: int = SCALE_BITS, keep_all: int = KEEP_ALL) -> Column:
-    """``struct(scale, hashes)``: log2 of the inverse fraction, and the sorted distinct hashes kept."""
-    below = -(2**63) + 2 ** (64 - scale_bits) if scale_bits else 2**63 - 1
-    return let(
-        F.array_distinct(shingle_hashes(text)),
-        lambda h: F.when(
-            F.size(h) <= keep_all,
-            F.struct(F.lit(0).alias("scale"), F.array_sort(h).alias("hashes")),
-        ).otherwise(
-            F.struct(
-                F.lit(scale_bits).alias("scale"),
-                F.array_sort(F.filter(h, lambda x: x < F.lit(below))).alias("hashes"),
-            )
-        ),
-    )
+def _below(scale_bits: int) -> int:
+    """The first hash that is not within the fraction."""
+    return -(2**63) + 2 ** (64 - scale_bits) if scale_bits else 2**63 - 1
+
+
+def kept(hashes: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> Column:
+    """What a sketch keeps of a set of hashes, in ascending order."""
+    below = F.lit(_below(scale_bits))
+    return let(F.sort_array(F.array_distinct(hashes)), lambda h: F.slice(h, F.lit(1), F.greatest(F.lit(least), F.size(F.filter(h, lambda x: x < below)))))
+
+
+def sketch(text: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> Column:
+    """The text's sketch: an ascending array of hashes."""
+    return kept(shingle_hashes(text), scale_bits, least)
+
+
+def merged(a: Column, b: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> Column:
+    """The sketch of the union of the sets that two sketches stand for."""
+    return kept(F.concat(a, b), scale_bits, least)
 
 
 def sketch_text(s: Column) -> Column:
-    """A sketch as text: its scale, a colon, 16 hex digits a hash."""
-    return F.concat(
-        s["scale"].cast("string"),
-        F.lit(":"),
-        F.array_join(F.transform(s["hashes"], lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ""),
-    )
+    """A sketch as text: 16 hex digits a hash."""
+    return F.array_join(F.transform(s, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def _comparable(a: Column, b: Column, scale_bits: int) -> Column:
-    """The hashes of ``a`` under the smaller of the two fractions."""
-    below = -(2**63) + 2 ** (64 - scale_bits) if scale_bits else 2**63 - 1
-    return F.when(a["scale"] >= b["scale"], a["hashes"]).otherwise(F.filter(a["hashes"], lambda x: x < F.lit(below)))
+def reach(s: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> Column:
+    """The hash up to which a sketch holds all of its set's hashes."""
+    return F.when(F.size(s) < least, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(_below(scale_bits) - 1), F.get(s, F.size(s) - 1)))
 
 
-def likeness(a: Column, b: Column, scale_bits: int = SCALE_BITS) -> tuple[Column, Column]:
+def likeness(a: Column, b: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> tuple[Column, Column]:
     """Estimated resemblance, and containment of the smaller in the larger (both 0 to 1)."""
-    parts = let(
-        F.struct(_comparable(a, b, scale_bits).alias("x"), _comparable(b, a, scale_bits).alias("y")),
-        lambda p: F.struct(
-            F.size(F.array_intersect(p["x"], p["y"])).alias("both"),
-            F.size(p["x"]).alias("x"),
-            F.size(p["y"]).alias("y"),
-        ),
-    )
-    # two empty sketches are equal texts only where all hashes were kept
-    same = (a["scale"] == b["scale"]) & (a["hashes"] == b["hashes"]) & ((a["scale"] == 0) | (F.size(a["hashes"]) > 0))
+    upto = F.least(reach(a, scale_bits, least), reach(b, scale_bits, least))
 
     def share(n: Column, of: Column) -> Column:
         return F.when(of == 0, F.lit(0.0)).otherwise(n.cast("double") / of.cast("double"))
 
-    both = let(
-        parts,
-        lambda p: F.struct(
-            share(p["both"], p["x"] + p["y"] - p["both"]).alias("near"),
-            share(p["both"], F.least(p["x"], p["y"])).alias("within"),
-        ),
+    comparable = let(upto, lambda t: F.struct(F.filter(a, lambda h: h <= t).alias("x"), F.filter(b, lambda h: h <= t).alias("y")))
+    sizes = let(comparable, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), F.size(p["x"]).alias("x"), F.size(p["y"]).alias("y")))
+    found = let(
+        sizes,
+        lambda p: F.struct(share(p["both"], p["x"] + p["y"] - p["both"]).alias("near"), share(p["both"], F.least(p["x"], p["y"])).alias("within")),
     )
     whole = F.struct(F.lit(1.0).alias("near"), F.lit(1.0).alias("within"))
-    both = F.when(same, whole).otherwise(both)
+    both = F.when(a == b, whole).otherwise(found)
     return both["near"], both["within"]
 
 
-def _bucket(key: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are at most ``key``, by two short scans."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    array = F.array(*[F.array(*[F.lit(b).cast("bigint") for b in g]) for g in groups])
-    coarse = F.size(F.filter(F.array(*[F.lit(g[0]).cast("bigint") for g in groups]), lambda b: b <= key))
-    inner = F.size(F.filter(F.get(array, F.greatest(coarse - 1, F.lit(0))), lambda b: b <= key))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + inner)
-
+def with_next(df: DataFrame, key: str, columns: list[str], tie: str) -> DataFrame:
+    """``df(key, tie, columns..)`` with ``next``: a struct of ``columns`` from the next row by ``key`` (the first row after the last).
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: str, rows_a_bucket: int = 512, most_buckets: int = 16384) -> DataFrame:
-    """Add ``next``: a struct of ``columns`` from the next row by ``key`` (the first row after the last).
-
-    The key's range is cut at approximate quantiles, so that each bucket is one
-    window partition; the first rows of a bucket also go to the bucket before.
-    Only the bounds, at most ``most_buckets`` numbers, reach the driver.
+    Spark deals the rows to ranges of the order, written as a table; each range
+    is then a window partition of its own, to which the first row of the range
+    after it is added. Ties are ordered by the hash of ``tie`` and then by their
+    place, so equal keys and even equal rows are spread over ranges.
     """
-    few = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(key).alias("least"),
-        F.count(F.when(F.col(key).isNull(), 1)).alias("nulls"),
-    ).first()
-    n = min(most_buckets, few["n"] // rows_a_bucket)
-    bounds = []
-    if n > 1 and few["least"] is not None:
-        cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"]
-        bounds = sorted({int(q) for q in cuts if q > few["least"]})
-    if few["nulls"]:  # nulls are the first bucket; the least key begins the second
-        bounds = ([int(few["least"])] if few["least"] is not None else []) + bounds
-    here = F.coalesce(_bucket(F.col(key), bounds), F.lit(0))
-    start = F.col(key).isNull() if few["nulls"] else F.col(key) == F.lit(few["least"])
-    last = F.lit(len(bounds))
-    first = F.array(*[F.lit(b).cast("bigint") for b in bounds or [0]])  # the least key of each bucket but the first
-    copies = F.array_compact(
-        F.array(
-            F.struct(here.alias("b"), F.lit(0).alias("late")),
-            F.when((here > 0) & (F.get(first, here - 1) == F.col(key)), F.struct((here - 1).alias("b"), F.lit(1).alias("late"))),
-            F.when(start, F.struct(last.alias("b"), F.lit(2).alias("late"))),
-        )
-    )
-    order = Window.partitionBy("_at.b").orderBy("_at.late", F.col(key).asc_nulls_first(), tie)
-    placed = df.withColumn("_at", F.explode(copies))
-    return placed.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("_at.late = 0").drop("_at")
+    order = [F.col(key).asc_nulls_first(), F.col("_tie").asc(), F.col("_place").asc()]
+    placed = df.select(key, *columns, F.xxhash64(tie).alias("_tie"), F.monotonically_increasing_id().alias("_place"))
+    ranges = staged(placed.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    place = F.struct(F.col(key).isNotNull(), key, "_tie", "_place")
+    firsts = staged(ranges.groupBy("_range").agg(F.min_by(F.struct(key, *columns, "_tie", "_place"), place).alias("row")), "firsts")
+    # a row a range: where the first row of each range goes
+    before = F.lag("_range").over(Window.orderBy("_range"))
+    to = firsts.select("_range", F.coalesce(before, F.max("_range").over(Window.partitionBy())).alias("to"))
+    more = firsts.join(to, "_range").select("row.*", F.col("to").alias("_range"), F.lit(1).alias("_late"))
+    rows = ranges.withColumn("_late", F.lit(0)).unionByName(more).repartition("_range")
+    following = F.lead(F.struct(*columns)).over(Window.partitionBy("_range").orderBy("_late", *order))
+    return rows.withColumn("next", following).where("_late = 0").select(key, *columns, "next")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -164,15 +130,15 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text keeps the first half and takes as many code points as
     the second half has (or all there are) from the next document's beginning.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text")))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    paired = with_next(base, "doc_id", ["text", "sketch"], "text").select(
+    paired = with_next(base, "doc_id", ["text"], "text").select(
         "doc_id",
         n.cast("bigint").alias("n_chars"),
-        "sketch",
+        sketch(F.col("text")).alias("sketch"),
         F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next.text"), F.lit(1), half)).alias("edited"),
-        F.col("next.sketch").alias("next_sketch"),
+        sketch(F.col("next.text")).alias("next_sketch"),
     )
     done = paired.withColumn("edited_sketch", sketch(F.col("edited")))
     near_edited, within_edited = likeness(F.col("sketch"), F.col("edited_sketch"))
