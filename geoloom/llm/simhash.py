@@ -62,11 +62,9 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(join(s), 42) for s in zip(*[words[k:] for k in range(width)])), np.uint64, len(words) - width + 1)
 
 
-def remix(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th of a family of 64-bit mixes of ``h``; the first is ``h`` itself."""
-    if k == 0:
-        return h
-    x = h + np.uint64(k * GOLDEN % 2**64)
+def remixed(h: np.ndarray, first: int, n: int) -> np.ndarray:
+    """A column of 64-bit mixes of ``h`` for each of ``n`` members of a family of mixes."""
+    x = h[:, None] + np.array([k * GOLDEN % 2**64 for k in range(first, first + n)], np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -74,21 +72,21 @@ def remix(h: np.ndarray, k: int) -> np.ndarray:
 
 def majority(h: np.ndarray, words: int = 1) -> np.ndarray:
     """Fingerprint of ``words`` 64-bit words: the bits that over half of the hashes have."""
-    if not len(h):
-        return np.zeros(words, np.uint64)
-    out = np.empty(words, np.uint64)
-    for k in range(words):
-        count = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            part = remix(h[at : at + (1 << 16)], k)
-            count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+    count = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 1 << 13):
+        x = remixed(h[at : at + (1 << 13)], 0, words)
+        x[:, 0] = h[at : at + (1 << 13)]  # the first word is that of the hashes themselves
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        # up to 255 rows are added in bytes
+        whole = len(bits) // 255 * 255
+        count += np.add.reduce(bits[:whole].reshape(-1, 255, bits.shape[1]), axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
+        count += np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
+    return np.packbits(count * 2 > len(h), bitorder="little").view(np.uint64)
 
 
 def least_hashes(h: np.ndarray, keys: int) -> list[int]:
     """The least of each of ``keys`` mixes of the hashes; 0 where there are none."""
-    return [int((remix(h, 100 + k).min() if len(h) else np.uint64(0)).astype(np.int64)) for k in range(keys)]
+    return remixed(h, 100, keys).min(0).view(np.int64).tolist() if len(h) else [0] * keys
 
 
 def fingerprints(docs: DataFrame, width: int, words: int = 1) -> DataFrame:
