@@ -8,8 +8,8 @@ stream, losslessly, from a payload. Both are small helpers; Spark deals the
 rows (:func:`transport_streams`, :func:`access_units`).
 
 Defined results for odd input: a null payload text counts as empty and is
-stored as one pad of 192 blanks; equal payloads give equal streams. Bytes that
-are not whole packets, packets without the sync byte, damaged sections and
+stored as one pad of 192 blanks; equal payloads give equal streams. A packet sent twice counts once, and a jump
+of the counter that a packet announces is no error. Bytes that are not whole packets, packets without the sync byte, damaged sections and
 elementary packets are counted as errors, not raised. A null stream has no
 access units. Repeated rows are kept, columns other than those named are
 ignored, an empty table gives an empty result.
@@ -30,7 +30,7 @@ from .common import table
 
 PACKET, SYNC = 188, 0x47
 PAD_TO = 192
-PMT_PID, ES_PID = 0x0100, 0x0101
+PMT_PID, ES_PID, NULL_PID = 0x0100, 0x0101, 0x1FFF
 #: Private data in elementary packets, and its stream id.
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD
 #: Payload bytes of an access unit; 90 kHz ticks between units; units from one random-access point to the next.
@@ -106,15 +106,53 @@ def mux(payload: bytes, unit: int = UNIT) -> bytes:
     return b"".join(out)
 
 
-def _parse_section(data: bytes) -> bytes | None:
-    """The section that begins in a packet's payload, without its checksum; None if damaged."""
-    if not data or len(data) < data[0] + 9:
-        return None
-    data = data[1 + data[0] :]
-    size = 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
-    if size > len(data) or size < 12 or section_crc(bytes(data[: size - 4])) != int.from_bytes(data[size - 4 : size], "big"):
+def sections(payloads):
+    """The sections, without their checksums, of a table's packets ``(begins a section, payload)``; None for a damaged one.
+
+    A section may go on over several packets, and a packet may hold several.
+    """
+    held = None
+    for starts, data in payloads:
+        if starts:
+            pointer = data[0] if data else 0
+            if held:
+                held += data[1 : 1 + pointer]
+                if len(held) < 3 or len(held) < _section_size(held):
+                    yield None
+                else:
+                    yield _checked(held[: _section_size(held)])
+            held = data[1 + pointer :]
+        elif held is not None:
+            held += data
+        while held and held[0] != 0xFF and len(held) >= 3 and len(held) >= (size := _section_size(held)):
+            yield _checked(held[:size])
+            held = held[size:]
+        if held and held[0] == 0xFF:  # stuffing up to the next start
+            held = None
+    if held:
+        yield None
+
+
+def _section_size(data: bytes) -> int:
+    return 3 + (int.from_bytes(data[1:3], "big") & 0x0FFF)
+
+
+def _checked(section: bytes) -> bytes | None:
+    if len(section) < 12 or section_crc(bytes(section[:-4])) != int.from_bytes(section[-4:], "big"):
         return None
-    return data[: size - 4]
+    return section[:-4]
+
+
+def continuity(payloads: np.ndarray, counters: np.ndarray, told: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which packets of a stream are repeats of the one before, and how many counters are out of order.
+
+    A packet may be sent twice, once in a row; ``told`` are packets that announce a jump.
+    """
+    step = np.diff(counters.astype(int)) % 16
+    same = np.concatenate([[False], (step == 0) & (payloads[1:] == payloads[:-1]).all(1)])
+    for k in np.flatnonzero(same[1:] & same[:-1]) + 1:  # a second repeat is an error
+        same[k] = same[k] and not same[k - 1]
+    return same, int(((step != 1) & ~same[1:] & ~told[1:]).sum())
 
 
 def demux(stream: bytes | None) -> dict:
@@ -137,26 +175,31 @@ def demux(stream: bytes | None) -> dict:
     def payload(k: int) -> bytes:
         return p[k, 4 + skip[k] :].tobytes()
 
-    for k in np.flatnonzero((pid == 0) & starts & loaded):
-        if (s := _parse_section(payload(k))) is None:
-            found["table_errors"] += 1
-            continue
+    told = (control & 2 > 0) & (p[:, 4] > 0) & (p[:, 5] & 0x80 > 0)
+    for one in np.unique(pid):
+        mine = np.flatnonzero((pid == one) & (control & 1 > 0))
+        if len(mine) and one != NULL_PID:
+            repeats, errors = continuity(p[mine, 4:], counter[mine], told[mine])
+            loaded[mine[repeats]] = False
+            found["continuity_errors"] += errors
+
+    def tables(of: int):
+        for s in sections((bool(starts[k]), payload(k)) for k in np.flatnonzero((pid == of) & loaded)):
+            if s is None:
+                found["table_errors"] += 1
+            else:
+                yield s
+
+    for s in tables(0):
         for at in range(8, len(s) - 3, 4):
             if number := int.from_bytes(s[at : at + 2], "big"):
                 found["programs"][number] = int.from_bytes(s[at + 2 : at + 4], "big") & 0x1FFF
-    for number, map_pid in found["programs"].items():
-        for k in np.flatnonzero((pid == map_pid) & starts & loaded):
-            if (s := _parse_section(payload(k))) is None:
-                found["table_errors"] += 1
-                continue
+    for map_pid in sorted(set(found["programs"].values())):
+        for s in tables(map_pid):
             at = 12 + (int.from_bytes(s[10:12], "big") & 0x0FFF)
             while at + 5 <= len(s):
                 found["streams"][int.from_bytes(s[at + 1 : at + 3], "big") & 0x1FFF] = s[at]
                 at += 5 + (int.from_bytes(s[at + 3 : at + 5], "big") & 0x0FFF)
-    for one in np.unique(pid):
-        mine = np.flatnonzero((pid == one) & (control & 1 > 0))
-        step = (counter[mine][1:].astype(int) - counter[mine][:-1]) % 16
-        found["continuity_errors"] += int((step != 1).sum())
     units = []
     for one in found["streams"]:
         mine = np.flatnonzero((pid == one) & loaded)
