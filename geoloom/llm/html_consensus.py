@@ -2,16 +2,22 @@
 
 Each page's containers are scored by the share of the page's good text that
 they hold: text outside of menus, headers, footers, side bars, notices,
-adverts, forms and comments. A container's path is the chain of its tags and
-classes, with digits generalised. Spark adds up the scores by host and path;
-the best path of a host is the one its pages' text is taken from. A page that
-has no such container, or less than half of its good text in it, uses its own
-best one.
+adverts, forms and comments, and outside of links. A container's path is the
+chain of its tags and classes, with digits generalised, and is known by its
+hash. Spark adds up the scores by host and path; the best path of a host is the
+one its pages' text is taken from. A page that has no such container, or less
+than half of its good text in it, uses its own best one.
+
+Class words are a prior only: an element that they mark is kept after all if it
+wraps the page's article or nearly all of its text, and inline elements are
+left out only where they are hidden.
 
 Defined results for odd input: null and empty html give an empty text; markup
-that is not well formed is read leniently (unclosed elements end with their
-parent); a url without a host belongs to the host ''. Of equal scores the
-deeper path wins, then the longer, then the last by code point. Repeated rows are kept and
+that is not well formed is read leniently, in time and memory in proportion to
+the page (unclosed elements end with their parent, a tag without an end is
+text, a quote without its pair is a letter); character references are decoded
+text node by text node; a url without a host belongs to the host ''. Of equal
+scores the deeper path wins, then the greater hash. Repeated rows are kept and
 vote again, columns other than page_id, url and html are ignored, an empty
 table gives an empty result.
 """
@@ -20,203 +26,288 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>"
-    r"|<(script|style|textarea|title|noscript|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+#: Elements whose content is no markup, up to their end tag.
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 #: Elements that never hold main text.
-DROPPED = frozenset("nav header footer aside form script style noscript iframe svg button select textarea template object canvas audio video menu dialog fieldset title head math".split())
+DROPPED = frozenset("nav header footer aside script style noscript iframe svg button select textarea template object canvas audio video menu dialog fieldset title head math".split())
 #: Words of a class, id or role that mark what isn't main text.
 CHROME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|promoted|nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|"
     r"header|masthead|footer|foot|sidebar|side|aside|widget|widgets|notice|notices|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|"
-    r"comment|comments|commentlist|reply|replies|respond|disqus|discussion|share|sharing|social|related|recommended|recommendations|tags|pagination|pager|toolbar|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
+    r"share|sharing|social|related|recommended|recommendations|tags|pagination|pager|toolbar|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
     re.I,
 )
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies|respond|disqus|discussion)(?:$|[\s_-])", re.I)
+#: Names that tell what an element has beside it, or lacks.
+LACKED = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|not)[-_]\S+", re.I)
+#: How an element is marked: not at all, by a class word or as a form, as reader comments, for good.
+FREE, MARKED, REMARKS, OUT = 0, 1, 2, 3
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: An element that ends an open one of its kind, up to the nearest of the others.
-SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: Elements that an element ends if they are open within the nearest of the others.
+SIBLINGS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
+}
+#: Elements that are too small to be voted on.
+SMALL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li ul ol td tr".split())
 DIGITS = re.compile(r"\d+")
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile("[>\"']")
 #: Containers that hold this share of a page's good text are voted on.
 LEAST_SHARE = 0.5
+#: A marked element with this share of all text is the page's own frame.
+FRAME_SHARE = 0.9
 
 
 class Element:
-    """A container: its path, whether it is outside the main text, and where its text pieces begin and end."""
-
-    __slots__ = ("tag", "path", "dropped", "begin", "end", "parent")
-
-    def __init__(self, tag: str, path: str, dropped: bool, begin: int, parent: Element | None):
-        self.tag, self.path, self.dropped, self.begin, self.parent = tag, path, dropped, begin, parent
-        self.end = begin
-
-
-def _described(attributes: str) -> tuple[str, bool]:
-    """Generalised classes of an element, and whether they mark it as outside the main text."""
-    classes, chrome = "", False
+    """A container: its tag and path, how it is marked, and where its text pieces begin and end."""
+
+    __slots__ = ("tag", "path", "depth", "mark", "begin", "end", "parent", "dropped")
+
+    def __init__(self, tag: str, path: str, depth: int, mark: int, begin: int, parent: Element | None):
+        self.tag, self.path, self.depth, self.mark, self.begin, self.parent = tag, path, depth, mark, begin, parent
+        self.end, self.dropped = begin, False
+
+
+def tokens(html: str):
+    """``(text, tag, is an end, attributes)`` of each run of text and the tag after it, in one pass."""
+    at, text, n = 0, 0, len(html)
+    last, unpaired = html.rfind(">"), set()
+    while (i := html.find("<", at)) >= 0:
+        after = html[i + 1 : i + 2]
+        if i > last:  # no tag can end any more
+            break
+        if after in ("!", "?"):
+            if html.startswith("<!--", i):
+                end = html.find("-->", i + 4)
+                end = n if end < 0 else end + 3
+            else:
+                end = html.find(">", i) + 1
+            yield html[text:i], "", False, ""
+            at = text = end
+            continue
+        close = after == "/"
+        m = NAME.match(html, i + 1 + close)
+        if not m:
+            at = i + 1
+            continue
+        name, end = m[0].lower(), m.end()
+        if close:
+            stop = html.find(">", end)
+        else:
+            stop = _tag_end(html, end, last, unpaired)
+        raw = name in RAW
+        yield html[text:i], "" if raw else name, close, html[end:stop]
+        at = text = stop + 1
+        if raw and not close:  # what it holds and its end tag are left out
+            m = re.compile(f"</{name}\\s*>", re.I).search(html, at)
+            at = text = m.end() if m else n
+    yield html[text:], "", False, ""
+
+
+def _tag_end(html: str, at: int, last: int, unpaired: set[str]) -> int:
+    """Where a tag ends: at the first ``>`` outside of quotes, or the first at all if there is no other."""
+    begin = at
+    while at <= last:
+        m = STOP.search(html, at)
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if m[0] not in unpaired:
+            pair = html.find(m[0], at)
+            if pair < 0:
+                unpaired.add(m[0])
+            else:
+                at = pair + 1
+    return html.find(">", begin)
+
+
+def _described(tag: str, attributes: str) -> tuple[str, int]:
+    """Generalised classes of an element, and how it is marked."""
+    classes, mark = "", OUT if tag in DROPPED else MARKED if tag == "form" else FREE
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "class":
             classes = "".join(f".{c}" for c in sorted(set(DIGITS.sub("#", value.lower()).split())))
         if name in ("class", "id", "role"):
-            chrome = chrome or bool(CHROME.search(value))
+            value = LACKED.sub(" ", value)
+            mark = max(mark, REMARKS if COMMENTS.search(value) else MARKED if CHROME.search(value) else FREE)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            chrome = True
-    return classes, chrome
+            mark = OUT
+    return classes, mark
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, bool, bool]], list[Element]]:
-    """Text pieces ``(text, is dropped, is in a link)`` in page order, and the page's containers.
+class Page:
+    """Text pieces of a page in order, with the element and links they stand in, and its elements, parents first.
 
     A piece that is a single blank separates blocks.
     """
-    html = html or ""
-    pieces: list[tuple[str, bool, bool]] = []
-    elements: list[Element] = []
-    root = Element("", "", False, 0, None)
-    open_, links, at = [root], 0, 0
-
-    def close(down_to: int) -> None:
-        nonlocal links
-        while len(open_) > down_to:
-            e = open_.pop()
-            e.end = len(pieces)
-            if e.tag == "a":
-                links -= 1
+
+    def __init__(self, html: str | None):
+        self.texts: list[str] = []
+        self.owners: list[Element] = []
+        self.linked: list[bool] = []
+        self.root = Element("", "", 0, FREE, 0, None)
+        self.elements = [self.root]
+        self._open = [self.root]
+        self._blocks = [0]  # places of open elements that aren't inline
+        self._places: dict[str, list[int]] = {}
+        for text, tag, end, attributes in tokens(html or ""):
+            if text:
+                self._put(entities.unescape(text))
+            if not tag:
+                continue
+            if end:
+                self._end(tag)
+            elif tag in VOID:
+                if tag not in INLINE:
+                    self._put(" ")
+            else:
+                self._begin(tag, attributes)
+        self._close(0)
+        self._settle()
+
+    def _put(self, text: str) -> None:
+        self.texts.append(text)
+        self.owners.append(self._open[-1])
+        self.linked.append(bool(self._places.get("a")))
+
+    def _close(self, down_to: int) -> None:
+        while len(self._open) > down_to:
+            e = self._open.pop()
+            e.end = len(self.texts)
+            if not self._open:
+                break
+            self._places[e.tag].pop()
             if e.tag not in INLINE:
-                pieces.append((" ", e.dropped, False))
+                self._blocks.pop()
+                self._put(" ")
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            pieces.append((html[at : m.start()], open_[-1].dropped, links > 0))
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
-            continue
-        if m[2]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    close(k)
-                    break
-                if tag in INLINE and open_[k].tag not in INLINE:
-                    break
-            continue
-        if tag in VOID:
-            if tag not in INLINE:
-                pieces.append((" ", open_[-1].dropped, False))
-            continue
+    def _nearest(self, tags) -> int:
+        return max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+
+    def _end(self, tag: str) -> None:
+        at = self._nearest((tag,))
+        if at and (tag not in INLINE or self._blocks[-1] < at):
+            self._close(at)
+
+    def _begin(self, tag: str, attributes: str) -> None:
         if tag in ENDS_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == "p":
-                    close(k)
-                    break
-                if open_[k].tag not in INLINE:
-                    break
+            if self._open[self._blocks[-1]].tag == "p":
+                self._close(self._blocks[-1])
         elif tag in SIBLINGS:
             ended, until = SIBLINGS[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag in until:
-                    break
-                if open_[k].tag in ended.split():
-                    close(k)
-                    if tag != "tr":
-                        break
-        parent = open_[-1]
-        dropped = parent.dropped
-        if tag in INLINE:
-            if tag == "a":
-                links += 1
-            if m[4] and not dropped:
-                dropped = _described(m[4])[1]
-            open_.append(Element(tag, parent.path, dropped, len(pieces), parent))
-            continue
-        pieces.append((" ", dropped, False))
-        classes, chrome = _described(m[4]) if m[4] else ("", False)
-        # a page's own frame is never outside the main text as a whole
-        dropped = dropped or tag in DROPPED or chrome and tag not in ("html", "body", "article", "main")
-        e = Element(tag, f"{parent.path}>{tag}{classes}", dropped, len(pieces), parent)
-        elements.append(e)
-        open_.append(e)
-        if m[4].rstrip().endswith("/") and tag in ("svg", "path", "use"):
-            close(len(open_) - 1)
-    if at < len(html):
-        pieces.append((html[at:], open_[-1].dropped, links > 0))
-    close(0)
-    elements.append(root)
-    return pieces, elements
-
-
-def good_sizes(pieces) -> list[int]:
-    """Running count of good characters: not dropped, not in links, not white space."""
-    total, out = 0, [0]
-    for text, dropped, link in pieces:
-        if not dropped and not link and text != " ":
-            total += len(text) - text.count(" ")
-        out.append(total)
-    return out
-
-
-def votes(html: str | None) -> list[tuple[str, float]]:
-    """Paths of the page's containers and their scores."""
-    pieces, elements = parse(html)
-    size = good_sizes(pieces)
-    if not size[-1]:
-        return []
-    shares: dict[str, float] = {}
-    for e in elements:
-        if not e.dropped and e.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "ul", "ol", "td", "tr"):
-            share = (size[e.end] - size[e.begin]) / size[-1]
-            if share > 0:
-                shares[e.path] = shares.get(e.path, 0) + share
-    # containers of one path count together
-    return [(p, min(s, 1.0)) for p, s in shares.items() if s >= LEAST_SHARE]
-
-
-def rank(path: str, score: float) -> tuple:
-    """Order of paths: a deeper one is preferred to what surrounds it only where their scores are equal."""
-    return score, path.count(">"), len(path), path
-
-
-def text_within(pieces, spans) -> str:
-    raw = "".join(piece[0] for a, b in spans for piece in [(" ", False, False), *pieces[a:b]] if not piece[1])
-    return " ".join(entities.unescape(raw).split())
+            while (at := self._nearest(ended)) > self._nearest(until):
+                self._close(at)
+        parent = self._open[-1]
+        inline = tag in INLINE
+        classes, mark = _described(tag, attributes) if attributes else ("", OUT if tag in DROPPED else MARKED if tag == "form" else FREE)
+        if inline:
+            e = Element(tag, parent.path, parent.depth, OUT if mark == OUT else FREE, len(self.texts), parent)
+        else:
+            self._put(" ")
+            # a page's own frame is never outside the main text as a whole
+            mark = FREE if tag in ("html", "body", "article", "main") and mark != OUT else mark
+            e = Element(tag, xxhash.xxh64_hexdigest(f"{parent.path}>{tag}{classes}"), parent.depth + 1, mark, len(self.texts), parent)
+            self._blocks.append(len(self._open))
+        self._places.setdefault(tag, []).append(len(self._open))
+        self._open.append(e)
+        self.elements.append(e)
+        if attributes.rstrip().endswith("/") and tag in ("svg", "path", "use"):
+            self._close(len(self._open) - 1)
+
+    def _settle(self) -> None:
+        """Decide which elements are dropped, and count the good characters up to each piece."""
+        out = self._within(lambda e: e.mark == OUT)
+        remarks = self._within(lambda e: e.mark == REMARKS)
+        size, own = [0], [0]  # characters before each piece: all, and those outside of comments
+        for text, owner in zip(self.texts, self.owners):
+            n = 0 if out[owner] else len(text) - text.count(" ")
+            size.append(size[-1] + n)
+            own.append(own[-1] + (0 if remarks[owner] else n))
+        begins = sorted(e.begin for e in self.elements if e.tag in ("article", "main", "h1") and not out[e])
+        for e in self.elements:
+            if e.mark in (MARKED, REMARKS):
+                count = own if e.mark == MARKED else size
+                share = (count[e.end] - count[e.begin]) / max(1, count[-1])
+                holds = _between(begins, e.begin, e.end)
+                # comments may be longer than the article, so they need more
+                if share >= FRAME_SHARE and (holds or e.mark == MARKED) or share >= LEAST_SHARE and holds and e.mark == MARKED:
+                    e.mark = FREE
+        dropped = self._within(lambda e: e.mark != FREE)
+        if own[-1] and all(dropped[o] or not t.strip() for t, o in zip(self.texts, self.owners)):
+            # nothing is left: class words count for nothing on this page
+            dropped = self._within(lambda e: e.mark in (REMARKS, OUT))
+        for e in self.elements:
+            e.dropped = dropped[e]
+        self.good = [0]
+        for text, owner, link in zip(self.texts, self.owners, self.linked):
+            self.good.append(self.good[-1] + (0 if owner.dropped or link or text == " " else len(text) - text.count(" ")))
+
+    def _within(self, test) -> dict[Element, bool]:
+        """Whether each element, or one around it, passes the test."""
+        found: dict[Element, bool] = {}
+        for e in self.elements:
+            found[e] = test(e) or e.parent is not None and found[e.parent]
+        return found
+
+    def votes(self) -> list[tuple[str, int, float]]:
+        """Paths of the page's containers, their depths and scores."""
+        if not self.good[-1]:
+            return []
+        shares: dict[tuple[str, int], float] = {}
+        for e in self.elements:
+            if not e.dropped and e.tag not in INLINE and e.tag not in SMALL:
+                share = (self.good[e.end] - self.good[e.begin]) / self.good[-1]
+                if share > 0:
+                    shares[e.path, e.depth] = shares.get((e.path, e.depth), 0) + share
+        # containers of one path count together
+        return [(path, depth, min(s, 1.0)) for (path, depth), s in shares.items() if s >= LEAST_SHARE]
+
+    def spans(self, path: str | None) -> list[tuple[int, int]]:
+        """Where the outermost containers with the path lie."""
+        out: list[tuple[int, int]] = []
+        for a, b in sorted((e.begin, e.end) for e in self.elements if e.path == path and not e.dropped and e.tag not in INLINE):
+            if not out or a >= out[-1][1]:
+                out.append((a, b))
+        return out
+
+    def text(self, spans: list[tuple[int, int]]) -> str:
+        parts = []
+        for a, b in spans:
+            parts.append(" ")
+            parts += [t for t, owner in zip(self.texts[a:b], self.owners[a:b]) if not owner.dropped]
+        return " ".join("".join(parts).split())
+
+
+def _between(sorted_: list[int], low: int, high: int) -> bool:
+    at = bisect_left(sorted_, low)
+    return at < len(sorted_) and sorted_[at] <= high
 
 
 def extract(html: str | None, path: str | None) -> str:
     """Text of the containers with the path, or of the page's own best container."""
-    pieces, elements = parse(html)
-    chosen = [e for e in elements if e.path == path and not e.dropped] if path is not None else []
-    spans = outermost(chosen)
-    size = good_sizes(pieces)
+    page = Page(html)
+    spans = page.spans(path) if path is not None else []
     # the host's path may be another template's
-    little = sum(size[b] - size[a] for a, b in spans) < LEAST_SHARE * size[-1]
-    if little or not any(not p[1] and p[0].strip() for a, b in spans for p in pieces[a:b]):
-        own = max(votes(html), key=lambda v: rank(*v), default=None)
-        if own is None:
-            return text_within(pieces, [(0, len(pieces))])
-        spans = outermost([e for e in elements if e.path == own[0] and not e.dropped])
-    return text_within(pieces, spans)
-
-
-def outermost(chosen: list[Element]) -> list[tuple[int, int]]:
-    spans: list[tuple[int, int]] = []
-    for a, b in sorted((e.begin, e.end) for e in chosen):
-        if not spans or a >= spans[-1][1]:
-            spans.append((a, b))
-    return spans
+    little = sum(page.good[b] - page.good[a] for a, b in spans) < LEAST_SHARE * page.good[-1]
+    if little or not (text := page.text(spans)):
+        own = max(page.votes(), key=lambda v: (v[2], v[1], v[0]), default=None)
+        text = page.text([(0, len(page.texts))] if own is None else page.spans(own[0]))
+    return text
 
 
 def host(url: Column) -> Column:
@@ -228,17 +319,16 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows: dict[tuple[str, str], float] = {}
+            rows: dict[tuple[str, str, int], float] = {}
             for h, html in zip(batch["host"], batch["html"]):
-                for path, score in votes(html):
-                    rows[h, path] = rows.get((h, path), 0.0) + score
-            yield pd.DataFrame([(*k, s) for k, s in rows.items()], columns=["host", "path", "score"])
+                for path, depth, score in Page(html).votes():
+                    rows[h, path, depth] = rows.get((h, path, depth), 0.0) + score
+            yield pd.DataFrame([(*k, s) for k, s in rows.items()], columns=["host", "path", "depth", "score"])
 
-    scored = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, path string, score double")
+    scored = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, path string, depth int, score double")
     # sums of floats depend on their order: whole millionths don't
-    sums = scored.withColumn("score", F.round(F.col("score") * 1e6).cast("bigint")).groupBy("host", "path").agg(F.sum("score").alias("score"))
-    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit(">"), F.lit("")))
-    best = F.max(F.struct("score", depth.alias("depth"), F.length("path").alias("length"), "path"))
+    sums = scored.withColumn("score", F.round(F.col("score") * 1e6).cast("bigint")).groupBy("host", "path", "depth").agg(F.sum("score").alias("score"))
+    best = F.max(F.struct("score", "depth", "path"))
     return sums.groupBy("host").agg(best.alias("best")).select("host", "best.path")
 
 
