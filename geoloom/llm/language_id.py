@@ -5,8 +5,10 @@ of labelled texts and applied to windows that cover every text; a text's
 scores are the length-weighted means of its windows' log probabilities.
 
 The sample: of each language the texts whose hashed doc_id falls below a
-threshold at which ``SAMPLE`` texts are expected, and ``WINDOWS`` windows of
-each, at hashed places. Prediction sees the text only.
+threshold at which ``SAMPLE`` texts are expected (fewer where there are so many
+languages that they would be over ``TEXTS`` together, but ``FEW`` at least), one
+text a doc_id, and ``WINDOWS`` windows of each, at hashed places. Every language
+that has a text is learned. Prediction sees the text only.
 
 Defined results for odd input: null texts and texts without a letter are
 ``und`` with score 0; where no labelled text exists every text is ``und``. A
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, text_groups, windows_of
-from .common import table
+from .common import staged, table
 
-#: Bounds of the training sample: expected texts a language, windows a text, languages.
-SAMPLE, WINDOWS, LANGUAGES = 500, 6, 200
+#: Bounds of the training sample: expected texts a language, windows a text, texts in all, and the fewest texts a language.
+SAMPLE, WINDOWS, TEXTS, FEW = 500, 6, 50_000, 10
 LENGTH, STRIDE = 192, 188
 
 
@@ -35,14 +37,17 @@ def unit_hash(key, seed: int):
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def sample_windows(docs: DataFrame, label: str, per_label: int, windows: int, length: int, stride: int, seed: int = 5) -> pd.DataFrame:
-    """``label`` and ``window`` (bytes) of a bounded, reproducible sample of ``docs(doc_id, text, label)``."""
-    counts = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(LANGUAGES).collect()}
-    if not counts:
-        return pd.DataFrame({label: [], "window": []})
-    keep = F.lit(False)
-    for value, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(value)) & (unit_hash("doc_id", seed) < min(1.0, per_label / n)))
+def sampled(docs: DataFrame, label: str, per_label: int, seed: int = 5) -> DataFrame:
+    """A bounded, reproducible sample of ``docs(doc_id, text, label)``: one text for each doc_id that is drawn."""
+    counts = staged(docs.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "labels")
+    each = max(FEW, min(per_label, TEXTS // max(1, counts.count())))
+    rates = counts.select(label, (F.lit(float(each)) / F.col("_n")).alias("_rate"))
+    drawn = docs.join(rates, label).where(unit_hash("doc_id", seed) < F.col("_rate"))
+    return drawn.groupBy("doc_id", label).agg(F.min("text").alias("text"))
+
+
+def cut_windows(sample: DataFrame, label: str, windows: int, length: int, stride: int, seed: int = 5) -> pd.DataFrame:
+    """``label`` and ``window`` (bytes) of up to ``windows`` windows of each text of a bounded sample."""
 
     def cut(batches):
         for batch in batches:
@@ -55,8 +60,8 @@ def sample_windows(docs: DataFrame, label: str, per_label: int, windows: int, le
                     parts.append(w[k].tobytes())
             yield pd.DataFrame({label: names, "window": parts})
 
-    kind = docs.schema[label].dataType.simpleString()
-    found = docs.where(keep).mapInPandas(cut, f"{label} {kind}, window binary").toPandas()
+    kind = sample.schema[label].dataType.simpleString()
+    found = sample.select("doc_id", "text", label).mapInPandas(cut, f"{label} {kind}, window binary").toPandas()
     return found.sort_values([label, "window"], ignore_index=True)
 
 
@@ -67,7 +72,7 @@ def as_windows(parts: pd.Series, length: int) -> np.ndarray:
 def train(labelled: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], ByteCNN | None]:
     """Languages and network from ``labelled(doc_id, text, lang)``."""
     usable = labelled.where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    found = sample_windows(usable.select("doc_id", "text", "lang"), "lang", per_language, WINDOWS, LENGTH, STRIDE)
+    found = cut_windows(sampled(usable.select("doc_id", "text", "lang"), "lang", per_language), "lang", WINDOWS, LENGTH, STRIDE)
     names = sorted(set(found["lang"]))
     if not names:
         return [], None

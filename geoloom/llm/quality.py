@@ -5,7 +5,8 @@ max-pooled over each chunk and give the chunk's score. A document's probability
 combines its chunks' scores (their mean by length, their least and greatest)
 and its length in a logistic model. Network and logistic model are trained in numpy on a bounded
 sample: the ``SAMPLE`` labelled documents of each class with the least hashed
-doc_id, and ``CHUNKS`` chunks of each at hashed places for the network.
+doc_id, one text a document, and ``CHUNKS`` chunks of each at hashed places for
+the network.
 
 Defined results for odd input: a null text counts as empty; an empty text is
 scored like any other (one chunk of padding). Where the training rows lack one
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, text_groups
-from .common import table
-from .language_id import as_windows, sample_windows, unit_hash
+from .common import staged, table
+from .language_id import as_windows, cut_windows, unit_hash
 
 #: Bounds of the training sample: documents a class, chunks a document.
 SAMPLE, CHUNKS = 3000, 6
@@ -87,9 +88,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     order = [unit_hash("doc_id", 7), "doc_id"]
     sample = known.where("label = 0").orderBy(*order).limit(per_class).unionAll(known.where("label = 1").orderBy(*order).limit(per_class))
-    # the sample has 2 * per_class rows at most, so it can be broadcast
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = sample_windows(chosen, "label", per_class, CHUNKS, LENGTH, STRIDE, seed=11)
+    # the sample has 2 * per_class rows at most, so it can be broadcast; rows that repeat a doc_id count once
+    found = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id")
+    chosen = staged(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+    found = cut_windows(chosen, "label", CHUNKS, LENGTH, STRIDE, seed=11)
     classes = found["label"].to_numpy(int)
     if len(set(classes)) < 2:
         return QualityModel(None, np.zeros(len(FEATURES) + 1), float(classes.mean()) if len(classes) else 0.5)
