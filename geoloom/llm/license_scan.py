@@ -1,9 +1,10 @@
 """Licence scans by ordered signature rules.
 
-Hundreds of patterns are matched against a text's words. A prefilter finds
-which of the rules' keywords a text holds; only rules with a keyword are run.
-Detections that lie within another of the same or a higher priority are
-suppressed; detections of the base phrases always stay.
+Hundreds of patterns are matched against a text's words. Every rule has
+keywords of which its matches must hold one; only the rules with a keyword that
+the text has are run. Detections that lie within another of the same or a higher priority are
+suppressed, of several with one place all but the first of the highest priority;
+detections of the base phrases always stay.
 
 Defined results for odd input: a null text counts as empty; a text without
 detections has score 0, empty labels and null first and last words. Repeated
@@ -37,11 +38,11 @@ class Scanner:
     """Compiled rules and their keyword prefilter."""
 
     def __init__(self):
-        self.rules = [(label, priority, re.compile(f"(?<= )(?:{pattern})(?= )"), words) for label, priority, pattern, words in rules()]
+        self.rules = [(label, priority, re.compile(f"(?<= )(?:{pattern})(?= )")) for label, priority, pattern, _ in rules()]
         self.by_word: dict[str, list[int]] = {}
-        for k, (_, _, _, words) in enumerate(self.rules):
-            for w in words:
-                self.by_word.setdefault(w, []).append(k)
+        for k, rule in enumerate(rules()):
+            for word in rule[3]:
+                self.by_word.setdefault(word, []).append(k)
         self.keywords = frozenset(self.by_word)
         self.base = [(label, phrase.split(), f" {phrase} ") for phrase, label in BASE]
 
@@ -54,19 +55,11 @@ class Scanner:
             at += len(w) + 1
         found = []
         for k in sorted({k for w in present for k in self.by_word[w]}):
-            label, priority, pattern, _ = self.rules[k]
+            label, priority, pattern = self.rules[k]
             for m in pattern.finditer(text):
                 first = bisect_right(starts, m.start()) - 1
                 found.append((first, bisect_right(starts, m.end() - 1) - first, label, priority))
-        # the widest first; one that lies within an earlier one of no lower priority goes
-        found = sorted(set(found), key=lambda f: (f[0], -f[1], -f[3], f[2]))
-        kept, near = [], []  # near: those kept that reach beyond the present one's begin
-        for f in found:
-            near = [g for g in near if g[0] + g[1] > f[0]]
-            if not any(g[0] + g[1] >= f[0] + f[1] and g[3] >= f[3] and g[:2] != f[:2] for g in near):
-                kept.append(f)
-                near.append(f)
-        return kept
+        return suppress(found)
 
     def places(self, words: list[str]) -> list[tuple[int, str]]:
         """All places of base phrases: first word and label."""
@@ -96,6 +89,20 @@ class Scanner:
         return len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(base_labels), ",".join(labels), score
 
 
+def suppress(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Detections that don't lie within another of the same or a higher priority; of those with one place the first of the highest priority stays."""
+    place = {f: n for n, f in reversed(list(enumerate(found)))}
+    # the widest first, so that whatever a detection may lie within comes before it
+    ordered = sorted(place, key=lambda f: (f[0], -f[1], -f[3], place[f]))
+    kept, near = [], []  # near: those kept that reach beyond the present one's begin
+    for f in ordered:
+        near = [g for g in near if g[0] + g[1] > f[0]]
+        if not any(g[0] + g[1] >= f[0] + f[1] and g[3] >= f[3] for g in near):
+            kept.append(f)
+            near.append(f)
+    return kept
+
+
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
     return Scanner()
