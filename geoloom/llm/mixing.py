@@ -11,11 +11,14 @@ first within buckets of a source, then among the buckets' residuals, and so on
 until a source has one residual; that document gives the mix the words that
 are still missing, as a cut copy.
 
+Equal rows are counted before they are dealt, and each copy is dealt by its
+number, so that a doc_id that very many rows share, or none, is spread.
+
 Defined results for odd input: a null text has no words; documents without
 words are never taken and a source without words has target 0; a null source
 is a source of its own, the last. Randomness comes from the seed, the source
-and doc_id order, so reruns agree; repeated rows count as documents of their
-own (equal rows are interchangeable). Columns other than doc_id, text and
+and the rows' ids and texts, so reruns agree; repeated rows count as documents
+of their own (equal rows are interchangeable). Columns other than doc_id, text and
 source are carried or ignored; an empty table gives an empty result.
 """
 
@@ -42,7 +45,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """``source``, ``source_size`` and ``target`` of each source; the sources by code point, null last, take ``weights`` in turn.
 
     Sources are capped in the order of cap to weight, so the capped ones are a
-    prefix of it; running sums give each source the level it would see.
+    prefix of it; running sums give each source the level it would see. The
+    windows see one row a source, which one task holds for millions of sources.
     """
     each = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -83,37 +87,43 @@ def pivot(p: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
     return p, int(open_[0]) if len(open_) else -1
 
 
+UNIT = "unit bigint, number bigint, doc_id string, size bigint, mark bigint, p double"
+
+
 def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
     """Round each group's rows; the undecided row of a group stays open."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "at"], ignore_index=True)
+        pdf = pdf.sort_values(["size", "mark", "doc_id", "number"], ascending=[False, True, True, True], ignore_index=True)
         name = f"{seed}|{level}|{pdf['source'].iloc[0]}|{pdf['group'].iloc[0]}".encode()
         rng = np.random.Generator(np.random.Philox(int.from_bytes(hashlib.sha256(name).digest()[:16], "big")))
         # neighbours of like size transfer little
-        order = np.argsort(-pdf["size"].to_numpy(), kind="stable")
-        p, left = pivot(pdf["p"].to_numpy()[order], pdf["size"].to_numpy(float)[order], rng)
-        pdf.loc[order, "p"] = p
-        pdf["open"] = False
-        if left >= 0:
-            pdf.loc[order[left], "open"] = True
+        p, left = pivot(pdf["p"].to_numpy(), pdf["size"].to_numpy(float), rng)
+        pdf["p"] = p
+        pdf["open"] = np.arange(len(pdf)) == left
         return pdf
 
-    return rows.groupBy("source", "group").applyInPandas(run, "source string, group bigint, at bigint, doc_id bigint, size bigint, p double, open boolean")
+    return rows.groupBy("source", "group").applyInPandas(run, f"source string, group bigint, {UNIT}, open boolean")
 
 
-def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0, bucket: int = BUCKET) -> DataFrame:
-    """``at`` and ``share``: how many times the mix takes each row of ``sizes(at, doc_id, source, size)``; not whole for one row a source at most."""
-    wanted = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    wanted = wanted.select("at", "doc_id", sizes["source"], "size", F.when(F.col("size") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
-    whole = F.floor(F.col("rate") + 1e-9)
-    wanted = staged(wanted.withColumn("whole", whole.cast("double")).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0))), "wanted")
-    open_ = wanted.where("p > 0")
-    counts = open_.groupBy("source").count()
+def copies(units: DataFrame, targets: DataFrame, seed: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """``unit``, ``number`` and ``share``: how many times the mix takes each of the ``times`` copies of a unit.
+
+    ``units(unit, doc_id, source, size, mark, times)`` are distinct rows; a share is not whole for one copy a source at most.
+    """
+    wanted = units.join(targets, units["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    each = wanted.withColumn("rate", rate).withColumn("number", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)))
+    whole = F.floor(F.col("rate") + 1e-9).cast("double")
+    each = each.withColumn("whole", whole).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0)))
+    # ids go to Python as text: beside a null a number would lose digits
+    each = staged(each.select("unit", "number", F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "mark", "whole", "p"), "wanted")
+    open_ = each.where("p > 0")
+    counts = staged(open_.groupBy("source").count(), "open")
     groups = F.ceil(F.col("count") / bucket).cast("bigint")
     dealt = open_.join(counts, open_["source"].eqNullSafe(counts["source"])).drop(counts["source"])
-    rows = dealt.select("source", F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups).alias("group"), "at", "doc_id", "size", "p")
+    columns = ["unit", "number", "doc_id", "size", "mark", "p"]
+    rows = dealt.select("source", F.pmod(F.xxhash64("doc_id", "size", "mark", "number", F.lit(seed)), groups).alias("group"), *columns)
     most = counts.agg(F.max("count")).first()[0] or 0
     decided, level, width = None, 0, -(-most // bucket)
     while True:
@@ -123,18 +133,43 @@ def copies(sizes: DataFrame, targets: DataFrame, seed: int = 0, bucket: int = BU
             break
         decided = decided.where("not open")
         width = -(-width // bucket)
-        rows = done.where("open").select("source", F.floor(F.col("group") / bucket).alias("group"), "at", "doc_id", "size", "p")
+        rows = done.where("open").select("source", F.floor(F.col("group") / bucket).alias("group"), *columns)
         level += 1
-    return wanted.join(decided.select("at", F.col("p").alias("rounded")), "at", "left").select("at", (F.col("whole") + F.coalesce("rounded", F.lit(0.0))).alias("share"))
+    rounded = decided.select("unit", "number", F.col("p").alias("rounded"))
+    return each.join(rounded, ["unit", "number"], "left").select("unit", "number", (F.col("whole") + F.coalesce("rounded", F.lit(0.0))).alias("share"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add ``number``, from 0 on, to the rows of each unit of ``rows(at, unit, times)``, without a window over all rows of a unit.
+
+    The upper bits of ``at`` are the partition that a row was written by: rows
+    are numbered within it, from where the partitions before it end.
+    """
+    once = rows.where("times = 1").withColumn("number", F.lit(0).cast("bigint"))
+    again = rows.where("times > 1").withColumn("_part", F.shiftright("at", 33))
+    counts = again.groupBy("unit", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    ends = F.sum("_n").over(Window.partitionBy("unit").orderBy("_part"))
+    starts = staged(counts.select("unit", "_part", (ends - F.col("_n")).alias("_start")), "starts")
+    place = F.row_number().over(Window.partitionBy("unit", "_part").orderBy("at")) - 1
+    again = again.withColumn("_place", place).join(starts, ["unit", "_part"]).withColumn("number", F.col("_start") + F.col("_place"))
+    return once.unionByName(again.select(once.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``share`` and ``taken`` of every row, and the columns to keep."""
-    sizes = docs.select(F.monotonically_increasing_id().alias("at"), "doc_id", "source", n_words(F.col("text")).alias("size"), *keep)
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``share`` and ``taken`` of every row, and the columns to keep."""
+    sizes = docs.select(F.monotonically_increasing_id().alias("at"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), *keep)
     sizes = staged(sizes, "sizes")
     targets = staged(source_targets(sizes, weights, most), "targets")
-    share = copies(sizes, targets, seed)
-    out = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).join(share, "at")
+    names = ["doc_id", "source", "size", "mark"]
+    units = sizes.groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
+    units = staged(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    same = F.lit(True)
+    for c in names:
+        same = same & sizes[c].eqNullSafe(units[c])
+    rows = staged(sizes.join(units, same).select(*[sizes[c] for c in sizes.columns], "unit", "times"), "rows")
+    share = copies(units, targets, seed)
+    out = numbered(rows).join(share, ["unit", "number"])
+    out = out.join(targets, out["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     taken = F.least(F.round(F.col("size") * F.col("share")), F.col("size") * most).cast("bigint")
     return out.select("doc_id", "source", "size", "source_size", "target", "share", taken.alias("taken"), *keep)
 
@@ -145,7 +180,7 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
     A cut copy holds the first words of its text, joined by blanks. Equal rows
     are drawn separately and given out together.
     """
-    keyed = docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = docs.select(F.struct(F.xxhash64("doc_id", "source", "text"), F.hash("text", "source", "doc_id")).alias("key"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     drawn = mix(keyed, weights, most, seed, keep=("key",))
     shares = drawn.where("taken > 0").groupBy("key").agg(
         F.sum(F.floor("share")).cast("int").alias("whole"),
