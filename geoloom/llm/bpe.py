@@ -25,6 +25,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,10 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import table
 
-#: Words that a task remembers.
-REMEMBERED = 120_000
+#: Words that a task remembers, and their letters.
+REMEMBERED, LETTERS = 120_000, 4_000_000
+#: Symbols up to which merging goes through all pairs each time.
+SHORT = 48
 END = "</w>"
 #: Bits of a token id within a packed pair, and the rank of a pair that has no merge.
 BITS = 20
@@ -85,6 +88,7 @@ class Vocabulary:
         #: Encoded words of this and the previous generation.
         self.words: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
+        self.letters = 0
         self.pairs: dict[int, bool] = {}
 
     # normalising -------------------------------------------------------
@@ -118,6 +122,8 @@ class Vocabulary:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merge of least rank, leftmost first, until none is left."""
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
         get = self.merges.get
         ranks = [get(a << BITS | b, NONE) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) != NONE:
@@ -130,6 +136,28 @@ class Vocabulary:
                 ranks[at] = get(ids[at] << BITS | ids[at + 1], NONE)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same for a long word: a heap of merges over neighbours that are linked both ways."""
+        get, n = self.merges.get, len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(best, at) for at, (a, b) in enumerate(zip(ids, ids[1:])) if (best := get(a << BITS | b, NONE)) != NONE]
+        heapify(heap)
+        gone = -1
+        while heap:
+            best, at = heappop(heap)
+            end = after[at]
+            if ids[at] == gone or end >= n or get(ids[at] << BITS | ids[end], NONE) != best:
+                continue  # one of the two has changed since
+            ids[at], ids[end] = best & MASK, gone
+            after[at] = end = after[end]
+            if end < n:
+                before[end] = at
+                if (best := get(ids[at] << BITS | ids[end], NONE)) != NONE:
+                    heappush(heap, (best, at))
+            if (left := before[at]) >= 0 and (best := get(ids[left] << BITS | ids[at], NONE)) != NONE:
+                heappush(heap, (best, left))
+        return [i for i in ids if i != gone]
+
     def start(self, symbols: str) -> list[int]:
         """Ids of the single symbols, the last with the end mark."""
         ids = self.ids
@@ -231,9 +259,11 @@ class Vocabulary:
         words = self.pieces(text)
         known = self.words
         if new := {w for w in words if w not in known}:
-            if len(known) + len(new) > REMEMBERED:
+            self.letters += sum(map(len, new))
+            if len(known) + len(new) > REMEMBERED or self.letters > LETTERS:
                 self.older, known = known, {}
                 self.words, new = known, set(words)
+                self.letters = sum(map(len, new))
             learn = []
             for w in new:
                 if (old := self.older.get(w)) is None:
