@@ -46,6 +46,8 @@ from pyspark.sql import functions as F
 from .common import discard, small, staged, table
 
 WINDOW = 35
+#: Fields of spans: first window, and either windows of a run and its name, or a bit mask of windows.
+SPAN = ("start", "n", "mask", "name")
 #: Words of an anchor.
 ANCHOR = 6
 #: Windows of a document that are cut into paths at a time, and words that a task remembers.
@@ -191,8 +193,7 @@ def edge_hashes(words: list[bytes], start: int, n: int, window: int) -> np.ndarr
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, seed: int = 11) -> DataFrame:
     """``key``, ``sub`` and ``spans`` of the rows ``docs(key, sub, text)`` that have repeated windows.
 
-    A span is a first window and either ``n`` windows of the run ``name`` or a
-    bit mask of windows.
+    Spans are a struct of arrays, the fields ``SPAN``.
     """
     if not 0 <= window - anchor < 63:
         raise ValueError("a path's windows must fit into a bit mask")
@@ -212,7 +213,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     runs = staged(compacted(joined.where("times > 1")), "runs")
     branching = staged(joined.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("m"), "branching")
     path = F.struct("m", "start", "n", F.least("times", F.lit(2)).cast("int").alias("times")).alias("path")
-    asked = staged(joined.join(branching, "m").select("key", "sub", path).groupBy("key", "sub").agg(F.collect_list("path").alias("paths")), "asked")
+    asked = joined.join(branching, "m").select("key", "sub", path).groupBy("key", "sub").agg(F.collect_list("path").alias("paths"))
+    # an array a field: Python gets them as arrays of numbers
+    asked = staged(asked.select("key", "sub", F.struct(*[F.col(f"paths.{c}").alias(c) for c in ("m", "start", "n", "times")]).alias("paths")), "asked")
     discard(joined)
     _release(spark)
 
@@ -225,25 +228,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in small(batches):
             rows = []
-            for key, sub, text, asked_ in zip(batch["key"].to_numpy(), batch["sub"].to_numpy(), batch["text"], batch["paths"]):
+            for key, sub, text, *asked_ in zip(*[batch[c] for c in ("key", "sub", "text", "m", "start", "n", "times")]):
                 words = unpack(text).split()
-                for p in asked_:
-                    h = edge_hashes(words, p["start"], p["n"], window)
-                    k = len(h)
-                    rows.append((np.full(k, p["m"]), h.view(np.int64), np.full(k, key), np.full(k, sub), np.full(k, p["start"], np.int32), np.arange(k, dtype=np.int32), np.full(k, p["times"], np.int32)))
+                for m, start, n, times in zip(*[x.tolist() for x in asked_]):
+                    h = edge_hashes(words, start, n, window)
+                    rows.append((np.full(n, m), h.view(np.int64), np.full(n, key), np.full(n, sub), np.full(n, start, np.int32), np.arange(n, dtype=np.int32), np.full(n, times, np.int32)))
             if rows:
                 yield pd.DataFrame(dict(zip(("m", "h", "key", "sub", "start", "off", "times"), map(np.concatenate, zip(*rows)))))
 
     # the texts travel once more here: packed they take less than half of the room
     found = docs.select("key", "sub", packed("text").alias("text")).join(asked, ["key", "sub"])
-    edge = staged(found.select("key", "sub", "text", "paths").mapInPandas(edges, "m bigint, h bigint, key bigint, sub int, start int, off int, times int"), "edges")
+    edge = staged(found.select("key", "sub", "text", "paths.*").mapInPandas(edges, "m bigint, h bigint, key bigint, sub int, start int, off int, times int"), "edges")
     _release(spark)
     often = staged(edge.groupBy("m", "h").agg(F.sum("times").alias("total")).where("total > 1").select("m", "h"), "often")
     partly = edge.where("times = 1").join(often, ["m", "h"]).groupBy("key", "sub", "start").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     partly = partly.select("key", "sub", F.struct("start", F.lit(0).alias("n"), "mask", F.lit(0).cast("bigint").alias("name")).alias("span"))
     name = F.col("m").bitwiseXOR(F.col("c")).alias("name")
+    # a table of its own, so that Spark can split the places of a frequent run
     wholly = places.join(runs, ["m", "c"]).select("key", "sub", F.struct("start", F.col("total").alias("n"), F.lit(0).cast("bigint").alias("mask"), name).alias("span"))
-    spans = staged(wholly.unionByName(partly).groupBy("key", "sub").agg(F.collect_set("span").alias("spans")), "spans")
+    wholly = staged(wholly, "wholly")
+    spans = wholly.unionByName(partly).groupBy("key", "sub").agg(F.collect_set("span").alias("spans"))
+    spans = staged(spans.select("key", "sub", F.struct(*[F.col(f"spans.{c}").alias(c) for c in SPAN]).alias("spans")), "spans")
     discard(edge)
     discard(often)
     discard(places)
@@ -252,12 +257,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 
 def kept_words(words: list[bytes], spans, window: int) -> list[bytes]:
-    """The words that no marked window covers."""
-    if spans is None or not len(spans):
+    """The words that no marked window covers; ``spans`` are ``(start, n, mask)``."""
+    if not spans:
         return words
     change = np.zeros(len(words) + 1, np.int64)
-    for s in spans:
-        at, n, mask = s["start"], s["n"], s["mask"]
+    for at, n, mask in spans:
         if n:
             change[at] += 1
             change[at + n - 1 + window] -= 1
@@ -270,19 +274,24 @@ def kept_words(words: list[bytes], spans, window: int) -> list[bytes]:
     return [w for w, c in zip(words, covered.tolist()) if not c]
 
 
+def spans_of(*fields) -> list[tuple]:
+    """Spans of a row from its arrays, which are None where it has none."""
+    return list(zip(*[x.tolist() for x in fields])) if fields[0] is not None else []
+
+
 def words_at(docs: DataFrame, window: int) -> DataFrame:
     """Add ``found`` to ``docs(text, spans)``: ``name`` and the digest of the words of each span of a run."""
 
     @F.pandas_udf("array<struct<name: bigint, digest: binary>>")
-    def digests(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def digests(texts: pd.Series, starts: pd.Series, ns: pd.Series, names: pd.Series) -> pd.Series:
         out = []
-        for text, spans_ in zip(texts, spans):
-            runs = [(s["name"], s["start"], s["start"] + s["n"] + window - 1) for s in ([] if spans_ is None else spans_) if s["n"]]
+        for text, *fields in zip(texts, starts, ns, names):
+            runs = [(name, start, start + n + window - 1) for start, n, name in spans_of(*fields) if n]
             words = split_words(text) if runs else []
             out.append([{"name": name, "digest": xxhash.xxh3_128_digest(b" ".join(words[a:b]))} for name, a, b in runs])
         return pd.Series(out)
 
-    return docs.withColumn("found", digests("text", "spans"))
+    return docs.withColumn("found", digests("text", "spans.start", "spans.n", "spans.name"))
 
 
 def differing(marked: DataFrame) -> DataFrame:
@@ -312,11 +321,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """
 
     @F.pandas_udf("string")
-    def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or not len(s) else b" ".join(kept_words(split_words(t), s, window)).decode("utf-8", "surrogatepass") for t, s in zip(texts, spans)])
+    def rest(texts: pd.Series, starts: pd.Series, ns: pd.Series, masks: pd.Series) -> pd.Series:
+        out = []
+        for text, *fields in zip(texts, starts, ns, masks):
+            spans = spans_of(*fields)
+            out.append(b" ".join(kept_words(split_words(text), spans, window)).decode("utf-8", "surrogatepass") if spans else text)
+        return pd.Series(out)
 
     marked = with_spans(docs, window, anchor)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest("text", "spans"))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest("text", "spans.start", "spans.n", "spans.mask"))
     return marked.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
@@ -324,15 +337,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     @F.pandas_udf("struct<n_words: bigint, n_removed: bigint, kept_sha256: string>")
-    def digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def digest(texts: pd.Series, starts: pd.Series, ns: pd.Series, masks: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, spans_ in zip(texts, spans):
+        for text, *fields in zip(texts, starts, ns, masks):
             words = split_words(text)
-            kept = kept_words(words, spans_, WINDOW)
+            kept = kept_words(words, spans_of(*fields), WINDOW)
             rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return marked.select(F.col("row.doc_id").alias("doc_id"), digest("text", "spans").alias("d")).select("doc_id", "d.*")
+    return marked.select(F.col("row.doc_id").alias("doc_id"), digest("text", "spans.start", "spans.n", "spans.mask").alias("d")).select("doc_id", "d.*")
 
 
 QUERIES = {"op10_substrings": op10_substrings}
