@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_root
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary():
+    """Delete the tables that are staged within, at the end; nothing that still reads them may run after it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.pop():
+            discard(df)
+
+
+def staged(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    A table that is not ``kept`` belongs to the :func:`temporary` scope around it, if there is one.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geoloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
+    if _scopes and not kept:
+        _scopes[-1].append(back)
     return back
 
 

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
-def _stars(parents: DataFrame) -> DataFrame:
-    """Follow ``parent`` to its end: halves each path's length a round."""
+def _stars(hooks: DataFrame) -> DataFrame:
+    """Follow ``parent`` to its end: halves each path's length a round. Deletes the tables it leaves behind."""
+    parents = hooks
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
         jumped = parents.join(up, "parent").select("node", F.col("top").alias("parent"), (F.col("top") != F.col("parent")).alias("moved"))
         jumped = staged(jumped, "parents")
-        parents = jumped.select("node", "parent")
+        discard(parents)
+        parents = jumped
         if jumped.where("moved").isEmpty():
-            return parents
+            return jumped
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,20 +29,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges within a root vanish. Nothing but flags reaches the driver.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    labels = None
+    labels, last, parents = None, None, None
     while True:
         edges = staged(edges, "edges")
+        for done in (last, parents):
+            if done is not None:
+                discard(done)
+        last, parents = edges, None
         if edges.isEmpty():
             break
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
         hooks = ends.groupBy("e.node").agg(F.min("e.other").alias("parent")).select("node", F.least("node", "parent").alias("parent"))
         parents = _stars(staged(hooks, "hooks"))
         if labels is None:
-            labels = parents.select("node", F.col("parent").alias("component"))
+            labels = staged(parents.select("node", F.col("parent").alias("component")), "labels")
         else:
             up = parents.select(F.col("node").alias("component"), "parent")
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        labels = staged(labels, "labels")
+            carried = staged(labels.join(up, "component", "left").select("node", F.coalesce("parent", "component").alias("component")), "labels")
+            discard(labels)
+            labels = carried
         a = parents.select(F.col("node").alias("a"), F.col("parent").alias("ra"))
         b = parents.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
         edges = edges.join(a, "a").join(b, "b").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).where("a != b").distinct()
