@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import bpe, mixing, quality, simhash, substrings
-from geoloom.llm.common import staged, table
+from geoloom.llm.common import discard, staged, table, temporary
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = staged(stage(spark, docs, sf_dir), name, kept=True)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
