@@ -12,7 +12,9 @@ anchors whatever surrounds them, and about fourteen edges make one row.
 3. Repeated paths are compacted: a join links a path to the one that follows it
    wherever it occurs, if that one occurs as often; linked paths become one
    nonbranching path, and only its first part is looked for among all
-   coordinates, so that a passage is one row for each place where it stands.
+   coordinates, so that a passage is one row for each place where it stands. A
+   path that follows itself, in a text that repeats a line over and over, is a
+   loop and one row from the start.
 4. An anchor with several different paths is a branching place: only there are
    single edges compared. One source coordinate of each such path is joined to
    the documents, and the words found there are hashed edge by edge; an edge
@@ -43,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small, staged, table
+from .common import discard, small, staged, table, temporary
 
 WINDOW = 35
 #: Fields of spans: first window, and either windows of a run and its name, or a bit mask of windows.
@@ -134,9 +136,16 @@ def paths(h: np.ndarray, window: int, anchor: int):
     return tuple(map(np.concatenate, zip(*out)))
 
 
-def following(m: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The name of the path after each path of a document; 0 after the last."""
-    return np.append((m ^ c)[1:], np.uint64(0))
+def looped(m: np.ndarray, c: np.ndarray, start: np.ndarray, size: np.ndarray):
+    """A document's paths with ``after``, the name of the next other one (0: none), and ``reps``, how often a path follows itself.
+
+    Where a text repeats a short line over and over its walk goes round a loop: that is one row.
+    """
+    if not len(m):
+        return m, c, m, start, size, start
+    first = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (c[1:] != c[:-1])]))
+    m, c = m[first], c[first]
+    return m, c, np.append((m ^ c)[1:], np.uint64(0)), start[first], size[first], np.diff(np.append(first, len(start)))
 
 
 def _release(spark: SparkSession) -> None:
@@ -146,7 +155,7 @@ def _release(spark: SparkSession) -> None:
 
 
 def cut_paths(docs: DataFrame, window: int, anchor: int, seed: int) -> DataFrame:
-    """The paths of ``docs(key, sub, text)``: anchor and content hash, the next path's name, first window and number of windows."""
+    """The paths of ``docs(key, sub, text)``: anchor and content hash, the next path's name, first window, windows, and rounds."""
 
     def run(batches):
         known = _Words(seed)
@@ -155,24 +164,26 @@ def cut_paths(docs: DataFrame, window: int, anchor: int, seed: int) -> DataFrame
             for key, sub, text in zip(batch["key"].to_numpy(), batch["sub"].to_numpy(), batch["text"]):
                 words = split_words(text)
                 if len(words) >= window:
-                    m, c, start, size = paths(word_hashes(words, known), window, anchor)
-                    after = following(m, c).view(np.int64)
-                    rows.append((m.view(np.int64), c.view(np.int64), after, np.full(len(m), key), np.full(len(m), sub), start.astype(np.int32), size.astype(np.int32)))
+                    m, c, after, start, size, reps = looped(*paths(word_hashes(words, known), window, anchor))
+                    hashes = [x.view(np.int64) for x in (m, c, after)]
+                    rows.append((*hashes, np.full(len(m), key), np.full(len(m), sub), *[x.astype(np.int32) for x in (start, size, reps)]))
             if rows:
-                yield pd.DataFrame(dict(zip(("m", "c", "after", "key", "sub", "start", "n"), map(np.concatenate, zip(*rows)))))
+                yield pd.DataFrame(dict(zip(("m", "c", "after", "key", "sub", "start", "n", "reps"), map(np.concatenate, zip(*rows)))))
 
-    return docs.mapInPandas(run, "m bigint, c bigint, after bigint, key bigint, sub int, start int, n int")
+    return docs.mapInPandas(run, "m bigint, c bigint, after bigint, key bigint, sub int, start int, n int, reps int")
 
 
 def compacted(repeated: DataFrame) -> DataFrame:
-    """``m``, ``c`` of the first part and ``total`` windows of each nonbranching run of ``repeated(m, c, times, after, key, sub, start, n)``.
+    """``m``, ``c`` of the first part and ``total`` windows of each nonbranching run of ``repeated(m, c, places, most, after, key, sub, start, n)``.
 
     A path is linked to its successor if that follows at all of its places and
-    occurs as often. The places of linked paths lie side by side, so their first
-    ones, the source coordinates given, do too and put the run in order.
+    has as many; loops (``most`` rounds over 1) stay by themselves. The places of
+    linked paths lie side by side, so their first ones, the source coordinates
+    given, do too and put the run in order.
     """
-    at = ["name", "times", "key", "sub", "start"]
-    ends = repeated.select(F.col("after").alias("name"), "times", "key", "sub", (F.col("start") + F.col("n")).alias("start")).where("name is not null")
+    at = ["name", "places", "most", "key", "sub", "start"]
+    ends = repeated.where("most = 1 and after is not null")
+    ends = ends.select(F.col("after").alias("name"), "places", "most", "key", "sub", (F.col("start") + F.col("n")).alias("start"))
     named = repeated.withColumn("name", F.col("m").bitwiseXOR(F.col("c")))
     linked = named.join(ends.withColumn("linked", F.lit(1)), at, "left")
     walk = Window.partitionBy("key", "sub").orderBy("start")
@@ -199,15 +210,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         raise ValueError("a path's windows must fit into a bit mask")
     spark = docs.sparkSession
     walk = staged(cut_paths(docs, window, anchor, seed), "walk")
-    shared = staged(walk.groupBy("m").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("m"), "anchors")
+    shared = staged(walk.groupBy("m").agg(F.sum("reps").alias("times")).where("times > 1").select("m"), "anchors")
     _release(spark)
     places = staged(walk.join(shared, "m"), "paths")
     discard(walk)
     discard(shared)
     _release(spark)
     after = F.when(F.min("after") == F.max("after"), F.min("after")).alias("after")
-    joined = places.groupBy("m", "c").agg(F.count(F.lit(1)).alias("times"), after, F.min(F.struct("key", "sub", "start", "n")).alias("at"))
-    joined = staged(joined.select("m", "c", "times", "after", "at.*"), "joined")
+    counts = F.sum("reps").alias("times"), F.count(F.lit(1)).alias("places"), F.max("reps").alias("most")
+    joined = places.groupBy("m", "c").agg(*counts, after, F.min(F.struct("key", "sub", "start", "n")).alias("at"))
+    joined = staged(joined.select("m", "c", "times", "places", "most", "after", "at.*"), "joined")
     _release(spark)
     # tables, so that a join with a frequent anchor or path can be split
     runs = staged(compacted(joined.where("times > 1")), "runs")
@@ -243,17 +255,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     often = staged(edge.groupBy("m", "h").agg(F.sum("times").alias("total")).where("total > 1").select("m", "h"), "often")
     partly = edge.where("times = 1").join(often, ["m", "h"]).groupBy("key", "sub", "start").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     partly = partly.select("key", "sub", F.struct("start", F.lit(0).alias("n"), "mask", F.lit(0).cast("bigint").alias("name")).alias("span"))
-    name = F.col("m").bitwiseXOR(F.col("c")).alias("name")
+    name = F.xxhash64("m", "c", "reps").alias("name")
     # a table of its own, so that Spark can split the places of a frequent run
-    wholly = places.join(runs, ["m", "c"]).select("key", "sub", F.struct("start", F.col("total").alias("n"), F.lit(0).cast("bigint").alias("mask"), name).alias("span"))
+    wholly = places.join(runs, ["m", "c"]).select("key", "sub", F.struct("start", (F.col("total") * F.col("reps")).alias("n"), F.lit(0).cast("bigint").alias("mask"), name).alias("span"))
     wholly = staged(wholly, "wholly")
     spans = wholly.unionByName(partly).groupBy("key", "sub").agg(F.collect_set("span").alias("spans"))
-    spans = staged(spans.select("key", "sub", F.struct(*[F.col(f"spans.{c}").alias(c) for c in SPAN]).alias("spans")), "spans")
-    discard(edge)
-    discard(often)
-    discard(places)
-    _release(spark)
-    return spans
+    return spans.select("key", "sub", F.struct(*[F.col(f"spans.{c}").alias(c) for c in SPAN]).alias("spans"))
 
 
 def kept_words(words: list[bytes], spans, window: int) -> list[bytes]:
@@ -306,11 +313,15 @@ def with_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
     # 96 bits name a row's id and text
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.hash("text", "doc_id").alias("sub"), "text", row)
     for seed in range(11, 100):
-        spans = repeated_spans(keyed.select("key", "sub", "text"), window, anchor, seed)
+        with temporary():
+            spans = staged(repeated_spans(keyed.select("key", "sub", "text"), window, anchor, seed), "spans", kept=True)
+        _release(docs.sparkSession)
         marked = keyed.select("key", "sub", "row").join(spans, ["key", "sub"], "left").select("row", F.col("row.text").alias("text"), "spans")
         marked = staged(words_at(marked, window).drop("text"), "marked")
+        discard(spans)
         if differing(marked).isEmpty():
             return marked.select("row", F.col("row.text").alias("text"), "spans")
+        discard(marked)
     raise RuntimeError("no seed tells all paths apart")
 
 

@@ -831,6 +831,18 @@ def test_a_passage_is_one_run_and_false_runs_are_found(spark):
     assert [r["name"] for r in rows_of(substrings.differing(marked))] == [6]
 
 
+def test_lines_that_a_text_repeats_are_loops(spark):
+    rng = random.Random(79)
+    line, other = words(rng, 3), words(rng, 45)
+    texts = [f"{words(rng, 20)} {' '.join([line] * k)} {words(rng, 20)}" for k in (1, 9, 12, 13, 40, 41, 300)] + [" ".join([other] * 3), other, " ".join([line] * 60), words(rng, 50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = plain_removal([split(t) for t in texts], 35)
+    got = {r["doc_id"]: split(r["text"]) for r in rows_of(substrings.remove_repeats(df))}
+    assert [got[i] for i in range(len(texts))] == kept
+    m, c, start, n = substrings.paths(substrings.word_hashes(split(texts[6]), substrings._Words(11)), 35, 6)
+    assert len(m) > 250 and len(substrings.looped(m, c, start, n)[0]) < 30
+
+
 def test_substrings_with_few_words(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(60)]
