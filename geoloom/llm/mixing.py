@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, staged, table
+from .common import SPACE, WORD, staged, table, temporary
 
 #: Rows that one task rounds at a time.
 BUCKET = 1024
@@ -181,16 +181,17 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
     are drawn separately and given out together.
     """
     keyed = docs.select(F.struct(F.xxhash64("doc_id", "source", "text"), F.hash("text", "source", "doc_id")).alias("key"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    drawn = mix(keyed, weights, most, seed, keep=("key",))
-    shares = drawn.where("taken > 0").groupBy("key").agg(
-        F.sum(F.floor("share")).cast("int").alias("whole"),
-        F.sum(F.round((F.col("share") - F.floor("share")) * F.col("size"))).cast("int").alias("words"),
-    )
-    shares = staged(shares, "shares")
+    with temporary():
+        drawn = mix(keyed, weights, most, seed, keep=("key",))
+        taken = F.col("taken") > 0
+        shares = drawn.groupBy("key").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(F.when(taken, F.floor("share"))).cast("int").alias("whole"),
+            F.sum(F.when(taken, F.round((F.col("share") - F.floor("share")) * F.col("size")))).cast("int").alias("words"),
+        )
+        shares = staged(shares.where("whole > 0 or words > 0"), "shares", kept=True)
     rows = keyed.select("key", "row").join(shares, "key")
-    again = keyed.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("again"))
-    rows = rows.join(again, "key", "left")
-    rows = rows.where("again is null").unionByName(rows.where("again").dropDuplicates(["key"]))
+    rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key"]))
     words = F.array_join(F.slice(F.filter(F.split("row.text", SPACE), lambda w: w != ""), F.lit(1), F.col("words")), " ")
     copy = F.concat(F.array_repeat(F.lit(True), F.col("whole")), F.array_repeat(F.lit(False), (F.col("words") > 0).cast("int")))
     rows = rows.withColumn("full", F.explode(copy))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import staged, table, temporary
 from .components import connected_components
 
 #: Rows of one part of a split block: at least, and at most.
@@ -402,13 +402,14 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     """
     doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     key = F.xxhash64(doc_id, text).alias("key")
-    fps, component = resembling_groups(docs.select(key, doc_id, text), width, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
-    each = fps.groupBy("node").agg(first)
-    each = each.join(component, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
-    # rows of one key are equal in id and text
-    times = fps.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    stay = staged(each.select("first.key").join(times, "key"), "stay")
+    with temporary():
+        fps, component = resembling_groups(docs.select(key, doc_id, text), width, similarity)
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+        each = fps.groupBy("node").agg(first)
+        each = each.join(component, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+        # rows of one key are equal in id and text
+        times = fps.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+        stay = staged(each.select("first.key").join(times, "key"), "stay", kept=True)
     kept = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(stay, "key")
     once = kept.where("times = 1")
     again = kept.where("times > 1").dropDuplicates(["key"])
