@@ -116,7 +116,9 @@ def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner") -
     p = polygons.where("bbox.xmin is not null").select("polygon_id", F.col("bbox").alias("_pb"), F.col("edges").alias("_edges")).withColumn("_pl", _level(pb))
     levels = sorted(r["_pl"] for r in p.select("_pl").distinct().collect())  # some twenty numbers
     own = F.col("_fl")
-    here = F.array_distinct(F.concat(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k <= own), F.array(own)))
+    coarser = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k < own)
+    # its own level too, unless no polygon is as fine
+    here = F.when(own <= max(levels, default=-1), F.concat(coarser, F.array(own))).otherwise(coarser)
     f = features.where("bbox.xmin is not null").withColumn("_fl", _level(fb).cast("int")).withColumn("_cell", F.explode(_cells(fb, here)))
     p = p.withColumn("_cell", F.explode(_cells(pb, F.sequence(F.lit(0), F.col("_pl").cast("int")))))
     overlap = (fb["xmin"] <= pb["xmax"]) & (fb["xmax"] >= pb["xmin"]) & (fb["ymin"] <= pb["ymax"]) & (fb["ymax"] >= pb["ymin"])
