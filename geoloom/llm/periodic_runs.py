@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -149,8 +150,9 @@ def find_runs(words: list[bytes], least: int = LEAST) -> np.ndarray:
     """``start, length, period`` of the runs of at least ``least`` words and two periods."""
     if len(words) < max(least, 2):
         return np.empty((0, 3), np.int64)
-    known: dict[bytes, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     for seed in range(100):
         catchers = Catchers(seed)
         for at in range(0, len(ids), STRETCH):
