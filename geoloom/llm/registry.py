@@ -16,6 +16,7 @@ MODULES = (
     "quality",
     "license_scan",
     "html_consensus",
+    "ranked_search",
     "periodic_runs",
 )
 

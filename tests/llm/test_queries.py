@@ -20,6 +20,7 @@ COLUMNS = {
     "op7": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op11": "item_id bigint, rank int, doc_id bigint, score bigint",
     "op12": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
     "op10": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
 }
@@ -56,6 +57,9 @@ def test_columns_and_ids(results, tables, op):
     kinds, rows = results[op]
     want = [tuple(c.split()) for c in COLUMNS[op].split(", ")]
     assert kinds[: len(want)] == want
+    if op == "op11":  # items, and those documents that rank
+        assert len(rows) == len({(r[0], r["rank"]) for r in rows})
+        return
     ids = collections.Counter(r[0] for r in rows)
     assert ids == collections.Counter(r[0] for r in tables[2 if op == "op4" else 1])
 
@@ -82,7 +86,7 @@ def test_rules_of_the_queries(results, tables):
 
 def test_every_op_is_registered_once():
     names = [n for n in registry.queries() if n != "pipeline"]
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == [*range(1, 11), 12]
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14))
 
 
 def test_substrings_against_their_sql(spark, tables):
