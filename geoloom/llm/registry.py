@@ -18,6 +18,7 @@ MODULES = (
     "html_consensus",
     "ranked_search",
     "periodic_runs",
+    "suffix_dedup",
 )
 
 

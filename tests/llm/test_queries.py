@@ -21,6 +21,7 @@ COLUMNS = {
     "op8": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op11": "item_id bigint, rank int, doc_id bigint, score bigint",
+    "op13": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op12": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
     "op10": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
 }
