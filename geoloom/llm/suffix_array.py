@@ -84,27 +84,36 @@ def _left(t, s, kind: bool, sa, at, wave, step) -> None:
 
 
 def _one_by_one(t: np.ndarray, s: np.ndarray, begins: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    text, small, n = t.tolist(), s.tolist(), len(t)
+    text, n = t.tolist(), len(t)
+    # the suffix one to the left where it is of the kind, by suffix; the last entry stands for a free place
+    left = np.arange(-1, n)
+    left[0] = left[n] = -1
+    larger, smaller = left.copy(), left.copy()
+    larger[1:n][s[:-1]] = -1
+    smaller[1:n][~s[:-1]] = -1
     sa = [-1] * n
     back = (ends - 1).tolist()
     for j in lms[::-1].tolist():
         c = text[j]
         sa[back[c]] = j
         back[c] -= 1
-    front = begins.tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
+    # the lists are filled ahead of where they are read
+    front, left = begins.tolist(), larger.tolist()
+    for i in sa:
+        j = left[i]
+        if j >= 0:
             c = text[j]
-            sa[front[c]] = j
-            front[c] += 1
-    back = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
+            p = front[c]
+            sa[p] = j
+            front[c] = p + 1
+    back, left = (ends - 1).tolist(), smaller.tolist()
+    for i in reversed(sa):
+        j = left[i]
+        if j >= 0:
             c = text[j]
-            sa[back[c]] = j
-            back[c] -= 1
+            p = back[c]
+            sa[p] = j
+            back[c] = p - 1
     return np.array(sa, np.int64)
 
 

@@ -6,7 +6,9 @@
    anchor. Pieces that follow themselves, in a text that repeats itself at short
    distance, are one row with a count.
 2. Equal pieces are counted together, and pieces whose anchor stands nowhere else
-   are dropped. One place of each different piece gives its bytes.
+   are dropped. One place of each different piece gives its bytes; neighbours
+   there whose anchors have no other piece are joined, so that their windows'
+   bytes are not repeated.
 3. Anchors are dealt to shards of bounded size. A shard's pieces are put one after
    another, its suffix array is induced and the permuted common prefixes are
    computed. A window is repeated if the suffix that starts there shares ``width``
@@ -44,7 +46,9 @@ from .suffix_array import common_prefixes, suffix_array
 #: Bytes of a window and of an anchor.
 WIDTH, ANCHOR = 200, 32
 #: Bytes of a shard, and of an anchor's different pieces before it is split, and the ranges of distances it is split by.
-SHARD, SPLIT, RANGES = 1 << 19, 1 << 18, (24, 1)
+SHARD, SPLIT, RANGES = 1 << 17, 1 << 16, (24, 1)
+#: Windows of pieces that are joined, at most.
+LONG = 1 << 14
 #: Windows of a text that are cut into pieces at a time.
 STRETCH = 1 << 18
 #: A hash of each byte, for the rolling hash.
@@ -175,6 +179,22 @@ def group_spans(pieces: DataFrame, width: int, most: int = SPLIT, ranges: tuple[
     return shard_spans(pieces.join(frequent, "g", "left_anti"), width).unionByName(back)
 
 
+def joined(asked: list[tuple]):
+    """Runs of a text's ``asked(start, m, c, times, n, gap, lone)``, by start: pieces that meet no other piece go on where the last one ends."""
+    run, size = [], 0
+    for piece in asked:
+        last = run[-1] if run else None
+        if last and last[6] and piece[6] and last[0] + last[4] == piece[0] and last[3] == piece[3] and size + piece[4] <= LONG:
+            run.append(piece)
+            size += piece[4]
+            continue
+        if run:
+            yield run
+        run, size = [piece], piece[4]
+    if run:
+        yield run
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, most: int = SPLIT) -> DataFrame:
     """``key``, ``sub`` and the repeated windows, as ``spans``, of the different texts ``docs(key, sub, text)`` that have some."""
 
@@ -193,9 +213,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, mo
     discard(walk)
     discard(shared)
     first = F.min(F.struct("at", "start", "n", "gap")).alias("first")
-    asked = places.groupBy("m", "c").agg(F.sum("times").alias("times"), first).select("m", "c", "times", "first.*")
+    asked = staged(places.groupBy("m", "c").agg(F.sum("times").alias("times"), first).select("m", "c", "times", "first.*"), "asked")
+    branching = asked.groupBy("m").agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select("m", F.lit(False).alias("lone"))
+    asked = asked.join(branching, "m", "left").withColumn("lone", F.coalesce("lone", F.lit(True)))
     # an array a field: Python gets them as arrays of numbers
-    fields = ("m", "c", "times", "start", "n", "gap")
+    fields = ("start", "m", "c", "times", "n", "gap", "lone")
     asked = asked.groupBy("at").agg(*[F.collect_list(x).alias(x) for x in fields])
 
     def extract(batches):
@@ -204,16 +226,21 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, mo
             rows = []
             for text, *arrays in zip(batch["text"], *[batch[x] for x in fields]):
                 text = unpack(text)
-                for m, c, times, start, n, gap in zip(*[x.tolist() for x in arrays]):
-                    rows.append((m, c, times, gap, text[start : start + n + width - 1]))
+                for run in joined(sorted(zip(*[x.tolist() for x in arrays]))):
+                    begin, m, c, times, _, gap, _ = run[0]
+                    members = [{"m": r[1], "c": r[2], "from": r[0] - begin, "n": r[4]} for r in run]
+                    rows.append((m, c, times, gap, text[begin : run[-1][0] + run[-1][4] + width - 1], members))
             if rows:
-                yield pd.DataFrame(rows, columns=["g", "c", "times", "gap", "piece"])
+                yield pd.DataFrame(rows, columns=["g", "c", "times", "gap", "piece", "members"])
 
-    kind = "g bigint, c bigint, times bigint, gap int, piece binary"
+    kind = "g bigint, c bigint, times bigint, gap int, piece binary, members array<struct<m: bigint, c: bigint, from: int, n: int>>"
     pieces = staged(texts.select("at", "text").join(asked, "at").select("text", *fields).mapInPandas(extract, kind), "pieces")
-    marks = staged(group_spans(pieces, width, most), "marks")
+    marks = group_spans(pieces.drop("members"), width, most).join(pieces.select("g", "c", "members"), ["g", "c"])
+    marks = marks.select("spans", F.explode("members").alias("of"))
+    clipped = F.transform("spans", lambda s: F.struct(F.greatest(s["first"] - F.col("of.from"), F.lit(0)).alias("first"), F.least(s["last"] - F.col("of.from"), F.col("of.n")).alias("last")))
+    marks = staged(marks.select("of.m", "of.c", F.filter(clipped, lambda s: s["first"] < s["last"]).alias("spans")), "marks")
     discard(pieces)
-    found = places.join(marks.withColumnsRenamed({"g": "m"}), ["m", "c"])
+    found = places.join(marks, ["m", "c"])
     whole = F.array(F.struct(F.col("start").cast("int").alias("first"), (F.col("start") + F.col("n") * F.col("reps")).cast("int").alias("last")))
     part = F.transform("spans", lambda s: F.struct((F.col("start") + s["first"]).cast("int").alias("first"), (F.col("start") + s["last"]).cast("int").alias("last")))
     found = found.groupBy("at").agg(F.flatten(F.collect_list(F.when(F.col("reps") > 1, whole).otherwise(part))).alias("spans"))
