@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import staged
+from ..sources.scratch import delete, scratch, staged
 
 #: Largest size of a partition in bytes.
 MOST_BYTES = 2 * 1024**3
@@ -43,30 +45,141 @@ def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", accuracy: int =
     return df.withColumn("kd_leaf", leaf)
 
 
-def oversized(spark: SparkSession, path: str, most: int, key: str = "kd_leaf") -> DataFrame:
-    """Partitions of a written table, by the folders of ``key``, whose files are larger than the limit together."""
+def leaf_bytes(spark: SparkSession, path: str, key: str = "kd_leaf") -> DataFrame:
+    """``part`` and ``bytes``: the size of each partition of a written table, by the folders of ``key``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    sizes = files.groupBy(F.regexp_extract("path", f"/{key}=([^/]+)/", 1).alias("part")).agg(F.sum("length").alias("bytes"))
-    return sizes.where(F.col("bytes") > most)
+    return files.groupBy(F.regexp_extract("path", f"/{key}=([^/]+)/", 1).alias("part")).agg(F.sum("length").alias("bytes"))
+
+
+def oversized(spark: SparkSession, path: str, most: int, key: str = "kd_leaf") -> DataFrame:
+    """Partitions of a written table whose files are larger than the limit together."""
+    return leaf_bytes(spark, path, key).where(F.col("bytes") > most)
+
+
+def row_bytes(df: DataFrame, level: int, rows: int = 200_000) -> float:
+    """Bytes that a row takes when it is written: measured on a sample of some ``rows`` rows."""
+    n = df.count()
+    if not n:
+        return 0.0
+    path = scratch(df.sparkSession, "sample")
+    share = min(1.0, rows / n)
+    df.sample(share, seed=1).write.options(**_options(level)).parquet(path)
+    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    return (files.agg(F.sum("length")).first()[0] or 0) / max(1, written)
+
+
+def _halve(df: DataFrame, wanted: list[int], box: str, accuracy: int) -> DataFrame:
+    """Move the rows of ``wanted`` leaves to their children ``2 * leaf`` and ``2 * leaf + 1``.
+
+    A leaf is cut at the median of its level's axis, of the other one if its
+    centres agree in that, and by the number of the row if they agree in both.
+    """
+    spark = df.sparkSession
+    b = F.col(box)
+    x, y = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
+    leaves = F.broadcast(spark.createDataFrame([(w,) for w in wanted], "kd_leaf bigint"))
+    each = []
+    for name, v in (("x", x), ("y", y)):
+        each += [F.percentile_approx(v, 0.5, accuracy).alias(f"{name}_cut"), F.min(v).alias(f"{name}_least"), F.max(v).alias(f"{name}_most")]
+    cuts = []
+    for r in df.join(leaves, "kd_leaf").groupBy("kd_leaf").agg(*each).collect():  # a row a leaf that is cut
+        level = r["kd_leaf"].bit_length() - 1
+        order = ("x", "y") if level % 2 == 0 else ("y", "x")
+        axis = next((a for a in order if r[f"{a}_least"] is not None and r[f"{a}_least"] < r[f"{a}_most"]), "row")
+        cut = None if axis == "row" else r[f"{axis}_cut"]
+        # a median that is the greatest centre cuts before itself
+        cuts.append((r["kd_leaf"], axis, cut, axis != "row" and cut >= r[f"{axis}_most"]))
+    cuts = F.broadcast(spark.createDataFrame(cuts, "kd_leaf bigint, _axis string, _cut double, _from boolean"))
+    v = F.when(F.col("_axis") == "x", x).otherwise(y)
+    right = F.when(F.col("_axis") == "row", F.monotonically_increasing_id() % 2 == 1).otherwise(F.when(F.col("_from"), v >= F.col("_cut")).otherwise(v > F.col("_cut")))
+    leaf = F.when(F.col("_axis").isNull(), F.col("kd_leaf")).otherwise(F.col("kd_leaf") * 2 + F.coalesce(right, F.lit(False)).cast("bigint"))
+    return df.join(cuts, "kd_leaf", "left").withColumn("kd_leaf", leaf).drop("_axis", "_cut", "_from")
+
+
+def split_leaves(df: DataFrame, rows: dict[int, int], most_rows: dict[int, float], box: str = "bbox", accuracy: int = 100_000) -> DataFrame:
+    """Halve the leaves ``kd_leaf`` of ``df``, which have so many ``rows``, until none has more than its ``most_rows``; children inherit that."""
+    while wanted := [k for k, n in rows.items() if n > 1 and n > most_rows[k]]:
+        df = _halve(df, wanted, box, accuracy)
+        children = {c: k for k in wanted for c in (2 * k, 2 * k + 1)}
+        found = df.where(F.col("kd_leaf").isin(list(children))).groupBy("kd_leaf").count().collect()
+        rows = {k: n for k, n in rows.items() if k not in wanted} | {r["kd_leaf"]: r["count"] for r in found}
+        most_rows = most_rows | {c: most_rows[k] for c, k in children.items()}
+    return df
+
+
+def write_bounded(df: DataFrame, path: str, most: int = MOST_BYTES, level: int = 3, box: str = "bbox") -> int:
+    """Write partitions ``kd_leaf``, none of which is larger than ``most`` bytes unless it is a single row; returns how many there are.
+
+    A leaf is known by its place in the tree: 1 is all, 2k and 2k + 1 are the
+    halves of k, so leaves of uneven depth have names of their own. The bytes of a
+    row, measured on a written sample, tell how far to halve before anything is
+    written. What is written is measured; only leaves beyond the limit are read
+    again, halved by their own bytes a row, and written in place of themselves.
+    """
+    spark = df.sparkSession
+    n = df.count()
+    each = row_bytes(df, level)
+    start = df.withColumn("kd_leaf", F.lit(1).cast("bigint"))
+    write_partitioned(split_leaves(start, {1: n}, {1: most / each if each else n}, box), path, level)
+    while large := {int(r["part"]): r["bytes"] for r in oversized(spark, path, most).collect()}:  # few rows: leaves beyond the limit
+        stored = spark.read.schema(start.schema).parquet(path)
+        again = stored.where(F.col("kd_leaf").isin(list(large)))
+        rows = {r["kd_leaf"]: r["count"] for r in again.groupBy("kd_leaf").count().collect()}
+        if not any(n > 1 for n in rows.values()):
+            break
+        # a little below the limit, since smaller files compress less
+        limits = {k: min(0.9 * most * n / large[k], n / 2) for k, n in rows.items()}
+        write_partitioned(split_leaves(again, rows, limits, box).where(~F.col("kd_leaf").isin([k for k, n in rows.items() if n == 1])), path, level, mode="append")
+        for k, n in rows.items():
+            if n > 1:
+                delete(spark, f"{path}/kd_leaf={k}")
+    return leaf_bytes(spark, path).count()
+
+
+def _options(level: int) -> dict:
+    return {"compression": "zstd", "parquet.compression.codec.zstd.level": level}
+
+
+def curve(box: Column, bits: int = 16) -> Column:
+    """Place of a box's centre, in degrees, on a Hilbert curve over the world of 2**bits cells a side.
+
+    From the highest bit down a cell's quarter adds its number on the curve, and
+    the lower bits are turned and mirrored as the curve runs in that quarter.
+    """
+    side = 1 << bits
+
+    def scaled(low: str, high: str, least: float, width: float) -> Column:
+        v = ((box[low] + box[high]) / 2 - least) / width * side
+        return F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(v))).cast("bigint")
 
+    start = F.struct(scaled("xmin", "xmax", -180.0, 360.0).alias("x"), scaled("ymin", "ymax", -90.0, 180.0).alias("y"), F.lit(0).cast("bigint").alias("d"))
 
-def write_bounded(df: DataFrame, path: str, leaves: int = 1, most: int = MOST_BYTES, doublings: int = 12, level: int = 3) -> int:
-    """Write kd partitions, and again with twice as many while one is larger than the limit; returns how many leaves it took."""
-    for _ in range(doublings + 1):
-        write_partitioned(kd_partition(df, leaves), path, level)
-        if oversized(df.sparkSession, path, most).isEmpty():
-            return leaves
-        leaves *= 2
-    raise ValueError(f"a partition of {path} stays larger than {most} bytes: its boxes have one centre")
+    def step(a: Column, k: Column) -> Column:
+        half = F.expr("1L") * F.pow(F.lit(2.0), k).cast("bigint")
+        x, y = a["x"], a["y"]
+        right, up = (x >= half).cast("bigint"), (y >= half).cast("bigint")
+        d = a["d"] * 4 + F.when(right == 1, 3 - up).otherwise(up)
+        # within the quarter
+        x, y = x - right * half, y - up * half
+        mirrored = (up == 0) & (right == 1)
+        turned = up == 0
+        mx, my = F.when(mirrored, half - 1 - x).otherwise(x), F.when(mirrored, half - 1 - y).otherwise(y)
+        return F.struct(F.when(turned, my).otherwise(mx).alias("x"), F.when(turned, mx).otherwise(my).alias("y"), d.alias("d"))
 
+    return F.aggregate(F.array(*[F.lit(k) for k in range(bits - 1, -1, -1)]), start, step, lambda a: a["d"])
 
-def write_partitioned(df: DataFrame, path: str, level: int = 3) -> None:
-    """One folder per leaf, sorted within, so that leaves and row groups can be skipped.
 
-    High levels cost much for each page; 15 is meant for files to publish.
+def write_partitioned(df: DataFrame, path: str, level: int = 3, mode: str = "overwrite", box: str = "bbox") -> None:
+    """One folder per leaf; within it rows along a Hilbert curve, so that files and row groups can be skipped in both axes.
+
+    Tasks take ranges of leaf, curve and row, so a leaf of many rows is written by
+    several. High levels cost much for each page; 15 is meant for files to publish.
     """
-    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level}
-    df.repartition("kd_leaf").sortWithinPartitions("kd_leaf", "bbox.xmin", "bbox.ymin").write.options(**options).partitionBy("kd_leaf").mode("overwrite").parquet(path)
+    # rows at one place on the curve are spread by a number of their own
+    placed = df.withColumn("_curve", curve(F.col(box))).withColumn("_row", F.monotonically_increasing_id())
+    placed = placed.repartitionByRange("kd_leaf", "_curve", "_row").sortWithinPartitions("kd_leaf", "_curve", "_row").drop("_curve", "_row")
+    placed.write.options(**_options(level)).partitionBy("kd_leaf").mode(mode).parquet(path)
 
 
 def tile_x(lon: Column, z: Column) -> Column:
@@ -115,11 +228,88 @@ def running_total(df: DataFrame, order: list[str], value: str) -> DataFrame:
     return summed.withColumn("before", F.col("_own") + F.col("_offset")).drop("_part", "_own", "_offset")
 
 
-def pack_shards(tiles: DataFrame, limit_bytes: int, size: str = "bytes") -> DataFrame:
-    """Add ``shard``: tiles in order of zoom and place, cut whenever the running size passes a multiple of the limit."""
+def _following(end: np.ndarray, limit: int, before: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first tile of the shard after the one that begins at each of ``at``, and the total that shard may not reach beyond."""
+    total = before[at] + limit
+    return np.maximum(np.searchsorted(end, total, "right"), at + 1), total
+
+
+def _walk(before: np.ndarray, end: np.ndarray, limit: int, entry: np.ndarray, each=None) -> np.ndarray:
+    """Go from shard to shard of a block until it ends; the totals to go on from, -1: at the next block's first tile."""
+    at, out = np.searchsorted(end, entry, "right"), np.full(len(entry), -1, np.int64)
+    open_ = np.flatnonzero(at < len(end))
+    while len(open_):
+        if each:
+            each(at[open_])
+        at[open_], total = _following(end, limit, before, at[open_])
+        left = at[open_] >= len(end)
+        out[open_[left]] = np.where(total[left] >= end[-1], total[left], -1)
+        open_ = open_[~left]
+    return out
+
+
+def _totals(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    pdf = pdf.sort_values(["before", "size", "_at"], ignore_index=True)
+    before = pdf["before"].to_numpy(np.int64)
+    return pdf, before, before + pdf["size"].to_numpy(np.int64)
+
+
+def pack_shards(tiles: DataFrame, limit_bytes: int, size: str = "bytes", blocks: int = 32) -> DataFrame:
+    """Add ``shard``: tiles in order of zoom and place, each put into the shard before unless that would pass the limit.
+
+    No shard is larger than the limit unless it is a single tile. Where a shard
+    ends depends on where it began, so tiles are taken in blocks of ``blocks``
+    limits of running size. A shard that goes on beyond a block is known to the
+    next one by the total that it may reach, one of those of the block's last tiles; each
+    block works out, for all of them, the total that it hands on. Pointer doubling
+    over blocks finds the one total that comes to each, and each block numbers its
+    shards. A null size counts as 0.
+    """
     code = F.col("z").cast("bigint") * (1 << 50) + F.col("x").cast("bigint") * (1 << 25) + F.col("y").cast("bigint")
-    summed = running_total(tiles.withColumn("_code", code), ["_code"], size)
-    return summed.withColumn("shard", F.floor(F.col("before") / limit_bytes).cast("bigint")).drop("_code")
+    summed = tiles.withColumn("_code", code).withColumn("_size", F.coalesce(F.col(size).cast("bigint"), F.lit(0)))
+    summed = running_total(summed, ["_code"], "_size").withColumn("_at", F.monotonically_increasing_id())
+    summed = staged(summed.withColumn("_block", F.floor(F.col("before") / (limit_bytes * blocks))), "summed")
+    narrow = summed.select("_block", "_at", "before", F.col("_size").alias("size"))
+    # a row a block
+    following = F.lead("_block").over(Window.orderBy("_block"))
+    ends = staged(narrow.groupBy("_block").agg(F.max(F.col("before") + F.col("size")).alias("_end")).withColumn("_next", following), "blocks")
+    leaving = narrow.join(ends, "_block").where((F.col("before") + limit_bytes >= F.col("_end")) & F.col("_next").isNotNull())
+    entries = leaving.select(F.col("_next").alias("_block"), (F.col("before") + limit_bytes).alias("entry")).distinct()
+    entries = entries.unionByName(ends.select("_block", F.lit(-1).cast("bigint").alias("entry")))
+
+    def through(tiles_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
+        _, before, end = _totals(tiles_)
+        out = _walk(before, end, limit_bytes, entries_["entry"].to_numpy(np.int64))
+        return pd.DataFrame({"_block": entries_["_block"], "entry": entries_["entry"], "exit": out})
+
+    edges = narrow.groupBy("_block").cogroup(entries.groupBy("_block")).applyInPandas(through, "_block bigint, entry bigint, exit bigint")
+    jump = edges.join(ends.select("_block", "_next"), "_block").where("_next is not null")
+    jump = staged(jump.select("_block", "entry", F.col("_next").alias("to"), "exit"), "jump")
+    reached = ends.agg(F.min("_block").alias("_block")).where("_block is not null").select("_block", F.lit(-1).cast("bigint").alias("entry"))
+    n, done = ends.count(), 1
+    while done < n:
+        reached = reached.unionByName(reached.join(jump, ["_block", "entry"]).select(F.col("to").alias("_block"), F.col("exit").alias("entry")))
+        done *= 2
+        reached = staged(reached, "reached")
+        if done < n:
+            on = jump.select(F.col("_block").alias("to"), F.col("entry").alias("exit"), F.col("to").alias("_to"), F.col("exit").alias("_exit"))
+            jump = staged(jump.join(on, ["to", "exit"]).select("_block", "entry", F.col("_to").alias("to"), F.col("_exit").alias("exit")), "jump")
+
+    def numbered(tiles_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
+        tiles_, before, end = _totals(tiles_)
+        starts: list[np.ndarray] = []
+        _walk(before, end, limit_bytes, entries_["entry"].to_numpy(np.int64), starts.append)
+        begun = np.zeros(len(end), np.int64)
+        if starts:  # else the shard before goes on through all of the block
+            begun[np.concatenate(starts)] = 1
+        return pd.DataFrame({"_block": tiles_["_block"], "_at": tiles_["_at"], "_in": np.cumsum(begun)})
+
+    parts = narrow.groupBy("_block").cogroup(reached.groupBy("_block")).applyInPandas(numbered, "_block bigint, _at bigint, _in bigint")
+    parts = staged(parts, "numbered")
+    before_block = F.coalesce(F.sum("_most").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.groupBy("_block").agg(F.max("_in").alias("_most")).select("_block", before_block.alias("_offset"))
+    shards = parts.join(offsets, "_block").select("_at", (F.col("_offset") + F.col("_in") - 1).alias("shard"))
+    return summed.join(shards, "_at").drop("_at", "_block", "_code", "_size")
 
 
 def shard_manifest(shards: DataFrame) -> DataFrame:

@@ -36,14 +36,25 @@ def p02_partition_count(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), partitioning.partition_count(F.col("o_orderkey") * 1000003).alias("parts"))
 
 
-@register(f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, true AS doubled, CAST(0 AS BIGINT) AS oversized FROM {POINTS}")
+@register(f"SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, true AS several, CAST(0 AS BIGINT) AS oversized FROM {POINTS}")
 def p02_write_bounded(spark, sf_dir):
-    """A limit that the whole table passes by far, so that the partitions are doubled at least once."""
+    """A limit that the whole table passes by far."""
     path = scratch(spark, "bounded")
     most = 20_000
-    leaves = partitioning.write_bounded(points(spark, sf_dir).select("id", "bbox"), path, 1, most)
+    leaves = partitioning.write_bounded(points(spark, sf_dir).select("id", "bbox"), path, most)
     stored = readers.read_features(spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
-    return stored.select("n", "ids", F.lit(leaves > 1).alias("doubled"), F.lit(partitioning.oversized(spark, path, most).count()).cast("bigint").alias("oversized"))
+    return stored.select("n", "ids", F.lit(leaves > 1).alias("several"), F.lit(partitioning.oversized(spark, path, most).count()).cast("bigint").alias("oversized"))
+
+
+@register(f"SELECT id FROM {POINTS}")
+def p02_hot_point(spark, sf_dir):
+    """All points at one place: leaves are cut by the number of the row."""
+    path = scratch(spark, "hot")
+    most = 60_000
+    here = F.struct(*[F.lit(v).alias(c) for v, c in ((77.0, "xmin"), (12.0, "ymin"), (77.0, "xmax"), (12.0, "ymax"))])
+    partitioning.write_bounded(points(spark, sf_dir).select("id").withColumn("bbox", here), path, most)
+    large = partitioning.oversized(spark, path, most)
+    return readers.read_features(spark, path).select("id").join(large.limit(1), how="left_anti", on=F.lit(True))
 
 
 @register(f"SELECT CAST(leaf AS INT) AS kd_leaf, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM ({KD}) GROUP BY leaf")
@@ -141,19 +152,26 @@ def p03_thinned_counts(spark, sf_dir):
     return partitioning.tile_counts(partitioning.thin_tiles(tiled, 3))
 
 
-PACKED = f"SELECT *, CAST(floor(coalesce(sum(bytes) OVER (ORDER BY z, x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000000) AS BIGINT) AS shard FROM (SELECT z, x, y, CAST(sum(bytes) AS BIGINT) AS bytes FROM {TILES} GROUP BY z, x, y)"
+#: Tiles one after another, each in the shard before unless that would pass the limit.
+PACKED = f"""(WITH RECURSIVE t AS (
+    SELECT row_number() OVER (ORDER BY z, x, y) AS r, * FROM (SELECT z, x, y, CAST(sum(bytes) AS BIGINT) AS bytes FROM {TILES} GROUP BY z, x, y)
+), packed AS (
+    SELECT t.*, bytes AS used, CAST(0 AS BIGINT) AS shard FROM t WHERE r = 1
+    UNION ALL
+    SELECT t.*, CASE WHEN p.used + t.bytes > 1000000 THEN t.bytes ELSE p.used + t.bytes END, p.shard + CASE WHEN p.used + t.bytes > 1000000 THEN 1 ELSE 0 END FROM packed p JOIN t ON t.r = p.r + 1
+) SELECT * FROM packed)"""
 
 
 def _sized_tiles(spark, sf_dir):
     return tiles(spark, sf_dir).groupBy("z", "x", "y").agg(F.sum("bytes").alias("bytes"))
 
 
-@register(f"SELECT z, x, y, shard FROM ({PACKED})")
+@register(f"SELECT z, x, y, shard FROM {PACKED}")
 def p04_pack_shards(spark, sf_dir):
     return partitioning.pack_shards(_sized_tiles(spark, sf_dir), 1_000_000).select("z", "x", "y", "shard")
 
 
-@register(f"SELECT shard, min(w) AS min_lon_e7, min(s) AS min_lat_e7, max(e) AS max_lon_e7, max(n) AS max_lat_e7, min(z) AS min_zoom, max(z) AS max_zoom, count(*) AS tiles FROM (SELECT *, {TILE_BOX} FROM ({PACKED})) GROUP BY shard")
+@register(f"SELECT shard, min(w) AS min_lon_e7, min(s) AS min_lat_e7, max(e) AS max_lon_e7, max(n) AS max_lat_e7, min(z) AS min_zoom, max(z) AS max_zoom, count(*) AS tiles FROM (SELECT *, {TILE_BOX} FROM {PACKED}) GROUP BY shard")
 def p04_shard_manifest(spark, sf_dir):
     return partitioning.shard_manifest(partitioning.pack_shards(_sized_tiles(spark, sf_dir), 1_000_000))
 

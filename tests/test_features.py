@@ -1,6 +1,8 @@
 """Feature filters, inference, repair, partitions and streams on small cases."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,13 +171,81 @@ def test_item_tables_by_position(spark, tmp_path):
         readers.read_stac_items(spark, str(tmp_path / "other"), "c")
 
 
-def test_partitions_are_doubled_until_small(spark, tmp_path):
-    p = inputs.points(spark, "/root/testdata/sf0.001").select("id", "bbox")
+def _files(path):
+    return {f"{d}/{n}": os.stat(f"{d}/{n}").st_ino for d, _, names in os.walk(path) for n in names if n.startswith("part-")}
+
+
+def test_only_leaves_beyond_the_limit_are_written_again(spark, tmp_path, monkeypatch):
+    p = inputs.points(spark, "/root/testdata/sf0.01").select("id", "bbox")
     path = str(tmp_path / "p")
-    leaves = partitioning.write_bounded(p, path, 1, 12_000)
-    assert leaves > 1 and partitioning.oversized(spark, path, 12_000).isEmpty() and readers.read_features(spark, path).count() == p.count()
-    with pytest.raises(ValueError):
-        partitioning.write_bounded(p.withColumn("bbox", F.struct(*[F.lit(1.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])), path, 1, 2000, doublings=2)
+    # a text in one corner alone makes rows there larger than the sample tells
+    corner = p.withColumn("note", F.when((F.col("bbox.xmin") < 75) & (F.col("bbox.ymin") < 12), F.sha2(F.col("id").cast("string"), 512)))
+    written = []
+    write = partitioning.write_partitioned
+
+    def spy(df, to, *args, **kwargs):
+        before = _files(path) if written else {}
+        write(df, to, *args, **kwargs)
+        written.append((kwargs.get("mode", "overwrite"), before))
+
+    monkeypatch.setattr(partitioning, "write_partitioned", spy)
+    leaves = partitioning.write_bounded(corner, path, 60_000)
+    stored = readers.read_features(spark, path)
+    assert leaves > 1 and partitioning.oversized(spark, path, 60_000).isEmpty()
+    assert sorted(r["id"] for r in stored.select("id").collect()) == sorted(r["id"] for r in p.select("id").collect())
+    assert len(written) > 1 and all(mode == "append" for mode, _ in written[1:])
+    depths = {int(r["kd_leaf"]).bit_length() for r in stored.select("kd_leaf").distinct().collect()}
+    assert len(depths) > 1
+    kept = set(written[1][1]) & set(_files(path))
+    assert kept and all(_files(path)[f] == written[1][1][f] for f in kept)
+
+
+def test_a_hot_point_is_cut_by_rows(spark, tmp_path):
+    p = inputs.points(spark, "/root/testdata/sf0.001").select("id", F.struct(*[F.lit(1.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]).alias("bbox"))
+    path = str(tmp_path / "hot")
+    assert partitioning.write_bounded(p, path, 3_000) > 1 and partitioning.oversized(spark, path, 3_000).isEmpty()
+    assert readers.read_features(spark, path).select("id").distinct().count() == p.count()
+    # one row beyond the limit stays, and so does an empty table
+    assert partitioning.write_bounded(p.limit(1), str(tmp_path / "one"), 10) == 1
+    assert partitioning.write_bounded(p.limit(0), str(tmp_path / "none"), 10) == 0
+
+
+def test_one_leaf_is_written_by_many_tasks_along_a_curve(spark, tmp_path):
+    p = inputs.points(spark, "/root/testdata/sf0.01").select("id", "bbox").withColumn("kd_leaf", F.lit(1))
+    path = str(tmp_path / "leaf")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    partitioning.write_partitioned(p, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = readers.read_features(spark, path).groupBy(F.input_file_name()).agg(*[f(f"bbox.{c}").alias(n) for f, c, n in ((F.min, "xmin", "w"), (F.max, "xmin", "e"), (F.min, "ymin", "s"), (F.max, "ymin", "n"))]).collect()
+    # compact parts: strips over one axis would be 31 / 16 + 33 degrees each
+    assert len(files) == 16 and sum(r["e"] - r["w"] + r["n"] - r["s"] for r in files) / 16 < 28
+
+
+def test_hilbert_curve(spark):
+    rows = [(i * 16 + j, (i + 0.5) / 16 * 360 - 180, (j + 0.5) / 16 * 180 - 90) for i in range(16) for j in range(16)]
+    box = F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
+    got = sorted((r["d"], r["id"] // 16, r["id"] % 16) for r in spark.createDataFrame(rows, "id int, x double, y double").select("id", partitioning.curve(box, 4).alias("d")).collect())
+    assert [g[0] for g in got] == list(range(256))
+    assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("n, blocks", [(0, 1), (1, 8), (200, 1), (300, 2), (400, 32)])
+def test_shards_are_packed_in_order_within_the_limit(spark, n, blocks):
+    rng = random.Random(n)
+    tiles = [(z, x, y) for z in range(4, 7) for x in range(16) for y in range(16)]
+    rng.shuffle(tiles)
+    sized = [(z, x, y, rng.choice([0, 1, 5, 30, 99, 100, 101, 250, 1000, rng.randint(0, 60), None])) for z, x, y in tiles[:n]]
+    got = {(r["z"], r["x"], r["y"]): r["shard"] for r in partitioning.pack_shards(spark.createDataFrame(sized, "z int, x int, y int, bytes bigint"), 100, blocks=blocks).collect()}
+    want, used, shard = {}, None, -1
+    for z, x, y, b in sorted(sized, key=lambda t: t[:3]):
+        if used is None or used + (b or 0) > 100:
+            shard, used = shard + 1, b or 0
+        else:
+            used += b or 0
+        want[z, x, y] = shard
+    assert got == want
 
 
 def test_kd_plan_grows_by_an_expression_a_round(spark):
