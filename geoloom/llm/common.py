@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_root
 
 
-_scopes: list[list[DataFrame]] = []
+#: The scopes around the code that runs, innermost last; each thread has its own.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def temporary():
     """Delete the tables that are staged within, at the end; nothing that still reads them may run after it."""
-    _scopes.append([])
+    own: list[DataFrame] = []
+    outer = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for df in _scopes.pop():
+        _scopes.reset(outer)
+        for df in own:
             discard(df)
 
 
@@ -58,11 +62,18 @@ def staged(df: DataFrame, label: str, kept: bool = False) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
-    if _scopes and not kept:
-        _scopes[-1].append(back)
+    scopes = _scopes.get()
+    if scopes and not kept:
+        scopes[-1].append(back)
     return back
 
 
+def finished(result, label: str) -> DataFrame:
+    """The table that ``result()`` gives, written; what was staged for it is deleted."""
+    with temporary():
+        return staged(result(), label, kept=True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`staged` wrote, once nothing that is still to run reads it."""
     jvm = df.sparkSession.sparkContext._jvm

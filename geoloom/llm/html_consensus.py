@@ -10,7 +10,10 @@ than half of its good text in it, uses its own best one.
 
 Class words are a prior only: an element that they mark is kept after all if it
 wraps the page's article or nearly all of its text, and inline elements are
-left out only where they are hidden.
+left out only where they are hidden. A name of which one word is such a word and
+others aren't (``related-story``) decides nothing by itself: the element is left
+out if half of its text is links, or half of the host's pages have the same text
+in such an element.
 
 Defined results for odd input: null and empty html give an empty text; markup
 that is not well formed is read leniently, in time and memory in proportion to
@@ -27,13 +30,14 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import staged, table, temporary
 
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,17 +47,23 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 #: Elements that never hold main text.
 DROPPED = frozenset("nav header footer aside script style noscript iframe svg button select textarea template object canvas audio video menu dialog fieldset title head math".split())
 #: Words of a class, id or role that mark what isn't main text.
-CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|promoted|nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|"
-    r"header|masthead|footer|foot|sidebar|side|aside|widget|widgets|notice|notices|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|form|"
-    r"share|sharing|social|related|recommended|recommendations|tags|pagination|pager|toolbar|skip|complementary|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
+CHROME = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted nav navbar navigation menu submenu breadcrumb breadcrumbs "
+    "header masthead footer foot sidebar side aside widget widgets notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login search form "
+    "share sharing social related recommended recommendations tags pagination pager toolbar skip complementary contentinfo hidden".split()
 )
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|reply|replies|respond|disqus|discussion)(?:$|[\s_-])", re.I)
+#: Words that mark reader comments.
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Words that say nothing about what a marked element holds.
+PLAIN = frozenset(
+    "site page main global top bottom left right upper lower inner outer wrap wrapper container box bar block area section panel list item items link links icon icons button buttons btn "
+    "text content body posts articles stories news primary secondary mobile desktop sticky fixed floating mini small large user users thread".split()
+)
+WORDS = re.compile(r"[\s_-]+")
 #: Names that tell what an element has beside it, or lacks.
 LACKED = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|not)[-_]\S+", re.I)
-#: How an element is marked: not at all, by a class word or as a form, as reader comments, for good.
-FREE, MARKED, REMARKS, OUT = 0, 1, 2, 3
+#: How an element is marked: not at all, by one word of a longer name, by a name or as a form, as reader comments, for good.
+FREE, MAYBE, MARKED, REMARKS, OUT = range(5)
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Elements that an element ends if they are open within the nearest of the others.
@@ -72,6 +82,10 @@ LEAST_SHARE = 0.5
 FRAME_SHARE = 0.9
 
 
+#: Depths that stand for other votes: digests of texts, and pages.
+TEXTS, PAGES = -1, -2
+
+
 class Element:
     """A container: its tag and path, how it is marked, and where its text pieces begin and end."""
 
@@ -143,20 +157,39 @@ def _described(tag: str, attributes: str) -> tuple[str, int]:
         if name == "class":
             classes = "".join(f".{c}" for c in sorted(set(DIGITS.sub("#", value.lower()).split())))
         if name in ("class", "id", "role"):
-            value = LACKED.sub(" ", value)
-            mark = max(mark, REMARKS if COMMENTS.search(value) else MARKED if CHROME.search(value) else FREE)
+            mark = max(mark, _named(LACKED.sub(" ", value.lower())))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             mark = OUT
     return classes, mark
 
 
+@lru_cache(maxsize=1 << 14)
+def _named(value: str) -> int:
+    """How the names of a class, id or role mark an element.
+
+    A name counts if all of its words are chrome or plain; one chrome word beside
+    others, as in ``social-history``, leaves it to the element's text.
+    """
+    mark = FREE
+    for name in value.split():
+        words = [DIGITS.sub("", w) for w in WORDS.split(name)]
+        words = {w for w in words if w}
+        told = words & CHROME, words & COMMENTS
+        if any(told):
+            whole = words <= CHROME | COMMENTS | PLAIN
+            mark = max(mark, MAYBE if not whole else REMARKS if told[1] else MARKED)
+    return mark
+
+
 class Page:
     """Text pieces of a page in order, with the element and links they stand in, and its elements, parents first.
 
-    A piece that is a single blank separates blocks.
+    A piece that is a single blank separates blocks. ``repeated`` are digests of
+    texts that most of the host's pages have in an element that may be marked.
     """
 
-    def __init__(self, html: str | None):
+    def __init__(self, html: str | None, repeated=()):
+        self.repeated = frozenset(repeated)
         self.texts: list[str] = []
         self.owners: list[Element] = []
         self.linked: list[bool] = []
@@ -247,6 +280,14 @@ class Page:
                 # comments may be longer than the article, so they need more
                 if share >= FRAME_SHARE and (holds or e.mark == MARKED) or share >= LEAST_SHARE and holds and e.mark == MARKED:
                     e.mark = FREE
+        self.maybe = {e: self._digest(e) for e in self.elements if e.mark == MAYBE and not out[e]}
+        linked = [0]
+        for text, owner, link in zip(self.texts, self.owners, self.linked):
+            linked.append(linked[-1] + (len(text) - text.count(" ") if link and not out[owner] else 0))
+        for e, digest in self.maybe.items():
+            links = linked[e.end] - linked[e.begin]
+            if links < LEAST_SHARE * (size[e.end] - size[e.begin]) and digest not in self.repeated:
+                e.mark = FREE
         dropped = self._within(lambda e: e.mark != FREE)
         if own[-1] and all(dropped[o] or not t.strip() for t, o in zip(self.texts, self.owners)):
             # nothing is left: class words count for nothing on this page
@@ -257,6 +298,9 @@ class Page:
         for text, owner, link in zip(self.texts, self.owners, self.linked):
             self.good.append(self.good[-1] + (0 if owner.dropped or link or text == " " else len(text) - text.count(" ")))
 
+    def _digest(self, e: Element) -> str:
+        return xxhash.xxh64_hexdigest(" ".join("".join(self.texts[e.begin : e.end]).split()))
+
     def _within(self, test) -> dict[Element, bool]:
         """Whether each element, or one around it, passes the test."""
         found: dict[Element, bool] = {}
@@ -298,9 +342,9 @@ def _between(sorted_: list[int], low: int, high: int) -> bool:
     return at < len(sorted_) and sorted_[at] <= high
 
 
-def extract(html: str | None, path: str | None) -> str:
+def extract(html: str | None, path: str | None, repeated=()) -> str:
     """Text of the containers with the path, or of the page's own best container."""
-    page = Page(html)
+    page = Page(html, repeated)
     spans = page.spans(path) if path is not None else []
     # the host's path may be another template's
     little = sum(page.good[b] - page.good[a] for a, b in spans) < LEAST_SHARE * page.good[-1]
@@ -315,21 +359,30 @@ def host(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host`` and its winning ``path``."""
+    """``host``, its winning ``path`` and the digests ``repeated``: texts of half of its pages, three at least, in elements that may be marked.
+
+    A host has no more of those than twice such elements a page.
+    """
 
     def run(batches):
         for batch in batches:
             rows: dict[tuple[str, str, int], float] = {}
             for h, html in zip(batch["host"], batch["html"]):
-                for path, depth, score in Page(html).votes():
+                page = Page(html)
+                votes = page.votes() + [(digest, TEXTS, 1.0) for digest in set(page.maybe.values())] + [("", PAGES, 1.0)]
+                for path, depth, score in votes:
                     rows[h, path, depth] = rows.get((h, path, depth), 0.0) + score
             yield pd.DataFrame([(*k, s) for k, s in rows.items()], columns=["host", "path", "depth", "score"])
 
     scored = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInPandas(run, "host string, path string, depth int, score double")
     # sums of floats depend on their order: whole millionths don't
     sums = scored.withColumn("score", F.round(F.col("score") * 1e6).cast("bigint")).groupBy("host", "path", "depth").agg(F.sum("score").alias("score"))
-    best = F.max(F.struct("score", "depth", "path"))
-    return sums.groupBy("host").agg(best.alias("best")).select("host", "best.path")
+    sums = staged(sums, "host-votes")
+    least = F.greatest(F.col("score") * LEAST_SHARE, F.lit(3_000_000)).alias("least")
+    often = sums.where(F.col("depth") == TEXTS).join(sums.where(F.col("depth") == PAGES).select("host", least), "host").where("score >= least")
+    best = sums.where("depth >= 0").groupBy("host").agg(F.max(F.struct("score", "depth", "path")).alias("best")).select("host", "best.path")
+    often = often.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("repeated"))
+    return best.join(often, "host", "full_outer")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -337,12 +390,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
 
     @F.pandas_udf("string")
-    def text(html: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([extract(h, p) for h, p in zip(html, path)])
+    def text(html: pd.Series, path: pd.Series, repeated: pd.Series) -> pd.Series:
+        return pd.Series([extract(h, p, () if r is None else r) for h, p, r in zip(html, path, repeated)])
 
     # as a table its size is known: while it is small the pages aren't shuffled
-    paths = staged(host_paths(pages), "host-paths")
-    return keyed.join(paths, "host", "left").select("page_id", "url", text("html", "path").alias("text"))
+    with temporary():
+        paths = staged(host_paths(pages), "host-paths", kept=True)
+    return keyed.join(paths, "host", "left").select("page_id", "url", text("html", "path", "repeated").alias("text"))
 
 
 def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

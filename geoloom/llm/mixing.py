@@ -30,11 +30,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from .common import SPACE, WORD, staged, table, temporary
+from .common import SPACE, WORD, finished, staged, table, temporary
 
 #: Rows that one task rounds at a time.
 BUCKET = 1024
+#: Copies of a row that are made from one array.
+MANY = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -106,6 +109,15 @@ def _level(rows: DataFrame, level: int, seed: int) -> DataFrame:
     return rows.groupBy("source", "group").applyInPandas(run, f"source string, group bigint, {UNIT}, open boolean")
 
 
+def _numbers(units: DataFrame) -> DataFrame:
+    """A row for each ``number`` from 0 up to ``times``; those of a unit with very many are dealt to tasks in stretches."""
+    last, zero = F.col("times") - 1, F.lit(0).cast("bigint")
+    few = units.where(F.col("times") <= MANY).withColumn("number", F.explode(F.sequence(zero, last)))
+    many = units.where(F.col("times") > MANY).withColumn("_from", F.explode(F.sequence(zero, last, F.lit(MANY).cast("bigint")))).repartition("unit", "_from")
+    many = many.withColumn("number", F.explode(F.sequence("_from", F.least(F.col("_from") + MANY - 1, last))))
+    return few.unionByName(many.drop("_from"))
+
+
 def copies(units: DataFrame, targets: DataFrame, seed: int = 0, bucket: int = BUCKET) -> DataFrame:
     """``unit``, ``number`` and ``share``: how many times the mix takes each of the ``times`` copies of a unit.
 
@@ -113,7 +125,7 @@ def copies(units: DataFrame, targets: DataFrame, seed: int = 0, bucket: int = BU
     """
     wanted = units.join(targets, units["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    each = wanted.withColumn("rate", rate).withColumn("number", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("times") - 1)))
+    each = _numbers(wanted.withColumn("rate", rate))
     whole = F.floor(F.col("rate") + 1e-9).cast("double")
     each = each.withColumn("whole", whole).withColumn("p", F.greatest(F.col("rate") - whole, F.lit(0.0)))
     # ids go to Python as text: beside a null a number would lose digits
@@ -174,13 +186,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     return out.select("doc_id", "source", "size", "source_size", "target", "share", taken.alias("taken"), *keep)
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, (MapType, VariantType)) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
 def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """The rows of the mix: ``docs`` as often as the mix takes them, all columns kept.
 
     A cut copy holds the first words of its text, joined by blanks. Equal rows
     are drawn separately and given out together.
     """
-    keyed = docs.select(F.struct(F.xxhash64("doc_id", "source", "text"), F.hash("text", "source", "doc_id")).alias("key"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # a row is known by all of its columns; those that have no hash count as JSON
+    whole = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema]
+    key = F.struct(F.xxhash64(*whole), F.hash(*whole[::-1])).alias("key")
+    keyed = docs.select(key, "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     with temporary():
         drawn = mix(keyed, weights, most, seed, keep=("key",))
         taken = F.col("taken") > 0
@@ -189,9 +210,12 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
             F.sum(F.when(taken, F.floor("share"))).cast("int").alias("whole"),
             F.sum(F.when(taken, F.round((F.col("share") - F.floor("share")) * F.col("size")))).cast("int").alias("words"),
         )
-        shares = staged(shares.where("whole > 0 or words > 0"), "shares", kept=True)
+        # copies of very many equal rows are made in stretches
+        shares = shares.where("whole > 0 or words > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.col("whole") - 1, F.lit(0)), F.lit(MANY))))
+        shares = shares.withColumn("words", F.when(F.col("at") == 0, F.col("words")).otherwise(0)).withColumn("whole", F.least(F.col("whole") - F.col("at"), F.lit(MANY)))
+        shares = staged(shares, "shares", kept=True)
     rows = keyed.select("key", "row").join(shares, "key")
-    rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key"]))
+    rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key", "at"]))
     words = F.array_join(F.slice(F.filter(F.split("row.text", SPACE), lambda w: w != ""), F.lit(1), F.col("words")), " ")
     copy = F.concat(F.array_repeat(F.lit(True), F.col("whole")), F.array_repeat(F.lit(False), (F.col("words") > 0).cast("int")))
     rows = rows.withColumn("full", F.explode(copy))
@@ -199,7 +223,8 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "share")
+    docs = table(spark, sf_dir, "documents")
+    return finished(lambda: mix(docs).select("doc_id", "size", "source_size", "target", "taken", "share"), "mix")
 
 
 QUERIES = {"op8_mixing": op8_mixing}
