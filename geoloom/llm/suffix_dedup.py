@@ -1,6 +1,6 @@
 """Repeated byte strings by suffix arrays, induced shard by shard.
 
-1. Every window of ``width`` (200) bytes belongs to its anchor, the 32 bytes in it
+1. Every window of ``width`` (200) bytes belongs to its anchor, the 64 bytes in it
    with the least hash: equal windows have equal anchors at an equal distance,
    whatever surrounds them. A text is cut into pieces, each of the windows of one
    anchor. Pieces that follow themselves, in a text that repeats itself at short
@@ -44,7 +44,7 @@ from .substrings import least_in_window, rolling
 from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes of a window and of an anchor.
-WIDTH, ANCHOR = 200, 32
+WIDTH, ANCHOR = 200, 64
 #: Bytes of a shard, and of an anchor's different pieces before it is split, and the ranges of distances it is split by.
 SHARD, SPLIT, RANGES = 1 << 17, 1 << 16, (24, 1)
 #: Windows of pieces that are joined, at most.
