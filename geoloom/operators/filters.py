@@ -165,9 +165,9 @@ def normalize_props(df: DataFrame, schema: dict[str, str], properties: str = "pr
     return df.withColumn(properties, F.from_json(F.coalesce(properties, F.lit("{}")), f"struct<{fields}>"))
 
 
-def geometry_name_renames(df: DataFrame, line: str = "line") -> DataFrame:
-    """``key`` and ``new_key`` of properties whose name contains ``geom``, numbered by first appearance."""
-    rows = df.withColumn("_n", F.monotonically_increasing_id())
+def geometry_name_renames(df: DataFrame, line: str = "line", order: str | None = None) -> DataFrame:
+    """``key`` and ``new_key`` of properties whose name contains ``geom``, numbered by first appearance in the order of the lines."""
+    rows = df.withColumn("_n", F.col(order) if order else F.monotonically_increasing_id())
     keys = rows.select("_n", F.posexplode(F.json_object_keys(F.get_json_object(line, "$.properties"))).alias("_p", "key"))
     seen = keys.where(F.lower("key").contains("geom")).groupBy("key").agg(F.min(F.struct("_n", "_p")).alias("first"))
     names = [r["key"] for r in seen.orderBy("first").collect()]  # one row a column name
@@ -196,9 +196,9 @@ def _object(members: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
 
 
-def rename_geom_props(df: DataFrame, line: str = "line") -> DataFrame:
+def rename_geom_props(df: DataFrame, line: str = "line", order: str | None = None) -> DataFrame:
     """Feature lines with such properties renamed; nothing but the names of properties changes, lines that aren't JSON stay."""
-    renames = {r["key"]: r["new_key"] for r in geometry_name_renames(df, line).collect()}  # one row a property name
+    renames = {r["key"]: r["new_key"] for r in geometry_name_renames(df, line, order).collect()}  # one row a property name
     if not renames:
         return df
     names = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])

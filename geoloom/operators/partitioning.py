@@ -205,10 +205,125 @@ def tile_counts(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("features"))
 
 
+def _shifted(v: Column, by: Column) -> Column:
+    """``v >> by`` for columns, of numbers that aren't negative."""
+    return F.floor(v / F.pow(F.lit(2.0), by)).cast("bigint")
+
+
+def tile_cover(df: DataFrame, zoom: int, box: str = "bbox") -> DataFrame:
+    """Add the tiles ``struct(z, x, y)``, as ``tile``, a row each, that together are the tiles of ``zoom`` that the box covers.
+
+    A tile of which the box covers all parts of ``zoom`` stays whole, so a box
+    costs rows in proportion to its outline and not to its area. Each begins at
+    the smallest tile that holds it and is cut into quarters where it must.
+    """
+    b = F.col(box)
+    z = F.lit(zoom)
+    ends = [tile_x(b["xmin"], z), tile_x(b["xmax"], z), tile_y(b["ymax"], z), tile_y(b["ymin"], z)]
+    df = df.where(b["xmin"].isNotNull()).withColumn("_r", F.struct(*[v.alias(n) for v, n in zip(ends, ("x0", "x1", "y0", "y1"))]))
+    r = F.col("_r")
+    differ = r["x0"].bitwiseXOR(r["x1"]).bitwiseOR(r["y0"].bitwiseXOR(r["y1"]))
+    up = F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+    df = df.withColumn("tile", F.struct((z - up).cast("int").alias("z"), _shifted(r["x0"], up).alias("x"), _shifted(r["y0"], up).alias("y")))
+    for k in range(zoom):
+        side = 1 << (zoom - k)
+        t = F.col("tile")
+        whole = (t["x"] * side >= r["x0"]) & ((t["x"] + 1) * side - 1 <= r["x1"]) & (t["y"] * side >= r["y0"]) & ((t["y"] + 1) * side - 1 <= r["y1"])
+        quarters = [F.struct((t["z"] + 1).alias("z"), (t["x"] * 2 + i).alias("x"), (t["y"] * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)]
+        half = side // 2
+        met = F.filter(F.array(*quarters), lambda q: (q["x"] * half <= r["x1"]) & ((q["x"] + 1) * half - 1 >= r["x0"]) & (q["y"] * half <= r["y1"]) & ((q["y"] + 1) * half - 1 >= r["y0"]))
+        df = df.withColumn("tile", F.explode(F.when((t["z"] != k) | whole, F.array(t)).otherwise(met)))
+    return df.drop("_r")
+
+
+def tile_pyramid(df: DataFrame, finest: int, coarsest: int = 0, box: str = "bbox") -> DataFrame:
+    """Features by tile for all zooms: ``zoom``, a tile ``z, x, y`` of that zoom or a coarser one, and the ``features`` that cover all of it.
+
+    A tile of the zoom has the features of its row and of all rows around it.
+    Features within one tile of the finest zoom are counted there once, and each
+    coarser zoom adds up the counts of the one below; only the others are covered
+    by zoom.
+    """
+    b, z = F.col(box), F.lit(finest)
+    placed = df.where(b["xmin"].isNotNull()).withColumn("_x", tile_x(b["xmin"], z)).withColumn("_y", tile_y(b["ymin"], z))
+    one = (tile_x(b["xmax"], z) == F.col("_x")) & (tile_y(b["ymax"], z) == F.col("_y"))
+    level = placed.where(one).groupBy(F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.count(F.lit(1)).alias("features"))
+    out = None
+    for zoom in range(finest, coarsest - 1, -1):
+        if zoom < finest:
+            level = level.groupBy(F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y")).agg(F.sum("features").alias("features"))
+        level = staged(level, "level")
+        single = level.select(F.lit(zoom).alias("zoom"), F.lit(zoom).alias("z"), "x", "y", "features")
+        several = tile_cover(placed.where(~one), zoom, box).groupBy("tile").agg(F.count(F.lit(1)).alias("features")).select(F.lit(zoom).alias("zoom"), "tile.*", "features")
+        out = single.unionByName(several) if out is None else out.unionByName(single).unionByName(several)
+    return out.groupBy("zoom", "z", "x", "y").agg(F.sum("features").alias("features"))
+
+
+def pyramid_counts(pyramid: DataFrame, zooms: list[int]) -> DataFrame:
+    """``z, x, y`` and ``features`` of every tile of the zooms that has any: coarse rows of :func:`tile_pyramid` cut into tiles."""
+    rows = pyramid.where(F.col("zoom").isin(zooms))
+    by = F.col("zoom") - F.col("z")
+    n = F.pow(F.lit(2.0), by).cast("bigint")
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    rows = rows.select(F.col("zoom").alias("z"), (F.col("x") * n + F.col("_i")).alias("x"), (F.col("y") * n + F.col("_j")).alias("y"), "features")
+    return rows.groupBy("z", "x", "y").agg(F.sum("features").alias("features"))
+
+
 def thin_tiles(tiles: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """At most ``n`` features in a tile, chosen by the order of their hashed ids."""
-    order = Window.partitionBy("z", "x", "y").orderBy(F.crc32(F.col(key).cast("string")), key)
-    return tiles.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    """At most ``n`` features in a tile, chosen by the order of their hashed ids.
+
+    Hashes are spread evenly, so the ``n`` least of a tile of many features lie below
+    a bound that follows from its count. Only those are ordered, and a tile where
+    they turn out to be fewer than ``n`` is ordered whole.
+    """
+    at = ["z", "x", "y"]
+    tiles = tiles.withColumn("_h", F.crc32(F.col(key).cast("string")))
+    share = (n + 8 * math.sqrt(n) + 16) / F.col("features")
+    dense = staged(tile_counts(tiles).where(share < 1).select(*at, (share * (1 << 32)).cast("bigint").alias("_cut")), "dense")
+    below = tiles.join(dense, at, "left").where(F.col("_cut").isNull() | (F.col("_h") < F.col("_cut")))
+    enough = below.where(F.col("_cut").isNotNull()).groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    few = staged(dense.join(enough, at, "left").where(F.coalesce("_n", F.lit(0)) < n).select(*at), "few")
+    below = below.drop("_cut")
+    if not few.isEmpty():
+        below = below.join(few, at, "left_anti").unionByName(tiles.join(few, at, "left_semi"))
+    order = Window.partitionBy(*at).orderBy("_h", key)
+    return below.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_h")
+
+
+def spacing(df: DataFrame, box: str = "bbox", key: str = "id") -> DataFrame:
+    """Add ``gap``: how far along the curve the feature before lies, by ``key`` where they are at one place; null for the first one and those without a box.
+
+    A tile is one stretch of a curve, so one pass serves tiles of all zooms.
+    """
+    placed = df.withColumn("_curve", curve(F.col(box)))
+    # written, so that the ranges are the same in both uses
+    parted = staged(placed.repartitionByRange("_curve", key).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = parted.groupBy("_part").agg(F.max("_curve").alias("_last"))
+    ends = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_from"))  # a row a range
+    before = F.lag("_curve").over(Window.partitionBy("_part").orderBy("_curve", key))
+    gaps = parted.withColumn("_before", before).join(F.broadcast(ends), "_part")
+    return gaps.withColumn("gap", F.col("_curve") - F.coalesce("_before", "_from")).drop("_curve", "_part", "_before", "_from")
+
+
+#: Parts into which features of like spacing are dealt by their hashed ids.
+PARTS = 256
+
+
+def fit_tiles(tiles: DataFrame, limit_bytes: int, size: str = "bytes", key: str = "id", gap: str = "gap") -> DataFrame:
+    """Rows of ``tiles`` without the densest features of each tile, so that none holds more than ``limit_bytes``.
+
+    Features are ranked by the power of two of their ``gap``, widest first, and
+    among those by a part of their hashed id. Sizes are added up by tile and rank,
+    of which a tile has some thousands at most whatever it holds; ranks are kept
+    as long as they fit together, whole.
+    """
+    at = ["z", "x", "y"]
+    wide = F.when(F.col(gap).isNull(), 0).otherwise(64 - F.length(F.bin(F.col(gap))))
+    ranked = tiles.withColumn("_rank", (wide * PARTS + F.pmod(F.crc32(F.col(key).cast("string")), F.lit(PARTS))).cast("int"))
+    sums = ranked.groupBy(*at, "_rank").agg(F.sum(size).alias("_bytes"))
+    total = F.sum("_bytes").over(Window.partitionBy(*at).orderBy("_rank"))
+    cuts = sums.withColumn("_total", total).where(F.coalesce("_total", F.lit(0)) <= limit_bytes).groupBy(*at).agg(F.max("_rank").alias("_cut"))
+    return ranked.join(staged(cuts, "cuts"), at).where(F.col("_rank") <= F.col("_cut")).drop("_rank", "_cut")
 
 
 def running_total(df: DataFrame, order: list[str], value: str) -> DataFrame:

@@ -31,8 +31,9 @@ def merge_classes(types: Column) -> Column:
 def infer_properties(df: DataFrame, line: str = "line", order: str | None = None) -> DataFrame:
     """``key``, ``type`` and first appearance of the properties of feature lines.
 
-    ``order`` is a column with the lines' order; without it that of an
-    unshuffled scan is taken. Lines that aren't JSON are skipped.
+    ``order`` is a column with the lines' order, such as ``read_geojsonl`` gives
+    for several files; without it that of an unshuffled scan is taken, which is
+    right for one file. Lines that aren't JSON are skipped.
     """
     number = F.col(order) if order else F.monotonically_increasing_id()
     # a line is parsed once; its text is kept for the rare numbers that the variant can't tell apart
@@ -65,8 +66,8 @@ def case_renames(keys: list[str]) -> dict[str, str]:
     return renames
 
 
-def schema_of(df: DataFrame, line: str = "line") -> tuple[dict[str, str], dict[str, str]]:
+def schema_of(df: DataFrame, line: str = "line", order: str | None = None) -> tuple[dict[str, str], dict[str, str]]:
     """Properties with their types, and the renames that make names unique."""
-    rows = infer_properties(df, line).orderBy("first").collect()
+    rows = infer_properties(df, line, order).orderBy("first").collect()
     renames = case_renames([r["key"] for r in rows])
     return {renames.get(r["key"], r["key"]): r["type"] for r in rows}, renames

@@ -272,3 +272,41 @@ def snk01_write_leaves(spark, sf_dir):
     path = scratch(spark, "leaves")
     partitioning.write_partitioned(partitioning.kd_partition(points(spark, sf_dir), 8), path)
     return readers.read_features(spark, path).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Names of properties over two files, a small one and a large one, in the order in which they are first seen.
+_SEEN = """(SELECT key, row_number() OVER (ORDER BY file, line, place) AS position FROM (SELECT key, min(file) AS file, min_by(line, (file, line, place)) AS line, min_by(place, (file, line, place)) AS place FROM (
+    SELECT n_name AS key, 0 AS file, n_nationkey AS line, 0 AS place FROM nation
+    UNION ALL SELECT lower(n_name), 1, c_custkey, 0 FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT concat('geom_', c_mktsegment), 1, c_custkey, 1 FROM customer
+    UNION ALL SELECT concat('my_geom', n_regionkey), 0, n_nationkey, 1 FROM nation) GROUP BY key))"""
+
+
+def _two_files(spark, sf_dir):
+    """Nations in one file, customers with the same names in lower case in a larger one."""
+    nation = table(spark, sf_dir, "nation")
+    path = scratch(spark, "ordered")
+    named = lambda key, other: F.to_json(F.struct(F.create_map(key, F.lit("1"), other, F.lit("x")).alias("properties")))
+    small = nation.orderBy("n_nationkey").coalesce(1).select(named("n_name", F.concat(F.lit("my_geom"), "n_regionkey")))
+    small.write.text(f"{path}/a")
+    large = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).coalesce(1).sortWithinPartitions("c_custkey")
+    large.select(named(F.lower("n_name"), F.concat(F.lit("geom_"), "c_mktsegment"))).write.text(f"{path}/b")
+    return readers.read_geojsonl(spark, [f"{path}/b", f"{path}/a"], order="at")
+
+
+@register(f"SELECT key, CAST(position AS INT) AS position, CASE WHEN key IN (SELECT lower(n_name) FROM nation) THEN concat(key, '_2') ELSE key END AS new_key FROM {_SEEN}")
+def a03_order_over_files(spark, sf_dir):
+    """Which of two names that differ in case keeps its own: the one seen first, whatever the files' sizes."""
+    from ..operators import schema
+
+    lines = _two_files(spark, sf_dir)
+    keys = [r["key"] for r in schema.infer_properties(lines, order="at").orderBy("first").collect()]  # one row a name
+    renames = schema.case_renames(keys)
+    return spark.createDataFrame([(k, i + 1, renames.get(k, k)) for i, k in enumerate(keys)], "key string, position int, new_key string")
+
+
+@register(f"SELECT key, concat('geom_renamed_', CAST(row_number() OVER (ORDER BY position) AS VARCHAR)) AS new_key FROM {_SEEN} WHERE key LIKE '%geom%'")
+def f12_order_over_files(spark, sf_dir):
+    from ..operators import filters
+
+    return filters.geometry_name_renames(_two_files(spark, sf_dir), order="at")

@@ -152,6 +152,33 @@ def p03_thinned_counts(spark, sf_dir):
     return partitioning.tile_counts(partitioning.thin_tiles(tiled, 3))
 
 
+@register(f"SELECT z, x, y, count(*) AS features FROM (SELECT id, z, CAST(floor((lon + 180) / 360 * {_N}) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * {_N}) AS BIGINT) AS y FROM {POINTS}, (SELECT unnest(generate_series(5, 9)) AS z)) GROUP BY z, x, y")
+def p03_tile_pyramid(spark, sf_dir):
+    """Counts of all zooms from those of the finest."""
+    return partitioning.pyramid_counts(partitioning.tile_pyramid(points(spark, sf_dir), 9, 5), list(range(5, 10)))
+
+
+_TILE_X = "CAST(floor(({lon} + 180) / 360 * pow(2, 7)) AS BIGINT)"
+_TILE_Y = "CAST(floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * pow(2, 7)) AS BIGINT)"
+
+
+@register(f"""SELECT x, y, count(*) AS polygons FROM (SELECT polygon_id, unnest(generate_series(x_from, x_to)) AS x, y_from, y_to FROM (SELECT polygon_id,
+{_TILE_X.format(lon='x0')} AS x_from, {_TILE_X.format(lon='(x0 + 5)')} AS x_to, {_TILE_Y.format(lat='(y0 + 5)')} AS y_from, {_TILE_Y.format(lat='y0')} AS y_to FROM {POLYGONS})) t, generate_series(0, 127) g(y)
+WHERE y BETWEEN y_from AND y_to GROUP BY x, y""")
+def p03_polygon_tiles(spark, sf_dir):
+    """Tiles that polygons' boxes cover, from tiles that stay whole where the box covers them."""
+    pyramid = partitioning.tile_pyramid(polygons(spark, sf_dir), 7, 7)
+    return partitioning.pyramid_counts(pyramid, [7]).select("x", "y", F.col("features").alias("polygons"))
+
+
+@register(f"SELECT z, x, y, true AS fits FROM ({TILED}) GROUP BY z, x, y")
+def p03_fit_tiles(spark, sf_dir):
+    """Tiles from which the densest features are dropped until 40 of 100 bytes each fit: none is empty, none larger."""
+    spaced = partitioning.spacing(points(spark, sf_dir)).withColumn("bytes", F.lit(100))
+    kept = partitioning.fit_tiles(partitioning.tile_assign(spaced, [4, 6, 8]), 4_000)
+    return kept.groupBy("z", "x", "y").agg((F.sum("bytes") <= 4_000).alias("fits"))
+
+
 #: Tiles one after another, each in the shard before unless that would pass the limit.
 PACKED = f"""(WITH RECURSIVE t AS (
     SELECT row_number() OVER (ORDER BY z, x, y) AS r, * FROM (SELECT z, x, y, CAST(sum(bytes) AS BIGINT) AS bytes FROM {TILES} GROUP BY z, x, y)

@@ -13,9 +13,20 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("feature", feature).withColumn("is_bad", feature.isNull())
 
 
-def read_geojsonl(spark: SparkSession, path: str) -> DataFrame:
-    """One feature per line; a line that isn't JSON is kept and marked."""
-    return parse_lines(spark.read.text(path).withColumnRenamed("value", "line"))
+def read_geojsonl(spark: SparkSession, path: str | list[str], order: str | None = None) -> DataFrame:
+    """One feature per line; a line that isn't JSON is kept and marked.
+
+    ``order`` names a column for the lines' order: by the path of their file, and
+    within it from the top. Spark deals out files by size and cuts large ones; the
+    order doesn't depend on that.
+    """
+    lines = spark.read.text(path)
+    columns = [F.col("value").alias("line")]
+    if order:
+        # a split is read from its begin on, so numbers of rows rise within it
+        split = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")
+        columns.append(F.struct(*split, F.monotonically_increasing_id().alias("row")).alias(order))
+    return parse_lines(lines.select(*columns))
 
 
 def read_features(spark: SparkSession, path: str | list[str], merge: bool = False) -> DataFrame:

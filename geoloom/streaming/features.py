@@ -52,8 +52,9 @@ class Counters(StreamingQueryListener):
         self.ended.setdefault(str(event.runId), Event()).set()
 
     def of(self, query, seconds: float = 60) -> dict[str, int]:
-        """What a query that has ended saw; waits until its last batch has been reported."""
-        self.ended.setdefault(str(query.runId), Event()).wait(seconds)
+        """What a query that has ended saw; waits until its last batch has been reported, and raises ``TimeoutError`` if it isn't in time."""
+        if not self.ended.setdefault(str(query.runId), Event()).wait(seconds):
+            raise TimeoutError(f"the end of the query was not reported within {seconds} seconds")
         return dict(self._of(str(query.runId)))
 
 

@@ -416,3 +416,89 @@ def test_running_total_without_a_global_window(spark):
         want[i] = total
         total += i % 7
     assert got == want
+
+
+def _boxes(spark, n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, y = rng.uniform(-179, 170), rng.uniform(-80, 70)
+        w = rng.choice([0, 0.001, 1, 9, 60])
+        rows.append((i, x, y, min(180.0, x + w), min(84.0, y + w / 2)))
+    df = spark.createDataFrame([*rows, (n, None, None, None, None)], "id int, w double, s double, e double, n double")
+    return df.select("id", F.when(F.col("w").isNotNull(), F.struct(F.col("w").alias("xmin"), F.col("s").alias("ymin"), F.col("e").alias("xmax"), F.col("n").alias("ymax"))).alias("bbox"))
+
+
+def test_tiles_covered_whole_stay_whole(spark):
+    world = spark.range(1).select("id", F.struct(*[F.lit(v).alias(c) for v, c in ((-180.0, "xmin"), (-85.06, "ymin"), (180.0, "xmax"), (85.06, "ymax"))]).alias("bbox"))
+    assert [tuple(r["tile"]) for r in partitioning.tile_cover(world, 14).collect()] == [(0, 0, 0)]
+    india = world.withColumn("bbox", F.struct(*[F.lit(v).alias(c) for v, c in ((68.0, "xmin"), (8.0, "ymin"), (97.0, "xmax"), (37.0, "ymax"))]))
+    n = partitioning.tile_cover(india, 12).count()
+    assert n < 3000 < 100_000 < 29 / 360 * 4096 * 340  # its outline, not its area
+    boxes = _boxes(spark, 60, 3)
+    plain = sorted(tuple(r) for r in partitioning.tile_assign(boxes.where("bbox is not null"), [6]).select("id", "x", "y").collect())
+    got = [(r["id"], r["tile"]["x"] * k + i, r["tile"]["y"] * k + j) for r in partitioning.tile_cover(boxes, 6).collect() for k in [1 << 6 - r["tile"]["z"]] for i in range(k) for j in range(k)]
+    assert sorted(got) == plain
+
+
+def test_pyramid_against_counting_each_zoom(spark):
+    boxes = _boxes(spark, 80, 4)
+    zooms = list(range(0, 7))
+    got = sorted(map(tuple, partitioning.pyramid_counts(partitioning.tile_pyramid(boxes, 6), zooms).collect()))
+    assert got == sorted(map(tuple, partitioning.tile_counts(partitioning.tile_assign(boxes.where("bbox is not null"), zooms)).collect()))
+    assert partitioning.tile_pyramid(boxes.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_thinning_orders_what_may_stay(spark, n):
+    rows = [(i, 3, 1, 1) for i in range(3000)] + [(i, 3, 2, i % 2) for i in range(9)] + [(5, 4, 0, 0)] * 1200  # one id alone: all hashes equal
+    tiles = spark.createDataFrame(rows, "id int, z int, x int, y int")
+    got = {}
+    for r in partitioning.thin_tiles(tiles, n).collect():
+        got.setdefault((r["z"], r["x"], r["y"]), []).append(r["id"])
+    want = {}
+    for i, *at in rows:
+        want.setdefault(tuple(at), []).append(i)
+    import zlib
+
+    for at, ids in want.items():
+        assert sorted(got[at]) == sorted(sorted(ids, key=lambda i: (zlib.crc32(str(i).encode()), i))[:n])
+
+
+def test_the_densest_features_are_dropped_until_a_tile_fits(spark):
+    near = [(i, 77.0 + i * 1e-7, 12.0) for i in range(900)]
+    far = [(1000 + i, 60.0 + i % 10 * 3, 1.0 + i // 10 * 3) for i in range(60)]
+    df = spark.createDataFrame(near + far, "id int, lon double, lat double").withColumn("bbox", F.struct(F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax")))
+    spaced = partitioning.spacing(df.repartition(3)).withColumn("bytes", F.lit(10))
+    kept = partitioning.fit_tiles(partitioning.tile_assign(spaced, [1, 12]), 1000).select("z", "x", "y", "id").collect()
+    low = [r["id"] for r in kept if r["z"] == 1]
+    assert 60 <= len(low) <= 100 and {i for i in low if i >= 1000} == {1000 + i for i in range(60)}
+    by_tile = {}
+    for r in kept:
+        by_tile.setdefault((r["z"], r["x"], r["y"]), []).append(r["id"])
+    assert all(0 < len(ids) <= 100 for ids in by_tile.values())
+    gaps = {r["id"]: r["gap"] for r in partitioning.spacing(df.repartition(1)).collect()}
+    assert gaps == {r["id"]: r["gap"] for r in spaced.collect()} and list(gaps.values()).count(None) == 1
+
+
+def test_order_over_files_of_unlike_size(spark, tmp_path):
+    (tmp_path / "a.json").write_text(feature("Point", [1, 2], Name=1, my_geom="x") + "\n")
+    (tmp_path / "b.json").write_text("\n".join(feature("Point", [1, 2], name=i, geom_x="y", later=1.5) for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        lines = readers.read_geojsonl(spark, str(tmp_path), order="at")
+        assert lines.rdd.getNumPartitions() > 3
+        types, renames = schema.schema_of(lines, order="at")
+        assert list(types) == ["Name", "my_geom", "name_2", "geom_x", "later"] and renames == {"name": "name_2"}
+        assert [tuple(r) for r in filters.geometry_name_renames(lines, order="at").collect()] == [("my_geom", "geom_renamed_1"), ("geom_x", "geom_renamed_2")]
+        assert filters.rename_geom_props(lines, order="at").columns == lines.columns
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_counters_of_a_query_that_does_not_end_raise():
+    class Query:
+        runId = "r"
+
+    with pytest.raises(TimeoutError):
+        stream.Counters().of(Query(), seconds=0.01)
