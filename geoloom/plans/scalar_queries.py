@@ -75,10 +75,20 @@ def g08_base_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), S.base_name(name).alias("base"))
 
 
-@register(f"SELECT pos, replace(replace(url, '.mosaic.json', '.parquet'), '.pmtiles', '.parquet') AS parquet, replace(replace(url, '.mosaic.json', ''), '.pmtiles', '') || '.parquet.meta.json' AS meta, concat('https://github.com/', split_part(url, '/', 4), '/', split_part(url, '/', 5), '/releases/download/', split_part(url, '/', 8), '/', brand, '.pmtiles') AS slice_url FROM {CATALOG}")
+_REPO = "concat('https://github.com/', split_part(url, '/', 4), '/', split_part(url, '/', 5))"
+_TAG = "split_part(url, '/', 8)"
+
+
+@register(f"""SELECT pos, CASE WHEN type IS DISTINCT FROM 'raster' THEN replace(replace(url, '.mosaic.json', '.parquet'), '.pmtiles', '.parquet') END AS parquet,
+CASE WHEN type IS DISTINCT FROM 'raster' THEN replace(replace(url, '.mosaic.json', ''), '.pmtiles', '') || '.parquet.meta.json' END AS meta,
+CASE pos % 6 WHEN 0 THEN {_REPO} || '/releases/download/' || {_TAG} || '/' || brand || '.pmtiles' WHEN 1 THEN {_REPO} || '/releases/download/' || brand WHEN 2 THEN 'https://github.com/' || brand
+WHEN 3 THEN 'https://other.org/' || brand WHEN 4 THEN 'http://full.org/a/../' || brand ELSE {_REPO} || '/releases/?q=..' END AS slice_url FROM {CATALOG}""")
 def g09_parquet_url(spark, sf_dir):
-    u = F.col("url")
-    return catalog(spark, sf_dir).select("pos", S.parquet_url(u).alias("parquet"), S.meta_url(u).alias("meta"), S.resolve_url(u, F.concat(F.lit("./"), "brand", F.lit(".pmtiles"))).alias("slice_url"))
+    """URLs beside those of archives that aren't rasters, and keys of all forms relative to them."""
+    u, kind, brand = F.col("url"), F.col("type"), F.col("brand")
+    forms = (F.concat(F.lit("./x/.././"), brand, F.lit(".pmtiles")), F.concat(F.lit("../"), brand), F.concat(F.lit("/"), brand), F.concat(F.lit("//other.org/"), brand), F.concat(F.lit("http://full.org/a/../"), brand))
+    key = F.coalesce(*[F.when(F.col("pos") % 6 == i, f) for i, f in enumerate(forms)], F.lit("../..?q=.."))
+    return catalog(spark, sf_dir).select("pos", S.parquet_url(u, kind).alias("parquet"), S.meta_url(u, kind).alias("meta"), S.resolve_url(u, key).alias("slice_url"))
 
 
 @register(f"SELECT pos, concat('https://github.com/', split_part(url, '/', 4), '/', split_part(url, '/', 5), '/releases/tag/', split_part(url, '/', 8)) AS page FROM {CATALOG}")
