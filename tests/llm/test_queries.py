@@ -43,6 +43,8 @@ def tables(spark, tmp_path_factory):
     kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, key int, score double, found string"
     spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(BIG + i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (BIG, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    items = [(BIG + i, t) for i, t in enumerate(texts[:5])] + [(None, texts[6]), (BIG, None), (BIG, "")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     pages = [(BIG + i, f"https://h/{i}" if i else None, f"<article><p>{t}</p></article>" if t else t) for i, t in enumerate(texts)] + [(None, "x", "<p>y")]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{path}/pages.parquet")
     return path, rows, pages
