@@ -80,13 +80,15 @@ def on_edge(e: Column, x: Column, y: Column) -> Column:
     return within & (_side(e, x, y) == 0)
 
 
+def crosses(e: Column, x: Column, y: Column) -> Column:
+    """Whether a segment crosses the ray from a position to its right."""
+    return ((e["y1"] > y) != (e["y2"] > y)) & ((_side(e, x, y) > 0) == (e["y2"] > e["y1"]))
+
+
 def inside(x: Column, y: Column, ring_edges: Column) -> Column:
     """Whether a position is inside of, or on, the rings (even-odd)."""
-    crosses = F.filter(
-        ring_edges,
-        lambda e: ((e["y1"] > y) != (e["y2"] > y)) & ((_side(e, x, y) > 0) == (e["y2"] > e["y1"])),
-    )
-    return (F.size(crosses) % 2 == 1) | F.exists(ring_edges, lambda e: on_edge(e, x, y))
+    crossing = F.filter(ring_edges, lambda e: crosses(e, x, y))
+    return (F.size(crossing) % 2 == 1) | F.exists(ring_edges, lambda e: on_edge(e, x, y))
 
 
 def _segments_meet(a: Column, b: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.cover import FINEST, MOST, cover_cells, in_cell
 from ..functions.scalars import tile_bbox_e7
+from ..sources.scratch import staged
 
 
 def prune_partitions(features: DataFrame, extents: DataFrame, rings: list | None, key: str = "kd_leaf") -> DataFrame:
@@ -78,10 +80,6 @@ def tile_to_slice(tiles: DataFrame, slices: DataFrame, symmetric: bool = False,
     return met.groupBy("z", "x", "y").agg(best).select("z", "x", "y", "best.slice")
 
 
-#: Finest level of the grid of :func:`spatial_join`; a cell of level l is the world's width halved l times.
-FINEST = 20
-
-
 def _level(b: Column) -> Column:
     """The finest level whose cells are no smaller than the box, so that the box covers four of them at most."""
     size = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
@@ -102,31 +100,84 @@ def _cells(b: Column, levels: Column) -> Column:
     return F.flatten(F.transform(levels, of))
 
 
-def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner") -> DataFrame:
+#: As many frequent cells are dealt to several keys; any other has less than a thousandth of the features.
+HOT_CELLS = 1000
+
+
+def _salted(keyed: DataFrame, cells: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_salt``: features of a cell with more than ``rows`` of them are dealt to several keys by all that they hold, its polygons copied to each."""
+    counts = keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows)
+    hot = counts.join(cells, "_cell", "left_semi").orderBy(F.desc("n")).limit(HOT_CELLS).collect()  # a thousand at most
+    if not hot:
+        return keyed.withColumn("_salt", F.lit(0)), cells.withColumn("_salt", F.lit(0))
+    parts = F.create_map(*[v for r in hot for v in (F.lit(_key_text(r["_cell"])), F.lit(-(-r["n"] // rows)))])
+    c = F.col("_cell")
+    n = F.coalesce(F.element_at(parts, F.concat_ws("/", c["whole"].cast("int"), c["level"], c["x"], c["y"])), F.lit(1)).cast("int")
+    values = [f"`{f.name}`" for f in keyed.schema if "map<" not in f.dataType.simpleString()]
+    return keyed.withColumn("_salt", F.pmod(F.xxhash64(*values), n).cast("int")), cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+
+
+def _key_text(cell) -> str:
+    return f"{int(cell['whole'])}/{cell['level']}/{cell['x']}/{cell['y']}"
+
+
+def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner", hot: int = 1_000_000) -> DataFrame:
     """Features and the polygons that they meet; ``left_semi`` gives the features alone.
 
-    Boxes of any size are dealt to a hierarchy of grids: each has the level
-    whose cells are as large as itself, and a pair meets at the coarser of its two
-    levels, so no box covers more than four cells of a level. Features go to the
-    levels that polygons have, polygons to their own and all coarser ones. A pair
-    is kept in the one cell that holds the lower left corner of the boxes'
-    overlap, so pairs need no deduplication.
+    Points meet the cells that cover a polygon (:mod:`..functions.cover`): a
+    point lies in one cell of each level, cells of a polygon don't overlap, so a
+    pair meets once; inner cells need no test, others have few edges.
+
+    Other geometries meet whole polygons in a hierarchy of grids: a box has the
+    level whose cells are as large as itself, and a pair meets at the coarser of
+    its two levels, so no box covers more than four cells of a level. A pair is
+    kept in the one cell that holds the lower left corner of the boxes' overlap.
+
+    Both go through one join, features to the levels that polygons have. A cell
+    with more than ``hot`` features is dealt to several keys. Features and
+    polygons without coordinates meet nothing.
     """
-    fb, pb = F.col("bbox"), F.col("_pb")
-    p = polygons.where("bbox.xmin is not null").select("polygon_id", F.col("bbox").alias("_pb"), F.col("edges").alias("_edges")).withColumn("_pl", _level(pb))
-    levels = sorted(r["_pl"] for r in p.select("_pl").distinct().collect())  # some twenty numbers
+    fb, pb, cell = F.col("bbox"), F.col("_pb"), F.col("_cell")
+    point = F.coalesce(F.col("geom_type") == "Point", F.lit(False))
+    p = polygons.where("bbox.xmin is not null").select("polygon_id", F.col("bbox").alias("_pb"), F.col("edges").alias("_edges"))
+    p = p.withColumn("_pl", _level(pb).cast("int"))
+    one = F.struct(F.lit(0).alias("base"), F.array().cast("array<double>").alias("turns"), F.col("_edges").alias("edges")).alias("_near")
+    whole = p.withColumn("_c", F.explode(_cells(pb, F.sequence(F.lit(0), F.col("_pl"))))).select("polygon_id", _keyed(F.lit(True), F.col("_c")), "_pb", "_pl", one)
+    # a polygon of few edges is covered by the cells of its own level
+    parts = p.where(F.size("_edges") <= MOST).withColumn("_c", F.explode(_cells(pb, F.array("_pl")))).select("polygon_id", _keyed(F.lit(False), F.col("_c")), "_pb", "_pl", one)
+    cells = whole.unionByName(parts)
+    seen = p.agg(F.collect_set("_pl").alias("levels"), F.max(F.size("_edges")).alias("edges")).first()  # some twenty numbers
+    spots, tops = set(seen["levels"]), list(range(max(seen["levels"], default=-1) + 1))
+    if (seen["edges"] or 0) > MOST:
+        near = F.struct("_c.base", "_c.turns", "_c.edges").alias("_near")
+        large = p.where(F.size("_edges") > MOST).withColumn("_c", F.explode(cover_cells(F.col("_edges"))))
+        covers = staged(large.select("polygon_id", _keyed(F.lit(False), F.col("_c")), "_pb", "_pl", near), "cover")  # worked out once
+        spots |= {r["level"] for r in covers.select("_cell.level").distinct().collect()}
+        cells = cells.unionByName(covers)
+
+    def these(values: list[int]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<int>")
+
     own = F.col("_fl")
-    coarser = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k < own)
-    # its own level too, unless no polygon is as fine
-    here = F.when(own <= max(levels, default=-1), F.concat(coarser, F.array(own))).otherwise(coarser)
-    f = features.where("bbox.xmin is not null").withColumn("_fl", _level(fb).cast("int")).withColumn("_cell", F.explode(_cells(fb, here)))
-    p = p.withColumn("_cell", F.explode(_cells(pb, F.sequence(F.lit(0), F.col("_pl").cast("int")))))
+    # a box goes to the coarser levels and to its own, unless no polygon is as fine
+    coarser = F.filter(these(tops), lambda k: k < own)
+    here = F.when(own <= max(tops, default=-1), F.concat(coarser, F.array(own))).otherwise(coarser)
+    spot = F.get(F.get(F.get(F.col("coords"), 0), 0), 0)
+    x, y = F.get(spot, 0), F.get(spot, 1)
+    dot = F.transform(these(sorted(spots)), lambda k: F.struct(k.alias("level"), _cell(x, k).alias("x"), _cell(y, k).alias("y")))
+    f = features.where("bbox.xmin is not null").withColumn("_fl", _level(fb).cast("int")).withColumn("_c", F.explode(F.when(point, dot).otherwise(_cells(fb, here))))
+    f = f.withColumn("_cell", _keyed(~point, F.col("_c"))).drop("_c")
+    f, cells = _salted(f, cells, hot)
+
     overlap = (fb["xmin"] <= pb["xmax"]) & (fb["xmax"] >= pb["xmin"]) & (fb["ymin"] <= pb["ymax"]) & (fb["ymax"] >= pb["ymin"])
-    level = F.col("_cell.level")
-    corner = (_cell(F.greatest(fb["xmin"], pb["xmin"]), level) == F.col("_cell.x")) & (_cell(F.greatest(fb["ymin"], pb["ymin"]), level) == F.col("_cell.y"))
-    near = overlap & corner & (level == F.least("_fl", "_pl"))
-    met = F.when(near, G.intersects(F.col("coords"), F.col("geom_type"), F.col("_edges"))).otherwise(False)
-    pairs = f.join(p, "_cell").where(near).where(met)
+    corner = (_cell(F.greatest(fb["xmin"], pb["xmin"]), cell["level"]) == cell["x"]) & (_cell(F.greatest(fb["ymin"], pb["ymin"]), cell["level"]) == cell["y"])
+    near = overlap & (point | (corner & (cell["level"] == F.least("_fl", "_pl"))))
+    met = F.when(~near, False).when(point, in_cell(x, y, F.col("_near"))).otherwise(G.intersects(F.col("coords"), F.col("geom_type"), F.col("_near.edges")))
+    pairs = f.join(cells, ["_cell", "_salt"]).where(near).where(met)
     if how == "left_semi":  # only ids travel to be made distinct
         return features.join(pairs.select("id").distinct(), "id", "left_semi")
     return pairs.select(*features.columns, "polygon_id")
+
+
+def _keyed(whole: Column, cell: Column) -> Column:
+    return F.struct(whole.alias("whole"), cell["level"].cast("int").alias("level"), cell["x"].alias("x"), cell["y"].alias("y")).alias("_cell")
