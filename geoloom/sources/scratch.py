@@ -28,7 +28,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of any file system that Spark reads."""
+def _path(spark: SparkSession, path: str):
+    """A path of any file system that Spark reads, and that file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder."""
+    path, files = _path(spark, path)
+    files.delete(path, True)
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether there is a file or folder of that name or glob pattern."""
+    path, files = _path(spark, pattern)
+    return bool(files.globStatus(path))
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a folder; raises where that can't be done."""
+    path, files = _path(spark, old)
+    if not files.rename(path, _path(spark, new)[0]):
+        raise OSError(f"{old} can't be renamed to {new}")

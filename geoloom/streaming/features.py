@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from ..functions import geometry as G
 from ..operators.filters import normalize_props, shape_filter
 from ..sources.readers import parse_lines
+from ..sources.scratch import exists, rename
 
 
 def filter_lines(lines: DataFrame, rings: list, schema: dict[str, str]) -> DataFrame:
@@ -69,21 +70,43 @@ def stream_filter(spark: SparkSession, in_dir: str, out_dir: str, rings: list, s
     return out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def process_new(spark: SparkSession, landing: str, done: str, fn, checkpoint: str, schema: str, key: str = "dataset"):
-    """Process datasets as they land, each once: the checkpoint keeps track of files, ``done`` of datasets.
+#: Published batches of a ledger: a folder for each stream and batch.
+BATCHES = "stream=*/batch=*"
+
 
-    ``schema`` is that of the landing files. A dataset that lands again, in the same batch or later, is left out.
+def process_new(spark: SparkSession, landing: str, done: str, fn, checkpoint: str, schema: str, key: str = "dataset"):
+    """Process datasets as they land, each exactly once; ``done`` is the ledger.
+
+    ``schema`` is that of the landing files. A dataset that lands again, in the
+    same batch or later, is left out; one without a key is never new.
+
+    ``fn`` gets a batch's new rows and returns what becomes of them, or None. A
+    batch stands under its number: first the rows that were chosen, then the
+    results, and one rename publishes both. A batch that was published is
+    passed over when it is played again; one that was broken off goes on with
+    the rows that were chosen then, and its results are written anew. What
+    ``fn`` does beyond its results may thus happen again, so leave that out or
+    make it repeatable. Renames of folders must be atomic in the file system.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        try:
-            finished = spark.read.schema(f"{key} string").json(done)
-        except Exception as e:  # nothing is done yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            finished = spark.createDataFrame([], f"{key} string")
-        new = df.join(finished, key, "left_anti").dropDuplicates([key])
-        fn(new)
-        new.select(key).write.mode("append").json(done)
+    def batch(df: DataFrame, number: int) -> None:
+        stream = spark.read.json(f"{checkpoint}/metadata").first()["id"]  # a new checkpoint counts its batches anew
+        pending, published = (f"{done}/stream={stream}/{name}={number}" for name in ("_batch", "batch"))
+        if exists(spark, published):
+            return
+        if not exists(spark, f"{pending}/rows/_SUCCESS"):
+            new = df.where(F.col(key).isNotNull()).dropDuplicates([key])
+            if exists(spark, f"{done}/{BATCHES}/rows"):
+                new = new.join(spark.read.schema(df.schema).parquet(f"{done}/{BATCHES}/rows").select(key), key, "left_anti")
+            new.select(df.columns).write.mode("overwrite").parquet(f"{pending}/rows")
+        result = fn(spark.read.schema(df.schema).parquet(f"{pending}/rows"))
+        if result is not None:
+            result.write.mode("overwrite").parquet(f"{pending}/results")
+        rename(spark, pending, published)
 
     return spark.readStream.schema(schema).json(landing).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def processed(spark: SparkSession, done: str) -> DataFrame:
+    """The results of all published batches; raises where there are none."""
+    return spark.read.parquet(f"{done}/{BATCHES}/results")
