@@ -10,10 +10,13 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .wkb import decode
+
 COORDS = "array<array<array<array<double>>>>"
 COORDS_TYPE = T.ArrayType(T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
 #: Levels of array around a position in each type's coordinates.
@@ -162,48 +165,13 @@ def _wkb_bytes(coords, kind: str) -> bytes | None:
     return head(1, code) + struct.pack("<I", len(first)) + b"".join(head(1, 2) + positions(r) for r in first)
 
 
-def _from_wkb(data: bytes | None):
-    """Depth-4 coordinates of well-known bytes."""
-    if data is None:
-        return None
-    at = 0
-
-    def take(form: str):
-        nonlocal at
-        values = struct.unpack_from(form, data, at)
-        at += struct.calcsize(form)
-        return values
-
-    def geometry():
-        order = "<" if take("<B")[0] else ">"
-        code = take(order + "I")[0] & 0xFF
-
-        def ring():
-            return [list(take(order + "2d")) for _ in range(take(order + "I")[0])]
-
-        if code == 1:
-            return code, [[[list(take(order + "2d"))]]]
-        if code == 2:
-            return code, [[ring()]]
-        if code == 3:
-            return code, [[ring() for _ in range(take(order + "I")[0])]]
-        parts = [geometry()[1] for _ in range(take(order + "I")[0])]
-        if code == 4:
-            return code, [[[p[0][0][0] for p in parts]]]
-        if code == 5:
-            return code, [[p[0][0] for p in parts]]
-        return code, [p[0] for p in parts]
-
-    return geometry()[1]
-
-
 @F.pandas_udf(T.BinaryType())
 def to_wkb(coords: pd.Series, kind: pd.Series) -> pd.Series:
     """Well-known bytes of depth-4 coordinates."""
     return pd.Series([_wkb_bytes(c, k) for c, k in zip(coords, kind)])
 
 
-@F.pandas_udf(COORDS_TYPE)
-def from_wkb(data: pd.Series) -> pd.Series:
+@F.arrow_udf(COORDS_TYPE)
+def from_wkb(data: pa.Array) -> pa.Array:
     """Depth-4 coordinates of well-known bytes."""
-    return pd.Series([_from_wkb(d) for d in data])
+    return decode(data)
