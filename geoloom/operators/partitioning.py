@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.curve import curve
 from ..sources.scratch import delete, scratch, staged
 
 #: Largest size of a partition in bytes.
@@ -141,35 +142,6 @@ def _options(level: int) -> dict:
     return {"compression": "zstd", "parquet.compression.codec.zstd.level": level}
 
 
-def curve(box: Column, bits: int = 16) -> Column:
-    """Place of a box's centre, in degrees, on a Hilbert curve over the world of 2**bits cells a side.
-
-    From the highest bit down a cell's quarter adds its number on the curve, and
-    the lower bits are turned and mirrored as the curve runs in that quarter.
-    """
-    side = 1 << bits
-
-    def scaled(low: str, high: str, least: float, width: float) -> Column:
-        v = ((box[low] + box[high]) / 2 - least) / width * side
-        return F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor(v))).cast("bigint")
-
-    start = F.struct(scaled("xmin", "xmax", -180.0, 360.0).alias("x"), scaled("ymin", "ymax", -90.0, 180.0).alias("y"), F.lit(0).cast("bigint").alias("d"))
-
-    def step(a: Column, k: Column) -> Column:
-        half = F.expr("1L") * F.pow(F.lit(2.0), k).cast("bigint")
-        x, y = a["x"], a["y"]
-        right, up = (x >= half).cast("bigint"), (y >= half).cast("bigint")
-        d = a["d"] * 4 + F.when(right == 1, 3 - up).otherwise(up)
-        # within the quarter
-        x, y = x - right * half, y - up * half
-        mirrored = (up == 0) & (right == 1)
-        turned = up == 0
-        mx, my = F.when(mirrored, half - 1 - x).otherwise(x), F.when(mirrored, half - 1 - y).otherwise(y)
-        return F.struct(F.when(turned, my).otherwise(mx).alias("x"), F.when(turned, mx).otherwise(my).alias("y"), d.alias("d"))
-
-    return F.aggregate(F.array(*[F.lit(k) for k in range(bits - 1, -1, -1)]), start, step, lambda a: a["d"])
-
-
 def write_partitioned(df: DataFrame, path: str, level: int = 3, mode: str = "overwrite", box: str = "bbox") -> None:
     """One folder per leaf; within it rows along a Hilbert curve, so that files and row groups can be skipped in both axes.
 

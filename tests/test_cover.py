@@ -42,14 +42,12 @@ def test_cells_tell_what_all_edges_tell():
 
 
 def test_a_large_polygon_is_few_edges_a_cell():
-    rng = np.random.default_rng(2)
     angle = np.linspace(0, 2 * np.pi, 100_001)
     p = np.column_stack([80 + 9 * np.cos(angle), 20 + 9 * np.sin(angle) * (1 + 0.1 * np.sin(40 * angle))])
     cells = cover(np.hstack([p[:-1], p[1:]]))
     assert max(len(c[5]) for c in cells) <= 32 and sum(len(c[5]) for c in cells) < 130_000
     assert any(not len(c[5]) and not len(c[4]) and c[3] for c in cells)  # inner cells
     assert not cover(np.empty((0, 4))) and not cover(np.full((3, 4), np.nan))
-    assert rng is not None
 
 
 def _points(spark, rows):
