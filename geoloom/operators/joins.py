@@ -121,7 +121,7 @@ def _key_text(cell) -> str:
     return f"{int(cell['whole'])}/{cell['level']}/{cell['x']}/{cell['y']}"
 
 
-def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner", hot: int = 1_000_000) -> DataFrame:
+def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner", hot: int = 1_000_000, small: int = 10 * 1024**2) -> DataFrame:
     """Features and the polygons that they meet; ``left_semi`` gives the features alone.
 
     Points meet the cells that cover a polygon (:mod:`..functions.cover`): a
@@ -133,9 +133,10 @@ def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner", h
     its two levels, so no box covers more than four cells of a level. A pair is
     kept in the one cell that holds the lower left corner of the boxes' overlap.
 
-    Both go through one join, features to the levels that polygons have. A cell
-    with more than ``hot`` features is dealt to several keys. Features and
-    polygons without coordinates meet nothing.
+    Both go through one join, features to the levels that polygons have. Cells
+    whose size is measured as ``small`` bytes at most are broadcast, so features
+    stay where they are; else a cell with more than ``hot`` features is dealt to
+    several keys. Features and polygons without coordinates meet nothing.
     """
     fb, pb, cell = F.col("bbox"), F.col("_pb"), F.col("_cell")
     point = F.coalesce(F.col("geom_type") == "Point", F.lit(False))
@@ -146,13 +147,18 @@ def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner", h
     # a polygon of few edges is covered by the cells of its own level
     parts = p.where(F.size("_edges") <= MOST).withColumn("_c", F.explode(_cells(pb, F.array("_pl")))).select("polygon_id", _keyed(F.lit(False), F.col("_c")), "_pb", "_pl", one)
     cells = whole.unionByName(parts)
-    seen = p.agg(F.collect_set("_pl").alias("levels"), F.max(F.size("_edges")).alias("edges")).first()  # some twenty numbers
+    # at most four cells of each level with all edges, for boxes and, of the own level, for points
+    copies = (F.size("_edges") * 32 + 200).cast("bigint") * 4 * (F.col("_pl") + 2)
+    seen = p.agg(F.collect_set("_pl").alias("levels"), F.max(F.size("_edges")).alias("edges"), F.sum(copies).alias("bytes")).first()  # some twenty numbers
     spots, tops = set(seen["levels"]), list(range(max(seen["levels"], default=-1) + 1))
+    size = seen["bytes"] or 0
     if (seen["edges"] or 0) > MOST:
         near = F.struct("_c.base", "_c.turns", "_c.edges").alias("_near")
         large = p.where(F.size("_edges") > MOST).withColumn("_c", F.explode(cover_cells(F.col("_edges"))))
         covers = staged(large.select("polygon_id", _keyed(F.lit(False), F.col("_c")), "_pb", "_pl", near), "cover")  # worked out once
-        spots |= {r["level"] for r in covers.select("_cell.level").distinct().collect()}
+        each = F.size("_near.edges").cast("bigint") * 32 + F.size("_near.turns") * 8 + 200
+        made = covers.agg(F.collect_set("_cell.level").alias("levels"), F.sum(each).alias("bytes")).first()
+        spots, size = spots | set(made["levels"]), size + (made["bytes"] or 0)
         cells = cells.unionByName(covers)
 
     def these(values: list[int]) -> Column:
@@ -167,13 +173,18 @@ def spatial_join(features: DataFrame, polygons: DataFrame, how: str = "inner", h
     dot = F.transform(these(sorted(spots)), lambda k: F.struct(k.alias("level"), _cell(x, k).alias("x"), _cell(y, k).alias("y")))
     f = features.where("bbox.xmin is not null").withColumn("_fl", _level(fb).cast("int")).withColumn("_c", F.explode(F.when(point, dot).otherwise(_cells(fb, here))))
     f = f.withColumn("_cell", _keyed(~point, F.col("_c"))).drop("_c")
-    f, cells = _salted(f, cells, hot)
+    keys = ["_cell"]
+    if size <= small:
+        cells = F.broadcast(cells)
+    else:
+        f, cells = _salted(f, cells, hot)
+        keys.append("_salt")
 
     overlap = (fb["xmin"] <= pb["xmax"]) & (fb["xmax"] >= pb["xmin"]) & (fb["ymin"] <= pb["ymax"]) & (fb["ymax"] >= pb["ymin"])
     corner = (_cell(F.greatest(fb["xmin"], pb["xmin"]), cell["level"]) == cell["x"]) & (_cell(F.greatest(fb["ymin"], pb["ymin"]), cell["level"]) == cell["y"])
     near = overlap & (point | (corner & (cell["level"] == F.least("_fl", "_pl"))))
     met = F.when(~near, False).when(point, in_cell(x, y, F.col("_near"))).otherwise(G.intersects(F.col("coords"), F.col("geom_type"), F.col("_near.edges")))
-    pairs = f.join(cells, ["_cell", "_salt"]).where(near).where(met)
+    pairs = f.join(cells, keys).where(near).where(met)
     if how == "left_semi":  # only ids travel to be made distinct
         return features.join(pairs.select("id").distinct(), "id", "left_semi")
     return pairs.select(*features.columns, "polygon_id")

@@ -79,10 +79,10 @@ def test_join_of_points_in_a_hot_place(spark):
                 if crossed % 2 == 1 or on:
                     want.append((i, j))
     points, polygons = _points(spark, rows), _polygons(spark, rings)
-    for hot in (20, 1_000_000):
-        got = [(r["id"], r["polygon_id"]) for r in joins.spatial_join(points, polygons, hot=hot).collect()]
+    for hot, small in ((20, 0), (1_000_000, 0), (1_000_000, 10 * 1024**2)):
+        got = [(r["id"], r["polygon_id"]) for r in joins.spatial_join(points, polygons, hot=hot, small=small).collect()]
         assert sorted(got) == sorted(want)
-    semi = joins.spatial_join(points, polygons, how="left_semi", hot=20)
+    semi = joins.spatial_join(points, polygons, how="left_semi", hot=20, small=0)
     assert sorted(r["id"] for r in semi.collect()) == sorted({i for i, _ in want})
     keyed, cells = points.withColumn("_cell", F.struct(F.lit(False).alias("whole"), F.lit(0).alias("level"), F.lit(0).alias("x"), F.lit(0).alias("y"))), None
     cells = keyed.select("_cell").distinct()
