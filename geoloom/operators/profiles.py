@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import id_score
 
 
+PROFILE_SCHEMA = "dataset string, ordinal int, column string, distinct_values long, null_count long, total long, is_unique boolean"
+
+
+def _value_key(name: str, data_type: T.DataType, ordinal: int) -> Column:
+    """A column's value as numbers of a set width: the group that it falls in (``high``, ``low``) and its bit there.
+
+    Whole numbers, booleans and dates share a group of 64 neighbouring values, a bit for each. Any other value has a group of
+    its own, named by two hashes of 64 bits. A null has neither.
+    """
+    value = F.col("`" + name.replace("`", "``") + "`")
+    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType)):
+        number = (F.unix_date(value) if isinstance(data_type, T.DateType) else value).cast("long")
+        high, low = F.shiftright(number, 6), F.lit(0).cast("long")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    else:
+        plain = (T.StringType, T.BinaryType, T.FloatType, T.DoubleType, T.DecimalType, T.TimestampType, T.TimestampNTZType)
+        hashed = value if isinstance(data_type, plain) else value.cast("string")
+        high, low = F.when(value.isNotNull(), F.xxhash64(hashed)), F.xxhash64(F.lit(ordinal), hashed)
+        bit = F.lit(1).cast("long")
+    return F.struct(F.lit(ordinal).alias("ordinal"), high.alias("high"), F.when(value.isNotNull(), low).alias("low"), F.when(value.isNotNull(), bit).alias("bit"))
+
+
 def profile_columns(df: DataFrame, dataset: str, exclude: tuple[str, ...] = ("geometry",)) -> DataFrame:
-    """Exact distinct values, nulls and uniqueness of every column.
+    """Distinct values, nulls and uniqueness of every column, in one pass over the table.
 
-    Columns become (column, value) rows, so that one aggregation by value and
-    one by column do for any number of columns.
+    Values are combined within each task before they are shuffled: whole numbers and dates as bitmaps of 64 neighbours, which
+    never take more rows than the values themselves and up to 64 times fewer, others by 128 bits of hash instead of their text.
+    So the shuffle holds the distinct values of each task, in rows of a set width however long the texts are, and a frequent
+    value is a row a task. Equal numbers count once (0.0 and -0.0, all NaN); nested values are compared as text. An empty table
+    has no rows here.
     """
-    columns = [c for c in df.columns if c not in exclude]
-    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(columns)])
-    values = df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("ordinal", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("ordinal", "column").agg(
-        F.count("value").alias("distinct_values"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
+    columns = [f for f in df.schema.fields if f.name not in exclude]
+    if not columns:
+        return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
+    keys = df.select(*[_value_key(f.name, f.dataType, i).alias(f"_{i}") for i, f in enumerate(columns)])
+    values = keys.unpivot([], list(keys.columns), "_name", "_key").select("_key.*")
+    groups = values.groupBy("ordinal", "high", "low").agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("n"))
+    counted = groups.groupBy("ordinal").agg(
+        F.coalesce(F.sum(F.bit_count("bits").cast("long")), F.lit(0)).alias("distinct_values"),
+        F.coalesce(F.sum(F.when(F.col("bits").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
         F.sum("n").alias("total"),
-    ).select(
-        F.lit(dataset).alias("dataset"), "ordinal", "column", "distinct_values", "null_count", "total",
+    )
+    names = F.array(*[F.lit(f.name) for f in columns])
+    return counted.select(
+        F.lit(dataset).alias("dataset"), "ordinal", F.element_at(names, F.col("ordinal") + 1).alias("column"), "distinct_values", "null_count", "total",
         ((F.col("distinct_values") == F.col("total")) & (F.col("null_count") == 0)).alias("is_unique"),
     )
 
