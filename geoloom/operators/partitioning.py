@@ -22,13 +22,48 @@ def partition_count(size: Column, most: int = MOST_BYTES) -> Column:
     return F.when(size <= most, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(parts - 1))).cast("bigint"))
 
 
+def medians(df: DataFrame, node: Column, v: Column, accuracy: int = 100_000) -> dict[int, float]:
+    """The median of ``v`` in each ``node``, the lower one of two: exact, whatever the number of rows.
+
+    Two quantiles, off by one ``accuracy``-th of the rows at most, lie around it;
+    the rows between them, some ``4 / accuracy`` of all, are counted by value. A
+    median that isn't found there is looked for in a wider range.
+    """
+    rows = df.select(node.alias("node"), v.alias("v")).where("v is not null")
+    out, left, near = {}, None, 2.0 / accuracy
+    while left is None or left:
+        asked = rows if left is None else rows.where(F.col("node").isin(left))
+        near = min(near, 0.5)
+        ends = F.percentile_approx("v", [0.5 - near, 0.5, 0.5 + near], accuracy).alias("ends")
+        found = asked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), ends).collect()  # a row a node
+        sure = {r["node"]: r["ends"][1] for r in found if 2 * r["n"] <= accuracy}
+        out |= sure
+        around = [(r["node"], r["ends"][0], r["ends"][2], (r["n"] + 1) // 2) for r in found if r["node"] not in sure]
+        if not around:
+            break
+        around = F.broadcast(df.sparkSession.createDataFrame(around, "node int, least double, most double, rank bigint"))
+        # null: all that lies below
+        value = F.when(F.col("v") >= F.col("least"), F.col("v")).alias("value")
+        counts = asked.join(around, "node").where((F.col("v") <= F.col("most")) | (near == 0.5)).groupBy("node", "rank", value).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("node").orderBy(F.asc_nulls_first("value")))
+        met = F.col("upto") >= F.col("rank")
+        cuts = counts.withColumn("upto", upto).groupBy("node").agg(
+            F.min(F.when(met, F.col("value"))).alias("cut"), F.coalesce(F.bool_or(met & F.col("value").isNull()), F.lit(False)).alias("below")
+        )
+        cuts = cuts.collect()  # a row a node
+        out |= {r["node"]: r["cut"] for r in cuts if r["cut"] is not None and not r["below"]}
+        left, near = [r["node"] for r in cuts if r["cut"] is None or r["below"]], near * 16
+    return out
+
+
 def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", accuracy: int = 100_000) -> DataFrame:
     """Add ``kd_leaf``: halve at the median of alternate axes until there are so many leaves.
 
     A round aggregates the boxes' centres by node. The medians, fewer than
     ``leaves`` numbers in all, come to the driver and become an array in the
     next round's expression, so the plan grows by one expression a round and
-    reads ``df`` once. A median is off by one ``accuracy``-th of the rows at most.
+    reads ``df`` once. ``accuracy`` is that of the quantiles between which
+    :func:`medians` finds the exact ones.
     """
     depth = int(math.log2(leaves))
     if 1 << depth != leaves:
@@ -38,7 +73,7 @@ def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", accuracy: int =
     leaf = F.lit(0)
     for k in range(depth):
         axis = x if k % 2 == 0 else y
-        cuts = {r["leaf"]: r["cut"] for r in df.groupBy(leaf.alias("leaf")).agg(F.percentile_approx(axis, 0.5, accuracy).alias("cut")).collect()}
+        cuts = medians(df, leaf, axis, accuracy)
         known = ",".join("" if (c := cuts.get(i)) is None else repr(c) for i in range(1 << k))
         # one constant array, not a literal a node; an empty node has no cut and its left half takes all
         cut = F.get(F.transform(F.split(F.lit(known), ","), lambda t: F.nullif(t, F.lit("")).cast("double")), leaf)

@@ -322,6 +322,18 @@ def test_kd_leaves_are_disjoint_and_complete(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 20
 
 
+def test_kd_medians_are_exact_beyond_the_accuracy(spark):
+    rng = random.Random(3)
+    places = [(rng.gauss(77, 4), rng.choice([5.0, 6.0, 7.0, 8.0]) + rng.choice([0, 0, 0, rng.random()])) for _ in range(4001)]
+    p = spark.createDataFrame([(i, (x, y, x, y)) for i, (x, y) in enumerate(places)], "id int, bbox struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    leaf = {i: 0 for i in range(len(places))}
+    for k in range(3):
+        cuts = {v: sorted(places[i][k % 2] for i in leaf if leaf[i] == v) for v in set(leaf.values())}
+        leaf = {i: v * 2 + (places[i][k % 2] > cuts[v][(len(cuts[v]) - 1) // 2]) for i, v in leaf.items()}
+    for accuracy in (3, 50, 100_000):
+        assert {r["id"]: r["kd_leaf"] for r in partitioning.kd_partition(p, 8, accuracy=accuracy).collect()} == leaf
+
+
 def test_pruned_scan_uses_dynamic_partition_pruning(spark, tmp_path):
     p = inputs.points(spark, "/root/testdata/sf0.001")
     partitioning.write_partitioned(partitioning.kd_partition(p, 8), str(tmp_path / "leaves"))
