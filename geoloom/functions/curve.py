@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +34,25 @@ def curve(box: Column, bits: int = 16) -> Column:
         return F.struct(F.when(turned, my).otherwise(mx).alias("x"), F.when(turned, mx).otherwise(my).alias("y"), d.alias("d"))
 
     return F.aggregate(F.array(*[F.lit(k) for k in range(bits - 1, -1, -1)]), start, step, lambda a: a["d"])
+
+
+def curve_places(x: np.ndarray, y: np.ndarray, bits: int = 16) -> np.ndarray:
+    """The same for the centres ``x, y`` of a batch of rows; missing ones come first."""
+    side, out = 1 << bits, np.zeros(len(x), np.int64)
+    known = ~(np.isnan(x) | np.isnan(y))
+
+    def scaled(v: np.ndarray, least: float, width: float) -> np.ndarray:
+        return np.clip(np.floor((v[known] - least) / width * side), 0, side - 1).astype(np.int64)
+
+    x, y, d = scaled(x, -180.0, 360.0), scaled(y, -90.0, 180.0), out[known]
+    for k in range(bits - 1, -1, -1):
+        half = 1 << k
+        right, up = x >= half, y >= half
+        d = d * 4 + np.where(right, 3 - up, up)
+        x, y = x - right * half, y - up * half
+        mirrored = right & ~up
+        mx, my = np.where(mirrored, half - 1 - x, x), np.where(mirrored, half - 1 - y, y)
+        x, y = np.where(up, mx, my), np.where(up, my, mx)
+    out[known] = d
+    out[~known] = -1
+    return out

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.curve import curve
-from ..sources.scratch import delete, scratch, staged
+from ..functions.curve import curve, curve_places
+from ..sources.scratch import delete, listing, scratch, staged
 
 #: Largest size of a partition in bytes.
 MOST_BYTES = 2 * 1024**3
@@ -83,7 +83,8 @@ def kd_partition(df: DataFrame, leaves: int, box: str = "bbox", accuracy: int =
 
 def leaf_bytes(spark: SparkSession, path: str, key: str = "kd_leaf") -> DataFrame:
     """``part`` and ``bytes``: the size of each partition of a written table, by the folders of ``key``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    with listing(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     return files.groupBy(F.regexp_extract("path", f"/{key}=([^/]+)/", 1).alias("part")).agg(F.sum("length").alias("bytes"))
 
 
@@ -105,43 +106,141 @@ def row_bytes(df: DataFrame, level: int, rows: int = 200_000) -> float:
     return (files.agg(F.sum("length")).first()[0] or 0) / max(1, written)
 
 
-def _halve(df: DataFrame, wanted: list[int], box: str, accuracy: int) -> DataFrame:
-    """Move the rows of ``wanted`` leaves to their children ``2 * leaf`` and ``2 * leaf + 1``.
+#: Rows of a sample from which upper cuts are taken, and of a group that a task cuts on; compressed bytes of such a group.
+SAMPLE_ROWS, GROUP_ROWS, GROUP_BYTES = 200_000, 200_000, 16 * 1024**2
 
-    A leaf is cut at the median of its level's axis, of the other one if its
-    centres agree in that, and by the number of the row if they agree in both.
-    """
-    spark = df.sparkSession
+
+def _centres(box: str) -> tuple[Column, Column]:
     b = F.col(box)
-    x, y = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
-    leaves = F.broadcast(spark.createDataFrame([(w,) for w in wanted], "kd_leaf bigint"))
-    each = []
-    for name, v in (("x", x), ("y", y)):
-        each += [F.percentile_approx(v, 0.5, accuracy).alias(f"{name}_cut"), F.min(v).alias(f"{name}_least"), F.max(v).alias(f"{name}_most")]
-    cuts = []
-    for r in df.join(leaves, "kd_leaf").groupBy("kd_leaf").agg(*each).collect():  # a row a leaf that is cut
-        level = r["kd_leaf"].bit_length() - 1
-        order = ("x", "y") if level % 2 == 0 else ("y", "x")
-        axis = next((a for a in order if r[f"{a}_least"] is not None and r[f"{a}_least"] < r[f"{a}_most"]), "row")
-        cut = None if axis == "row" else r[f"{axis}_cut"]
-        # a median that is the greatest centre cuts before itself
-        cuts.append((r["kd_leaf"], axis, cut, axis != "row" and cut >= r[f"{axis}_most"]))
-    cuts = F.broadcast(spark.createDataFrame(cuts, "kd_leaf bigint, _axis string, _cut double, _from boolean"))
-    v = F.when(F.col("_axis") == "x", x).otherwise(y)
-    right = F.when(F.col("_axis") == "row", F.monotonically_increasing_id() % 2 == 1).otherwise(F.when(F.col("_from"), v >= F.col("_cut")).otherwise(v > F.col("_cut")))
-    leaf = F.when(F.col("_axis").isNull(), F.col("kd_leaf")).otherwise(F.col("kd_leaf") * 2 + F.coalesce(right, F.lit(False)).cast("bigint"))
-    return df.join(cuts, "kd_leaf", "left").withColumn("kd_leaf", leaf).drop("_axis", "_cut", "_from")
-
-
-def split_leaves(df: DataFrame, rows: dict[int, int], most_rows: dict[int, float], box: str = "bbox", accuracy: int = 100_000) -> DataFrame:
-    """Halve the leaves ``kd_leaf`` of ``df``, which have so many ``rows``, until none has more than its ``most_rows``; children inherit that."""
-    while wanted := [k for k, n in rows.items() if n > 1 and n > most_rows[k]]:
-        df = _halve(df, wanted, box, accuracy)
-        children = {c: k for k in wanted for c in (2 * k, 2 * k + 1)}
-        found = df.where(F.col("kd_leaf").isin(list(children))).groupBy("kd_leaf").count().collect()
-        rows = {k: n for k, n in rows.items() if k not in wanted} | {r["kd_leaf"]: r["count"] for r in found}
-        most_rows = most_rows | {c: most_rows[k] for c, k in children.items()}
-    return df
+    return (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
+
+
+def _bit(numbers: np.ndarray, level: int) -> np.ndarray:
+    """A bit of each row's hashed number, another one for each level."""
+    h = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    return ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(63 - level)) & np.uint64(1) == 1
+
+
+def _cut(leaf: int, x: np.ndarray, y: np.ndarray) -> tuple[str, float, bool]:
+    """Where a leaf is halved: axis, median, and whether the median itself belongs to the right half.
+
+    The axis is that of the leaf's level, the other one if the centres agree in
+    that, and the row's number if they agree in both. Centres may be missing.
+    """
+    level = leaf.bit_length() - 1
+    for axis, v in (("x", x), ("y", y)) if level % 2 == 0 else (("y", y), ("x", x)):
+        v = v[~np.isnan(v)]
+        if len(v) and v.min() < (most := v.max()):
+            at = (len(v) - 1) // 2
+            cut = float(np.partition(v, at)[at])
+            return axis, cut, cut >= most
+    return "row", 0.0, False
+
+
+def _right(leaf: int, cut: tuple[str, float, bool], x: np.ndarray, y: np.ndarray, number: np.ndarray) -> np.ndarray:
+    axis, at, begins = cut
+    if axis == "row":
+        return _bit(number, leaf.bit_length() - 1)
+    v = x if axis == "x" else y
+    return v >= at if begins else v > at  # a missing centre goes left
+
+
+def _halved(leaf: int, x: np.ndarray, y: np.ndarray, number: np.ndarray, most: float, cuts: dict | None = None) -> np.ndarray:
+    """Leaves of rows that are all in ``leaf``, halved until none has more than ``most``; fills ``cuts``."""
+    out = np.full(len(x), leaf, np.int64)
+    todo = [(leaf, np.arange(len(x)))]
+    while todo:
+        k, rows = todo.pop()
+        out[rows] = k
+        if len(rows) <= max(1, most) or k.bit_length() >= 63:
+            continue
+        cut = _cut(k, x[rows], y[rows])
+        if cut[0] == "row" and cuts is None:  # all rows are here: halved evenly
+            right = np.arange(len(rows)) >= (len(rows) + 1) // 2
+        else:
+            right = _right(k, cut, x[rows], y[rows], number[rows])
+        if cuts is not None:
+            cuts[k] = cut
+        todo += [(2 * k, rows[~right]), (2 * k + 1, rows[right])]
+    return out
+
+
+def _upper(df: DataFrame, rows: dict[int, int], most_rows: dict[int, float], box: str) -> DataFrame:
+    """Halve leaves by cuts of a sample of their rows, as far as the sample tells that they have more than ``most_rows``."""
+    large = {k: n for k, n in rows.items() if n > most_rows[k]}
+    if not large:
+        return df
+    x, y = _centres(box)
+    share = min(1.0, SAMPLE_ROWS / sum(large.values()))
+    places = df.where(F.col("kd_leaf").isin(list(large))).select("kd_leaf", x.alias("x"), y.alias("y"), F.col("_row").alias("number"))
+    cuts: dict[int, tuple[str, float, bool]] = {}
+    for leaf, part in places.sample(share, seed=1).toPandas().groupby("kd_leaf"):  # a sample of a set size
+        leaf = int(leaf)
+        # as many of the sample as stand for the limit, but enough for a median
+        most = max(32.0, most_rows[leaf] * len(part) / large[leaf])
+        _halved(leaf, *(part[c].to_numpy(float) for c in "xy"), part["number"].to_numpy(np.int64), most, cuts)
+    if not cuts:
+        return df
+
+    @F.pandas_udf("bigint")
+    def place(leaf: pd.Series, x: pd.Series, y: pd.Series, number: pd.Series) -> pd.Series:
+        out, x, y, number = leaf.to_numpy(np.int64).copy(), x.to_numpy(float), y.to_numpy(float), number.to_numpy(np.int64)
+        todo = [(int(k), np.flatnonzero(out == k)) for k in np.unique(out)]
+        while todo:
+            k, at = todo.pop()
+            out[at] = k
+            if k in cuts and len(at):
+                right = _right(k, cuts[k], x[at], y[at], number[at])
+                todo += [(2 * k, at[~right]), (2 * k + 1, at[right])]
+        return pd.Series(out)
+
+    return df.withColumn("kd_leaf", place("kd_leaf", x, y, "_row"))
+
+
+def _lower(df: DataFrame, most_rows: dict[int, float], box: str) -> DataFrame:
+    """Halve leaves that fit into a task until none has more than the ``most_rows`` of the leaf that it descends from; rows come out along the curve in each."""
+    x, y = _centres(box)
+    keyed = df.withColumn("_x", x.cast("double")).withColumn("_y", y.cast("double"))
+
+    def within(group):
+        import pyarrow as pa
+
+        leaf = at = group.column("kd_leaf")[0].as_py()
+        while at not in most_rows:
+            at >>= 1
+        xs, ys = (group.column(c).to_numpy().astype(float) for c in ("_x", "_y"))
+        leaves = _halved(leaf, xs, ys, group.column("_row").to_numpy(), most_rows[at])
+        group = group.drop_columns(["_x", "_y"])
+        group = group.set_column(group.schema.get_field_index("kd_leaf"), "kd_leaf", pa.array(leaves, pa.int64()))
+        return group.take(np.lexsort((curve_places(xs, ys), leaves)))
+
+    return keyed.groupBy("kd_leaf").applyInArrow(within, df.schema)
+
+
+def split_leaves(df: DataFrame, rows: dict[int, int], most_rows: dict[int, float], group: float = GROUP_ROWS, box: str = "bbox") -> tuple[DataFrame, bool]:
+    """Halve the leaves ``kd_leaf`` of ``df``, which have so many ``rows``, until none should have more than its ``most_rows``.
+
+    Upper cuts are medians of a sample of the centres, so the number of passes
+    doesn't depend on the depth. Leaves of fewer than ``group`` rows, to which a
+    task can hold all rows, are cut there at exact medians. Also tells whether
+    rows now lie together by leaf. ``df`` has a number ``_row`` for each row.
+    """
+    if min(most_rows.values()) >= group:
+        return _upper(df, rows, most_rows, box), False
+    return _lower(_upper(df, rows, {k: max(group, m) for k, m in most_rows.items()}, box), most_rows, box), True
+
+
+def _pilot(start: DataFrame, n: int, most: int, most_rows: float, group: float, level: int, box: str) -> float:
+    """``most_rows``, less if small files turn out to take more bytes a row than the sample's large ones: measured on the leaves of one group."""
+    spark, path = start.sparkSession, scratch(start.sparkSession, "pilot")
+    upper = _upper(start, {1: n}, {1: group}, box)
+    one = upper.groupBy("kd_leaf").count().orderBy(F.desc("count"), "kd_leaf").first()["kd_leaf"]
+    leaves = _lower(upper.where(F.col("kd_leaf") == one), {1: most_rows}, box)
+    write_partitioned(leaves, path, level, together=True)
+    largest = leaf_bytes(spark, path).agg(F.max("bytes")).first()[0]
+    return most_rows * min(1.0, 0.95 * most / largest)
 
 
 def write_bounded(df: DataFrame, path: str, most: int = MOST_BYTES, level: int = 3, box: str = "bbox") -> int:
@@ -156,20 +255,30 @@ def write_bounded(df: DataFrame, path: str, most: int = MOST_BYTES, level: int =
     spark = df.sparkSession
     n = df.count()
     each = row_bytes(df, level)
-    start = df.withColumn("kd_leaf", F.lit(1).cast("bigint"))
-    write_partitioned(split_leaves(start, {1: n}, {1: most / each if each else n}, box), path, level)
+    group = min(GROUP_ROWS, max(1, GROUP_BYTES / each)) if each else GROUP_ROWS
+    start = df.withColumn("kd_leaf", F.lit(1).cast("bigint")).withColumn("_row", F.monotonically_increasing_id())
+    most_rows = most / each if each else max(n, 1)
+    if n > group > most_rows:
+        most_rows = _pilot(start, n, most, most_rows, group, level, box)
+    leaves, together = split_leaves(start, {1: n}, {1: most_rows}, group, box)
+    write_partitioned(leaves, path, level, together=together)
     while large := {int(r["part"]): r["bytes"] for r in oversized(spark, path, most).collect()}:  # few rows: leaves beyond the limit
-        stored = spark.read.schema(start.schema).parquet(path)
-        again = stored.where(F.col("kd_leaf").isin(list(large)))
-        rows = {r["kd_leaf"]: r["count"] for r in again.groupBy("kd_leaf").count().collect()}
-        if not any(n > 1 for n in rows.values()):
+        with listing(spark):
+            stored = spark.read.schema(start.drop("_row").schema).parquet(path).withColumn("_row", F.monotonically_increasing_id())
+        rows = {r["kd_leaf"]: r["count"] for r in stored.where(F.col("kd_leaf").isin(list(large))).groupBy("kd_leaf").count().collect()}
+        rows = {k: n for k, n in rows.items() if n > 1}
+        if not rows:
             break
         # a little below the limit, since smaller files compress less
         limits = {k: min(0.9 * most * n / large[k], n / 2) for k, n in rows.items()}
-        write_partitioned(split_leaves(again, rows, limits, box).where(~F.col("kd_leaf").isin([k for k, n in rows.items() if n == 1])), path, level, mode="append")
-        for k, n in rows.items():
-            if n > 1:
-                delete(spark, f"{path}/kd_leaf={k}")
+        for few in (True, False):  # leaves that a task can hold, others
+            these = [k for k, m in limits.items() if (m < group) is few]
+            if these:
+                again = stored.where(F.col("kd_leaf").isin(these))
+                leaves, together = split_leaves(again, {k: rows[k] for k in these}, {k: limits[k] for k in these}, group, box)
+                write_partitioned(leaves, path, level, mode="append", together=together)
+        for k in rows:
+            delete(spark, f"{path}/kd_leaf={k}")
     return leaf_bytes(spark, path).count()
 
 
@@ -177,15 +286,19 @@ def _options(level: int) -> dict:
     return {"compression": "zstd", "parquet.compression.codec.zstd.level": level}
 
 
-def write_partitioned(df: DataFrame, path: str, level: int = 3, mode: str = "overwrite", box: str = "bbox") -> None:
+def write_partitioned(df: DataFrame, path: str, level: int = 3, mode: str = "overwrite", box: str = "bbox", together: bool = False) -> None:
     """One folder per leaf; within it rows along a Hilbert curve, so that files and row groups can be skipped in both axes.
 
     Tasks take ranges of leaf, curve and row, so a leaf of many rows is written by
-    several. High levels cost much for each page; 15 is meant for files to publish.
+    several; rows that lie ``together`` by leaf, along the curve, stay where they
+    are. High levels cost much for each page; 15 is meant for files to publish.
     """
     # rows at one place on the curve are spread by a number of their own
-    placed = df.withColumn("_curve", curve(F.col(box))).withColumn("_row", F.monotonically_increasing_id())
-    placed = placed.repartitionByRange("kd_leaf", "_curve", "_row").sortWithinPartitions("kd_leaf", "_curve", "_row").drop("_curve", "_row")
+    placed, keys = df.withColumn("_row", F.monotonically_increasing_id()), ["kd_leaf", "_row"]
+    if not together:
+        keys.insert(1, "_curve")
+        placed = placed.withColumn("_curve", curve(F.col(box))).repartitionByRange(*keys)
+    placed = placed.sortWithinPartitions(*keys).drop("_curve", "_row")
     placed.write.options(**_options(level)).partitionBy("kd_leaf").mode(mode).parquet(path)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import listing
+
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """``line``, ``feature`` (variant) and ``is_bad`` of text lines; blank lines are bad like any other that isn't JSON."""
@@ -32,7 +34,8 @@ def read_geojsonl(spark: SparkSession, path: str | list[str], order: str | None
 def read_features(spark: SparkSession, path: str | list[str], merge: bool = False) -> DataFrame:
     """GeoParquet files; ``merge`` unites the columns of files that differ."""
     paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.option("mergeSchema", str(merge).lower()).parquet(*paths)
+    with listing(spark):
+        return spark.read.option("mergeSchema", str(merge).lower()).parquet(*paths)
 
 
 def schema_table(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def listing(spark: SparkSession, tasks: int = 64):
+    """Folders of tables that are opened within are listed by so many tasks at most, not by one each."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _path(spark: SparkSession, path: str):
     """A path of any file system that Spark reads, and that file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

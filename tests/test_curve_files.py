@@ -2,9 +2,11 @@
 
 import glob
 
+import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from geoloom.functions import curve as C
 from geoloom.functions import geometry as G
 from geoloom.sources import sinks
 
@@ -42,3 +44,11 @@ def test_one_place_and_no_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "here")).count() == 3_000
     sinks.write_geoparquet(here.limit(0), str(tmp_path / "none"), level=3)
     assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_places_of_a_batch_are_those_of_the_column(spark):
+    places = [(-180.0, -90.0), (180.0, 90.0), (77.5, 12.5), (-200.0, 95.0), (0.0, 0.0), (12.3, -45.6)]
+    df = spark.createDataFrame([((x, y, x, y),) for x, y in places], "bbox struct<xmin: double, ymin: double, xmax: double, ymax: double>")
+    x, y = np.array(places).T
+    assert C.curve_places(x, y).tolist() == [r[0] for r in df.select(C.curve(F.col("bbox"))).collect()]
+    assert C.curve_places(np.array([np.nan]), np.array([1.0])).tolist() == [-1]

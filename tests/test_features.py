@@ -322,6 +322,30 @@ def test_kd_leaves_are_disjoint_and_complete(spark):
     assert len(sizes) == 8 and max(sizes) - min(sizes) < 20
 
 
+def test_a_hot_point_of_many_leaves(spark, tmp_path):
+    # every row in one task: numbers in turn once went to the same half at each level
+    here = F.struct(*[F.lit(1.0).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    p = spark.range(60_000).coalesce(1).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), here.alias("bbox"))
+    path = str(tmp_path / "hot")
+    assert partitioning.write_bounded(p, path, 300_000) >= 8 and partitioning.oversized(spark, path, 300_000).isEmpty()
+    assert readers.read_features(spark, path).select("id").distinct().count() == 60_000
+
+
+def test_leaves_of_many_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(partitioning, "GROUP_ROWS", 1_000)
+    monkeypatch.setattr(partitioning, "SAMPLE_ROWS", 2_000)
+    p = inputs.points(spark, "/root/testdata/sf0.01").select("id", "bbox", "coords")
+    # a third of the points at one place, others without a box
+    x = F.when(F.col("id") % 3 == 0, 77.0).when(F.col("id") % 100 != 1, F.col("bbox.xmin"))
+    y = F.when(F.col("id") % 3 == 0, 12.0).when(F.col("id") % 100 != 1, F.col("bbox.ymin"))
+    p = p.withColumn("bbox", F.struct(x.alias("xmin"), y.alias("ymin"), x.alias("xmax"), y.alias("ymax")))
+    for most in (5_000, 40_000):
+        path = str(tmp_path / str(most))
+        assert partitioning.write_bounded(p, path, most) > 4 and partitioning.oversized(spark, path, most).isEmpty()
+        assert readers.read_features(spark, path).select("id", "bbox", "coords").exceptAll(p).isEmpty()
+        assert readers.read_features(spark, path).count() == p.count()
+
+
 def test_kd_medians_are_exact_beyond_the_accuracy(spark):
     rng = random.Random(3)
     places = [(rng.gauss(77, 4), rng.choice([5.0, 6.0, 7.0, 8.0]) + rng.choice([0, 0, 0, rng.random()])) for _ in range(4001)]
