@@ -192,13 +192,13 @@ def st03_process_new(spark, sf_dir):
 
 
 def _item_tables(spark, sf_dir):
-    """Items written as item tables, a file for each collection, with the columns that such tables have, and read back."""
+    """Items written as item tables, a folder for each collection with files in the order of the items, with the columns that such tables have, and read back."""
     path = scratch(spark, "items")
     box = F.struct(F.col("w").alias("xmin"), F.col("s").alias("ymin"), F.col("e").alias("xmax"), F.col("n").alias("ymax"))
     none = lambda kind: F.lit(None).cast(kind)
     thumbnail = F.create_map(F.lit("data"), F.struct(F.concat(F.lit("https://h/"), F.col("item_pos").cast("string"), F.lit(".tif")).alias("href")))
     odd = F.col("item_pos") % 2 == 1
-    raw = items(spark, sf_dir).repartition("collection").sortWithinPartitions("item_pos").select(
+    raw = items(spark, sf_dir).repartitionByRange("collection", "item_pos").sortWithinPartitions("collection", "item_pos").select(
         F.when(~F.col("id").startswith("item-"), F.col("id")).alias("id"), F.when(odd, thumbnail).alias("assets"), box.alias("bbox"), none("binary").alias("geometry"),
         none("array<string>").alias("links"), F.when(odd, F.array(F.lit("https://x/projection"))).otherwise(F.array().cast("array<string>")).alias("stac_extensions"),
         F.when(F.col("version") != "1.0.0", F.col("version")).alias("stac_version"), F.lit("Feature").alias("type"), F.timestamp_seconds(F.col("item_pos")).alias("datetime"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,12 +131,18 @@ def stac_items(table: DataFrame, collection: str, pos: str = "pos") -> DataFrame
 
 
 def read_stac_items(spark: SparkSession, path: str, collection: str) -> DataFrame:
-    """Items of a Parquet file, whose columns are known by their position; rows are numbered in file order."""
-    raw = spark.read.parquet(path)
+    """Items of a Parquet table, whose columns are known by their position; rows are numbered in the order of files by path, and within each from the top."""
+    with listing(spark):
+        raw = spark.read.parquet(path)
     if len(raw.columns) < len(ITEM_COLUMNS):
         raise ValueError(f"an item table has the columns {', '.join(ITEM_COLUMNS)}, in this order: {path}")
     named = [F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, ITEM_COLUMNS)]
-    return stac_items(raw.select(F.col("_metadata.row_index").alias("pos"), *named), collection)
+    rows = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("pos"), *named)
+    # rows of the files before: a row a file
+    sizes = raw.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(F.broadcast(sizes.select("_file", before.alias("_before"))), "_file")
+    return stac_items(rows.withColumn("pos", F.col("pos") + F.col("_before")), collection)
 
 
 def asset_rows(lines: DataFrame) -> DataFrame:

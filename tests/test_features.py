@@ -171,6 +171,15 @@ def test_item_tables_by_position(spark, tmp_path):
         readers.read_stac_items(spark, str(tmp_path / "other"), "c")
 
 
+def test_items_are_numbered_over_files(spark, tmp_path):
+    path = str(tmp_path / "items")
+    rows = spark.range(100).repartitionByRange(3, "id").sortWithinPartitions("id")
+    rows.selectExpr("cast(null AS string) AS a", "cast(null AS map<string, string>) AS b", "named_struct('xmin', 1D, 'ymin', 2D, 'xmax', 3D, 'ymax', 4D) AS c", *[f"cast(null AS string) AS {c}" for c in "defg"], "'Feature' AS h", "cast(id AS string) AS i", *[f"cast(null AS string) AS {c}" for c in "jkl"]).write.parquet(path)
+    got = readers.read_stac_items(spark, path, "c").select("item_pos", "id", "datetime").collect()
+    assert sorted(r["item_pos"] for r in got) == list(range(100))
+    assert all(r["id"] == f"item-{r['datetime']}" and int(r["datetime"]) == r["item_pos"] for r in got)
+
+
 def _files(path):
     return {f"{d}/{n}": os.stat(f"{d}/{n}").st_ino for d, _, names in os.walk(path) for n in names if n.startswith("part-")}
 
