@@ -55,8 +55,12 @@ def tile_to_slice(tiles: DataFrame, slices: DataFrame, symmetric: bool = False,
 
     Latitudes must overlap; longitudes of the tile must lie within the slice's
     (``symmetric``: overlap). Slices meet tiles of their zooms in square cells,
-    ``2**cell`` to the world's width, which are chosen by the slices' extents.
+    ``2**cell`` to the world's width, which are chosen by the slices' extents. Of
+    slices with the same extent and zooms only the first can be an answer, so
+    the others don't meet tiles.
     """
+    extent = ["min_lon_e7", "min_lat_e7", "max_lon_e7", "max_lat_e7", "min_zoom", "max_zoom"]
+    slices = slices.groupBy(*extent).agg(F.min(F.struct("slice_pos", "slice")).alias("_first")).select(*extent, "_first.*")
     b = tile_bbox_e7(F.col("z"), F.col("x"), F.col("y"))
     tiles = tiles.select("z", "x", "y").distinct().withColumn("_b", b)
     side = 3_600_000_000 // (1 << (_finest(slices) if cell is None else cell))

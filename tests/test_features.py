@@ -171,6 +171,28 @@ def test_item_tables_by_position(spark, tmp_path):
         readers.read_stac_items(spark, str(tmp_path / "other"), "c")
 
 
+def test_slices_of_one_extent_meet_tiles_once(spark, monkeypatch):
+    same = spark.range(500).selectExpr("500 - id AS slice_pos", "concat('s', id) AS slice", "0L AS min_lon_e7", "0L AS min_lat_e7", "450000000L AS max_lon_e7", "450000000L AS max_lat_e7", "3 AS min_zoom", "3 AS max_zoom")
+    seen = []
+    monkeypatch.setattr(joins, "_finest", lambda slices: seen.append(slices.count()) or 3)
+    tile = spark.createDataFrame([(3, 4, 3)], "z int, x bigint, y bigint")
+    for symmetric in (False, True):
+        assert [r["slice"] for r in joins.tile_to_slice(tile, same, symmetric).collect()] == ["s499"]
+    assert seen == [1, 1]
+
+
+def test_large_collections_become_several(spark, tmp_path):
+    p = inputs.points(spark, "/root/testdata/sf0.001").withColumn("geometry", sinks.geometry_json()).select("id", "geometry")
+    path = str(tmp_path / "c")
+    sinks.write_geojson(p, path, shards=2, most=10_000)
+    sizes = [os.path.getsize(f) for f in _files(path)]
+    assert len(sizes) > 2 and max(sizes) < 15_000
+    docs = [json.loads(open(f).read()) for f in _files(path)]
+    assert sorted(f["properties"]["id"] for d in docs for f in d["features"]) == sorted(r["id"] for r in p.collect())
+    sinks.write_geojson(p, path, shards=2)
+    assert len(_files(path)) == 2
+
+
 def test_items_are_numbered_over_files(spark, tmp_path):
     path = str(tmp_path / "items")
     rows = spark.range(100).repartitionByRange(3, "id").sortWithinPartitions("id")
