@@ -61,10 +61,21 @@ def write_geojsonseq(df: DataFrame, path: str, geometry: str = "geometry") -> No
     df.select(feature_line(geometry, properties).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_geojson(df: DataFrame, path: str, shards: int, geometry: str = "geometry") -> None:
-    """One valid feature collection per shard: a header, the features and a footer, a line each."""
+#: Bytes of a shard up to which a collection is written as it is asked for; larger ones become several.
+SHARD_BYTES = 32 * 1024**2
+
+
+def write_geojson(df: DataFrame, path: str, shards: int, geometry: str = "geometry", most: int = SHARD_BYTES) -> None:
+    """One valid feature collection per shard: a header, the features and a footer, a line each.
+
+    There are ``shards`` of them, or as many as it takes that a shard has some
+    ``most`` bytes: a reader takes a collection whole, so its size must not grow
+    with the table.
+    """
     properties = [c for c in df.columns if c != geometry]
     lines = df.select(feature_line(geometry, properties).alias("value"))
+    size = lines.agg(F.sum(F.octet_length("value").cast("bigint") + 2)).first()[0] or 0
+    shards = max(shards, -(-size // most))
 
     def collections(batches):
         import pyarrow as pa
