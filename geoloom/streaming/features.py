@@ -22,7 +22,9 @@ def filter_lines(lines: DataFrame, rings: list, schema: dict[str, str]) -> DataF
         F.get_json_object("line", "$.geometry.type").alias("geom_type"),
         F.get_json_object("line", "$.properties").alias("properties"),
     )
-    rows = rows.withColumn("coords", G.coords_from_json(F.col("geometry"))).where("coords is not null").withColumn("bbox", G.bbox(F.col("coords")))
+    # worked out once, in generators; as plain columns both would be worked out again for each use in the filter
+    rows = rows.withColumn("coords", F.explode(F.array_compact(F.array(G.coords_from_json(F.col("geometry"))))))
+    rows = rows.withColumn("bbox", F.explode(F.array(G.bbox(F.col("coords")))))
     return normalize_props(shape_filter(rows, rings), schema)
 
 

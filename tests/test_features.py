@@ -171,6 +171,13 @@ def test_item_tables_by_position(spark, tmp_path):
         readers.read_stac_items(spark, str(tmp_path / "other"), "c")
 
 
+def test_a_filtered_line_has_its_coordinates_worked_out_once(spark):
+    df = lines(spark, feature("Point", [77.5, 12.5], a=1), feature("Point", [70, 12.5], a=2), '{"type":"Feature","geometry":null}', "{broken")
+    found = stream.filter_lines(df, SQUARE, {"a": "int"})
+    assert [r["a"] for r in found.select("properties.*").collect()] == [1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
 def test_slices_of_one_extent_meet_tiles_once(spark, monkeypatch):
     same = spark.range(500).selectExpr("500 - id AS slice_pos", "concat('s', id) AS slice", "0L AS min_lon_e7", "0L AS min_lat_e7", "450000000L AS max_lon_e7", "450000000L AS max_lat_e7", "3 AS min_zoom", "3 AS max_zoom")
     seen = []
