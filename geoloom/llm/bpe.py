@@ -24,11 +24,13 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,8 @@ from .common import table
 
 #: Words that a task remembers, and their letters.
 REMEMBERED, LETTERS = 120_000, 4_000_000
+#: Tokens whose ids a task holds before it gives them back.
+HELD = 1 << 18
 #: Symbols up to which merging goes through all pairs each time.
 SHORT = 48
 END = "</w>"
@@ -296,15 +300,35 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _parts(texts: pa.Array, path: str):
+    """Texts in parts, as ``(joined forms, ids)``: a part ends with the text that brings its tokens to ``HELD``, or with its 1,024th."""
+    v, rows, ids, n = vocabulary(path), [], [], 0
+    for k in range(len(texts)):
+        joined = v.joined(texts[k].as_py())
+        rows.append(joined)
+        ids.append(np.array(joined[1].split(), np.int32))
+        n += joined[0]
+        if n >= HELD or len(rows) == 1024:
+            yield rows, ids
+            rows, ids, n = [], [], 0
+    if rows:
+        yield rows, ids
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate(ids))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Add ``ids`` (array of token ids) to ``docs``; the text column is replaced by nothing else."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        v = vocabulary(path)
-        return pd.Series([v.encode(t) for t in texts])
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for _, part in _parts(texts, path):
+                yield _lists(part)
 
-    return docs.withColumn("ids", ids("text"))
+    return docs.withColumn("ids", ids(F.col("text").cast("string")))
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -333,15 +357,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id``, the digests and ``ids`` of every row, in one pass."""
-
-    @F.pandas_udf(f"struct<{DIGEST}, ids: array<int>>")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        v, rows = vocabulary(path), []
-        for text in texts:
-            joined = v.joined(text)
-            rows.append((*digest(joined), np.array(joined[1].split(), np.int32)))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+    """``doc_id``, the digests and ``ids`` of every row, in one pass; a task holds the ids of a part of its batch."""
+
+    @F.arrow_udf(f"struct<{DIGEST}, ids: array<int>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for rows, ids in _parts(texts, path):
+                columns = [pa.array(c) for c in zip(*map(digest, rows))]
+                yield pa.StructArray.from_arrays([*columns, _lists(ids)], ["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     return docs.select("doc_id", found(F.col("text").cast("string")).alias("found")).select("doc_id", "found.*")
 

@@ -760,6 +760,29 @@ def test_bpe_matches_the_library(docs, empty):
     assert rows_of(bpe.encoded(empty, path)) == []
 
 
+def test_bpe_ids_leave_a_batch_in_parts(spark):
+    """A task holds the ids of some texts, not those of all of its batch."""
+    import pyarrow as pa
+
+    path = bpe.default_path()
+    own = bpe.vocabulary(path)
+    rng = random.Random(43)
+    long = " ".join(rng.choice(["river", "stone", "window"]) for _ in range(bpe.HELD // 4))
+    texts = [long, None, *[long] * 8, "", "a b"]
+    parts = list(bpe._parts(pa.array(texts), path))
+    assert len(parts) == 3 and all(sum(map(len, ids[:-1])) < bpe.HELD for _, ids in parts)
+    assert [list(i) for _, ids in parts for i in ids] == [own.encode(t) for t in texts]
+    assert [len(rows) for rows, _ in bpe._parts(pa.array(["", None] * 1500, pa.string()), path)] == [1024, 1024, 952]
+    assert list(bpe._parts(pa.array([], pa.string()), path)) == []
+    rows = [(i, None if i % 7 == 0 else " ".join(rng.choice(["river", "Stones", "<|endoftext|>", "中"]) for _ in range(i % 5))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    want = {i: own.encode(t) for i, t in rows}
+    digests = {r["doc_id"]: tuple(r) for r in bpe.digests(docs, path).collect()}
+    got = bpe.encoded(docs, path).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == want and all(tuple(r)[:4] == digests[r["doc_id"]] for r in got)
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(docs, path).collect()} == want
+
+
 def test_long_words_merge_as_the_library_does():
     from tokenizers import Tokenizer
 
