@@ -177,19 +177,20 @@ def geometry_name_renames(df: DataFrame, line: str = "line", order: str | None =
 
 def _quoted(text: Column) -> Column:
     """A text as JSON."""
-    inner = F.to_json(F.array(text))
-    return F.substring(inner, F.lit(2), F.length(inner) - 2)
+    escaped = F.get(F.transform(F.array(F.to_json(F.array(text))), lambda q: F.substring(q, F.lit(2), F.length(q) - 2)), 0)
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def _members(json: Column) -> Column:
     """``struct(key, value)`` of a JSON object's members, in order, the values as JSON text; null for other text."""
-    kinds = F.from_json(json, "map<string, variant>")
+    found = F.struct(F.from_json(json, "map<string, string>").alias("texts"), F.from_json(json, "map<string, variant>").alias("kinds"))
 
-    def text(e: Column) -> Column:
+    def text(e: Column, kinds: Column) -> Column:
         is_text = F.schema_of_variant(F.element_at(kinds, e["key"])) == "STRING"
         return F.struct(e["key"].alias("key"), F.when(e["value"].isNull(), "null").when(is_text, _quoted(e["value"])).otherwise(e["value"]).alias("value"))
 
-    return F.transform(F.map_entries(F.from_json(json, "map<string, string>")), text)
+    # the object is parsed once, not once a member
+    return F.get(F.transform(F.array(found), lambda f: F.transform(F.map_entries(f["texts"]), lambda e: text(e, f["kinds"]))), 0)
 
 
 def _object(members: Column) -> Column:
@@ -202,11 +203,12 @@ def rename_geom_props(df: DataFrame, line: str = "line", order: str | None = Non
     if not renames:
         return df
     names = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
-    properties = F.transform(
-        _members(F.get_json_object(line, "$.properties")), lambda e: F.struct(F.coalesce(F.element_at(names, e["key"]), e["key"]).alias("key"), e["value"].alias("value"))
-    )
+
+    def renamed(properties: Column) -> Column:
+        return F.transform(_members(properties), lambda e: F.struct(F.coalesce(F.element_at(names, e["key"]), e["key"]).alias("key"), e["value"].alias("value")))
+
     members = F.transform(
-        _members(F.col(line)), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "properties", F.coalesce(_object(properties), e["value"])).otherwise(e["value"]).alias("value"))
+        _members(F.col(line)), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "properties", F.coalesce(_object(renamed(e["value"])), e["value"])).otherwise(e["value"]).alias("value"))
     )
     touched = F.exists(F.json_object_keys(F.get_json_object(line, "$.properties")), lambda k: F.element_at(names, k).isNotNull())
     return df.withColumn(line, F.when(touched, _object(members)).otherwise(F.col(line)))

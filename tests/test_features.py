@@ -139,6 +139,22 @@ def test_geom_renames_leave_the_geometry_alone(spark):
     assert rows[1] == texts[1] and json.loads(rows[2])["properties"] == {"geom_renamed_2": 5} and rows[3:] == texts[3:]
 
 
+def test_geom_renames_parse_an_object_once(spark):
+    texts = [
+        json.dumps({"type": "Feature\t\\ \u0001\u007f\u2028é", "geometry": None, "properties": {"geom": '{"a": "b\\n"}', 'geom"x\\y': "\n", "n": [1, "geom"], "e": "", "中": "true"}}),
+        json.dumps({"type": "Feature", "properties": '{"geom": 1}'}), feature("Point", [1, 2], other="geom"), None,
+    ]
+    df = filters.rename_geom_props(lines(spark, *texts))
+    # kinds were looked up in a map that was parsed anew for each member
+    assert "element_at(from_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [r["line"] for r in df.orderBy("n").collect()]
+    want = json.loads(texts[0])
+    want["properties"] = {{"geom": "geom_renamed_1", 'geom"x\\y': "geom_renamed_2"}.get(k, k): v for k, v in want["properties"].items()}
+    assert json.loads(rows[0]) == want and list(json.loads(rows[0])["properties"]) == list(want["properties"])
+    assert json.loads(rows[1]) == json.loads(texts[1])  # a text that looks like an object stays a text
+    assert rows[2:] == texts[2:]
+
+
 def test_release_notes(spark):
     from geoloom.operators import notes
 
