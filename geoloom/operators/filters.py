@@ -165,10 +165,15 @@ def normalize_props(df: DataFrame, schema: dict[str, str], properties: str = "pr
     return df.withColumn(properties, F.from_json(F.coalesce(properties, F.lit("{}")), f"struct<{fields}>"))
 
 
+def _property_names(line: str) -> Column:
+    """Names of a feature line's properties, in order; null for a line that isn't JSON."""
+    return F.map_keys(F.from_json(line, "struct<properties: map<string, string>>", {"allowNonNumericNumbers": "false"})["properties"])
+
+
 def geometry_name_renames(df: DataFrame, line: str = "line", order: str | None = None) -> DataFrame:
     """``key`` and ``new_key`` of properties whose name contains ``geom``, numbered by first appearance in the order of the lines."""
     rows = df.withColumn("_n", F.col(order) if order else F.monotonically_increasing_id())
-    keys = rows.select("_n", F.posexplode(F.json_object_keys(F.get_json_object(line, "$.properties"))).alias("_p", "key"))
+    keys = rows.select("_n", F.posexplode(_property_names(line)).alias("_p", "key"))
     seen = keys.where(F.lower("key").contains("geom")).groupBy("key").agg(F.min(F.struct("_n", "_p")).alias("first"))
     names = [r["key"] for r in seen.orderBy("first").collect()]  # one row a column name
     new = [(k, f"geom_renamed_{i + 1}") for i, k in enumerate(names)]
@@ -210,7 +215,7 @@ def rename_geom_props(df: DataFrame, line: str = "line", order: str | None = Non
     members = F.transform(
         _members(F.col(line)), lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "properties", F.coalesce(_object(renamed(e["value"])), e["value"])).otherwise(e["value"]).alias("value"))
     )
-    touched = F.exists(F.json_object_keys(F.get_json_object(line, "$.properties")), lambda k: F.element_at(names, k).isNotNull())
+    touched = F.exists(_property_names(line), lambda k: F.element_at(names, k).isNotNull())
     return df.withColumn(line, F.when(touched, _object(members)).otherwise(F.col(line)))
 
 
