@@ -7,6 +7,8 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,53 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Cells for each key, cells of one row of their table (a power of two), and cells at most.
+CELLS_A_KEY, CELLS_A_ROW, MOST_CELLS = 4, 256, 1 << 24
+#: Note of a key that only a join can tell.
+ASK = -1
+
+
+def cells(notes: DataFrame, *key: str, kept: bool = False) -> tuple[DataFrame, int]:
+    """The ``notes(*key, note)``, from 0 to 100 or ``ASK``, in cells for :func:`noted`, and the number of cells.
+
+    A cell is a byte that keys share by their hash: their note, or ``ASK`` if they
+    differ. There are 16 MB of cells at most; with very many keys more must be asked.
+    """
+    n = min(MOST_CELLS, max(1, CELLS_A_KEY * notes.count()))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        least, most = np.full(CELLS_A_ROW, 127, np.int8), np.full(CELLS_A_ROW, -128, np.int8)
+        np.minimum.at(least, pdf["_in"].to_numpy(), pdf["note"].to_numpy())
+        np.maximum.at(most, pdf["_in"].to_numpy(), pdf["note"].to_numpy())
+        told = np.where(least == most, least, np.where(least > most, 0, ASK)).astype(np.int8)
+        return pd.DataFrame({"_row": pdf["_row"].iloc[:1], "_cells": [told]})
+
+    dealt = notes.select(*_cell(n, *key), F.col("note").cast("tinyint").alias("note"))
+    return staged(dealt.groupBy("_row").applyInPandas(fill, "_row bigint, _cells array<tinyint>"), "cells", kept), n
+
+
+def _cell(n: int, *key: str) -> list[Column]:
+    """Row and place of a key's cell."""
+    cell = F.pmod(F.xxhash64(*key, F.lit(29)), F.lit(n))
+    return [F.shiftright(cell, CELLS_A_ROW.bit_length() - 1).alias("_row"), cell.bitwiseAND(CELLS_A_ROW - 1).cast("int").alias("_in")]
+
+
+def noted(rows: DataFrame, told: tuple[DataFrame, int], *key: str) -> DataFrame:
+    """Add ``note`` to ``rows`` without moving them: that of the row's key, or ``ASK`` if its cell can't tell.
+
+    A key that isn't among the notes has 0 or ``ASK``, provided that they hold nothing else.
+    """
+    table, n = told
+    found = rows.select("*", *_cell(n, *key)).join(F.broadcast(table), "_row", "left")
+    return found.withColumn("note", F.coalesce(F.get("_cells", "_in"), F.lit(0))).select(*[F.col(f"`{c}`") for c in rows.columns], "note")
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, *key: str, kept: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` whose key may be in ``wanted``, with all those whose key is, and the others; none moves."""
+    found = noted(rows, cells(wanted.select(*key, F.lit(ASK).alias("note")), *key, kept=kept), *key)
+    return found.where(F.col("note") == ASK).drop("note"), found.where(F.col("note") != ASK).drop("note")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

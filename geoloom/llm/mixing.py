@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from .common import SPACE, WORD, finished, staged, table, temporary
+from .common import ASK, SPACE, WORD, cells, finished, noted, staged, table, temporary
 
 #: Rows that one task rounds at a time.
 BUCKET = 1024
@@ -196,7 +196,8 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
     """The rows of the mix: ``docs`` as often as the mix takes them, all columns kept.
 
     A cut copy holds the first words of its text, joined by blanks. Equal rows
-    are drawn separately and given out together.
+    are drawn separately and given out together. Only rows that are equal, cut or
+    taken very often, or whose key's cell can't tell how often, are shuffled.
     """
     # a row is known by all of its columns; those that have no hash count as JSON
     whole = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema]
@@ -207,15 +208,18 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, s
         taken = F.col("taken") > 0
         shares = drawn.groupBy("key").agg(
             F.count(F.lit(1)).alias("rows"),
-            F.sum(F.when(taken, F.floor("share"))).cast("int").alias("whole"),
-            F.sum(F.when(taken, F.round((F.col("share") - F.floor("share")) * F.col("size")))).cast("int").alias("words"),
+            F.coalesce(F.sum(F.when(taken, F.floor("share"))), F.lit(0)).cast("int").alias("whole"),
+            F.coalesce(F.sum(F.when(taken, F.round((F.col("share") - F.floor("share")) * F.col("size")))), F.lit(0)).cast("int").alias("words"),
         )
-        # copies of very many equal rows are made in stretches
-        shares = shares.where("whole > 0 or words > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.col("whole") - 1, F.lit(0)), F.lit(MANY))))
-        shares = shares.withColumn("words", F.when(F.col("at") == 0, F.col("words")).otherwise(0)).withColumn("whole", F.least(F.col("whole") - F.col("at"), F.lit(MANY)))
         shares = staged(shares, "shares", kept=True)
-    rows = keyed.select("key", "row").join(shares, "key")
-    rows = rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key", "at"]))
+        simple = (F.col("words") == 0) & ((F.col("whole") == 0) | (F.col("rows") == 1) & (F.col("whole") <= 100))
+        told = cells(shares.select("key", F.when(simple, F.col("whole")).otherwise(F.lit(ASK)).alias("note")), "key", kept=True)
+    rows = noted(keyed.select("key", "row"), told, "key")
+    # copies of very many equal rows are made in stretches
+    parts = shares.where("whole > 0 or words > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.col("whole") - 1, F.lit(0)), F.lit(MANY))))
+    parts = parts.withColumn("words", F.when(F.col("at") == 0, F.col("words")).otherwise(0)).withColumn("whole", F.least(F.col("whole") - F.col("at"), F.lit(MANY)))
+    asked = rows.where(F.col("note") == ASK).dropDuplicates(["key"]).join(parts, "key").select("row", "whole", "words")
+    rows = rows.where("note > 0").select("row", F.col("note").cast("int").alias("whole"), F.lit(0).alias("words")).unionByName(asked)
     words = F.array_join(F.slice(F.filter(F.split("row.text", SPACE), lambda w: w != ""), F.lit(1), F.col("words")), " ")
     copy = F.concat(F.array_repeat(F.lit(True), F.col("whole")), F.array_repeat(F.lit(False), (F.col("words") > 0).cast("int")))
     rows = rows.withColumn("full", F.explode(copy))

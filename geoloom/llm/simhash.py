@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, temporary
+from .common import ASK, cells, maybe_in, noted, staged, table, temporary
 from .components import connected_components
 
 #: Rows of one part of a split block: at least, and at most.
@@ -384,7 +384,8 @@ def resembling_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     maybe = connected_components(block_links(rows, radius)).select("node", F.col("component").alias("cluster"))
     one = fps.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"))
     asked = staged(one.join(maybe, "node"), "asked")
-    texts = docs.select("key", "text").join(asked, "key").dropDuplicates(["key"])
+    some, _ = maybe_in(docs.select("key", "text"), asked, "key")
+    texts = some.join(asked, "key").dropDuplicates(["key"])
 
     @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -399,6 +400,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
 
     Only texts make rows alike: rows that share a doc_id, or have none, stay if their texts differ.
     Of rows of one group with the same least doc_id that with the least hash of id and text stays.
+    Only rows whose key's cell can't tell whether they stay, or that repeat a row, are shuffled.
     """
     doc_id, text = F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     key = F.xxhash64(doc_id, text).alias("key")
@@ -409,11 +411,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
         each = each.join(component, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
         # rows of one key are equal in id and text
         times = fps.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-        stay = staged(each.select("first.key").join(times, "key"), "stay", kept=True)
-    kept = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(stay, "key")
-    once = kept.where("times = 1")
-    again = kept.where("times > 1").dropDuplicates(["key"])
-    return once.select("row.*").unionByName(again.select("row.*"))
+        keys = times.join(each.select("first.key", F.lit(1).alias("stays")), "key", "left")
+        keys = staged(keys.select("key", "times", F.coalesce("stays", F.lit(0)).alias("stays")), "stay", kept=True)
+        note = F.when((F.col("stays") == 1) & (F.col("times") > 1), F.lit(ASK)).otherwise(F.col("stays")).alias("note")
+        told = cells(keys.select("key", note), "key", kept=True)
+    rows = noted(docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), told, "key")
+    asked = rows.where(F.col("note") == ASK).dropDuplicates(["key"]).join(keys.where("stays = 1").select("key"), "key")
+    return rows.where("note = 1").select("row.*").unionByName(asked.select("row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small, staged, table, temporary
+from .common import discard, maybe_in, small, staged, table, temporary
 
 WINDOW = 35
 #: Fields of spans: first window, and either windows of a run and its name, or a bit mask of windows.
@@ -248,8 +248,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             if rows:
                 yield pd.DataFrame(dict(zip(("m", "h", "key", "sub", "start", "off", "times"), map(np.concatenate, zip(*rows)))))
 
-    # the texts travel once more here: packed they take less than half of the room
-    found = docs.select("key", "sub", packed("text").alias("text")).join(asked, ["key", "sub"])
+    # the texts with such places travel once more here: packed they take less than half of the room
+    some, _ = maybe_in(docs.select("key", "sub", "text"), asked, "key", "sub")
+    found = some.select("key", "sub", packed("text").alias("text")).join(asked, ["key", "sub"])
     edge = staged(found.select("key", "sub", "text", "paths.*").mapInPandas(edges, "m bigint, h bigint, key bigint, sub int, start int, off int, times int"), "edges")
     _release(spark)
     often = staged(edge.groupBy("m", "h").agg(F.sum("times").alias("total")).where("total > 1").select("m", "h"), "often")
@@ -316,11 +317,15 @@ def with_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
         with temporary():
             spans = staged(repeated_spans(keyed.select("key", "sub", "text"), window, anchor, seed), "spans", kept=True)
         _release(docs.sparkSession)
-        marked = keyed.select("key", "sub", "row").join(spans, ["key", "sub"], "left").select("row", F.col("row.text").alias("text"), "spans")
+        # texts without spans are neither shuffled nor written
+        some, others = maybe_in(keyed.select("key", "sub", "row"), spans, "key", "sub", kept=True)
+        marked = some.join(spans, ["key", "sub"], "left").select("row", F.col("row.text").alias("text"), "spans")
         marked = staged(words_at(marked, window).drop("text"), "marked")
         discard(spans)
         if differing(marked).isEmpty():
-            return marked.select("row", F.col("row.text").alias("text"), "spans")
+            none = F.lit(None).cast(marked.schema["spans"].dataType).alias("spans")
+            marked = marked.select("row", F.col("row.text").alias("text"), "spans")
+            return marked.unionByName(others.select("row", F.col("row.text").alias("text"), none))
         discard(marked)
     raise RuntimeError("no seed tells all paths apart")
 
